@@ -1 +1 @@
-
+"""Planes, packets and streams as DataFrames."""
