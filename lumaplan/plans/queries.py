@@ -36,7 +36,7 @@ def _vectors(bits: int, columns: str = "64", keep: str = "true") -> str:
  FROM embeddings, generate_series(1, {columns}) AS g(i) WHERE {keep}"""
 
 
-_EVENTS = """SELECT CAST(2 AS BIGINT) AS stream_id, CAST(event_id // 2000 AS BIGINT) AS frame_index, 0 AS plane, CAST((event_id % 2000) // 50 AS INTEGER) AS y, CAST(event_id % 50 AS INTEGER) AS x, CAST(round(value * 100) AS INTEGER) AS v FROM events"""
+_EVENTS = """SELECT CAST(2 AS BIGINT) AS stream_id, CAST(event_id // 1000 AS BIGINT) AS frame_index, 0 AS plane, CAST((event_id % 1000) // 50 AS INTEGER) AS y, CAST(event_id % 50 AS INTEGER) AS x, CAST(round(value * 100) AS INTEGER) AS v FROM events"""
 
 _RGBA = lambda bits, planes: f"""SELECT stream_id, frame_index, CAST(x // 16 AS INTEGER) AS plane, y, CAST(x % 16 AS INTEGER) AS x, v FROM ({_vectors(bits)}) WHERE x < {16 * planes}"""
 
@@ -310,9 +310,9 @@ def round_trip_found_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _there_and_back(spark, vector_samples(spark, sf_dir), StreamConfig(64, 20, num_h=2, entropy=GOLOMB), 4, regular=False)
 
 
-@query(_DIGEST.format(f"SELECT * FROM ({_EVENTS}) WHERE frame_index < (SELECT count(*) // 2000 FROM events)"))
+@query(_DIGEST.format(f"SELECT * FROM ({_EVENTS}) WHERE frame_index < (SELECT count(*) // 1000 FROM events)"))
 def round_trip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _there_and_back(spark, event_samples(spark, sf_dir), StreamConfig(50, 40, 16, num_h=2, num_v=2))
+    return _there_and_back(spark, event_samples(spark, sf_dir), StreamConfig(50, 20, 16, num_h=2, num_v=2))
 
 
 def _packets(spark: SparkSession, sf_dir: str, config: StreamConfig = _GREY, interval: int = 5):

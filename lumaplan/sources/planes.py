@@ -40,8 +40,8 @@ def vector_samples_420(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.unionByName(chroma.select(s.columns))
 
 
-def event_samples(spark: SparkSession, sf_dir: str, width: int = 50, rows: int = 40) -> DataFrame:
-    """Event values in cents as 16-bit samples, 50 x 40 a frame."""
+def event_samples(spark: SparkSession, sf_dir: str, width: int = 50, rows: int = 20) -> DataFrame:
+    """Event values in cents as 16-bit samples, 50 x 20 a frame."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
     cell = width * rows
     at = F.col("event_id") % cell
