@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaplan.llm.common import chunks, span_hashes, text_buffer
+from lumaplan.llm.common import chunks, mix, span_hashes, text_buffer
 
 RESULT = "doc_id long, grade int, severity double, p_toxic double, toxic boolean"
 _LETTER = np.zeros(256, bool)
@@ -19,21 +19,45 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Besides whole words, prefixes of so many bytes are features of longer words: stems with many endings.
+PREFIXES = (5, 6, 7, 8)
+
+
 def lower_words(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _words(flat, offsets, ())
+
+
+def stems(flat: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Feature numbers of words and of their prefixes, each with the text they are in, and the number of words of each text."""
+    hashes, at, starts, ends = _words(flat, offsets, None)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+    low, features, owners = _LOWER[flat], [hashes >> np.uint64(64 - bits)], [text]
+    for n in PREFIXES:
+        long = np.flatnonzero(ends - starts > n)
+        if len(long):
+            features.append(mix(span_hashes(low, starts[long], starts[long] + n) + np.uint64(n)) >> np.uint64(64 - bits))
+            owners.append(text[long])
+    return [f.astype(np.int64) for f in features], owners, np.diff(at)
+
+
+def _words(flat: np.ndarray, offsets: np.ndarray, also: tuple | None):
     """Hashes of the lower-case words (letters, digits and bytes over 127) of all texts, and offsets of the texts in them."""
     if not len(flat):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        z = np.zeros(0, np.int64)
+        return (z.astype(np.uint64), np.zeros(len(offsets), np.int64)) + ((z, z) if also is None else ())
     word = _LETTER[flat]
     edge = np.zeros(len(flat) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
     ends = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
-    return span_hashes(_LOWER[flat], starts, ends), np.searchsorted(starts, offsets)
+    found = span_hashes(_LOWER[flat], starts, ends), np.searchsorted(starts, offsets)
+    return found + (starts, ends) if also is None else found
 
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """P(grade <= k) = sigmoid(cuts[k] - severity score); the score is `scale` times the mean weight of a text's words."""
+    """P(grade <= k) = sigmoid(cuts[k] - severity score); the score is `scale` times the weights of a text's words and their
+    prefixes, over the root of the number of words."""
 
     weights: np.ndarray
     cuts: np.ndarray
@@ -48,20 +72,27 @@ class OrdinalModel:
     def scores(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.zeros(len(offsets) - 1)
         for lo, hi in chunks(offsets):
-            words, at = lower_words(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            total = np.concatenate([[0.0], np.cumsum(self.weights[(words >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.float64))])
-            out[lo:hi] = self.scale * (total[at[1:]] - total[at[:-1]]) / np.maximum(np.diff(at), 1)
+            features, owners, n = stems(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], self.bits)
+            total = sum(np.bincount(o, self.weights[f], hi - lo) for f, o in zip(features, owners, strict=True))
+            out[lo:hi] = self.scale * total / np.sqrt(np.maximum(n, 1))
         return out
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, bits: int, scale: float = 30.0, steps: int = 150, ridge: float = 1e-6) -> OrdinalModel:
-    """Maximum likelihood by Adam over all rows at once; all thresholds share the weights. values: share of the word in its row."""
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, bits: int, scale: float = 3.0, steps: int = 800, ridge: float = 1e-7, least_z: float = 6.0) -> OrdinalModel:
+    """Maximum likelihood by Adam over all rows at once; all thresholds share the weights. values: the feature's weight in its row.
+    Only words whose presence goes with grades over 0 by least_z standard deviations get a weight; labels may
+    be noisy, and rare words would learn them by heart."""
     k = int(grades.max()) if len(grades) else 0
     size = 1 << bits
     if k == 0:
         return OrdinalModel(np.zeros(size, np.float32), np.array([40.0]), scale, bits)
-    used, cols = np.unique(cols, return_inverse=True)
-    n, w = len(grades), np.zeros(len(used))
+    n, base = len(grades), np.clip((grades > 0).mean(), 1e-6, 1 - 1e-6)
+    held = np.bincount(cols, minlength=size)
+    z = (np.bincount(cols, (grades > 0)[rows], size) - held * base) / np.sqrt(np.maximum(held, 1) * base * (1 - base))
+    told = (z >= least_z)[cols]
+    rows, values = rows[told], values[told]
+    used, cols = np.unique(cols[told], return_inverse=True)
+    w = np.zeros(len(used))
     share = np.array([(grades <= j).mean() for j in range(k)]).clip(1e-4, 1 - 1e-4)
     c = np.log(share / (1 - share))
     raw = np.concatenate([[c[0]], np.log(np.maximum(np.diff(c), 1e-3))])
@@ -101,13 +132,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8000, bi
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             flat, off = text_buffer(rb.column("text"))
-            words, at = lower_words(flat, off)
-            f = (words >> np.uint64(64 - bits)).astype(np.uint32)
-            cols, shares = [], []
-            for i in range(len(off) - 1):
-                u, c = np.unique(f[at[i] : at[i + 1]], return_counts=True)
-                cols.append(u.tobytes())
-                shares.append((c / max(1, at[i + 1] - at[i])).astype(np.float32).tobytes())
+            features, owners, n = stems(flat, off, bits)
+            both, count = np.unique(np.concatenate(owners) << bits | np.concatenate(features), return_counts=True)
+            at = np.searchsorted(both >> bits, np.arange(len(off)))
+            col, share = (both & ((1 << bits) - 1)).astype(np.uint32), (count / np.sqrt(np.maximum(n, 1))[both >> bits]).astype(np.float32)
+            cols = [col[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            shares = [share[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("grade"), pa.array(cols, pa.binary()), pa.array(shares, pa.binary())], names=["doc_id", "grade", "cols", "shares"])
 
     got = rows.mapInArrow(count, "doc_id long, grade int, cols binary, shares binary").toArrow().sort_by([("doc_id", "ascending"), ("cols", "ascending")])
@@ -117,12 +147,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8000, bi
     return fit_ordinal(np.repeat(np.arange(len(sizes)), sizes), cols, shares.astype(np.float64), got.column("grade").to_numpy().astype(np.int64), bits)
 
 
-def score_toxicity(docs: DataFrame, model: OrdinalModel, *keep: str) -> DataFrame:
-    """doc_id, grade (most likely), severity (expected grade), p_toxic (P(grade >= 1)), toxic (p_toxic >= 0.5) and the columns
+def score_toxicity(docs: DataFrame, model: OrdinalModel, *keep: str, reject: float = 0.2) -> DataFrame:
+    """doc_id, grade (most likely), severity (expected grade), p_toxic (P(grade >= 1)), toxic (p_toxic >= reject) and the columns
     named in keep; those come under names of their own choice, so a clash with the five is the caller's to avoid.
 
     Null or empty text, or one without words: score 0, which the fitted cuts grade. Null doc_id: kept as null. Repeated
-    rows: one result each. Empty table: no rows.
+    rows: one result each. Clean texts score near the share of toxic ones among texts without telling words, far below reject. Empty table: no rows.
     """
     schema = RESULT + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -130,7 +160,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *keep: str) -> DataFram
         for rb in batches:
             p = model.grade_probabilities(model.scores(*text_buffer(rb.column("text"))))
             p0 = 1 - p[:, 0]
-            out = [rb.column("doc_id"), pa.array(p.argmax(1).astype(np.int32)), pa.array((p * np.arange(p.shape[1])).sum(1)), pa.array(p0), pa.array(p0 >= 0.5)]
+            out = [rb.column("doc_id"), pa.array(p.argmax(1).astype(np.int32)), pa.array((p * np.arange(p.shape[1])).sum(1)), pa.array(p0), pa.array(p0 >= reject)]
             yield pa.RecordBatch.from_arrays([*out, *(rb.column(c) for c in keep)], names=["doc_id", "grade", "severity", "p_toxic", "toxic", *keep])
 
     return docs.select(F.col("doc_id").cast("long"), "text", *(c for c in keep if c != "text")).mapInArrow(score, schema)
