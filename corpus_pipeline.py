@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumaplan.llm.common import NULL_ID, fresh_dir, table
 from lumaplan.llm.decontaminate import decontaminate
 from lumaplan.llm.minhash_dart import near_duplicates
-from lumaplan.llm.mixing import mix_sources
+from lumaplan.llm.mixing import mix_sources, queue_place
 from lumaplan.llm.token_arrow import op3_token_arrow
 from lumaplan.llm.toxicity import score_toxicity, train_toxicity
 
@@ -53,7 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     taken = mix_sources(docs).where("copies > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("row_hash").alias("_rh"), "copies")
     taken = taken.groupBy("_id", "_rh").agg(F.max("copies").alias("copies"))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_rh": F.xxhash64(F.lit(1), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_rh": queue_place()})
     return rows.join(taken, ["_id", "_rh"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

@@ -16,6 +16,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def queue_place(seed: int = 1) -> Column:
+    """60 bits of a digest of seed, doc_id and text: a row's place in its source's queue."""
+    row = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def fill_targets(sizes: list[int], weights: list[float], budget: float, most: float) -> list[float]:
     """budget shared by weight; no target over most * size, the excess reshared by weight until none is above."""
     caps = [most * s for s in sizes]
@@ -47,9 +53,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_sh
     reruns agree on the rows' values. Empty table: no rows.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), place.alias("row_hash")), "mix-sizes")
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), queue_place(seed).alias("row_hash")), "mix-sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["size"]) for r in found]
@@ -62,7 +66,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_sh
 
     buckets = min(20000, max(1, -(-max([r["n"] for r in found], default=1) // rows_a_bucket)))
     # The bucket follows the row's place, so places in lower buckets come first.
-    bucket = F.floor((F.shiftright(F.col("row_hash"), 32) + F.lit(2**31)) * F.lit(buckets) / F.lit(2**32)).cast("int")
+    bucket = F.floor(F.shiftright(F.col("row_hash"), 28) * F.lit(buckets) / F.lit(2**32)).cast("int")
     rows = rows.withColumn("bucket", bucket)
     sums = rows.groupBy(F.col("source").alias("of"), F.col("bucket").alias("nth")).agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("of").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
