@@ -48,7 +48,8 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 @dataclass
 class Items:
-    """A block of benchmark passages: word hashes, their latent vectors (unit length) and the basis they are in."""
+    """A block of benchmark passages: word hashes, the row of each feature in the basis (-1: none), the basis with each row
+    weighed by its idf, and the items' latent vectors."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -150,58 +151,80 @@ class Matcher:
         return self.masks[i]
 
     def find(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float, float, float, int, int]]:
-        """(text, item, cosine, overlap, answer, first word, end) of the best match of each text and item."""
+        """(text, item, cosine, overlap, answer, first word, end) of the best match of each text and item.
+
+        Each text is cut into blocks of STEP words, followed by empty ones, so that a window is four blocks next to each other
+        and blocks of twice the size are sums of two. A word's vector is read once for all windows.
+        """
         x, best = self.x, {}
+        widths = np.unique(self.window).tolist()
+        levels = int(np.log2(widths[-1] // widths[0])) + 1
+        step = widths[0] // 4
         f = features(words)
-        place = x.at[f]
-        g = x.idf[f]
-        known = np.concatenate([[0.0], np.cumsum(np.where(place >= 0, g * g, 0))])
-        total = np.concatenate([[0.0], np.cumsum(g * g)])
-        for width in np.unique(self.window).tolist():
-            mine = np.flatnonzero(self.window == width)
-            n = np.diff(at)
-            steps = np.where(n > 0, 1 + np.maximum(0, -(-(n - width) // (width // 4))), 0)
-            text = np.repeat(np.arange(len(n)), steps)
-            nth = np.arange(len(text)) - np.repeat(np.cumsum(steps) - steps, steps)
-            lo = at[text] + nth * (width // 4)
-            hi = np.minimum(lo + width, at[text + 1])
-            # The cosine is at most the square root of the share of the window's weight that lies on words of items.
-            maybe = known[hi] - known[lo] >= self.least_cosine**2 * (total[hi] - total[lo])
-            text, lo, hi = text[maybe], lo[maybe], hi[maybe]
-            for s in range(0, len(lo), 4096):
-                self._windows(words, at, place, g, total, mine, width, text[s : s + 4096], lo[s : s + 4096], hi[s : s + 4096], best)
+        place, g = x.at[f], x.idf[f]
+        n = np.diff(at)
+        unit = 1 << levels - 1
+        blocks = (-(-n // step) + 3 * unit + unit - 1) // unit * unit
+        base = np.concatenate([[0], np.cumsum(blocks)])
+        text = np.repeat(np.arange(len(n)), n)
+        block = base[:-1][text] + (np.arange(len(words)) - at[text]) // step
+        total = np.bincount(block, g * g, base[-1])
+        known = np.bincount(block, np.where(place >= 0, g * g, 0), base[-1])
+        four = lambda v: v[:-3] + v[1:-2] + v[2:-1] + v[3:]
+        half = lambda v: v[::2] + v[1::2]
+        # The cosine is at most the root of the share of the window's weight that lies on words of items.
+        wanted, windows, e, k = np.zeros(base[-1], bool), {}, total, known
+        for level in range(levels):
+            width = widths[0] << level
+            if width in widths:
+                sums = four(e)
+                maybe = np.flatnonzero((four(k) >= self.least_cosine**2 * sums) & (sums > 0))
+                windows[level] = maybe, sums[maybe]
+                for j in range(4):
+                    wanted[((maybe + j)[:, None] << level) + np.arange(1 << level)] = True
+            if level + 1 < levels:
+                e, k = half(e), half(k)
+        pick = np.flatnonzero((place >= 0) & wanted[block])
+        vec = np.zeros((base[-1], x.basis.shape[1]), np.float32)
+        nth = (pick - at[text[pick]]) % step
+        for i in range(step):  # words of one place in their blocks: no block twice
+            of = pick[nth == i]
+            vec[block[of]] += x.basis[place[of]]
+        for level in range(levels):
+            if level in windows:
+                self._windows(words, at, base >> level, step << level, vec, *windows[level], best)
+            if level + 1 < levels:
+                vec = half(vec)
         return [(t, i, *v) for (t, i), v in best.items()]
 
-    def _windows(self, words, at, place, g, total, mine, width, text, lo, hi, best) -> None:
-        from lumaplan.llm.common import ragged
-
-        x = self.x
-        idx = ragged(lo, hi - lo)
-        owner = np.repeat(np.arange(len(lo)), hi - lo)
-        some = place[idx] >= 0
-        idx, owner = idx[some], owner[some]
-        heads = np.searchsorted(owner, np.arange(len(lo)))
-        full = np.diff(np.append(heads, len(owner))) > 0
-        if not full.any():
-            return
-        vec = np.zeros((len(lo), x.basis.shape[1]), np.float32)
-        vec[full] = np.add.reduceat(x.basis[place[idx]] * g[idx, None].astype(np.float32), heads[full])
-        vec /= np.sqrt(np.maximum(total[hi] - total[lo], 1e-12)).astype(np.float32)[:, None]
-        cos = vec @ x.latent[mine].T
-        for r, c in zip(*np.nonzero(cos >= self.least_cosine), strict=True):
-            t, i = int(text[r]), int(mine[c])
-            known = best.get((t, i))
-            if known and known[1] >= 0.999:
-                continue
-            a, b = max(int(at[t]), int(lo[r]) - width // 2), min(int(at[t + 1]), int(hi[r]) + width // 2)
-            masks, answer = self._item(i)
-            said = words[a:b].tolist()
-            overlap = common_subsequence(masks, int(self.size[i]), said) / int(self.size[i])
-            if overlap < self.least_overlap:
-                continue
-            got = len(answer.intersection(said)) / len(answer)
-            if got >= self.least_answer and (known is None or (overlap, got) > known[1:3]):
-                best[(t, i)] = (float(min(1.0, cos[r, c])), overlap, got, a - int(at[t]), b - int(at[t]))
+    def _windows(self, words, at, base, step, vec, starts, energy, best) -> None:
+        """Windows of four blocks of step words that begin with the given blocks."""
+        x, width = self.x, 4 * step
+        mine = np.flatnonzero(self.window == width)
+        for s in range(0, len(starts), 8192):
+            j = starts[s : s + 8192]
+            v = vec[j] + vec[j + 1]
+            v += vec[j + 2]
+            v += vec[j + 3]
+            cos = v @ x.latent[mine].T
+            row, col = np.nonzero(cos >= (self.least_cosine * np.sqrt(energy[s : s + 8192])).astype(np.float32)[:, None])
+            texts = np.searchsorted(base, j[row], "right") - 1
+            first = at[texts] + (j[row] - base[texts]) * step
+            begins, ends = np.maximum(at[texts], first - width // 2), np.minimum(at[texts + 1], first + width + width // 2)
+            last = -1
+            for r, c, t, i, a, b in zip(row.tolist(), col.tolist(), texts.tolist(), mine[col].tolist(), begins.tolist(), ends.tolist(), strict=True):
+                known = best.get((t, i))
+                if known and known[1] >= 0.999:
+                    continue
+                masks, answer = self._item(i)
+                if r != last:
+                    said, last = words[a:b].tolist(), r
+                got = len(answer.intersection(said)) / len(answer)
+                if got < self.least_answer:
+                    continue
+                overlap = common_subsequence(masks, int(self.size[i]), said) / int(self.size[i])
+                if overlap >= self.least_overlap and (known is None or (overlap, got) > known[1:3]):
+                    best[(t, i)] = (float(min(1.0, cos[r, c] / np.sqrt(energy[s + r]))), overlap, got, a - int(at[t]), b - int(at[t]))
 
 
 def _block(items: DataFrame, idf: np.ndarray, rank: int) -> Items:
@@ -213,11 +236,12 @@ def _block(items: DataFrame, idf: np.ndarray, rank: int) -> Items:
     row, f, w = _weights(words, at, idf)
     latent = np.zeros((len(at) - 1, basis.shape[1]))
     np.add.at(latent, row, w[:, None] * basis[where[f]])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]
-    return Items(got.column("item_id").to_pylist(), [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], idf, where, basis.astype(np.float32), latent.astype(np.float32))
+    # What the basis keeps of an item differs; divided by its square, an item in full has cosine 1 with itself.
+    latent /= np.maximum((latent * latent).sum(1), 1e-12)[:, None]
+    return Items(got.column("item_id").to_pylist(), [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], idf, where, (basis * idf[used][:, None]).astype(np.float32), latent.astype(np.float32))
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.35, least_overlap: float = 0.6, least_answer: float = 0.34, rank: int = 128, block_items: int = 20000, block_bytes: int = 32 << 20) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.35, least_overlap: float = 0.6, least_answer: float = 0.34, rank: int = 96, block_items: int = 20000, block_bytes: int = 32 << 20) -> DataFrame:
     """Rows of HITS: each text and benchmark item it holds, verbatim or paraphrased, with the words [start, end) around it.
 
     Document frequencies are over all docs. The items' TF-IDF matrix is factorised; every window of every text is folded in
