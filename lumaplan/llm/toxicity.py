@@ -148,7 +148,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8000, bi
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, *keep: str, reject: float = 0.2) -> DataFrame:
-    """doc_id, grade (most likely), severity (expected grade), p_toxic (P(grade >= 1)), toxic (p_toxic >= reject) and the columns
+    """doc_id, grade (most likely), severity (expected grade), p_toxic (P(grade >= 1)), toxic (p_toxic >= reject, and some
+    word speaks for it) and the columns
     named in keep; those come under names of their own choice, so a clash with the five is the caller's to avoid.
 
     Null or empty text, or one without words: score 0, which the fitted cuts grade. Null doc_id: kept as null. Repeated
@@ -158,9 +159,10 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *keep: str, reject: flo
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            p = model.grade_probabilities(model.scores(*text_buffer(rb.column("text"))))
+            scores = model.scores(*text_buffer(rb.column("text")))
+            p = model.grade_probabilities(scores)
             p0 = 1 - p[:, 0]
-            out = [rb.column("doc_id"), pa.array(p.argmax(1).astype(np.int32)), pa.array((p * np.arange(p.shape[1])).sum(1)), pa.array(p0), pa.array(p0 >= reject)]
+            out = [rb.column("doc_id"), pa.array(p.argmax(1).astype(np.int32)), pa.array((p * np.arange(p.shape[1])).sum(1)), pa.array(p0), pa.array((p0 >= reject) & (scores > 0))]
             yield pa.RecordBatch.from_arrays([*out, *(rb.column(c) for c in keep)], names=["doc_id", "grade", "severity", "p_toxic", "toxic", *keep])
 
     return docs.select(F.col("doc_id").cast("long"), "text", *(c for c in keep if c != "text")).mapInArrow(score, schema)
