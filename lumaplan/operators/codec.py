@@ -163,14 +163,11 @@ _PART = f"stream_id long, frame_index long, keyframe boolean, plane int, slice_i
 PLANES = f"stream_id long, frame_index long, keyframe boolean, plane int, role string, width int, height int, bytes_per_sample int, data binary, status {STATUS}"
 
 
-def decode(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, regular: bool = True) -> DataFrame:
-    """Rows of PLANES: every plane of every frame. packets: stream_id, frame_index, payload.
+_GROUP = ("stream_id", "gop", "raster_x", "raster_y", "raster_w", "raster_h")
 
-    regular: keyframes come every keyframe_interval frames, as the encoder writes them. Otherwise groups start at each
-    keyframe that the packets hold, found by a window over ids alone. A damaged frame gives one row with null plane and the
-    status of its first fault; frames that need it fail too. Streams that streams does not name: no rows.
-    """
-    found, part, whole = _arrow(_FOUND), _arrow(_PART), _arrow(PLANES)
+
+def _split(verify_crc: bool):
+    found = _arrow(_FOUND)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -184,22 +181,74 @@ def decode(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, regu
                     rows = [(r["stream_id"], r["frame_index"], None, None, None, None, None, None, None, *tail, e.at(frame_index=r["frame_index"]).status())]
                 yield _batch(rows, found)
 
+    return split
+
+
+def _found_slices(packets: DataFrame, streams: DataFrame, verify_crc: bool, regular: bool) -> DataFrame:
+    """A row a slice with the group of pictures it is in, or a row with a fault for a frame that does not parse."""
+    slices = packets.select("stream_id", "frame_index", "payload").join(streams, "stream_id").mapInArrow(_split(verify_crc), _FOUND)
+    if regular:
+        return slices.withColumn("gop", F.floor(F.col("frame_index") / F.col("keyframe_interval")).cast("long"))
+    keys = inspect(packets, streams, False).select("stream_id", "frame_index", F.coalesce("keyframe", F.lit(False)).cast("long").alias("k"))
+    keys = keys.select("stream_id", "frame_index", F.sum("k").over(Window.partitionBy("stream_id").orderBy("frame_index")).alias("gop"))
+    return slices.join(keys, ["stream_id", "frame_index"])
+
+
+def _decoded(rows: list[dict], observe: list | None = None) -> Iterator[tuple]:
+    """row, configuration, planes (None: failed) and status of each slice of one group, in order of frames; observe holds the
+    current slice's samples."""
+    state, before = None, None
+    for r in sorted(rows, key=lambda r: r["frame_index"]):
+        c = config_of(r["record"], r["width"], r["height"])
+        if observe is not None:
+            observe.clear()
+        try:
+            if not r["keyframe"] and (state is None or before != r["frame_index"] - 1):
+                raise CodecError(2, "the frame before, which this one needs, is missing")
+            parts, state = decode_one(c, _reparsed(c, r), None if r["keyframe"] else state, observe)
+            before = r["frame_index"]
+            yield r, c, parts, ok_status()
+        except CodecError as e:
+            before = None
+            yield r, c, None, e.at(frame_index=r["frame_index"], slice_index=r["slice_index"]).status()
+
+
+TRACE = "stream_id long, frame_index long, slice_index int, plane int, y int, x int, context int, diff int, place_before long, place_after long"
+
+
+def trace(packets: DataFrame, streams: DataFrame, regular: bool = True) -> DataFrame:
+    """Rows of TRACE: what the decoder reads for each sample, y and x inside the slice; places are bits (Golomb-Rice) or bytes
+    (range coder) into the slice's content or slice. Slices that fail give no rows."""
+    arrow = _arrow(TRACE)
+
+    def run(t: pa.Table) -> pa.Table:
+        seen: list = []
+        batches = [_batch([], arrow)]
+        for r, _, parts, _ in _decoded(t.to_pylist(), seen):
+            if parts is not None:
+                batches.append(_batch([(r["stream_id"], r["frame_index"], r["slice_index"], *s) for s in seen], arrow))
+        return pa.Table.from_batches(batches)
+
+    return _found_slices(packets, streams, True, regular).where("status.code = 0").groupBy(*_GROUP).applyInArrow(run, TRACE)
+
+
+def decode(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, regular: bool = True) -> DataFrame:
+    """Rows of PLANES: every plane of every frame. packets: stream_id, frame_index, payload.
+
+    regular: keyframes come every keyframe_interval frames, as the encoder writes them. Otherwise groups start at each
+    keyframe that the packets hold, found by a window over ids alone. A damaged frame gives one row with null plane and the
+    status of its first fault; frames that need it fail too. Streams that streams does not name: no rows.
+    """
+    part, whole = _arrow(_PART), _arrow(PLANES)
+
     def decode_group(t: pa.Table) -> pa.Table:
-        rows, state, out = sorted(t.to_pylist(), key=lambda r: r["frame_index"]), None, []
-        before = None
-        for r in rows:
-            try:
-                c = config_of(r["record"], r["width"], r["height"])
-                if not r["keyframe"] and (state is None or before != r["frame_index"] - 1):
-                    raise CodecError(2, "the frame before, which this one needs, is missing")
-                parts, state = decode_one(c, _reparsed(c, r), None if r["keyframe"] else state)
-                before = r["frame_index"]
-                for p, a in enumerate(parts):
-                    x, y, w, h = c.cell(p, r["raster_x"], r["raster_y"], r["raster_w"], r["raster_h"])
-                    out.append((r["stream_id"], r["frame_index"], r["keyframe"], p, r["slice_index"], x, y, w, h, a.astype("u1" if c.sample_bytes == 1 else "<u2").tobytes(), ok_status()))
-            except CodecError as e:
-                before = None
-                out.append((r["stream_id"], r["frame_index"], r["keyframe"], None, r["slice_index"], None, None, None, None, None, e.at(frame_index=r["frame_index"], slice_index=r["slice_index"]).status()))
+        out = []
+        for r, c, parts, status in _decoded(t.to_pylist()):
+            for p, a in enumerate(parts or []):
+                x, y, w, h = c.cell(p, r["raster_x"], r["raster_y"], r["raster_w"], r["raster_h"])
+                out.append((r["stream_id"], r["frame_index"], r["keyframe"], p, r["slice_index"], x, y, w, h, a.astype("u1" if c.sample_bytes == 1 else "<u2").tobytes(), status))
+            if parts is None:
+                out.append((r["stream_id"], r["frame_index"], r["keyframe"], None, r["slice_index"], None, None, None, None, None, status))
         return pa.Table.from_batches([_batch(out, part)])
 
     def paste(t: pa.Table) -> pa.Table:
@@ -220,14 +269,8 @@ def decode(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, regu
             out.append((first["stream_id"], first["frame_index"], first["keyframe"], p, c.role(p), w, h, c.sample_bytes, a.tobytes(), ok_status()))
         return pa.Table.from_batches([_batch(out, whole)])
 
-    slices = packets.select("stream_id", "frame_index", "payload").join(streams, "stream_id").mapInArrow(split, _FOUND)
-    if regular:
-        slices = slices.withColumn("gop", F.floor(F.col("frame_index") / F.col("keyframe_interval")).cast("long"))
-    else:
-        keys = inspect(packets, streams, False).select("stream_id", "frame_index", F.coalesce("keyframe", F.lit(False)).cast("long").alias("k"))
-        keys = keys.select("stream_id", "frame_index", F.sum("k").over(Window.partitionBy("stream_id").orderBy("frame_index")).alias("gop"))
-        slices = slices.join(keys, ["stream_id", "frame_index"])
-    good = slices.where("status.code = 0").groupBy("stream_id", "gop", "raster_x", "raster_y", "raster_w", "raster_h").applyInArrow(decode_group, _PART)
+    slices = _found_slices(packets, streams, verify_crc, regular)
+    good = slices.where("status.code = 0").groupBy(*_GROUP).applyInArrow(decode_group, _PART)
     none = [F.lit(None).cast("int").alias(k) for k in ("x", "y", "w", "h")]
     bad = slices.where("status.code <> 0").select("stream_id", "frame_index", "keyframe", F.lit(None).cast("int").alias("plane"), "slice_index", *none, F.lit(None).cast("binary").alias("data"), "status")
     parts = good.unionByName(bad).join(streams.select("stream_id", "record", "width", "height"), "stream_id")
@@ -301,4 +344,4 @@ def unpacked(planes: DataFrame) -> DataFrame:
     return rows.select("stream_id", "frame_index", "plane", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), v.alias("v"))
 
 
-__all__ = ["Header", "bootstrap_frames", "check_planes", "configure", "decode", "encode", "inspect", "locate", "parse_records", "unpacked"]
+__all__ = ["Header", "bootstrap_frames", "check_planes", "configure", "decode", "encode", "inspect", "locate", "parse_records", "trace", "unpacked"]

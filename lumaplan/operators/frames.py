@@ -166,11 +166,15 @@ def slice_candidates(c: StreamConfig, s: Slice) -> list[tuple[int, bool]]:
     return exact + (loose[::-1] if c.extra and c.num_h * c.num_v > 1 else loose)
 
 
-def decode_one(c: StreamConfig, s: Slice, state: Entropy | None) -> tuple[list[np.ndarray], Entropy]:
+def decode_one(c: StreamConfig, s: Slice, state: Entropy | None, observe: list | None = None) -> tuple[list[np.ndarray], Entropy]:
     fault = None
     for start, trailing in slice_candidates(c, s):
+        seen = None if observe is None else []
         try:
-            return decode_slice(c, s, state, start, trailing)
+            out = decode_slice(c, s, state, start, trailing, seen)
+            if observe is not None:
+                observe += seen
+            return out
         except CodecError as e:
             fault = fault or e
     raise fault.at(slice_index=s.index, byte_offset=s.content)

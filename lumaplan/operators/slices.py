@@ -378,9 +378,22 @@ class _Golomb:
         return read
 
 
-def decode_slice(c: StreamConfig, s: Slice, state: Entropy | None, content: int | None = None, trailing: bool = False) -> tuple[list[np.ndarray], Entropy]:
+def _observed(read, source, plane: int, y: int, observe: list):
+    place = (lambda: source.r.at) if isinstance(source, _Range) else (lambda: source.b.at)
+
+    def reader(x: int, width: int, k: int) -> int:
+        before = place()
+        d = read(x, width, k)
+        observe.append((plane, y, x, k, d, before, place()))
+        return d
+
+    return reader
+
+
+def decode_slice(c: StreamConfig, s: Slice, state: Entropy | None, content: int | None = None, trailing: bool = False, observe: list | None = None) -> tuple[list[np.ndarray], Entropy]:
     """The slice's planes and the state for the next frame. content: another start of Golomb-Rice content than s has. trailing:
-    bytes may follow the content."""
+    bytes may follow the content. observe: gets plane, y, x, context, difference and the coder's place before and after (bits for
+    Golomb-Rice, bytes for range coding) of each sample."""
     sets, bank, qset = banks_of(c, s.header)
     state = Entropy.fresh(c, sets) if state is None else state.copy()
     if not state.fits(c, sets):
@@ -412,6 +425,8 @@ def decode_slice(c: StreamConfig, s: Slice, state: Entropy | None, content: int
         row = [0] * widths[p]
         edge = border(c, p)
         read = source.row(state.banks[bank[p]], bits[p], runs[0 if c.colorspace == RGB else p])
+        if observe is not None:
+            read = _observed(read, source, p, y, observe)
         _decode_row(read, c.quant_sets[qset[p]], row, up if y else [edge] * widths[p], upper, edge, bits[p], c.signed_prediction)
         done[p][y] = row
         lines[p] = row, up

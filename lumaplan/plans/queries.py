@@ -334,6 +334,12 @@ def located_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("frame_index", "s.slice_index", "s.raster_x", "s.raster_y", "s.x", "s.y", "s.w", "s.h", ((F.col("s.footer_offset") + 8 == nxt) & (F.col("s.payload_offset") + F.col("s.slice_size") == F.col("s.footer_offset"))).alias("linked"))
 
 
+@query(f"SELECT frame_index, slice_index, y, x, 0 AS context, diff FROM ({_residual_sql(_SLICED.replace('sy * 4', 'sy * 2').replace('x // 16', 'x // 32').replace('sx * 16', 'sx * 32'), 8, 'stream_id, frame_index, plane, slice_index', '32')})")
+def decoder_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the decoder reads is what the window expressions say the encoder wrote."""
+    return codec.trace(*_packets(spark, sf_dir)).select("frame_index", "slice_index", "y", "x", "context", "diff")
+
+
 _RECORDS = [(i, StreamConfig(64 + i, 20 + i, 1 + i % 16, i % 2, True, i % 3 == 0, 0, 0, 1 + i % 4, 1 + i % 3, (RANGE, GOLOMB)[i % 4 // 2], i % 5 == 0)) for i in range(48)]
 
 
