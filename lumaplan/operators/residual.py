@@ -16,8 +16,8 @@ def residuals(samples: DataFrame, bits: int, partition: Sequence[str] = PLANE, s
     """samples with left, top, top_left, top_right, far_left, top_top, pred, context, invert and diff.
 
     partition names the columns of a coding rectangle (a plane, or a slice of it), inside which y and x count from 0 and every
-    place has one sample. One shuffle by it: rows above are found by collecting each row of samples once and looking back two
-    rows, so the window moves rows of samples and not single ones.
+    place has one sample. Samples are collected into rows (merged before the shuffle where a row's samples come together), and
+    rows are shuffled by rectangle; the window looks back two rows, so it moves rows of samples and not single ones.
     """
     keys = list(partition)
     other = [c for c in samples.columns if c not in {*keys, "y", "x", "v"}]
