@@ -153,7 +153,13 @@ def _put(folder: str, name: str, table: pa.Table, batch_rows: int) -> str:
     with fs.open_output_stream(part) as sink, ipc.new_file(sink, table.schema) as out:
         for batch in table.to_batches(max_chunksize=batch_rows):
             out.write_batch(batch)
-    fs.move(part, f"{path}/{name}")
+    try:
+        fs.move(part, f"{path}/{name}")
+    except OSError:
+        # Some stores do not replace files: the same task may have left the same file before.
+        if fs.get_file_info(f"{path}/{name}").type != pafs.FileType.File:
+            raise
+        fs.delete_file(part)
     return f"{folder}/{name}"
 
 
