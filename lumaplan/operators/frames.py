@@ -61,9 +61,11 @@ def bootstrap_result(config: StreamConfig | None, payload: bytes, width: int, he
 
 
 def _legacy_slice(c: StreamConfig, payload: bytes) -> Frame:
-    """The one slice of a frame of version 0 or 1."""
-    if c.num_h != 1 or c.num_v != 1:
-        raise CodecError(UNSUPPORTED, "legacy frames of several slices are not supported")
+    """The slices of a frame of version 0 or 1: one, or, if the caller has set a grid, as many headers one after another as cover
+    the frame. The content of each of these starts where its header ends, with a coder of its own."""
+    many = c.num_h != 1 or c.num_v != 1
+    if many and c.entropy == GOLOMB:
+        raise CodecError(UNSUPPORTED, "legacy Golomb-Rice frames have one slice")
     whole = Header(0, 0, 1, 1, (0,) * c.slots)
     held = None
     try:
@@ -74,6 +76,15 @@ def _legacy_slice(c: StreamConfig, payload: bytes) -> Frame:
     if c.entropy == RANGE:
         r = RangeDecoder(payload)
         key = bool(r.bit(bytearray([START]), 0))
+        if many:
+            if held:
+                r.resume(held.after_parameters)
+            slices: list[Slice] = []
+            while sum(s.header.w * s.header.h for s in slices) < c.num_h * c.num_v:
+                h = read_header(r, c)
+                slices.append(Slice(len(slices), payload, 0, r.at, len(payload), 0, h))
+            check_coverage(c, slices)
+            return Frame(key, slices)
         at, arithmetic = (held.content, held.after_parameters) if held else (r.at, r.state())
         return Frame(key, [Slice(0, payload, 0, at, len(payload), 0, whole, arithmetic=arithmetic)])
     if held:

@@ -97,6 +97,33 @@ class RangeDecoder:
         self.range, self.low, self.at, self.ended = state
 
 
+class OldRangeDecoder(RangeDecoder):
+    """The arithmetic of the oldest streams: the share of a one is rounded up, and what both shares were rounded by is put back
+    into low after a one."""
+
+    def bit(self, states: bytearray, i: int) -> int:
+        s = states[i]
+        product = self.range * s
+        up = product + 255 >> 8
+        carry = (product + 255 & 255 != 0) + (self.range * (256 - s) & 255 != 0)
+        rest = self.range - up
+        b = int(self.low >= rest)
+        if b:
+            self.low -= rest
+        self.range = up if b else rest
+        states[i] = (self.one if b else self.zero)[s]
+        if self.range < 256:
+            self.range <<= 8
+            self.low <<= 8
+            if not self.ended:
+                if self.at < len(self.data):
+                    self.low += self.data[self.at]
+                    self.at += 1
+                self.ended = self.at >= len(self.data)
+        self.low += carry if b else 0
+        return b
+
+
 class RangeEncoder:
     """Keeps the last two bytes of the lower bound as a number; a carry runs back into the bytes before."""
 

@@ -399,8 +399,10 @@ def decode_slice(c: StreamConfig, s: Slice, state: Entropy | None, content: int
     if not state.fits(c, sets):
         raise CodecError(INVALID_STATE, "the state is of another layout")
     if c.entropy == RANGE:
-        r = RangeDecoder(s.payload[: s.footer - s.offset], c.transitions)
-        r.resume(s.arithmetic)
+        own = s.arithmetic is None
+        r = RangeDecoder(s.payload[s.content - s.offset if own else 0 : s.footer - s.offset], c.transitions)
+        if not own:
+            r.resume(s.arithmetic)
         r.zero_symbol_carry = c.version <= 1 and c.colorspace == YCBCR
         source = _Range(r)
     else:

@@ -9,8 +9,8 @@ from lumaplan.operators.bits import BitReader, BitWriter, WindowedBitReader, crc
 from lumaplan.operators.errors import CRC_MISMATCH, INVALID_ARGUMENT, INVALID_STATE, SYNTAX, UNSUPPORTED, CodecError
 from lumaplan.operators.frames import bootstrap_result, decode_frame, encode_frame, parse_frame, same_stream
 from lumaplan.operators.golomb import Adaptive, Runs, read_code, write_code
-from lumaplan.operators.range_coder import DEFAULT_TRANSITIONS, RangeDecoder, RangeEncoder, fresh_states
-from lumaplan.operators.slices import Entropy, Header, Slice, banks_of, border, check_coverage, coded_planes, neighbours, plain_planes, residuals, row_order, with_footer
+from lumaplan.operators.range_coder import DEFAULT_TRANSITIONS, OldRangeDecoder, RangeDecoder, RangeEncoder, fresh_states
+from lumaplan.operators.slices import Entropy, Header, Slice, banks_of, border, check_coverage, coded_planes, neighbours, plain_planes, residuals, row_order, with_footer, write_header
 from lumaplan.operators.stream import GOLOMB, RANGE, RGB, QuantSet, StreamConfig, encoder_profile, grid, quant_set, read_record, subsampled, write_parameters, write_record
 
 
@@ -292,3 +292,30 @@ def test_legacy_frames(version, entropy, colorspace, embed):
         assert bootstrap_result(c, data, 11, 6)[0] == "matches"
         other = StreamConfig(11, 6, 8, 0, False, version=version, micro=0, entropy=GOLOMB if entropy == RANGE else RANGE, intra=False)
         assert bootstrap_result(other, data, 11, 6)[0] == "differs"
+
+
+def test_legacy_grid_headers():
+    c = StreamConfig(12, 8, num_h=2, num_v=2, version=1, micro=0, intra=False)
+    headers = [Header(0, 0, 2, 1, (0, 0)), Header(0, 1, 1, 1, (0, 0)), Header(1, 1, 1, 1, (0, 0))]
+    w = RangeEncoder()
+    w.bit(bytearray([128]), 0, 1)
+    for h in headers:
+        write_header(w, c, h)
+    frame = parse_frame(c, w.closed() + bytes(8))
+    assert frame.keyframe and [s.header for s in frame.slices] == headers
+    assert [s.content for s in frame.slices] == sorted(s.content for s in frame.slices)
+    fails(UNSUPPORTED, parse_frame, StreamConfig(12, 8, num_h=2, version=0, micro=0, entropy=GOLOMB), b"\x80\0\0")
+    w = RangeEncoder()
+    w.bit(bytearray([128]), 0, 1)
+    for h in (headers[0], headers[0]):
+        write_header(w, c, h)
+    fails(SYNTAX, parse_frame, c, w.closed() + bytes(8))
+
+
+def test_old_arithmetic_by_hand():
+    # State 128 of range 0xff00: both shares are exact, so the old coder reads as the new one.
+    assert OldRangeDecoder(b"\x7f\x80").bit(bytearray([128]), 0) == RangeDecoder(b"\x7f\x80").bit(bytearray([128]), 0) == 1
+    d = OldRangeDecoder(b"\xfe\xff\x00")
+    d.range = 0xFF01
+    # 0xff01 * 100 / 256 = 25500.39, rounded up 25501; the rest is 39780; both shares were rounded, so low gains 2.
+    assert d.bit(bytearray([100]), 0) == 1 and d.range == 25501 and d.low == 0xFEFF - 39780 + 2
