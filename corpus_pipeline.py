@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumaplan.llm.common import NULL_ID, fresh_dir, table
+from lumaplan.llm.common import NULL_ID, fresh_dir, table, text_hash
 from lumaplan.llm.decontaminate import decontaminate
 from lumaplan.llm.minhash_dart import near_duplicates
 from lumaplan.llm.mixing import mix_sources, queue_place
@@ -18,7 +18,7 @@ from lumaplan.llm.toxicity import score_toxicity, train_toxicity
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_th": text_hash(F.coalesce(F.col("text"), F.lit("")))})
 
 
 def _key_of(decisions: DataFrame) -> DataFrame:

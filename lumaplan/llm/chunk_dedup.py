@@ -78,7 +78,7 @@ def chunk_dedup(docs: DataFrame, least: int = 32, mean_bits: int = 6, most: int
                 x["k2"] = span_hashes(part ^ np.uint8(0x5A), s, e) * C3
                 x["doc"], x["th"], x["low"], x["high"] = ids[lo:hi][t], th[lo:hi][t], s - o[t], e - o[t] - 1
                 parts.append(x[(e - s >= least) | (s - o[t] == 0) & (e == o[t + 1])])
-            yield to_buckets(parts, buckets)
+            yield to_buckets(parts, buckets, True)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:

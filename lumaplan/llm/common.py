@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id in sort orders and hashes: nulls come before every other id.
@@ -44,10 +44,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(2**32 - 1))
+
+
 def keyed(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id (null: NULL_ID), th (hash of the text, tells rows of one id apart), text (null: empty) and the named columns."""
+    """doc_id (null: NULL_ID), th (32 bits of a hash of the text, tell rows of one id apart), text (null: empty) and the named columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), *extra)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_hash(text).alias("th"), text.alias("text"), *extra)
 
 
 def real_id(name: str = "doc_id"):
