@@ -52,7 +52,7 @@ def cut_points(flat: np.ndarray, offsets: np.ndarray, least: int, mean_bits: int
     return np.array(starts, np.int64), np.array(ends, np.int64), np.array(text, np.int64)
 
 
-def chunk_dedup(docs: DataFrame, least: int = 32, mean_bits: int = 6, most: int = 512, keep_bytes: bool = True) -> DataFrame:
+def chunk_dedup(docs: DataFrame, least: int = 32, mean_bits: int = 5, most: int = 512, keep_bytes: bool = True) -> DataFrame:
     """Removes each chunk whose bytes are also a chunk earlier (smaller doc_id, or same text and earlier start). Chunks of
     fewer than `least` bytes (tails of texts) are kept unless the whole text is one chunk. Two 64-bit digests of each
     chunk are compared.

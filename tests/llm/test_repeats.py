@@ -56,7 +56,7 @@ def test_chunk_dedup_is_the_rule(spark):
     docs, pieces = [(d, i, t.encode()) for d, i, t in table()], {}
     seen = defaultdict(list)
     for d, i, t in docs:
-        s, e, _ = cut_points(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 32, 6, 512)
+        s, e, _ = cut_points(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 32, 5, 512)
         assert b"".join(t[a:b] for a, b in zip(s, e)) == t
         assert all(32 <= b - a <= 512 or b == len(t) for a, b in zip(s, e))
         pieces[i] = [(int(a), int(b)) for a, b in zip(s, e)]
@@ -76,7 +76,7 @@ def test_chunk_dedup_is_the_rule(spark):
 
 def test_chunks_survive_insertions():
     text = bytes(range(32, 127)) * 3 + bytes(i * 37 % 251 for i in range(20000))
-    chunks = lambda t: {t[a:b] for a, b in zip(*cut_points(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 32, 6, 512)[:2])}
+    chunks = lambda t: {t[a:b] for a, b in zip(*cut_points(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 32, 5, 512)[:2])}
     a, b = chunks(text), chunks(text[:5000] + b"inserted" + text[5000:])
     assert len(b - a) <= 6
 
