@@ -40,7 +40,7 @@ def fill_targets(sizes: list[int], weights: list[float], budget: float, most: fl
     return targets
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_share: float = 1.5, most: int = 2, seed: int = 1, rows_a_bucket: int = 20000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_share: float = 1.5, most: int = 2, seed: int = 1, rows_a_bucket: int = 2000) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and row_hash of each row of docs.
 
     Each source queues its documents in a hashed order, again and again, at most `most` times. A copy's virtual finish time
