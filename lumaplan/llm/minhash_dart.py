@@ -130,11 +130,11 @@ def signed(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(sign, SIGNED)
 
 
-def star_pairs(node: np.ndarray, sig: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs of a bucket that may be similar, without those that other pairs make needless: the member nearest to the
+def star_pairs(node: np.ndarray, sig: np.ndarray, least: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs of a bucket that may be similar, without those that other pairs may make needless: the member nearest to the
     bucket's commonest values is the first centre and is paired with all that agree with it; each member that no centre
-    reached is a centre in turn and is paired with everything that agrees with it. So any two members that agree are
-    paired, or both are paired to a common centre."""
+    reached is a centre in turn and is paired with everything that agrees with it. Also the members that are no centres:
+    two of these that agree are not paired, which is right only if checked links join them (see rest_links())."""
     n = len(node)
     agree = lambda i: (sig == sig[i]).mean(1)
     mode = np.zeros(sig.shape[1], sig.dtype)
@@ -142,15 +142,48 @@ def star_pairs(node: np.ndarray, sig: np.ndarray, least: float) -> list[tuple[in
         v, k = np.unique(sig[:, c], return_counts=True)
         mode[c] = v[k.argmax()]
     order = np.lexsort((node, -(sig == mode).sum(1)))
-    reached = np.zeros(n, bool)
+    reached, centre = np.zeros(n, bool), np.zeros(n, bool)
     out = []
     for i in order.tolist():
         if reached[i]:
             continue
         near = np.flatnonzero(agree(i) >= least)
         reached[near] = True
-        reached[i] = True
+        reached[i] = centre[i] = True
         out += [(int(node[i]), int(node[j])) for j in near.tolist() if j != i]
+    return out, node[~centre]
+
+
+def rest_links(node: np.ndarray, root: np.ndarray, sig: np.ndarray, own: np.ndarray, texts: pa.Array, band: int, least: float, threshold: float, words: int) -> list[tuple[int, int, float, int, int]]:
+    """(a, b, similarity, root of a, root of b) of links between members of a bucket whose roots differ. Each two members that
+    agree are compared exactly, unless links found here join them before, or a band before this one has both. Members of
+    two blocks (own differs): only pairs across."""
+    flat, off = text_buffer(texts)
+    owner, h, count = counted(*shingles(flat, off, words)[:2])
+    n = len(node)
+    total, at = np.bincount(owner, count, n), np.searchsorted(owner, np.arange(n + 1))
+    ids = np.unique(h, return_inverse=True)[1]
+    here, label = np.zeros(len(h) and int(ids.max()) + 1, np.int64), np.unique(root, return_inverse=True)[1]
+    across, out = own.min() != own.max(), []
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        j = j[(label[j] != label[i]) & (np.minimum(total[j], total[i]) >= threshold * np.maximum(total[j], total[i]))]
+        if across:
+            j = j[own[j] != own[i]]
+        same = sig[j] == sig[i]
+        j = j[(same.mean(1) >= least) & (same.reshape(len(j), BANDS, ROWS).all(2).argmax(1) == band)]
+        if not len(j):
+            continue
+        mine = slice(at[i], at[i + 1])
+        here[ids[mine]] = count[mine]
+        sizes = at[j + 1] - at[j]
+        e = ragged(at[j], sizes)
+        shared = np.bincount(np.repeat(np.arange(len(j)), sizes), np.minimum(here[ids[e]], count[e]), len(j))
+        here[ids[mine]] = 0
+        s = shared / np.maximum(total[i] + total[j] - shared, 1)
+        for k, v in zip(j[s >= threshold].tolist(), s[s >= threshold].tolist(), strict=True):
+            out.append((int(node[i]), int(node[k]), v, int(root[i]), int(root[k])))
+            label[label == label[k]] = label[i]
     return out
 
 
@@ -181,6 +214,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, blo
     weighted Jaccard similarity of at least threshold. Texts with equal sequences of words (split at ASCII white space) are
     one class. A pair at the threshold shares a band with probability over 0.999 (16 bands of 4 coordinates).
 
+    First the members of each bucket are checked against its centres. Members of one bucket that this leaves in different
+    components meet again, with their texts, and are checked among themselves.
+
     Null and empty texts and texts of white space: have no words and form one class together. Null doc_id: before all
     others; class_id null where the least id is null. Repeated rows: same class. Empty table: no rows. Other columns are
     not read.
@@ -200,13 +236,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, blo
     met = members.withColumn("own", own).withColumn("other", other)
     met = met.select("node", "sig", "band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
+    least = threshold - 0.18
+
     def pairs(t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(node), -1)
-        found = star_pairs(node, sig, threshold - 0.18)
-        return pa.table([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
+        found, rest = star_pairs(node, sig, least)
+        rest = rest.tolist() if len(rest) > 1 else []
+        band, key, x, y = (t.column(c)[0].as_py() for c in ("band", "key", "x", "y"))
+        a, b = [min(p) for p in found] + rest, [max(p) for p in found] + [None] * len(rest)
+        of = [[None] * len(found) + [v] * len(rest) for v in (band, key, x, y)]
+        return pa.table([pa.array(v, k) for v, k in zip([a, b, *of], [pa.int64()] * 2 + [pa.int32(), pa.int64()] + [pa.int32()] * 2, strict=True)], names=["a", "b", "band", "key", "x", "y"])
 
-    close = written(met.groupBy("band", "key", "x", "y").applyInArrow(pairs, "a long, b long").distinct(), "close")
+    # Pairs to check, and (b null) the members of each bucket that are no centres.
+    stars = written(met.groupBy("band", "key", "x", "y").applyInArrow(pairs, "a long, b long, band int, key long, x int, y int"), "stars")
+    close = written(stars.where("b is not null").select("a", "b").distinct(), "close")
 
     wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
     wanted = wanted.join(nodes.select("node", "doc_id", "th"), "node")
@@ -221,6 +265,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, blo
 
     links = written(close.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long, similarity double").where(F.col("similarity") >= threshold), "linked")
     roots = written(components(links, "a", "b"), "roots")
+
+    rest = stars.where("b is null").select("band", "key", "x", "y", F.col("a").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rest.groupBy("band", "key", "x", "y").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rest = rest.join(apart.select("band", "key", "x", "y", "members"), ["band", "key", "x", "y"])
+    # As above, in smaller blocks, as texts come along.
+    parts = F.ceil(F.col("members") / min(block, 512)).cast("int")
+    rest = rest.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rest = rest.withColumns({"v": F.least("own", "other"), "w": F.greatest("own", "other")}).drop("other", "members")
+    rest = rest.join(nodes.select("node", "sig"), "node").join(texts, "node")
+
+    def check_rest(t: pa.Table) -> pa.Table:
+        node, root, own = (t.column(c).to_numpy() for c in ("node", "root", "own"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(node), -1)
+        found = rest_links(node, root, sig, own, t.column("text"), t.column("band")[0].as_py(), least, threshold, words)
+        cols = list(zip(*found, strict=True)) or [[]] * 5
+        a, b = [min(p) for p in zip(cols[0], cols[1], strict=True)], [max(p) for p in zip(cols[0], cols[1], strict=True)]
+        return pa.table([pa.array(v, k) for v, k in zip([a, b, *cols[2:]], [pa.int64()] * 2 + [pa.float64()] + [pa.int64()] * 2, strict=True)], names=["a", "b", "similarity", "ra", "rb"])
+
+    more = rest.groupBy("band", "key", "x", "y", "v", "w").applyInArrow(check_rest, "a long, b long, similarity double, ra long, rb long")
+    more = written(more, "more")
+    if not more.isEmpty():
+        links = links.unionByName(more.select("a", "b", "similarity").dropDuplicates(["a", "b"]))
+        over = components(more, "ra", "rb").select(F.col("node").alias("was"), F.col("root").alias("now"))
+        roots = nodes.select("node").join(roots, "node", "left").withColumn("was", F.coalesce("root", "node")).join(over, "was", "left")
+        roots = written(roots.select("node", F.coalesce("now", "was").alias("root")), "roots")
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     info = nodes.select("node", "doc_id", "n").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = info.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))

@@ -84,6 +84,41 @@ def test_near_duplicates_of_a_large_group_in_blocks(spark):
     assert [root(i) for i in range(150)] == [r["class_id"] for r in sorted(got, key=lambda r: r["doc_id"])]
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_near_duplicates_of_a_family_whose_base_is_absent(spark, block):
+    rng = random.Random(11)
+    base, made = words(rng, 300), []
+
+    def edited(w, n):
+        w = list(w)
+        for i in rng.sample([i for i in range(6, 294, 6) if w[i] == base[i]], n):
+            w[i] = f"new{rng.random()}"
+        return w
+
+    for _ in range(60):
+        made.append(edited(base, 5))
+        half = edited(base, 2)
+        made += [edited(half, 3), edited(half, 3)]
+    rng.shuffle(made)
+    bags = [counts(" ".join(w)) for w in made]
+    parent = list(range(len(made)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(made)):
+        for j in range(i):
+            if jaccard(bags[i], bags[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    want = [root(i) for i in range(len(made))]
+    assert 60 <= len(set(want)) < 125
+    got = near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string"), block=block).collect()
+    assert want == [r["class_id"] for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     e = rng.integers(0, 2**63, 400).astype(np.uint64)
