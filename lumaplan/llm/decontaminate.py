@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaplan.llm.common import C3, chunks, keyed, mix, real_id, text_buffer, written
+from lumaplan.llm.runs import names_of
 from lumaplan.llm.toxicity import lower_words
 
 BITS = 17
+#: Words of a run by which texts are seen to hold a part of an item.
+RUN = 3
 HITS = "doc_id long, th long, item_id long, cosine double, overlap double, answer double, start long, end long"
 _HITS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("overlap", pa.float64()), ("answer", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -22,8 +25,18 @@ def features(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many texts each hashed word is, over all texts, and the number of texts. 2**BITS counters, whatever the input."""
+def word_runs(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A name of the RUN words from each place on; 0 where the text ends before."""
+    if not len(words):
+        return words
+    (name,) = names_of(words, RUN)
+    return np.where(np.arange(len(words)) + RUN <= np.repeat(at[1:], np.diff(at)), name | np.uint64(1), np.uint64(0))
+
+
+def document_frequency(docs: DataFrame, runs: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many texts each hashed word is outside the given runs (sorted names, those of benchmark items), over all texts,
+    and the number of texts: an item that many texts hold does not make its own words common. 2**BITS counters, whatever
+    the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BITS, np.int64), 0
@@ -32,7 +45,15 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
             n += len(off) - 1
             for lo, hi in chunks(off, 1 << 20):
                 words, at = lower_words(flat[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                both = np.sort(np.repeat(np.arange(hi - lo), np.diff(at)) << BITS | features(words))
+                both = np.repeat(np.arange(hi - lo), np.diff(at)) << BITS | features(words)
+                if len(runs) and len(words):
+                    name = word_runs(words, at)
+                    of_item = (name != 0) & (runs[np.minimum(np.searchsorted(runs, name), len(runs) - 1)] == name)
+                    inside = of_item.copy()
+                    for j in range(1, RUN):
+                        inside[j:] |= of_item[:-j]
+                    both = both[~inside]
+                both = np.sort(both)
                 new = np.ones(len(both), bool)
                 new[1:] = both[1:] != both[:-1]
                 total += np.bincount(both[new] & ((1 << BITS) - 1), minlength=1 << BITS)
@@ -244,7 +265,7 @@ def _block(items: DataFrame, idf: np.ndarray, rank: int) -> Items:
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.35, least_overlap: float = 0.6, least_answer: float = 0.34, rank: int = 96, block_items: int = 20000, block_bytes: int = 32 << 20) -> DataFrame:
     """Rows of HITS: each text and benchmark item it holds, verbatim or paraphrased, with the words [start, end) around it.
 
-    Document frequencies are over all docs. The items' TF-IDF matrix is factorised; every window of every text is folded in
+    Document frequencies are over all docs, without the words that lie in runs of three words of an item. The items' TF-IDF matrix is factorised; every window of every text is folded in
     and compared by cosine; candidates stay if a common subsequence of words has least_overlap of the item and
     least_answer of its rarest words are there. Items go in blocks of bounded number and bytes, each against all docs.
 
@@ -257,12 +278,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, least_cosine: float =
     if not size["n"]:
         return spark.createDataFrame([], HITS)
     blocks = max(-(-size["n"] // block_items), -(-size["bytes"] // block_bytes))
-    df, n = document_frequency(docs)
-    idf = np.log((n + 1) / (df + 1)) + 0.05
     out = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        block = _block(part, idf, rank)
+        runs = np.unique(word_runs(*lower_words(*text_buffer(part.select("text").toArrow().column("text")))))
+        df, n = document_frequency(docs, runs[runs != 0])
+        block = _block(part, np.log((n + 1) / (df + 1)) + 0.05, rank)
 
         def match(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             m = Matcher(block, least_cosine, least_overlap, least_answer)

@@ -278,3 +278,20 @@ def test_decontaminate(spark, docs):
     assert {r["doc_id"]: r["item_id"] for r in rows_ if r["contaminated"]} == want
     assert decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).where(F.col("contaminated")).count() == 0
     assert decontaminate(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_decontamination_of_a_passage_in_a_third_of_the_texts(spark):
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    items = [(i, " ".join(name() for _ in range(n))) for i, n in enumerate((34, 35, 36, 66, 20))]
+    made = []
+    for i in range(300):
+        w = [name() for _ in range(200)]
+        if i % 3 == 0:
+            at = rng.randrange(40, 160)
+            w[at:at] = items[0][1].split()
+        made.append((i, " ".join(w)))
+    made += [(1000, " ".join([name() for _ in range(90)] + items[3][1].split() + [name() for _ in range(90)]))]
+    docs, bench = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in decontaminate(docs, bench).collect() if r["contaminated"]}
+    assert got == {**{i: 0 for i in range(0, 300, 3)}, 1000: 3}
