@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumaplan.llm.common import BYTE_NAMES, C3, chunks, keyed, mix, real_id, span_hashes, text_buffer
+from lumaplan.llm.common import BYTE_NAMES, chunks, keyed, real_id, span_digests, text_buffer
 from lumaplan.llm.runs import BUCKETS, ENTRY, bucket_count, covered, settled, to_buckets, with_spans
 from pyspark.sql import functions as F
 
@@ -74,8 +74,7 @@ def chunk_dedup(docs: DataFrame, least: int = 32, mean_bits: int = 5, most: int
                 part, o = flat[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 s, e, t = cut_points(part, o, least, mean_bits, most)
                 x = np.empty(len(s), ENTRY)
-                x["k1"] = span_hashes(part, s, e)
-                x["k2"] = span_hashes(part ^ np.uint8(0x5A), s, e) * C3
+                x["k1"], x["k2"] = span_digests(part, s, e)
                 x["doc"], x["th"], x["low"], x["high"] = ids[lo:hi][t], th[lo:hi][t], s - o[t], e - o[t] - 1
                 parts.append(x[(e - s >= least) | (s - o[t] == 0) & (e == o[t + 1])])
             yield to_buckets(parts, buckets, True)

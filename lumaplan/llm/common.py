@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset on a local master
+    (tests). On a cluster there is no folder to fall back to, so an unset one is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='corpus-work-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -119,19 +124,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-_POWERS = np.ones(1, np.uint64)
+_KEYS = np.zeros(0, np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of an odd constant modulo 2**64."""
-    global _POWERS
-    while len(_POWERS) < n:
-        _POWERS = np.concatenate([_POWERS, _POWERS * (_POWERS[-1:] * C1)])
-    return _POWERS[:n]
+def position_keys(n: int) -> np.ndarray:
+    """An independent pseudo-random odd number for each of the first n places. Sums of names times these keys are a multilinear
+    hash: no structure of a text (as with powers of one number) makes them equal."""
+    global _KEYS
+    if len(_KEYS) < n:
+        size = 1 << max(10, (n - 1).bit_length())
+        _KEYS = mix(mix(np.arange(1, size + 1, dtype=np.uint64) * C1) + C2) | np.uint64(1)
+    return _KEYS[:n]
 
 
 def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each non-empty span [start, end) of flat; spans are in order and don't overlap."""
+    """A 64-bit hash of each non-empty span [start, end) of flat; spans are in order and don't overlap. For features, signatures
+    and looking up; where equal spans decide a result, bytes or span_digests() are compared."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
@@ -142,11 +150,19 @@ def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         idx = ragged(starts, lengths)
         at = idx - np.repeat(starts, lengths)
         value = BYTE_NAMES[flat[idx]]
-    value = value * powers(int(lengths.max()))[at]
+    value = value * position_keys(int(lengths.max()))[at]
     heads = np.cumsum(lengths) - lengths
     return mix(np.add.reduceat(value, heads) + lengths.astype(np.uint64) * C2)
 
 
+def span_digests(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit BLAKE2b digest of each span, as uint64."""
+    raw = flat.tobytes()
+    out = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    both = np.frombuffer(out, "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaplan.llm.common import C3, chunks, keyed, mix, real_id, text_buffer, written
-from lumaplan.llm.runs import names_of
+from lumaplan.llm.runs import name_of
 from lumaplan.llm.toxicity import lower_words
 
 BITS = 17
@@ -29,7 +29,7 @@ def word_runs(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A name of the RUN words from each place on; 0 where the text ends before."""
     if not len(words):
         return words
-    (name,) = names_of(words, RUN)
+    name = name_of(words, RUN)
     return np.where(np.arange(len(words)) + RUN <= np.repeat(at[1:], np.diff(at)), name | np.uint64(1), np.uint64(0))
 
 

@@ -9,11 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumaplan.llm.common import C2, keyed, mix, real_id, span_hashes, text_buffer
+from lumaplan.llm.common import keyed, real_id, span_digests, text_buffer
 from lumaplan.llm.runs import Units, covered, repeats, with_spans
 
 RESULT = "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string, kept_text string"
-_EMPTY_LINE = mix(np.array([C2]))[0]
 
 
 def line_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,16 +29,15 @@ def line_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def line_units(flat: np.ndarray, offsets: np.ndarray) -> Units:
     starts, ends, off = line_spans(flat, offsets)
-    names = np.full(len(starts), _EMPTY_LINE, np.uint64)
-    some = ends > starts
-    names[some] = span_hashes(flat, starts[some], ends[some])
-    return Units(names, off)
+    return Units(*span_digests(flat, starts, ends), off)
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 3, gram_lines: int = 2) -> DataFrame:
     """Deletes each line that lies in a run of min_lines lines which also starts earlier (smaller doc_id, or earlier in the
-    same text). Fingerprints are the smallest hash of gram_lines lines in each window of min_lines; matches at equal
-    fingerprints are extended both ways to maximal runs. Lines are compared byte for byte.
+    same text). Lines are named by 128-bit digests. The fingerprint of each window of min_lines lines is the least name of
+    gram_lines lines in it, so equal windows choose the same place. Places of one fingerprint are joined; a match is extended
+    both ways over all windows that hold the fingerprint: at once where all of these are equal, else window by window. The
+    union of the windows found is the maximal run.
 
     Null or empty text: no lines. Texts shorter than min_lines lines: kept. Null doc_id: before all other ids. Rows of one
     doc_id: neither is earlier. Empty table: no rows. Other columns are not read.

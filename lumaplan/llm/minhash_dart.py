@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaplan.llm.common import C1, C3, chunks, join2, keyed, mix, powers, ragged, real_id, span_hashes, text_buffer, word_spans, written
+from lumaplan.llm.common import C1, C3, chunks, join2, keyed, mix, ragged, real_id, span_hashes, text_buffer, word_spans, written
 from lumaplan.llm.components import components
-from lumaplan.llm.runs import names_of
+from lumaplan.llm.runs import name_of
 
 COORDINATES, ROWS = 64, 4
 BANDS = COORDINATES // ROWS
@@ -76,19 +77,20 @@ def dart_minhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n:
 
 
 def shingles(flat: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text index and hash of each run of `words` words (a text with fewer words has one shorter run), and a hash of each
-    text's whole sequence of words (0: no word)."""
+    """Text index and hash of each run of `words` words (a text with fewer words has one shorter run), and a name of each
+    text's whole sequence of words (0: no word), 64 bits of a BLAKE2b digest."""
     starts, ends, per = word_spans(flat, offsets)
     n = len(per)
     off = np.concatenate([[0], np.cumsum(per)])
     h = span_hashes(flat, starts, ends)
-    whole = np.zeros(n, np.uint64)
+    raw = flat.tobytes()
+    # bytes.split() splits where word_spans() does.
+    names = [hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=8).digest() if k else bytes(8) for a, b, k in zip(offsets[:-1].tolist(), offsets[1:].tolist(), per.tolist(), strict=True)]
+    whole = np.frombuffer(b"".join(names), "<u8").copy()
     some = per > 0
-    if some.any():
-        at = np.arange(len(h)) - np.repeat(off[:-1], per)
-        whole[some] = mix(np.add.reduceat(mix(h ^ C3) * powers(int(per.max()))[at], off[:-1][some]) + per[some].astype(np.uint64))
+    whole[some & (whole == 0)] = 1
     runs = np.where(per >= words, per - words + 1, 0)
-    (name,) = names_of(h, words) if len(h) else (h,)
+    name = name_of(h, words)
     owner = np.concatenate([np.repeat(np.arange(n), runs), np.flatnonzero(some & (runs == 0))])
     hashes = np.concatenate([name[ragged(off[:-1], runs)], whole[some & (runs == 0)]])
     return owner, hashes, whole

@@ -37,44 +37,60 @@ BUCKETS = "bucket int, entries binary, doc_id long, th long, spans binary"
 
 @dataclass(frozen=True)
 class Units:
-    """name_1 of all units of some texts, and len+1 offsets of the texts in them."""
+    """name_1 of all units of some texts, the same in a second family of names, and len+1 offsets of the texts in them. A place
+    counts as repeated only if its names in both families are equal: 128 bits."""
 
     names: np.ndarray
+    twins: np.ndarray
     offsets: np.ndarray
 
 
-def names_of(names: np.ndarray, *lengths: int) -> list[np.ndarray]:
-    """name_h for each length h by doubling; position p is meaningful only if p+h is still inside its text."""
-    doubled, h = {1: names}, 1
-    while 2 * h <= max(lengths):
-        x = doubled[h]
-        y = x.copy()
-        y[: len(x) - h] = join2(x[: len(x) - h], x[h:]) if len(x) > h else y[: len(x) - h]
-        doubled[2 * h] = y
-        h *= 2
-
-    def of(n: int) -> np.ndarray:
-        if n in doubled:
-            return doubled[n]
-        h = 1 << (n.bit_length() - 1)
-        x, shift = doubled[h], n - h
+#: Units of a long text that are named at a time.
+SEGMENT = 1 << 21
+
+
+def name_of(names: np.ndarray, length: int) -> np.ndarray:
+    """name_length by doubling; position p is meaningful only if p+length is still inside its text."""
+    x, h = names, 1
+    while 2 * h <= length:
         y = x.copy()
+        if len(x) > h:
+            y[: len(x) - h] = join2(x[: len(x) - h], x[h:])
+        x, h = y, 2 * h
+    if h < length:
+        y, shift = x.copy(), length - h
         if len(x) > shift:
-            y[: len(x) - shift] = join2(x[: len(x) - shift], x[shift:]) + np.uint64(n)
-        return y
-
-    return [of(n) for n in lengths]
+            y[: len(x) - shift] = join2(x[: len(x) - shift], x[shift:]) + np.uint64(length)
+        x = y
+    return x
+
+
+def window_names(names: np.ndarray, m: int) -> np.ndarray:
+    """name_m of every window of one text, segment by segment."""
+    n = max(0, len(names) - m + 1)
+    out = np.empty(n, np.uint64)
+    for s in range(0, n, SEGMENT):
+        e = min(n, s + SEGMENT)
+        out[s:e] = name_of(names[s : e + m - 1], m)[: e - s]
+    return out
 
 
 def chosen(u: Units, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """text index, low, high (offsets inside the text), name_k and surroundings' name of each chosen place."""
     n, w = len(u.names), m - k + 1
     lengths = np.diff(u.offsets)
+    if len(lengths) == 1 and n - m + 1 > SEGMENT:
+        parts = []
+        for s in range(0, n - m + 1, SEGMENT):
+            e = min(n, s + SEGMENT + m - 1)
+            t, low, high, *names = chosen(Units(u.names[s:e], u.twins[s:e], np.array([0, e - s])), k, m)
+            parts.append((t, low + s, high + s, *names))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     windows = np.maximum(lengths - m + 1, 0)
     if not windows.sum():
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
-    name_k, name_m = names_of(u.names, k, m)
+    name_k, name_m = name_of(u.names, k), name_of(u.twins, m)
     bits = np.uint64(max(1, int(n).bit_length()))
     order = mix(name_k) >> bits << bits | np.arange(n, dtype=np.uint64)
     low, h = order, 1
@@ -230,14 +246,14 @@ def repeats(docs: DataFrame, units_of: Callable[[np.ndarray, np.ndarray], Units]
             parts = []
             for i, (doc, th, asked) in enumerate(zip(rb.column("doc_id").to_pylist(), rb.column("th").to_pylist(), rb.column("asked").to_pylist(), strict=True)):
                 u = units_of(flat[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
-                (name_m,) = names_of(u.names, m)
+                name_m = window_names(u.twins, m)
                 s = np.concatenate([np.frombuffer(x, SPAN) for x in asked])
                 n = (s["high"] - s["low"] + 1).astype(np.int64)
                 at = ragged(s["low"].astype(np.int64), n)
                 e = np.empty(len(at), ENTRY)
                 e["k1"], e["k2"], e["doc"], e["th"], e["low"], e["high"] = np.repeat(s["key"], n), name_m[at], doc, th, at, at
                 parts.append(e)
-            yield to_buckets(parts, buckets, False)
+            yield to_buckets(parts, buckets, True)
 
     first = written(settled(docs.select("doc_id", "th", "text").mapInArrow(places, BUCKETS), True), "repeats")
     asked = first.where("ask").groupBy("doc_id", "th").agg(F.collect_list("spans").alias("asked"))

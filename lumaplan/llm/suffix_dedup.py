@@ -9,14 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumaplan.llm.common import BYTE_NAMES, keyed, real_id, text_buffer
+from lumaplan.llm.common import BYTE_NAMES, C2, keyed, mix, real_id, text_buffer
 from lumaplan.llm.runs import Units, covered, repeats, with_spans
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans array<struct<start:long,end:long>>, kept_bytes binary"
 
 
+_BYTE_TWINS = mix(BYTE_NAMES + C2)
+
+
 def byte_units(flat: np.ndarray, offsets: np.ndarray) -> Units:
-    return Units(BYTE_NAMES[flat], offsets)
+    return Units(BYTE_NAMES[flat], _BYTE_TWINS[flat], offsets)
 
 
 def suffix_dedup(docs: DataFrame, min_bytes: int = 100, sample_bytes: int = 32, keep_bytes: bool = True) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame
@@ -31,8 +33,10 @@ class PieceEncoder:
     """Encodes with the tokenizers library, each distinct piece of text once.
 
     A piece starts at the last white-space byte before a word. The byte-level pre-tokenizer always splits there, and merges
-    never cross its splits, so ids of the pieces joined are the ids of the text. Texts that hold a special token's string or
-    white space other than ASCII's are given to the library whole.
+    never cross its splits, so ids of the pieces joined are the ids of the text. Pieces are grouped by hash and then compared
+    byte for byte; known ones are kept by their bytes. Given to the library whole: texts that hold a special token's string,
+    white space other than ASCII's, or a piece whose hash another piece has; and all texts of a tokenizer that is not
+    byte-level, or has a normalizer or a prefix space.
     """
 
     def __init__(self, path: str, cache_size: int = 1_200_000):
@@ -40,13 +44,16 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        self.by_piece = spec.get("normalizer") is None and spec["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.kind = np.uint32 if self.wide else np.uint16
         self.cache_size = cache_size
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 16, self.kind)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int32)
@@ -55,8 +62,8 @@ class PieceEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _learn(self, pieces: list[bytes]) -> None:
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.fromiter((i for x in got for i in x), self.kind, int(sizes.sum()))
         n, m = len(self.known), len(got)
@@ -67,7 +74,7 @@ class PieceEncoder:
         self.pool[self.used : self.used + len(ids)] = ids
         self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
         self.lengths[n : n + m] = sizes
-        self.known.update(zip(keys, range(n, n + m), strict=True))
+        self.known.update(zip(pieces, range(n, n + m), strict=True))
         self.used += len(ids)
 
     def encode(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +82,7 @@ class PieceEncoder:
         n = len(offsets) - 1
         if not len(flat):
             return np.zeros(0, self.kind), np.zeros(n + 1, np.int64)
-        odd = self._odd(flat, offsets)
+        odd = self._odd(flat, offsets) if self.by_piece else set(range(n))
         space = _SPACE[flat]
         start = np.zeros(len(flat), bool)
         start[:-1] = space[:-1] & ~space[1:]
@@ -84,27 +91,32 @@ class PieceEncoder:
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(flat))
         per = np.diff(np.searchsorted(starts, offsets))
-        keys, first, back = np.unique(span_hashes(flat, starts, ends), return_index=True, return_inverse=True)
+        _, first, back = np.unique(span_hashes(flat, starts, ends), return_index=True, return_inverse=True)
+        size = ends - starts
+        # Each piece against the first one of its hash, byte for byte.
+        same = np.arange(len(flat)) + np.repeat(starts[first][back] - starts, size)
+        other = (flat[np.minimum(same, len(flat) - 1)] != flat) | np.repeat(size != size[first][back], size)
+        if other.any():
+            odd |= set((np.searchsorted(offsets, np.flatnonzero(other), "right") - 1).tolist())
         if len(self.known) > self.cache_size:
             self._clear()
-        at = list(map(self.known.get, keys.tolist()))
+        raw = flat.tobytes()
+        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        at = list(map(self.known.get, pieces))
         new = [i for i, x in enumerate(at) if x is None]
         if odd:
             rows = np.repeat(np.arange(n), per)
-            wanted = np.zeros(len(keys), bool)
+            wanted = np.zeros(len(first), bool)
             wanted[back[~np.isin(rows, list(odd))]] = True
             new = [i for i in new if wanted[i]]
         if new:
-            raw = flat.tobytes()
-            s, e = starts[first], ends[first]
-            self._learn([int(keys[i]) for i in new], [raw[s[i] : e[i]].decode() for i in new])
+            self._learn([pieces[i] for i in new])
             for i in new:
-                at[i] = self.known[int(keys[i])]
+                at[i] = self.known[pieces[i]]
         slot = np.array([0 if x is None else x for x in at], np.int64)[back]
         if odd:
             parts = []
             bounds = np.concatenate([[0], np.cumsum(per)])
-            raw = flat.tobytes()
             for i in range(n):
                 if i in odd:
                     parts.append(self.whole(raw[offsets[i] : offsets[i + 1]].decode()))
@@ -145,30 +157,69 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def _put(folder: str, name: str, table: pa.Table, batch_rows: int) -> str:
-    """Writes an Arrow file under a name of its own and then moves it, so a repeated task leaves whole files only."""
-    fs, path = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    part = f"{path}/_{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as sink, ipc.new_file(sink, table.schema) as out:
-        for batch in table.to_batches(max_chunksize=batch_rows):
-            out.write_batch(batch)
-    try:
-        fs.move(part, f"{path}/{name}")
-    except OSError:
-        # Some stores do not replace files: the same task may have left the same file before.
-        if fs.get_file_info(f"{path}/{name}").type != pafs.FileType.File:
-            raise
-        fs.delete_file(part)
-    return f"{folder}/{name}"
-
-
-def _get(uri: str) -> pa.Table:
+class _File:
+    """An Arrow file that grows batch by batch under a name of its own and is then moved, so a repeated task leaves whole files only."""
+
+    def __init__(self, folder: str, name: str, schema: pa.Schema):
+        self.fs, self.path = pafs.FileSystem.from_uri(folder)
+        self.fs.create_dir(self.path, recursive=True)
+        self.name, self.part = name, f"{self.path}/_{name}-{uuid.uuid4().hex}"
+        self.sink = self.fs.open_output_stream(self.part)
+        self.out = ipc.new_file(self.sink, schema)
+
+    def write(self, batch: pa.RecordBatch) -> None:
+        self.out.write_batch(batch)
+
+    def close(self) -> None:
+        self.out.close()
+        self.sink.close()
+        try:
+            self.fs.move(self.part, f"{self.path}/{self.name}")
+        except OSError:
+            # Some stores do not replace files: the same task may have left the same file before.
+            if self.fs.get_file_info(f"{self.path}/{self.name}").type != pafs.FileType.File:
+                raise
+            self.fs.delete_file(self.part)
+
+
+def _batches(uri: str) -> Iterator[pa.RecordBatch]:
     fs, path = pafs.FileSystem.from_uri(uri)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return ipc.open_file(pa.memory_map(path)).read_all()
-    with fs.open_input_file(path) as f:
-        return ipc.open_file(f).read_all()
+    with pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path) as f:
+        reader = ipc.open_file(f)
+        for i in range(reader.num_record_batches):
+            yield reader.get_batch(i)
+
+
+class _Sequences:
+    """Writes ids as rows of a fixed length; holds back less than a batch."""
+
+    def __init__(self, file: _File, schema: pa.Schema, kind: np.dtype, sequence: int, batch_rows: int):
+        self.file, self.schema, self.kind, self.sequence, self.size = file, schema, kind, sequence, sequence * batch_rows
+        self.held: list[np.ndarray] = []
+        self.n = 0
+
+    def _write(self, ids: np.ndarray) -> None:
+        rows = -(-len(ids) // self.sequence)
+        padded = np.zeros(rows * self.sequence, self.kind)
+        padded[: len(ids)] = ids
+        mask = np.packbits(np.arange(len(padded)) < len(ids), bitorder="little")
+        mask = pa.Array.from_buffers(pa.bool_(), len(padded), [None, pa.py_buffer(mask.tobytes())])
+        self.file.write(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(a, self.sequence) for a in (pa.array(padded), mask)], schema=self.schema))
+
+    def add(self, ids: np.ndarray) -> None:
+        self.held.append(ids)
+        self.n += len(ids)
+        if self.n >= self.size:
+            ids = np.concatenate(self.held)
+            whole = len(ids) // self.size * self.size
+            for a in range(0, whole, self.size):
+                self._write(ids[a : a + self.size])
+            self.held, self.n = [ids[whole:]], len(ids) - whole
+
+    def close(self) -> None:
+        if self.n:
+            self._write(np.concatenate(self.held))
+        self.file.close()
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, sequence: int = 2048, end_id: int | None = 0, batch_rows: int = 256, shards: int | None = None) -> DataFrame:
@@ -177,7 +228,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, sequence: in
     A shard is two Arrow files: <path>.seq.arrow with ids (fixed_size_list<uint16 or uint32>[sequence]) and mask
     (fixed_size_list<bool>[sequence], false for padding after the shard's last id), uncompressed, so that row i is found and
     mapped without copying; and <path>.doc.arrow with doc_id, start (inside the shard) and n_tokens. Ids of a document may
-    go over several sequences. folder is a URI that executors can write.
+    go over several sequences. folder is a URI that executors can write. Batches are written as they come: a task holds one
+    batch and the longest text, whatever the shard's size is.
 
     Null text: as empty, so end_id only. Null doc_id: first. Rows of one doc_id: by text. Empty table: no shards.
     """
@@ -188,39 +240,58 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, sequence: in
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
-        doc_ids, sizes, ids = [], [], []
+        enc, seq, doc, n_docs, n_tokens = encoder(tokenizer), None, None, 0, 0
+        kind = np.dtype(enc.kind)
+        seq_schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+        doc_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        shard = TaskContext.get().partitionId()
+        name = f"shard-{shard:06d}"
         for rb in batches:
+            if not len(rb):
+                continue
+            if seq is None:
+                seq = _Sequences(_File(folder, f"{name}.seq.arrow", seq_schema), seq_schema, kind, sequence, batch_rows)
+                doc = _File(folder, f"{name}.doc.arrow", doc_schema)
             flat, off = text_buffer(rb.column("text"))
-            doc_ids.append(rb.column("doc_id"))
             for lo, hi in chunks(off, 1 << 20):
-                x, at = enc.encode(flat[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                ids, at = enc.encode(flat[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 if end_id is not None:
-                    x = np.insert(x, at[1:], end_id)
+                    ids = np.insert(ids, at[1:], end_id)
                     at = at + np.arange(len(at))
-                ids.append(x)
-                sizes.append(np.diff(at))
-        n_docs = sum(map(len, doc_ids))
-        if not n_docs:
-            return
-        flat_ids, n = np.concatenate(ids), np.concatenate(sizes)
-        ids.clear()
-        rows = -(-len(flat_ids) // sequence)
-        padded = np.zeros(rows * sequence, flat_ids.dtype)
-        padded[: len(flat_ids)] = flat_ids
-        mask = np.packbits(np.arange(rows * sequence) < len(flat_ids), bitorder="little")
-        mask = pa.Array.from_buffers(pa.bool_(), rows * sequence, [None, pa.py_buffer(mask.tobytes())])
-        seq = pa.table({"ids": pa.FixedSizeListArray.from_arrays(pa.array(padded), sequence), "mask": pa.FixedSizeListArray.from_arrays(mask, sequence)})
-        doc = pa.table({"doc_id": pa.chunked_array(doc_ids, pa.int64()), "start": np.cumsum(n) - n, "n_tokens": n})
-        shard = TaskContext.get().partitionId()
-        name = f"shard-{shard:06d}"
-        _put(folder, f"{name}.seq.arrow", seq, batch_rows)
-        _put(folder, f"{name}.doc.arrow", doc, 1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n_docs]), pa.array([len(flat_ids)])], names=["shard", "path", "n_docs", "n_tokens"])
+                seq.add(ids)
+                doc.write(pa.RecordBatch.from_arrays([rb.column("doc_id")[lo:hi], pa.array(at[:-1] + n_tokens), pa.array(np.diff(at))], schema=doc_schema))
+                n_docs, n_tokens = n_docs + hi - lo, n_tokens + len(ids)
+        if seq is not None:
+            seq.close()
+            doc.close()
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n_docs]), pa.array([n_tokens])], names=["shard", "path", "n_docs", "n_tokens"])
 
     return ordered.mapInArrow(write, MANIFEST)
 
 
+def _read_back(path: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, start, n_tokens and ids_crc32 of a shard's documents; one batch of sequences is held at a time."""
+    sequences, ids, at, used = _batches(f"{path}.seq.arrow"), np.zeros(0, np.uint16), 0, 0
+    total = 0
+    for doc in _batches(f"{path}.doc.arrow"):
+        sums = []
+        for n in doc.column("n_tokens").to_numpy().tolist():
+            crc, total = 0, total + n
+            while n:
+                if at == len(ids):
+                    rb = next(sequences, None)
+                    if rb is None:
+                        raise ValueError(f"{path}: ids are missing")
+                    ids, at, used = rb.column("ids").flatten().to_numpy(), 0, used + rb.column("mask").flatten().true_count
+                part = ids[at : at + n]
+                crc = zlib.crc32(part.astype("<u4").tobytes(), crc)
+                at, n = at + len(part), n - len(part)
+            sums.append(crc)
+        yield pa.RecordBatch.from_arrays([*doc.columns, pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    if used != total:
+        raise ValueError(f"{path}: mask and documents differ")
+
+
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before, over all shards), n_tokens, ids_crc32 of each document, from the files.
 
@@ -234,15 +305,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for path, base in zip(rb.column("path").to_pylist(), rb.column("base").to_pylist(), strict=True):
-                doc, seq = _get(f"{path}.doc.arrow"), _get(f"{path}.seq.arrow")
-                at, n = doc.column("start").to_numpy(), doc.column("n_tokens").to_numpy()
-                ids = np.concatenate([c.values.to_numpy() for c in seq.column("ids").chunks])
-                used = sum(c.values.true_count for c in seq.column("mask").chunks)
-                if used != n.sum():
-                    raise ValueError(f"{path}: mask and documents differ")
-                sums = [zlib.crc32(ids[a : a + k].astype("<u4").tobytes()) for a, k in zip(at.tolist(), n.tolist(), strict=True)]
-                table = pa.table([doc.column("doc_id"), pa.array(at + base), pa.array(n), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-                yield from table.to_batches(max_chunksize=1 << 16)
+                for part in _read_back(path):
+                    yield part.set_column(1, "start", pc.add(part.column("start"), base))
 
     if not shards:
         return spark.createDataFrame([], RESULT)
