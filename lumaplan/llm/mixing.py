@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,83 +39,103 @@ def fill_targets(sizes: list[int], weights: list[float], budget: float, most: fl
     return targets
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_share: float = 1.5, most: int = 2, seed: int = 1, rows_a_bucket: int = 2000) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken and row_hash of each row of docs.
+def source_targets(sized: DataFrame, weights: tuple[float, ...], budget_share: float, most: int) -> tuple[DataFrame, float]:
+    """The table source, source_size, n, target, and the budget. The driver gets sums and a count a partition, nothing a source:
+    sources are numbered by a range sort and partition counts; targets come by raising the level at which sources are full."""
+    order = F.col("source").asc_nulls_last()
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n"))
+    per = written(per.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()), "mix-sources")
+    counts = sorted((r["part"], r["count"]) for r in per.groupBy("part").count().collect())
+    spark, before = sized.sparkSession, 0
+    offsets = []
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
+    offsets = F.broadcast(spark.createDataFrame(offsets, "part int, ahead long"))  # a row a partition
+    nth = F.col("ahead") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    per = per.join(offsets, "part").withColumn("nth", nth).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    per = written(per.select("source", "source_size", "n", "weight", "cap"), "mix-weights")
+
+    some = F.col("source_size") > 0
+    sums = per.where(some).agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.sum("weight").alias("weight")).first()
+    budget = budget_share * int(sums["size"])
+    left, share, full = budget, sums["weight"] or 0.0, 0
+    while share:
+        # Once full at a level, a source is full at every higher one, so the last level tells all that are.
+        at = F.lit(left) * F.col("weight") / F.lit(share) >= F.col("cap")
+        now = per.where(some).agg(F.count(F.when(at, 1)).alias("full"), F.sum(F.when(at, F.col("cap"))).alias("caps"), F.sum(F.when(~at, F.col("weight"))).alias("open")).first()
+        if now["full"] == full:
+            break
+        full, left, share = now["full"], budget - now["caps"], now["open"] or 0.0
+    target = F.col("cap") if not share else F.when(F.lit(left) * F.col("weight") / F.lit(share) >= F.col("cap"), F.col("cap")).otherwise(F.lit(left) * F.col("weight") / F.lit(share))
+    return per.select("source", "source_size", "n", F.when(some, target).otherwise(F.lit(0.0)).alias("target")), budget
+
+
+def _each(groups: DataFrame, n: str, nth: str, piece: int = 1000) -> DataFrame:
+    """A row for each of the n equal rows that a group stands for, numbered from 1. Groups over `piece` are dealt out in pieces."""
+    few = groups.where(F.col(n) <= piece).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    many = groups.where(F.col(n) > piece).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(piece).cast("long"))))
+    many = many.repartition("source", "doc_id", "row_hash", "_from")
+    many = many.withColumn(nth, F.explode(F.sequence(F.col("_from") + 1, F.least(F.col("_from") + piece, F.col(n))))).drop("_from")
+    return few.unionByName(many)
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_share: float = 1.5, most: int = 2, seed: int = 1, rows_a_bucket: int = 500) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, row_hash and nth (from 1, among equal rows) of each row of docs.
 
     Each source queues its documents in a hashed order, again and again, at most `most` times. A copy's virtual finish time
-    is the source's words so far divided by its target. All copies are sorted by finish time over all sources, and the mix
-    is cut when its words would pass the budget. Running sums are taken inside buckets of about rows_a_bucket rows and
-    carried on by the buckets' totals (at most 20000 a source), so no task holds a source.
+    is the source's words so far divided by its target. The copies of all sources are sorted by finish time (a range sort
+    over the cluster) and the mix is cut where its words would pass the budget: the driver gets the words of each sorted
+    partition, and running sums are taken in the one partition where the budget ends.
+
+    Rows equal in source, doc_id and text are one entry of the queue with a count until the end, so a row repeated any number
+    of times is no group of its own. The words ahead of an entry are summed in three steps: inside buckets of about
+    rows_a_bucket entries, over 1000 buckets, and over those; so no task holds a source.
 
-    Null text: size 0, never taken. Null source: a source of its own, last in order. Sources without words: target 0.
-    Null doc_id: allowed. Rows that are equal in id and text share a place in the queue in unspecified but equal order, so
-    reruns agree on the rows' values. Empty table: no rows.
+    Null text: size 0, never taken. Null source: a source of its own, last in order. One id and text in several sources: each
+    source queues and takes its own. Sources without words: target 0. Null doc_id: allowed. Repeated rows: the first ones
+    by nth are taken more often. Empty table: no rows. Columns other than doc_id, text and source are not read.
     """
-    spark = docs.sparkSession
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), queue_place(seed).alias("row_hash")), "mix-sizes")
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [int(r["size"]) for r in found]
-    budget = budget_share * sum(sizes)
-    targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(found))], budget, float(most))
-    # The number of sources is that of distinct labels; the table joined below is broadcast by Spark only while small.
-    shape = "of string, source_size long, target double"
-    of = spark.createDataFrame([(r["source"], s, t) for r, s, t in zip(found, sizes, targets, strict=True)], shape)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), queue_place(seed).alias("row_hash"))
+    sized = written(sized.groupBy("source", "doc_id", "row_hash", "size").agg(F.count(F.lit(1)).alias("rows")), "mix-sizes")
+    sources, budget = source_targets(sized, weights, budget_share, most)
+    of = sources.withColumnRenamed("source", "of")
     rows = sized.join(of, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
 
-    buckets = min(20000, max(1, -(-max([r["n"] for r in found], default=1) // rows_a_bucket)))
     # The bucket follows the row's place, so places in lower buckets come first.
-    bucket = F.floor(F.shiftright(F.col("row_hash"), 28) * F.lit(buckets) / F.lit(2**32)).cast("int")
-    rows = rows.withColumn("bucket", bucket)
-    sums = rows.groupBy(F.col("source").alias("of"), F.col("bucket").alias("nth")).agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("of").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("of", "nth", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("ahead"))
-    rows = rows.join(before, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("nth")), "left").drop("of", "nth")
-    inside = Window.partitionBy("source", "bucket").orderBy("row_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    queued = rows.withColumn("words", F.sum("size").over(inside) + F.col("ahead"))
-    copies = queued.withColumn("copy", F.explode(F.array(*(F.lit(i) for i in range(most)))))
-    copies = copies.withColumn("finish", (F.col("words") + F.col("copy") * F.col("source_size")) / F.col("target"))
-    copies = copies.where((F.col("target") > 0) & (F.col("size") > 0)).select("doc_id", "row_hash", "size", "copy", "finish")
-    copies = written(copies, "mix-queue")
-    # Global cut: words by slice of finish time, then row by row inside the one slice where the budget ends.
-    width = 4096
-    slice_ = F.least(F.floor(F.col("finish") * (width // 2)), F.lit(width * 4)).cast("int")
-    by = copies.groupBy(slice_.alias("slice")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).orderBy("slice").collect()
-    gone, last = 0, None
-    for r in by:
+    buckets = F.ceil(F.col("n") / rows_a_bucket)
+    rows = rows.withColumn("bucket", F.floor(F.shiftright(F.col("row_hash"), 28) * buckets / F.lit(2**32)).cast("long"))
+    rows = rows.withColumn("block", F.floor(F.col("bucket") / 1000))
+    sums = rows.groupBy("source", "block", "bucket").agg(F.sum(F.col("size") * F.col("rows")).alias("words"))
+    blocks = sums.groupBy("source", "block").agg(F.sum("words").alias("words"))
+    ahead = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("source").alias("of"), F.col("block").alias("in"), ahead(Window.partitionBy("source").orderBy("block")).alias("far"))
+    near = sums.select("source", "block", "bucket", ahead(Window.partitionBy("source", "block").orderBy("bucket")).alias("near"))
+    near = near.join(blocks, near["source"].eqNullSafe(blocks["of"]) & (near["block"] == blocks["in"]))
+    near = near.select(F.col("source").alias("of"), F.col("bucket").alias("in"), (F.col("near") + F.col("far")).alias("ahead"))
+    rows = rows.join(near, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in"))).drop("of", "in")
+    inside = Window.partitionBy("source", "bucket").orderBy("row_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    queued = rows.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("rows")).over(inside), F.lit(0)) + F.col("ahead"))
+    queued = written(queued.select("doc_id", "source", "size", "source_size", "target", "row_hash", "rows", "before"), "mix-queue")
+
+    finish = lambda copy: (F.col("before") + F.col("nth") * F.col("size") + F.lit(copy) * F.col("source_size")).cast("double") / F.col("target")
+    copies = _each(queued.where("target > 0 and size > 0"), "rows", "nth").select("size", F.explode(F.array(*(finish(i) for i in range(most)))).alias("finish"))
+    sorted_ = written(copies.repartitionByRange("finish").sortWithinPartitions("finish").withColumn("part", F.spark_partition_id()), "mix-sorted")
+    parts = sorted_.groupBy("part").agg(F.sum("size").alias("words"), F.max("finish").alias("last")).orderBy("part").collect()
+    gone, end = 0, float("-inf")  # all copies that finish at `end` or before are taken
+    for r in parts:
         if gone + r["words"] > budget:
-            last = r["slice"]
-            break
-        gone += r["words"]
-    end = float("inf")
-    while last is not None:
-        # The budget ends in this slice: narrow it until few rows are left, whatever the number of rows is.
-        if not np.isfinite(end):
-            lo, hi = last / (width // 2), ((last + 1) / (width // 2) if last < width * 4 else float(most * 1e9))
-        part = copies.where((F.col("finish") >= lo) & (F.col("finish") < hi))
-        n = F.least(F.floor((F.col("finish") - lo) / ((hi - lo) / 1000)), F.lit(999)).cast("int")
-        cut = part.groupBy(n.alias("n")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.min("finish").alias("first"), F.max("finish").alias("last")).orderBy("n").collect()
-        spot = None
-        for r in cut:
-            if gone + r["words"] > budget:
-                spot = r
-                break
-            gone += r["words"]
-        if spot is None:
-            end = hi
-            break
-        end = spot["first"]
-        if spot["rows"] == 1 or spot["first"] == spot["last"]:
+            total = Window.partitionBy("part").orderBy("finish").rangeBetween(Window.unboundedPreceding, 0)
+            part = sorted_.where(F.col("part") == r["part"]).withColumn("words", F.sum("size").over(total))
+            most_ = part.where(F.col("words") <= F.lit(budget - gone)).agg(F.max("finish")).first()[0]
+            end = end if most_ is None else most_
             break
-        lo, hi = spot["first"], np.nextafter(spot["last"], np.inf)
-    kept = copies.where(F.col("finish") < end) if np.isfinite(end) else copies
-    taken = kept.groupBy(F.col("doc_id").alias("taken_id"), F.col("row_hash").alias("taken_hash")).agg(F.count(F.lit(1)).alias("all_copies"))
-    same = Window.partitionBy("doc_id", "row_hash")
-    # Equal rows share the copies of their place: each gets its part, the first ones one more.
-    out = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("row_hash") == F.col("taken_hash")), "left").withColumn("all_copies", F.coalesce("all_copies", F.lit(0)))
-    out = out.withColumn("equal", F.count(F.lit(1)).over(same)).withColumn("nth", F.row_number().over(same.orderBy("source")))
-    got = F.floor(F.col("all_copies") / F.col("equal")) + (F.col("nth") <= F.col("all_copies") % F.col("equal")).cast("long")
-    return out.withColumn("copies", got.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "row_hash")
+        gone, end = gone + r["words"], r["last"]
+    copies = sum(((finish(i) <= F.lit(end)).cast("long") for i in range(most)), F.lit(0).cast("long"))
+    copies = F.when((F.col("target") > 0) & (F.col("size") > 0), copies).otherwise(F.lit(0).cast("long"))
+    out = _each(queued, "rows", "nth").withColumn("copies", copies)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "row_hash", "nth")
 
 
 def op6_mixing(spark, sf_dir):

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -191,6 +192,54 @@ def test_mixing_keeps_its_promises(docs):
     assert mix_sources(docs.limit(0)).count() == 0
 
 
+def plain_mix(table, weights=(5, 2, 1)):
+    """(doc_id, source, size) -> copies, row by row, from the definition: one queue a source, one sort of all copies, one cut."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    place = lambda d, t: int(hashlib.md5(f"1|{'' if d is None else d}|{t or ''}".encode()).hexdigest()[:15], 16)
+    queues = defaultdict(list)
+    for d, t, s in table:
+        queues[s].append((place(d, t), -(2**63) if d is None else d, size(t), d))
+    names = sorted((s for s in queues if s is not None)) + [None] * (None in queues)
+    sizes = [sum(x[2] for x in queues[s]) for s in names]
+    targets = dict(zip(names, fill_targets(sizes, [weights[i % 3] for i in range(len(names))], 1.5 * sum(sizes), 2), strict=True))
+    copies = []
+    for s, n in zip(names, sizes, strict=True):
+        words = 0
+        for i, (_, _, k, _) in enumerate(sorted(queues[s], key=lambda x: x[:3])):
+            words += k
+            copies += [((words + c * n) / targets[s], k, s, i) for c in range(2) if k]
+    gone, taken = 0, Counter()
+    copies.sort(key=lambda x: x[0])
+    for f in sorted({x[0] for x in copies}):
+        same = [x for x in copies if x[0] == f]
+        gone += sum(x[1] for x in same)
+        if gone > 1.5 * sum(sizes):
+            break
+        taken.update((x[2], x[3]) for x in same)
+    return sorted((str(s), str(x[3]), x[2], x[2] * taken[s, i]) for s in names for i, x in enumerate(sorted(queues[s], key=lambda x: x[:3])))
+
+
+def test_mixing_is_the_definition(spark, docs):
+    for bucket in (1, 7, 500):
+        got = mix_sources(docs, rows_a_bucket=bucket).collect()
+        assert sorted((str(r["source"]), str(r["doc_id"]), r["size"], r["taken"]) for r in got) == plain_mix([(d, t, s) for d, t, _, s, *_ in rows()])
+
+
+def test_mixing_of_equal_rows_in_three_sources(spark):
+    rng = random.Random(4)
+    made = [(i, " ".join(words(rng, 20)), "a") for i in range(400)]
+    made += [(d, t, s) for d, t, _ in made[:200] for s in ("b", None)]
+    made += [(9000, " ".join(words(rng, 5)), "b")] * 2500
+    got = mix_sources(spark.createDataFrame(made, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(made)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 20 for s in target)
+    assert sorted((str(r["source"]), str(r["doc_id"]), r["size"], r["taken"]) for r in got) == plain_mix(made)
+
+
 def test_language_id(spark):
     rng = random.Random(5)
     parts = {"aa": ["ka", "ko", "ta"], "bb": ["li", "lo", "mi"], "cc": ["ru", "rö", "sh"]}
