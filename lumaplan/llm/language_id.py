@@ -9,11 +9,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _numerals() -> str:
+    """Ranges of characters that count as word characters without being letters or decimal digits: fractions, Roman numerals ..."""
+    odd = [c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()]
+    heads = [c for c, before in zip(odd, [-2, *odd], strict=False) if c != before + 1]
+    tails = [c for c, after in zip(odd, [*odd[1:], -2], strict=True) if c + 1 != after]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(heads, tails, strict=True))
+
+
+#: Runs of letters (Unicode category L).
+WORD = re.compile(rf"[^\W\d_{_numerals()}]+")
+#: Characters of a long text that are split into words at a time.
+PIECE = 1 << 20
 GRAMS = (4, 3, 2, 1)
 
 
@@ -22,6 +35,34 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def words_of(text: str) -> Iterator[list[str]]:
+    """The words of a text in lower case, some at a time; a long text is cut between words."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield WORD.findall(text[at:end].lower())
+        at = end
+
+
+class _Places(dict):
+    """word -> its row in the table of scores; a word that is looked up first gets one by backing off."""
+
+    def __init__(self, model: BackoffModel):
+        super().__init__(model.words)
+        self.model = model
+        self.table = np.concatenate([model.word_rows, np.zeros((1024, len(model.langs)))])
+
+    def __missing__(self, word: str) -> int:
+        n = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[n] = self.model.unseen(word)
+        self[word] = n
+        return n
+
+
 @dataclass
 class BackoffModel:
     """Rows of log frequencies less their mean over the languages; languages in order of code points."""
@@ -31,9 +72,11 @@ class BackoffModel:
     grams: list[dict[str, int]]
     word_rows: np.ndarray
     gram_rows: list[np.ndarray]
-    cache_size: int = 200_000
-    _seen: dict[str, int] = field(default_factory=dict)
-    _rows: list[np.ndarray] = field(default_factory=list)
+    cache_size: int = 300_000
+    _places: _Places | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_places": None}
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean over the known n-grams of the longest length that has any; half the weight of a known word."""
@@ -43,27 +86,38 @@ class BackoffModel:
                 return 0.5 * rows[at].mean(0)
         return np.zeros(len(self.langs))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = WORD.findall(text.lower()) if text else []
-        if not found or not self.langs:
-            return "und", 0.0
-        total = np.zeros(len(self.langs))
-        at = list(map(self.words.get, found))
-        if None in at:
-            new = [w for w, i in zip(found, at, strict=True) if i is None]
-            if len(self._seen) > self.cache_size:
-                self._seen.clear()
-                self._rows.clear()
-            for w in set(new).difference(self._seen):
-                self._seen[w] = len(self._rows)
-                self._rows.append(self.unseen(w))
-            for w, n in sorted(Counter(new).items()):
-                total += n * self._rows[self._seen[w]]
-            at = [i for i in at if i is not None]
-        if at:
-            total += self.word_rows[at].sum(0)
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and its share of the likelihood, for a batch of texts: words are looked up and summed all at once."""
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        total, count = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        held: list[str] = []
+        owners: list[tuple[int, int]] = []
+
+        def add() -> None:
+            if not held:
+                return
+            if self._places is None or len(self._places) > self.cache_size + len(self.words):
+                self._places = _Places(self)
+            at = np.fromiter(map(self._places.__getitem__, held), np.int64, len(held))
+            sizes = np.array([n for _, n in owners])
+            sums = np.add.reduceat(self._places.table[at], np.cumsum(sizes) - sizes, axis=0)
+            np.add.at(total, [i for i, _ in owners], sums)
+            held.clear()
+            owners.clear()
+
+        for i, text in enumerate(texts):
+            for found in words_of(text or ""):
+                if found:
+                    count[i] += len(found)
+                    held.extend(found)
+                    owners.append((i, len(found)))
+                if len(held) > 100_000:
+                    add()
+        add()
+        best = total.argmax(1)
+        score = 1 / np.exp(np.maximum(total - total.max(1, keepdims=True), -700)).sum(1)
+        return [self.langs[b] if n else "und" for b, n in zip(best.tolist(), count.tolist(), strict=True)], np.where(count > 0, score, 0.0)
 
 
 def _rows(counts: dict[str, np.ndarray], smooth: float) -> tuple[dict[str, int], np.ndarray]:
@@ -75,16 +129,16 @@ def _rows(counts: dict[str, np.ndarray], smooth: float) -> tuple[dict[str, int],
     return {k: i for i, k in enumerate(keys)}, lp - lp.mean(1, keepdims=True)
 
 
-def train_language_id(docs: DataFrame, max_docs: int = 12000, max_words: int = 100_000) -> BackoffModel:
-    """From text and lang of rows with neither null. At most about max_docs rows are read, shared evenly among the languages,
-    chosen by a hash of their id; the driver gets only the max_words (lang, word) pairs of highest count."""
+def train_language_id(docs: DataFrame, max_docs: int = 12000, max_words: int = 50_000) -> BackoffModel:
+    """From text and lang of rows with neither null. At most about max_docs labelled rows are read, shared evenly among the
+    languages and chosen by a hash of id and text; of these the driver gets the max_words commonest words of each language."""
     docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null")
     per = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(per)
     if not langs:
         return BackoffModel([], {}, [{}] * len(GRAMS), np.zeros((0, 0)), [np.zeros((0, 0))] * len(GRAMS))
     share = max_docs / len(langs)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1_000_000)) / F.lit(1e6)
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("langid")), F.lit(1_000_000)) / F.lit(1e6)
     keep = F.lit(False)
     for lang in langs:
         keep = keep | ((F.col("lang") == lang) & (draw < F.lit(min(1.0, share / per[lang]))))
@@ -99,13 +153,15 @@ def train_language_id(docs: DataFrame, max_docs: int = 12000, max_words: int = 1
 
         for rb in batches:
             for text, lang in zip(rb.column("text").to_pylist(), rb.column("lang").to_pylist(), strict=True):
-                seen[lang].update(WORD.findall(text.lower()))
-                if sum(map(len, seen.values())) > 500_000:
-                    yield flush()
+                for found in words_of(text):
+                    seen[lang].update(found)
+                    if sum(map(len, seen.values())) > 500_000:
+                        yield flush()
         yield flush()
 
     counted = docs.where(keep & F.col("text").isNotNull()).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    top = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("nth", nth).where(F.col("nth") <= max_words).collect()
     by = {lang: i for i, lang in enumerate(langs)}
     words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
     pieces: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(langs))) for _ in GRAMS]
@@ -128,14 +184,14 @@ def held_out():
 def identify_language(docs: DataFrame, model: BackoffModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the prediction's share of the likelihood, 0 to 1).
 
-    Null text or no letter in it: und with score 0. Ties: first language by code point. Null doc_id: kept. Repeated rows:
+    Null text or no letter (Unicode category L; fractions, circled and Roman numerals are none) in it: und with score 0. Ties: first language by code point. Null doc_id: kept. Repeated rows:
     one result each. Empty table: no rows. lang, source and doc_id are no inputs of the prediction.
     """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            said = [model.predict(t.as_py()) for t in rb.column("text")]
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("held_out"), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            langs, scores = model.predict(rb.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("held_out"), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(predict, RESULT)
 

@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lumaplan.llm.common import chunks, mix, span_hashes, text_buffer
+from lumaplan.llm.common import chunks, mix, span_hashes, text_buffer, written
 
-RESULT = "doc_id long, grade int, severity double, p_toxic double, toxic boolean"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -78,20 +78,14 @@ class OrdinalModel:
         return out
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, bits: int, scale: float = 3.0, steps: int = 800, ridge: float = 1e-7, least_z: float = 6.0) -> OrdinalModel:
-    """Maximum likelihood by Adam over all rows at once; all thresholds share the weights. values: the feature's weight in its row.
-    Only words whose presence goes with grades over 0 by least_z standard deviations get a weight; labels may
-    be noisy, and rare words would learn them by heart."""
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, bits: int, scale: float = 3.0, steps: int = 800, ridge: float = 1e-7) -> OrdinalModel:
+    """Maximum likelihood by Adam over all rows at once; all thresholds share the weights. values: the feature's weight in its row."""
     k = int(grades.max()) if len(grades) else 0
     size = 1 << bits
     if k == 0:
         return OrdinalModel(np.zeros(size, np.float32), np.array([40.0]), scale, bits)
-    n, base = len(grades), np.clip((grades > 0).mean(), 1e-6, 1 - 1e-6)
-    held = np.bincount(cols, minlength=size)
-    z = (np.bincount(cols, (grades > 0)[rows], size) - held * base) / np.sqrt(np.maximum(held, 1) * base * (1 - base))
-    told = (z >= least_z)[cols]
-    rows, values = rows[told], values[told]
-    used, cols = np.unique(cols[told], return_inverse=True)
+    n = len(grades)
+    used, cols = np.unique(cols, return_inverse=True)
     w = np.zeros(len(used))
     share = np.array([(grades <= j).mean() for j in range(k)]).clip(1e-4, 1 - 1e-4)
     c = np.log(share / (1 - share))
@@ -120,52 +114,89 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
     return OrdinalModel(weights, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))]), scale, bits)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8000, bits: int = 18) -> OrdinalModel:
+def telling(held: np.ndarray, bad: np.ndarray, n: int, n_bad: int, least_z: float) -> np.ndarray:
+    """Which features go with grades over 0, or with grade 0, by least_z standard deviations. held, bad: texts, and texts of grades
+    over 0, that have the feature."""
+    base = np.clip(n_bad / max(n, 1), 1e-6, 1 - 1e-6)
+    return np.abs(bad - held * base) >= least_z * np.sqrt(np.maximum(held, 1) * base * (1 - base))
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8000, bits: int = 18, least_z: float = 6.0) -> OrdinalModel:
     """Grades: 0 not toxic, 1 toxic, 2 toxic and of low quality. At most max_train labelled rows are used, those first by a
-    hash of their id; the driver gets only their word counts. Labels of one id twice: the worst holds. Null ids and null
-    labels are left out."""
+    hash of their id. Only telling() features get a weight: labels may be noisy, and rare words would learn them by heart. The
+    driver gets two counters a feature (2**bits), then each text's telling features. Labels of one id twice: the worst holds.
+    Null ids and null labels are left out."""
     grade = F.when(F.col("toxic") == 0, 0).when(F.coalesce(F.col("quality"), F.lit(1)) == 0, 2).otherwise(1)
     some = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(grade).alias("grade"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
+    rows = written(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << bits), np.int64)
+        for rb in batches:
+            flat, off = text_buffer(rb.column("text"))
+            features, owners, _ = stems(flat, off, bits)
+            both = np.unique(np.concatenate(owners) << bits | np.concatenate(features))
+            bad = rb.column("grade").to_numpy()[both >> bits] > 0
+            for i, own in enumerate((both, both[bad])):
+                total[i] += np.bincount(own & ((1 << bits) - 1), minlength=1 << bits)
+        used = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0][used]), pa.array(total[1][used])], names=["feature", "held", "bad"])
+
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("grade") > 0).cast("long")), F.lit(0)).alias("bad")).first()
+    counts = rows.mapInArrow(count, "feature int, held long, bad long").groupBy("feature").agg(F.sum("held").alias("held"), F.sum("bad").alias("bad")).toArrow()
+    told = np.zeros(1 << bits, bool)
+    feature, held, bad = (counts.column(c).to_numpy() for c in ("feature", "held", "bad"))
+    told[feature] = telling(held, bad, size["n"], size["bad"], least_z)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             flat, off = text_buffer(rb.column("text"))
             features, owners, n = stems(flat, off, bits)
-            both, count = np.unique(np.concatenate(owners) << bits | np.concatenate(features), return_counts=True)
+            features, owners = np.concatenate(features), np.concatenate(owners)
+            both, times = np.unique((owners << bits | features)[told[features]], return_counts=True)
             at = np.searchsorted(both >> bits, np.arange(len(off)))
-            col, share = (both & ((1 << bits) - 1)).astype(np.uint32), (count / np.sqrt(np.maximum(n, 1))[both >> bits]).astype(np.float32)
+            col, share = (both & ((1 << bits) - 1)).astype(np.uint32), (times / np.sqrt(np.maximum(n, 1))[both >> bits]).astype(np.float32)
             cols = [col[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             shares = [share[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("grade"), pa.array(cols, pa.binary()), pa.array(shares, pa.binary())], names=["doc_id", "grade", "cols", "shares"])
 
-    got = rows.mapInArrow(count, "doc_id long, grade int, cols binary, shares binary").toArrow().sort_by([("doc_id", "ascending"), ("cols", "ascending")])
+    got = rows.mapInArrow(weigh, "doc_id long, grade int, cols binary, shares binary").toArrow().sort_by([("doc_id", "ascending"), ("cols", "ascending")])
     sizes = np.array([len(x) // 4 for x in got.column("cols").to_pylist()], np.int64)
     cols = np.frombuffer(b"".join(got.column("cols").to_pylist()), np.uint32)
     shares = np.frombuffer(b"".join(got.column("shares").to_pylist()), np.float32)
     return fit_ordinal(np.repeat(np.arange(len(sizes)), sizes), cols, shares.astype(np.float64), got.column("grade").to_numpy().astype(np.int64), bits)
 
 
-def score_toxicity(docs: DataFrame, model: OrdinalModel, *keep: str, reject: float = 0.2) -> DataFrame:
-    """doc_id, grade (most likely), severity (expected grade), p_toxic (P(grade >= 1)), toxic (p_toxic >= reject, and some
-    word speaks for it) and the columns
-    named in keep; those come under names of their own choice, so a clash with the five is the caller's to avoid.
+SAID = "struct<grade:int,severity:double,p_toxic:double,toxic:boolean>"
+
+
+def judged(docs: DataFrame, model: OrdinalModel, reject: float = 0.2) -> DataFrame:
+    """row (a struct with all columns of docs) and said (SAID): most likely grade, expected grade, P(grade >= 1), and whether that
+    is at least `reject` and some word speaks for it. As the row is a struct, no name of docs can clash.
 
     Null or empty text, or one without words: score 0, which the fitted cuts grade. Null doc_id: kept as null. Repeated
-    rows: one result each. Clean texts score near the share of toxic ones among texts without telling words, far below reject. Empty table: no rows.
+    rows: one result each. Empty table: no rows. Clean texts score near the share of toxic ones among texts without telling
+    words, far below reject.
     """
-    schema = RESULT + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    nested = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    schema = StructType([nested.schema["row"], StructType.fromDDL(f"said {SAID}")[0]])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             scores = model.scores(*text_buffer(rb.column("text")))
             p = model.grade_probabilities(scores)
             p0 = 1 - p[:, 0]
-            out = [rb.column("doc_id"), pa.array(p.argmax(1).astype(np.int32)), pa.array((p * np.arange(p.shape[1])).sum(1)), pa.array(p0), pa.array((p0 >= reject) & (scores > 0))]
-            yield pa.RecordBatch.from_arrays([*out, *(rb.column(c) for c in keep)], names=["doc_id", "grade", "severity", "p_toxic", "toxic", *keep])
+            said = [pa.array(p.argmax(1).astype(np.int32)), pa.array((p * np.arange(p.shape[1])).sum(1)), pa.array(p0), pa.array((p0 >= reject) & (scores > 0))]
+            said = pa.StructArray.from_arrays(said, ["grade", "severity", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([rb.column("row"), said], names=["row", "said"])
+
+    return nested.mapInArrow(judge, schema)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *(c for c in keep if c != "text")).mapInArrow(score, schema)
+def score_toxicity(docs: DataFrame, model: OrdinalModel, reject: float = 0.2) -> DataFrame:
+    """doc_id, grade, severity, p_toxic and toxic of each row of docs; see judged(). Other columns are not read."""
+    return judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, reject).select("row.doc_id", "said.*")
 
 
 def op9_toxicity(spark, sf_dir):

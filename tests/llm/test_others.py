@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ from lumaplan.llm.language_id import held_out, identify_language, train_language
 from lumaplan.llm.minhash_dart import dart_minhash, near_duplicates, similarity
 from lumaplan.llm.mixing import fill_targets, mix_sources
 from lumaplan.llm.token_arrow import PieceEncoder, default_tokenizer, read_token_files, write_token_files
-from lumaplan.llm.toxicity import fit_ordinal, score_toxicity, train_toxicity
+from lumaplan.llm.toxicity import fit_ordinal, judged, score_toxicity, stems, train_toxicity
 
 
 @pytest.fixture(scope="module")
@@ -245,16 +246,63 @@ def test_language_id(spark):
     parts = {"aa": ["ka", "ko", "ta"], "bb": ["li", "lo", "mi"], "cc": ["ru", "rö", "sh"]}
     made = [(i, " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 4))) for _ in range(25)), lang) for i in range(200) for lang in [rng.choice(list(parts))]]
     made += [(900, None, "aa"), (901, "12 34 .", "aa"), (902, "", None), (None, "kako", None)]
+    made += [(910 + i, t, None) for i, t in enumerate(["½ ² ①", "Ⅷ", "٣ ५", "_ - ...", "½", "\u3007 ⒈"])]
     d = spark.createDataFrame(made, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in identify_language(d, train_language_id(d.where(~held_out()))).collect()}
     assert all((zlib.crc32(str(i).encode()) % 3 == 1) == got[i]["held_out"] for i, *_ in made if i is not None)
     tested = [got[i]["lang_pred"] == lang for i, _, lang in made[:200] if got[i]["held_out"]]
     assert np.mean(tested) > 0.95
-    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and got[None]["lang_pred"] == "aa"
+    assert [got[i]["lang_pred"] for i in (900, 901, 902, *range(910, 916))] == ["und"] * 9 and got[None]["lang_pred"] == "aa"
+    assert all(got[i]["score"] == 0 for i in range(910, 916))
     none = train_language_id(d.limit(0))
     assert {r["lang_pred"] for r in identify_language(d, none).collect()} == {"und"}
 
 
+def plain_predict(model, text):
+    """Word by word, from the definition of the backoff."""
+    total, n = np.zeros(len(model.langs)), 0
+    for w in "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split(" "):
+        if not w:
+            continue
+        n += 1
+        if w in model.words:
+            total += model.word_rows[model.words[w]]
+            continue
+        for size, known, rows in zip((4, 3, 2, 1), model.grams, model.gram_rows, strict=True):
+            marked = f"<{w}>" if size > 1 else w
+            hits = [rows[known[marked[i : i + size]]] for i in range(len(marked) - size + 1) if marked[i : i + size] in known]
+            if hits:
+                total += 0.5 * np.mean(hits, 0)
+                break
+    if not n:
+        return "und", 0.0
+    p = np.exp(total - total.max())
+    return model.langs[int(total.argmax())], float(p.max() / p.sum())
+
+
+def test_language_id_is_the_definition(spark, docs, monkeypatch):
+    from lumaplan.llm import language_id
+
+    model = train_language_id(docs.where(~held_out()))
+    assert set(model.langs) == {"en", "fr"}
+    texts = [t for _, t, *_ in rows()] + ["word½word ②x", "\U0001d504\U0001d505 é", "a" * 50]
+    want = [plain_predict(model, t) for t in texts]
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        langs, scores = model.predict(texts)
+        assert langs == [x[0] for x in want] and np.allclose(scores, [x[1] for x in want])
+    model.cache_size = 3
+    assert model.predict(texts)[0] == langs
+    got = identify_language(docs, model).collect()
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in got) == Counter((d, plain_predict(model, t)[0]) for d, t, *_ in rows())
+
+
+def test_small_languages_keep_their_words(spark):
+    made = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + j)}" for j in range(20)), "big") for i in range(200)] + [(1000 + i, "zu zu zi zi", "small") for i in range(3)]
+    model = train_language_id(spark.createDataFrame(made, "doc_id long, text string, lang string"), max_words=5)
+    assert {"zu", "zi"} <= set(model.words)
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     made, labels = [], []
@@ -278,6 +326,33 @@ def test_toxicity(spark):
     assert not any(r["toxic"] for r in score_toxicity(d, train_toxicity(d, y.limit(0))).collect())
 
 
+def test_toxicity_on_held_out_texts(spark):
+    """Trained on even ids with a tenth of the labels wrong, tried on odd ones; names of other columns may be anything."""
+    rng = random.Random(16)
+    made, labels = [], []
+    for i in range(1200):
+        w, bad = words(rng, rng.randrange(20, 200)), rng.random() < 0.2
+        if bad:
+            for _ in range(2 + len(w) // 20):
+                w[rng.randrange(len(w))] = rng.choice(["vile", "rotten", "horrid"])
+        made.append((i, " ".join(w), 7, bad, 0.5))
+        labels.append((i, 1, int(bad != (rng.random() < 0.1))))
+    d = spark.createDataFrame(made, "doc_id long, text string, grade int, toxic boolean, said double")
+    y = spark.createDataFrame([x for x in labels if x[0] % 2 == 0], "doc_id long, quality int, toxic int")
+    model = train_toxicity(d, y)
+    got = judged(d, model).select("row.*", F.col("said.toxic").alias("told")).where("doc_id % 2 = 1").collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "grade", "toxic", "said", "told"} and all(r["grade"] == 7 for r in got)
+    hit = sum(r["told"] and r["toxic"] for r in got)
+    assert hit >= 0.95 * sum(r["toxic"] for r in got) and hit >= 0.95 * sum(r["told"] for r in got)
+    by_text = {r["row"]["doc_id"]: r["said"] for r in judged(d, model).collect()}
+    for i, t, *_ in made[:50]:  # the score from its definition, word by word
+        x = np.frombuffer(t.encode(), np.uint8)
+        f, _, n = stems(x, np.array([0, len(x)]), model.bits)
+        s = model.scale * sum(float(model.weights[k]) for part in f for k in part.tolist()) / np.sqrt(n[0])
+        below = 1 / (1 + np.exp(-(model.cuts - s)))
+        assert abs(by_text[i]["severity"] - (1 - below).sum()) < 1e-6 and by_text[i]["toxic"] == (1 - below[0] >= 0.2 and s > 0)
+
+
 def test_ordinal_thresholds_are_ordered():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 4, 2000)
