@@ -12,16 +12,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumaplan.llm.common import text_buffer
 
 # Fixed values of the TIFF 6.0 format: field types and their sizes, tags, compression schemes.
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
-WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
+WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, FILL_ORDER, SAMPLE_FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 266, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
 
+#: The most bytes of pixels that one byte of file may stand for: over deflate's 1032, which is the most of any scheme here but LZW.
+DENSEST = 4096
+_MIRRORED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
 class TiffError(ValueError):
     """The bytes are no TIFF that this reader can read."""
 
@@ -35,6 +41,7 @@ class Page:
     bits: int
     compression: int
     predictor: int
+    sample_format: int
     pixels: bytes
 
 
@@ -155,32 +162,43 @@ DECODERS = {NONE: lambda d, n: d[:n], LZW: lzw_decode, DEFLATE: _inflate, OLD_DE
 ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, 1), PACKBITS: pack_bits}
 
 
+def iter_tiff(data: bytes | None, max_pages: int | None = None, max_page_bytes: int = 1 << 28) -> Iterator[Page]:
+    """The pages in order of the chain of image directories, one at a time. Raises TiffError at the first fault, whatever the bytes
+    are; pages before it have been given."""
+    try:
+        yield from _pages(data, max_pages, max_page_bytes)
+    except TiffError:
+        raise
+    except (struct.error, LookupError, ArithmeticError, TypeError, ValueError, MemoryError) as err:
+        raise TiffError(f"truncated or damaged: {err}") from err
+
+
 def read_tiff(data: bytes | None, max_pages: int | None = None) -> list[Page]:
-    """All pages in order of the chain of image directories. Raises TiffError."""
+    """All pages. Raises TiffError."""
+    return list(iter_tiff(data, max_pages))
+
+
+def _pages(data: bytes | None, max_pages: int | None, max_page_bytes: int) -> Iterator[Page]:
     if not data or len(data) < 8 or data[:2] not in (b"II", b"MM"):
         raise TiffError("no TIFF header")
     e = "<" if data[:2] == b"II" else ">"
-    try:
-        (version,) = struct.unpack_from(f"{e}H", data, 2)
-        big = version == 43
-        if version not in (42, 43):
-            raise TiffError(f"version {version}")
-        (at,) = struct.unpack_from(f"{e}Q", data, 8) if big else struct.unpack_from(f"{e}I", data, 4)
-        pages, seen = [], set()
-        while at:
-            if at in seen:
-                raise TiffError("the chain of directories is a loop")
-            if max_pages is not None and len(pages) >= max_pages:
-                break
-            seen.add(at)
-            tags, at = _directory(data, at, e, big)
-            pages.append(_page(data, tags, e, len(pages)))
-        return pages
-    except (struct.error, IndexError, KeyError, OverflowError) as err:
-        raise TiffError(f"truncated or damaged: {err}") from err
+    (version,) = struct.unpack_from(f"{e}H", data, 2)
+    big = version == 43
+    if version not in (42, 43):
+        raise TiffError(f"version {version}")
+    (at,) = struct.unpack_from(f"{e}Q", data, 8) if big else struct.unpack_from(f"{e}I", data, 4)
+    seen: set[int] = set()
+    while at and len(seen) != max_pages:
+        if at in seen:
+            raise TiffError("the chain of directories is a loop")
+        seen.add(at)
+        tags, at = _directory(data, at, e, big)
+        yield _page(data, tags, e, len(seen) - 1, max_page_bytes)
 
 
 def _directory(data: bytes, at: int, e: str, big: bool) -> tuple[dict[int, list[int]], int]:
+    if at >= len(data):
+        raise TiffError("a directory outside the file")
     (n,) = struct.unpack_from(f"{e}Q" if big else f"{e}H", data, at)
     at += 8 if big else 2
     tags: dict[int, list[int]] = {}
@@ -199,49 +217,65 @@ def _directory(data: bytes, at: int, e: str, big: bool) -> tuple[dict[int, list[
     return tags, struct.unpack_from(f"{e}Q" if big else f"{e}I", data, at)[0]
 
 
-def _page(data: bytes, tags: dict[int, list[int]], e: str, index: int) -> Page:
-    one = lambda tag, default=None: tags[tag][0] if tag in tags else default
-    width, height = one(WIDTH), one(LENGTH)
-    if not width or not height:
+def _page(data: bytes, tags: dict[int, list[int]], e: str, index: int, max_page_bytes: int) -> Page:
+    def one(tag: int, default: int) -> int:
+        got = tags.get(tag) or [default]
+        return got[0]
+
+    width, height = one(WIDTH, 0), one(LENGTH, 0)
+    samples, bits, scheme, predictor, planar, kind = one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1), one(SAMPLE_FORMAT, 1)
+    if width < 1 or height < 1 or samples < 1:
         raise TiffError("no size")
-    samples, bits, scheme, predictor, planar = one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
     if scheme not in DECODERS:
         raise TiffError(f"compression {scheme} is not supported")
-    if bits not in (1, 2, 4, 8, 16, 32) or len(set(tags.get(BITS, [bits]))) != 1:
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(tags.get(BITS, [bits]))) != 1:
         raise TiffError(f"{tags.get(BITS)} bits are not supported")
-    if predictor not in (1, 2) or predictor == 2 and bits < 8:
-        raise TiffError(f"predictor {predictor} is not supported")
-    if TILE_OFFSETS in tags:
-        w, h, offsets, counts = one(TILE_WIDTH), one(TILE_LENGTH), tags[TILE_OFFSETS], tags[TILE_COUNTS]
+    if predictor not in (1, 2, 3) or predictor > 1 and bits < 8 or predictor == 3 and bits < 16:
+        raise TiffError(f"predictor {predictor} is not supported for {bits} bits")
+    tiled = TILE_OFFSETS in tags
+    if tiled:
+        w, h, offsets, counts = one(TILE_WIDTH, 0), one(TILE_LENGTH, 0), tags[TILE_OFFSETS], tags.get(TILE_COUNTS, [])
     else:
-        w, h, offsets, counts = width, min(height, one(ROWS_PER_STRIP, height)), tags[STRIP_OFFSETS], tags.get(STRIP_COUNTS) or [len(data)]
-    across, down = -(-width // w), -(-height // h)
+        w, h, offsets, counts = width, min(height, one(ROWS_PER_STRIP, height)), tags.get(STRIP_OFFSETS, []), tags.get(STRIP_COUNTS) or [len(data)]
+    if w < 1 or h < 1:
+        raise TiffError("strips or tiles without extent")
     planes, inner = (samples, 1) if planar == 2 else (1, samples)
+    row_bytes = lambda n: -(-n * inner * bits // 8)
+    if max(planes * height * row_bytes(width), h * row_bytes(w)) > min(max_page_bytes, DENSEST * len(data)):
+        raise TiffError("the page is too large")
+    across, down = -(-width // w), -(-height // h)
     if len(offsets) < across * down * planes or len(counts) < len(offsets):
         raise TiffError("strips or tiles are missing")
     bytes_ = max(1, bits // 8)
-    row_bytes = lambda n: -(-n * inner * bits // 8)
-    if width * height * samples * bits // 8 > 1 << 31:
-        raise TiffError("the page is too large")
     whole = np.zeros((planes, height, row_bytes(width)), np.uint8)
     for i in range(across * down * planes):
         p, y, x = i // (across * down), i % (across * down) // across * h, i % across * w
-        rows = h if TILE_OFFSETS in tags else min(h, height - y)
-        raw = DECODERS[scheme](data[offsets[i] : offsets[i] + counts[i]], rows * row_bytes(w))
+        rows = h if tiled else min(h, height - y)
+        raw = data[offsets[i] : offsets[i] + counts[i]]
+        if one(FILL_ORDER, 1) == 2:
+            raw = raw.translate(_MIRRORED)
+        raw = DECODERS[scheme](raw, rows * row_bytes(w))
         if len(raw) < rows * row_bytes(w):
             raise TiffError("a strip or tile is too short")
         block = np.frombuffer(raw, np.uint8).reshape(rows, -1)
         if predictor == 2:
-            kind = np.dtype(f"{e}u{bytes_}")
-            block = np.add.accumulate(block.view(kind).reshape(rows, -1, inner), axis=1, dtype=kind.newbyteorder("=")).astype(kind).reshape(rows, -1).view(np.uint8)
+            unit = np.dtype(f"{e}u{bytes_}")
+            block = np.add.accumulate(block.view(unit).reshape(rows, -1, inner), axis=1, dtype=unit.newbyteorder("=")).astype(unit).reshape(rows, -1).view(np.uint8)
+        elif predictor == 3:
+            # Differences of bytes; of each row first all highest bytes, then all next ones.
+            sums = np.add.accumulate(block.reshape(rows, -1, inner), axis=1, dtype=np.uint8)
+            swapped = sums.reshape(rows, bytes_, -1).transpose(0, 2, 1)
+            block = np.ascontiguousarray(swapped if e == ">" else swapped[:, :, ::-1]).reshape(rows, -1)
         rows = min(rows, height - y)
         left, n = row_bytes(x), min(row_bytes(w), row_bytes(width) - row_bytes(x))
         whole[p, y : y + rows, left : left + n] = block[:rows, :n]
     if bytes_ > 1 and e == ">":
         whole = whole.view(f">u{bytes_}").astype(f"<u{bytes_}").view(np.uint8)
     if planes > 1:
+        if bits < 8:
+            raise TiffError("planes of samples under 8 bits are not supported")
         whole = whole.reshape(planes, height, width, -1).transpose(1, 2, 0, 3)
-    return Page(index, width, height, samples, bits, scheme, predictor, whole.tobytes())
+    return Page(index, width, height, samples, bits, scheme, predictor, kind, whole.tobytes())
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 480, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
@@ -289,36 +323,52 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
     return bytes(out)
 
 
-PAGES = "array<struct<page:int,width:int,height:int,samples:int,bits:int,compression:int,predictor:int,pixels:binary>>"
-_PAGE = pa.struct([*((n, pa.int32()) for n in ("page", "width", "height", "samples", "bits", "compression", "predictor")), ("pixels", pa.binary())])
+_PAGE = pa.schema([*((n, pa.int32()) for n in ("page", "width", "height", "samples", "bits", "compression", "predictor", "sample_format")), ("pixels", pa.binary()), ("tiff_error", pa.string())])
+PAGE = "page int, width int, height int, samples int, bits int, compression int, predictor int, sample_format int, pixels binary, tiff_error string"
 
 
-def tiff_pages(media: DataFrame, column: str) -> DataFrame:
+def tiff_pages(media: DataFrame, column: str, batch_bytes: int = 1 << 25) -> DataFrame:
     """One row per page of the TIFF in `column`: the other columns, page, width, height, samples, bits, compression, predictor,
-    pixels (row-major, samples interleaved, little-endian) and tiff_error.
+    sample_format (1 unsigned, 2 signed, 3 floating point), pixels (row-major, samples interleaved, little-endian) and tiff_error.
 
-    Null, empty or damaged bytes: one row with null page and the reason in tiff_error. Columns of media that have the name
-    of an output column are dropped. Repeated rows: pages each. Empty table: no rows.
+    Strips and tiles, classic and big files, both byte and fill orders; no compression, PackBits, LZW, deflate; predictors 1 to
+    3; 1 to 64 bits, the same for all samples. Anything else, and null, empty or damaged bytes: the pages read before the
+    fault, then one row with null page and the reason in tiff_error. Pages go on as they are read; a task holds one page over
+    batch_bytes. Columns of media that have the name of an output column are dropped. Repeated rows: pages each. Empty table: no
+    rows.
     """
-    made = {"page", "width", "height", "samples", "bits", "compression", "predictor", "pixels", "tiff_error", "tiff_pages"}
-    keep = [c for c in media.columns if c not in made and c != column]
-    schema = "".join(f"`{c}` {media.schema[c].dataType.simpleString()}, " for c in keep) + f"tiff_pages {PAGES}, tiff_error string"
+    keep = [c for c in media.columns if c not in _PAGE.names and c != column]
+    schema = StructType([*(media.schema[c] for c in keep), *StructType.fromDDL(PAGE)])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            pages, errors = [], []
-            for x in rb.column(column):
+            of: list[int] = []
+            rows: list[tuple] = []
+
+            def batch() -> pa.RecordBatch:
+                at = pa.array(of, pa.int64())
+                made = [pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_PAGE)]
+                out = pa.RecordBatch.from_arrays([*(rb.column(c).take(at) for c in keep), *made], names=[*keep, *_PAGE.names])  # noqa: B023
+                of.clear()  # noqa: B023
+                rows.clear()  # noqa: B023
+                return out
+
+            size = 0
+            for i, x in enumerate(rb.column(column)):
                 try:
-                    found = [{"page": p.index, "width": p.width, "height": p.height, "samples": p.samples, "bits": p.bits, "compression": p.compression, "predictor": p.predictor, "pixels": p.pixels} for p in read_tiff(x.as_py())]
-                    errors.append(None)
+                    for p in iter_tiff(x.as_py()):
+                        of.append(i)
+                        rows.append((p.index, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.sample_format, p.pixels, None))
+                        size += len(p.pixels)
+                        if size > batch_bytes:
+                            yield batch()
+                            size = 0
                 except TiffError as e:
-                    found = []
-                    errors.append(str(e))
-                pages.append(found)
-            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), pa.array(pages, pa.list_(_PAGE)), pa.array(errors, pa.string())], names=[*keep, "tiff_pages", "tiff_error"])
+                    of.append(i)
+                    rows.append((*[None] * 9, str(e)))
+            yield batch()
 
-    out = media.select(*keep, column).mapInArrow(decode, schema)
-    return out.select(*keep, F.explode_outer("tiff_pages").alias("_p"), "tiff_error").select(*keep, "_p.*", "tiff_error")
+    return media.select(*keep, column).mapInArrow(decode, schema)
 
 
 SIDE = 24
