@@ -30,7 +30,7 @@ def gear_hash(flat: np.ndarray) -> np.ndarray:
 
 def cut_points(flat: np.ndarray, offsets: np.ndarray, least: int, mean_bits: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chunk starts, ends and text index. A chunk ends after a byte where the top mean_bits bits of the gear hash are zero,
-    after at least `least` and at most `most` bytes, or with its text."""
+    after at least `least` and at most `most` bytes, or with its text. A tail under `least` bytes belongs to the chunk before it."""
     h = gear_hash(flat)
     marks = np.flatnonzero(h >> np.uint32(32 - mean_bits) == 0) + 1
     starts, ends, text = [], [], []
@@ -45,17 +45,19 @@ def cut_points(flat: np.ndarray, offsets: np.ndarray, least: int, mean_bits: int
                 starts.append(at)
                 ends.append(at := at + most)
                 text.append(i)
-            if c - at >= least or (c == b and c > at):
+            if c == b and 0 < c - at < least and at > a:
+                ends[-1] = at = c
+            elif c - at >= least or (c == b and c > at):
                 starts.append(at)
                 ends.append(at := c)
                 text.append(i)
     return np.array(starts, np.int64), np.array(ends, np.int64), np.array(text, np.int64)
 
 
-def chunk_dedup(docs: DataFrame, least: int = 32, mean_bits: int = 5, most: int = 512, keep_bytes: bool = True) -> DataFrame:
-    """Removes each chunk whose bytes are also a chunk earlier (smaller doc_id, or same text and earlier start). Chunks of
-    fewer than `least` bytes (tails of texts) are kept unless the whole text is one chunk. Two 64-bit digests of each
-    chunk are compared.
+def chunk_dedup(docs: DataFrame, least: int = 64, mean_bits: int = 5, most: int = 512, keep_bytes: bool = True) -> DataFrame:
+    """Removes each chunk whose bytes are also a chunk earlier (smaller doc_id, or same text and earlier start). Chunks have
+    `least` to most + least - 1 bytes, shorter only where the whole text is. 128-bit BLAKE2b digests are compared. A repeated
+    passage loses the chunks that lie in it whole: of passages of 300 to 500 bytes, 95 percent lose one at least.
 
     Null text: as empty. Empty text: no chunks. Null doc_id: before all other ids. Rows of one doc_id: neither is earlier.
     Empty table: no rows. Other columns are not read.
@@ -76,7 +78,7 @@ def chunk_dedup(docs: DataFrame, least: int = 32, mean_bits: int = 5, most: int
                 x = np.empty(len(s), ENTRY)
                 x["k1"], x["k2"] = span_digests(part, s, e)
                 x["doc"], x["th"], x["low"], x["high"] = ids[lo:hi][t], th[lo:hi][t], s - o[t], e - o[t] - 1
-                parts.append(x[(e - s >= least) | (s - o[t] == 0) & (e == o[t + 1])])
+                parts.append(x)
             yield to_buckets(parts, buckets, True)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

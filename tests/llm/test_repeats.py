@@ -56,9 +56,9 @@ def test_chunk_dedup_is_the_rule(spark):
     docs, pieces = [(d, i, t.encode()) for d, i, t in table()], {}
     seen = defaultdict(list)
     for d, i, t in docs:
-        s, e, _ = cut_points(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 32, 5, 512)
+        s, e, _ = cut_points(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 64, 5, 512)
         assert b"".join(t[a:b] for a, b in zip(s, e)) == t
-        assert all(32 <= b - a <= 512 or b == len(t) for a, b in zip(s, e))
+        assert all(64 <= b - a < 576 or b - a == len(t) for a, b in zip(s, e))
         pieces[i] = [(int(a), int(b)) for a, b in zip(s, e)]
         for a, b in pieces[i]:
             seen[t[a:b]].append((d, i, int(a)))
@@ -67,16 +67,23 @@ def test_chunk_dedup_is_the_rule(spark):
         kept = b""
         for a, b in pieces[i]:
             first = any(x < d or (x == d and r == i and c < a) for x, r, c in seen[t[a:b]])
-            if not first or (b - a < 32 and b - a < len(t)):
+            if not first:
                 kept += t[a:b]
         want.append((d, len(t), len(pieces[i]), len(t) - len(kept), hashlib.sha256(kept).hexdigest()))
     got = chunk_dedup(spark.createDataFrame(rows(), SCHEMA).repartition(5)).collect()
     assert sorted(want) == sorted((-(2**63) if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_chunks"], r["n_removed"], r["kept_sha256"]) for r in got)
 
 
+def test_exact_copies_go_whole(spark):
+    texts = [t for _, t, *_ in rows() if t]
+    made = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, t) for i, t in enumerate(texts)]
+    got = chunk_dedup(spark.createDataFrame(made, "doc_id long, text string")).where("doc_id >= 10000").collect()
+    assert len(got) == len(texts) and all(r["n_removed"] == r["n_bytes"] for r in got)
+
+
 def test_chunks_survive_insertions():
     text = bytes(range(32, 127)) * 3 + bytes(i * 37 % 251 for i in range(20000))
-    chunks = lambda t: {t[a:b] for a, b in zip(*cut_points(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 32, 5, 512)[:2])}
+    chunks = lambda t: {t[a:b] for a, b in zip(*cut_points(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 64, 5, 512)[:2])}
     a, b = chunks(text), chunks(text[:5000] + b"inserted" + text[5000:])
     assert len(b - a) <= 6
 
