@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,7 +70,8 @@ def document_frequency(docs: DataFrame, runs: np.ndarray) -> tuple[np.ndarray, i
 @dataclass
 class Items:
     """A block of benchmark passages: word hashes, the row of each feature in the basis (-1: none), the basis with each row
-    weighed by its idf, and the items' latent vectors."""
+    weighed by its idf, the items' latent vectors of unit length, and how much of an item's vector (of length 1) lies in the
+    basis: an item's cosine with itself."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -78,6 +79,7 @@ class Items:
     at: np.ndarray
     basis: np.ndarray
     latent: np.ndarray
+    own: np.ndarray
 
 
 def _weights(words: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,38 +91,47 @@ def _weights(words: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[n
     return row, f, w / np.maximum(np.sqrt(np.bincount(row, w * w, n)), 1e-12)[row]
 
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, oversample: int = 16, power: int = 1, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Features and the right singular basis (features x rank) of the passages' TF-IDF matrix A.
 
-    Two distributed passes: Z = A'(A R) with a random R, whose rows are summed by feature, then the small Gram matrix of
-    A Q for Q = orth(Z). The driver holds at most 2**BITS rows of Z, whatever the number of passages.
+    Randomised range finder with oversampling and power iterations, each a distributed pass: Z = A'(A R) with a random R, then
+    Z = A'(A Q) for Q = orth(Z), whose rows are summed by feature; last the small Gram matrix of A Q, of whose eigenvectors
+    the first `rank` stay. The driver holds at most 2**BITS rows of Z, whatever the number of passages.
     """
+    text, wide = passages.select("text"), rank + oversample
 
     def noise(f: np.ndarray) -> np.ndarray:
-        h = mix(f.astype(np.uint64)[:, None] * C3 + np.arange(rank, dtype=np.uint64)[None, :] + np.uint64(seed << 32))
+        h = mix(f.astype(np.uint64)[:, None] * C3 + np.arange(wide, dtype=np.uint64)[None, :] + np.uint64(seed << 32))
         return np.where(h >> np.uint64(63), 1.0, -1.0)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            words, at = lower_words(*text_buffer(rb.column("text")))
-            row, f, w = _weights(words, at, idf)
-            used, back = np.unique(f, return_inverse=True)
-            y = np.zeros((len(at) - 1, rank))
-            np.add.at(y, row, w[:, None] * noise(f))
-            z = np.zeros((len(used), rank))
-            np.add.at(z, back, w[:, None] * y[row])
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([x.tobytes() for x in z], pa.binary())], names=["feature", "z"])
-
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x) for x in t.column("z").to_pylist())
         return pa.table([t.column("feature")[:1], pa.array([total.tobytes()], pa.binary())], names=["feature", "z"])
 
-    text = passages.select("text")
-    got = text.mapInArrow(sketch, "feature int, z binary").groupBy("feature").applyInArrow(add, "feature int, z binary").toArrow().sort_by("feature")
-    used = got.column("feature").to_numpy().astype(np.int64)
+    def passed(rows_of: Callable[[np.ndarray], np.ndarray], columns: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features and rows of A'(A X), X given by rows of features."""
+
+        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rb in batches:
+                words, at = lower_words(*text_buffer(rb.column("text")))
+                row, f, w = _weights(words, at, idf)
+                used, back = np.unique(f, return_inverse=True)
+                y = np.zeros((len(at) - 1, columns))
+                np.add.at(y, row, w[:, None] * rows_of(f))
+                z = np.zeros((len(used), columns))
+                np.add.at(z, back, w[:, None] * y[row])
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([x.tobytes() for x in z], pa.binary())], names=["feature", "z"])
+
+        got = text.mapInArrow(sketch, "feature int, z binary").groupBy("feature").applyInArrow(add, "feature int, z binary").toArrow().sort_by("feature")
+        return got.column("feature").to_numpy().astype(np.int64), np.frombuffer(b"".join(got.column("z").to_pylist())).reshape(-1, columns)
+
+    used, z = passed(noise, wide)
     if not len(used):
         return used, np.zeros((0, rank))
-    q, _ = np.linalg.qr(np.frombuffer(b"".join(got.column("z").to_pylist())).reshape(len(used), rank))
+    for _ in range(power):
+        q, _ = np.linalg.qr(z)
+        _, z = passed(lambda f, q=q: q[np.searchsorted(used, f)], q.shape[1])
+    q, _ = np.linalg.qr(z)
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros((q.shape[1], q.shape[1]))
@@ -134,7 +145,7 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, seed: int =
 
     g = sum(np.frombuffer(r["g"]) for r in text.mapInArrow(gram, "g binary").collect()).reshape(q.shape[1], -1)
     values, turn = np.linalg.eigh(g)
-    keep = values > 1e-9 * max(values.max(), 1e-12)
+    keep = (values > 1e-9 * max(values.max(), 1e-12)) & (np.arange(len(values)) >= len(values) - rank)
     return used, q @ turn[:, keep][:, ::-1]
 
 
@@ -156,7 +167,9 @@ class Matcher:
     def __init__(self, items: Items, least_cosine: float, least_overlap: float, least_answer: float):
         self.x, self.least_cosine, self.least_overlap, self.least_answer = items, least_cosine, least_overlap, least_answer
         self.size = np.array([len(w) for w in items.words])
-        self.window = np.maximum(16, 1 << np.ceil(np.log2(np.maximum(self.size, 1))).astype(int))
+        # Items without words, or that the basis does not hold at all, have no windows.
+        some = (self.size > 0) & (items.own > 1e-6)
+        self.window = np.where(some, np.maximum(16, 1 << np.ceil(np.log2(np.maximum(self.size, 1))).astype(int)), 0)
         self.masks: dict[int, tuple[dict[int, int], set[int]]] = {}
 
     def _item(self, i: int) -> tuple[dict[int, int], set[int]]:
@@ -178,7 +191,9 @@ class Matcher:
         and blocks of twice the size are sums of two. A word's vector is read once for all windows.
         """
         x, best = self.x, {}
-        widths = np.unique(self.window).tolist()
+        widths = np.unique(self.window[self.window > 0]).tolist()
+        if not widths:
+            return []
         levels = int(np.log2(widths[-1] // widths[0])) + 1
         step = widths[0] // 4
         f = features(words)
@@ -193,13 +208,14 @@ class Matcher:
         known = np.bincount(block, np.where(place >= 0, g * g, 0), base[-1])
         four = lambda v: v[:-3] + v[1:-2] + v[2:-1] + v[3:]
         half = lambda v: v[::2] + v[1::2]
-        # The cosine is at most the root of the share of the window's weight that lies on words of items.
+        # A window's cosine with an item's latent vector is at most the root of the share of its weight on words of items.
+        bound = {w: (self.least_cosine * self.x.own[self.window == w].min()) ** 2 for w in widths}
         wanted, windows, e, k = np.zeros(base[-1], bool), {}, total, known
         for level in range(levels):
             width = widths[0] << level
             if width in widths:
                 sums = four(e)
-                maybe = np.flatnonzero((four(k) >= self.least_cosine**2 * sums) & (sums > 0))
+                maybe = np.flatnonzero((four(k) >= bound[width] * sums) & (sums > 0))
                 windows[level] = maybe, sums[maybe]
                 for j in range(4):
                     wanted[((maybe + j)[:, None] << level) + np.arange(1 << level)] = True
@@ -222,13 +238,16 @@ class Matcher:
         """Windows of four blocks of step words that begin with the given blocks."""
         x, width = self.x, 4 * step
         mine = np.flatnonzero(self.window == width)
-        for s in range(0, len(starts), 8192):
-            j = starts[s : s + 8192]
+        # At most 2**22 cosines at a time.
+        size, need = max(64, (1 << 22) // len(mine)), (self.least_cosine * x.own[mine]).astype(np.float32)
+        for s in range(0, len(starts), size):
+            j = starts[s : s + size]
             v = vec[j] + vec[j + 1]
             v += vec[j + 2]
             v += vec[j + 3]
+            v /= np.sqrt(energy[s : s + size]).astype(np.float32)[:, None]
             cos = v @ x.latent[mine].T
-            row, col = np.nonzero(cos >= (self.least_cosine * np.sqrt(energy[s : s + 8192])).astype(np.float32)[:, None])
+            row, col = np.nonzero(cos >= need)
             texts = np.searchsorted(base, j[row], "right") - 1
             first = at[texts] + (j[row] - base[texts]) * step
             begins, ends = np.maximum(at[texts], first - width // 2), np.minimum(at[texts + 1], first + width + width // 2)
@@ -245,7 +264,7 @@ class Matcher:
                     continue
                 overlap = common_subsequence(masks, int(self.size[i]), said) / int(self.size[i])
                 if overlap >= self.least_overlap and (known is None or (overlap, got) > known[1:3]):
-                    best[(t, i)] = (float(min(1.0, cos[r, c] / np.sqrt(energy[s + r]))), overlap, got, a - int(at[t]), b - int(at[t]))
+                    best[(t, i)] = (float(cos[r, c]), overlap, got, a - int(at[t]), b - int(at[t]))
 
 
 def _block(items: DataFrame, idf: np.ndarray, rank: int) -> Items:
@@ -257,17 +276,20 @@ def _block(items: DataFrame, idf: np.ndarray, rank: int) -> Items:
     row, f, w = _weights(words, at, idf)
     latent = np.zeros((len(at) - 1, basis.shape[1]))
     np.add.at(latent, row, w[:, None] * basis[where[f]])
-    # What the basis keeps of an item differs; divided by its square, an item in full has cosine 1 with itself.
-    latent /= np.maximum((latent * latent).sum(1), 1e-12)[:, None]
-    return Items(got.column("item_id").to_pylist(), [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], idf, where, (basis * idf[used][:, None]).astype(np.float32), latent.astype(np.float32))
+    own = np.sqrt((latent * latent).sum(1))
+    latent /= np.maximum(own, 1e-12)[:, None]
+    return Items(got.column("item_id").to_pylist(), [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], idf, where, (basis * idf[used][:, None]).astype(np.float32), latent.astype(np.float32), own)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.35, least_overlap: float = 0.6, least_answer: float = 0.34, rank: int = 96, block_items: int = 20000, block_bytes: int = 32 << 20) -> DataFrame:
     """Rows of HITS: each text and benchmark item it holds, verbatim or paraphrased, with the words [start, end) around it.
 
-    Document frequencies are over all docs, without the words that lie in runs of three words of an item. The items' TF-IDF matrix is factorised; every window of every text is folded in
-    and compared by cosine; candidates stay if a common subsequence of words has least_overlap of the item and
-    least_answer of its rarest words are there. Items go in blocks of bounded number and bytes, each against all docs.
+    Document frequencies are over all docs, without the words that lie in runs of three words of an item. The items' TF-IDF
+    matrix is factorised; every window of every text is compared with every item by the cosine of its TF-IDF vector and the
+    item's latent vector. A window is a candidate if that reaches least_cosine of the item's cosine with itself, which tells
+    how much of the item the basis holds. Candidates stay if a common subsequence of words has least_overlap of the item and
+    least_answer of its rarest words are there. Items go in blocks of bounded number and bytes, each against all docs: a
+    stated set of queries, compared in slices of 2**22 cosines.
 
     Null or empty texts and items: no hits. Null item_id: dropped. Repeated rows of docs: hits each. Empty tables: no rows.
     docs: as keyed() gives it.

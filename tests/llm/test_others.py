@@ -11,12 +11,13 @@ from fixtures import SCHEMA, rows, words
 from pyspark.sql import functions as F
 
 from lumaplan.llm.components import components
-from lumaplan.llm.decontaminate import common_subsequence, decontaminate
+from lumaplan.llm.common import keyed
+from lumaplan.llm.decontaminate import _weights, benchmark_hits, common_subsequence, decontaminate, randomised_svd
 from lumaplan.llm.language_id import held_out, identify_language, train_language_id
 from lumaplan.llm.minhash_dart import dart_minhash, near_duplicates, similarity
 from lumaplan.llm.mixing import fill_targets, mix_sources
 from lumaplan.llm.token_arrow import PieceEncoder, default_tokenizer, read_token_files, write_token_files
-from lumaplan.llm.toxicity import fit_ordinal, judged, score_toxicity, stems, train_toxicity
+from lumaplan.llm.toxicity import fit_ordinal, judged, lower_words, score_toxicity, stems, train_toxicity
 
 
 @pytest.fixture(scope="module")
@@ -404,6 +405,55 @@ def test_decontaminate(spark, docs):
     assert decontaminate(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_recall_of_paraphrases(spark):
+    """Words replaced, dropped, put in and swapped at growing rates, against brute force over all windows and items: what has 0.6
+    of an item as a common subsequence near one window, and 0.34 of its rarest words, must be found."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    draw = lambda n: [vocabulary[int(3000 * rng.random() ** 2.5)] for _ in range(n)]
+    items = [draw(rng.randrange(20, 70)) for _ in range(60)]
+    made, planted = [], {}
+    for i in range(300):
+        body = draw(rng.randrange(40, 300))
+        if i % 3 == 0:
+            w, rate = [], 0.05 * (i % 7)
+            for x in items[i % 60]:
+                u = rng.random()
+                w += [x] if u > rate else rng.choice([[], draw(1), [x, *draw(1)]])
+            for _ in range(int(rate * 10)):
+                k = rng.randrange(len(w) - 1)
+                w[k], w[k + 1] = w[k + 1], w[k]
+            at = rng.randrange(len(body))
+            body[at:at] = w
+            planted[i] = i % 60
+        made.append((i, " ".join(body)))
+    d, bench = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in benchmark_hits(keyed(d), bench).collect()}
+    clear = {(i, k) for i, k in planted.items() if lcs(items[k], made[i][1].split()) >= 0.75 * len(items[k])}
+    assert len(clear) > 60 and len(found & clear) >= 0.95 * len(clear)
+    # Nothing is found that does not hold 0.6 of the item in order.
+    assert all(lcs(items[k], made[i][1].split()) >= 0.6 * len(items[k]) for i, k in found)
+    clean = {i for i, _ in made if i not in planted}
+    assert len({i for i, _ in found} & clean) <= 0.05 * len(clean)
+
+
+def test_latent_basis(spark):
+    """The randomised basis against numpy's own SVD of the same matrix."""
+    rng = random.Random(22)
+    texts = [" ".join(words(rng, 40)) for _ in range(80)]
+    at, flat = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]), np.frombuffer("".join(texts).encode(), np.uint8)
+    w, off = lower_words(flat, at)
+    row, f, weight = _weights(w, off, np.ones(1 << 17))
+    full = np.zeros((80, 1 << 17), np.float32)
+    full[row, f] = weight
+    used = np.unique(f)
+    exact = np.linalg.svd(full[:, used], full_matrices=False)[2][:20]
+    got, basis = randomised_svd(spark.createDataFrame([(t,) for t in texts], "text string"), np.ones(1 << 17), 20)
+    assert (got == used).all() and np.allclose(basis.T @ basis, np.eye(20), atol=1e-8)
+    kept = lambda b: ((full[:, used] @ b) ** 2).sum()
+    assert kept(basis) >= 0.97 * kept(exact.T)
+
+
 def test_decontamination_of_a_passage_in_a_third_of_the_texts(spark):
     rng = random.Random(8)
     name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
