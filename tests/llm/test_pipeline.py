@@ -109,6 +109,39 @@ def test_stages(spark, folder, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, where).collect()), key=lambda r: r[1]) == want
 
 
+def test_stages_keep_columns_of_any_name(spark, folder):
+    """Documents with columns named as what the stages compute: all come through with their values."""
+    where, docs, _ = folder
+    names = ["grade", "severity", "p_toxic", "toxic", "said", "row", "_id", "_th", "_n", "_rh", "_copy", "key_id", "key_hash", "row_hash", "nth", "copies", "copy", "from", "of", "root", "class_id", "contaminated", "item_id"]
+    wide = SCHEMA + "".join(f", `{n}` string" for n in names)
+    frame = spark.createDataFrame([(*d, *names) for d in docs[:40]], wide)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, where)
+        assert out.columns == frame.columns, name
+        got = out.collect()
+        assert got and all(tuple(r)[5:] == tuple(names) for r in got), name
+
+
+def test_sql_of_the_operators(spark):
+    """The operators' SQL against their queries, on the smallest tables."""
+    import glob
+    import os
+
+    import duckdb
+
+    from lumaplan.llm.queries import ORACLE_SQL, QUERIES
+
+    where = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    con = duckdb.connect()
+    for f in glob.glob(f"{where}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    for name, sql in ORACLE_SQL.items():
+        want = con.execute(sql)
+        columns = [d[0] for d in want.description]
+        got = [tuple(r[c] for c in columns) for r in QUERIES[name](spark, where).collect()]
+        assert len(got) > 100 and sorted(got) == sorted(want.fetchall()), name
+
+
 def test_pipeline_on_empty_documents(spark, folder, tmp_path):
     where, _, _ = folder
     frame = spark.createDataFrame([], SCHEMA)
