@@ -17,12 +17,13 @@ from lumaplan.llm.token_arrow import op3_token_arrow
 from lumaplan.llm.toxicity import judged, train_toxicity
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_th": text_hash(F.coalesce(F.col("text"), F.lit("")))})
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs, nested so that no name clashes), key_id and key_hash."""
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key_id"), text_hash(F.coalesce(F.col("text"), F.lit(""))).alias("key_hash"))
 
 
 def _key_of(decisions: DataFrame) -> DataFrame:
-    return decisions.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_th": F.col("th")})
+    return decisions.withColumns({"key_id": F.coalesce("doc_id", F.lit(NULL_ID)), "key_hash": F.col("th")})
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,25 +36,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each class of near-duplicates the document of least doc_id stays (of repeated rows, one)."""
     classes = _key_of(near_duplicates(docs))
     least = F.coalesce("class_id", F.lit(NULL_ID))
-    kept = classes.where(F.col("_id") == least).select("_id", "_th", "root").distinct()
-    one = Window.partitionBy("_id", "root").orderBy("_th")
-    kept = kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_id", "_th")
-    found = _with_key(docs).join(kept, ["_id", "_th"])
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("source", "lang"))).where("_n = 1").select(*docs.columns)
+    kept = classes.where(F.col("key_id") == least).groupBy("key_id", "root").agg(F.min("key_hash").alias("key_hash"))
+    found = _keyed(docs).join(kept.select("key_id", "key_hash").distinct(), ["key_id", "key_hash"])
+    # Of rows equal in id and text any may stay; the least of their other values makes reruns agree.
+    order = F.xxhash64("row")
+    return found.groupBy("key_id", "key_hash").agg(F.min_by("row", order).alias("row")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    bad = _key_of(decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")).select("_id", "_th").distinct()
-    return _with_key(docs).join(bad, ["_id", "_th"], "left_anti").select(*docs.columns)
+    bad = _key_of(decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")).select("key_id", "key_hash").distinct()
+    return _keyed(docs).join(bad, ["key_id", "key_hash"], "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    taken = mix_sources(docs).where("copies > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("row_hash").alias("_rh"), "copies")
-    taken = taken.groupBy("_id", "_rh").agg(F.max("copies").alias("copies"))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_rh": queue_place()})
-    return rows.join(taken, ["_id", "_rh"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = mix_sources(docs).where("copies > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key_id"), "row_hash", F.col("source").alias("of"), "nth", "copies")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key_id"), queue_place().alias("row_hash"), F.col("source").cast("string").alias("from"))
+    # Rows equal in id, text and source (none after the stage before the last) are numbered as the mix numbers them.
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key_id", "row_hash", "from").orderBy(F.xxhash64("row"))).cast("long"))
+    found = rows.join(taken, ["key_id", "row_hash", "nth"]).where(F.col("from").eqNullSafe(F.col("of")))
+    return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
