@@ -8,6 +8,7 @@ groups are independent; only frames of one group that follow a keyframe go throu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import lru_cache
 
 import numpy as np
@@ -15,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaplan.operators.errors import INVALID_ARGUMENT, STATUS, CodecError, ok_status
-from lumaplan.operators.frames import bootstrap_result, check_planes, decode_one, encode_slice, frame_info, parse_frame, raster_headers
+from lumaplan.operators.errors import INVALID_ARGUMENT, STATUS, SYNTAX, CodecError, ok_status
+from lumaplan.operators.frames import bootstrap_key, check_planes, decode_one, encode_slice, frame_info, parse_frame, raster_headers
 from lumaplan.operators.slices import Header, locate
 from lumaplan.operators.stream import StreamConfig, encoder_profile, read_record, write_record
 
@@ -31,11 +32,12 @@ def config_of(record: bytes, width: int, height: int) -> StreamConfig:
     return read_record(record, width, height)
 
 
-def configure(spark, configs: dict[int, StreamConfig], keyframe_interval: int = 1) -> DataFrame:
-    """The streams table of some configurations that the public encoder takes; raises CodecError on others."""
+def configure(spark, configs: dict[int, StreamConfig], keyframe_interval: int = 1, public: bool = True) -> DataFrame:
+    """The streams table of some configurations that the public encoder takes; raises CodecError on others. Not public: their own
+    quant tables, initial states and state transitions stay."""
     rows = []
     for i, c in configs.items():
-        c = encoder_profile(c, keyframe_interval)
+        c = encoder_profile(c, keyframe_interval) if public else replace(c, intra=keyframe_interval == 1)
         rows.append((i, bytearray(write_record(c)), c.width, c.height, keyframe_interval))
     return spark.createDataFrame(rows, STREAMS)
 
@@ -130,9 +132,9 @@ def encode(planes: DataFrame, streams: DataFrame) -> DataFrame:
 SLICES = "slice_index int, raster_x long, raster_y long, raster_w long, raster_h long, x long, y long, w long, h long, payload_offset long, content_offset long, footer_offset long, slice_size long, error_status int, crc long"
 
 
-def inspect(packets: DataFrame, streams: DataFrame, verify_crc: bool = True) -> DataFrame:
+def inspect(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, grid: tuple[int, int] | None = None) -> DataFrame:
     """stream_id, frame_index, the stream's and frame's facts, planes, slices (array of SLICES) and status; no sample is decoded.
-    Damaged frames: facts null but for the status."""
+    Damaged frames: facts null but for the status. grid: the slice grid of legacy streams, whose records do not hold one."""
     info = [x.split(" ")[0] for x in INFO_FIELDS.split(", ")]
     fields = ",".join(":".join(x.split(" ")) for x in SLICES.split(", ")).replace("long", "bigint")
     schema = f"stream_id long, frame_index long, {INFO_FIELDS}, planes {PLANE_INFO}, slices array<struct<{fields}>>, status {STATUS}"
@@ -144,6 +146,8 @@ def inspect(packets: DataFrame, streams: DataFrame, verify_crc: bool = True) ->
             for r in rb.to_pylist():
                 try:
                     c = config_of(r["record"], r["width"], r["height"])
+                    if grid and c.version < 3:
+                        c = replace(c, num_h=grid[0], num_v=grid[1])
                     f = parse_frame(c, r["payload"], verify_crc)
                     facts = frame_info(c, f.keyframe, len(f.slices))
                     slices = []
@@ -290,6 +294,8 @@ def _reparsed(c: StreamConfig, r: dict):
     if r["slice_index"] == 0:
         coder.bit(bytearray([START]), 0)
     header = read_header(coder, c)
+    if (header.x, header.y, header.w, header.h) != tuple(r[k] for k in _GROUP[2:]):
+        raise CodecError(SYNTAX, "the slice's header is not the one it was found by", 0)
     content = coder.at - (c.entropy == "golomb" and coder.low & 255 != 0)
     return Slice(r["slice_index"], data, 0, content, size, size, header, arithmetic=coder.state())
 
@@ -315,23 +321,70 @@ def parse_records(records: DataFrame) -> DataFrame:
     return records.select("stream_id", "record", "width", "height").mapInArrow(read, schema)
 
 
+def record_tables(records: DataFrame) -> DataFrame:
+    """Every entry of every quant table of the records (stream_id, record) that parse: stream_id, quant_set, table, i, value."""
+    schema = "stream_id long, quant_set int, table int, values array<int>"
+    arrow = _arrow(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            out = []
+            for r in rb.to_pylist():
+                try:
+                    c = read_record(r["record"])
+                except CodecError:
+                    continue
+                out += [(r["stream_id"], k, t, list(v)) for k, q in enumerate(c.quant_sets) for t, v in enumerate(q.tables)]
+            yield _batch(out, arrow)
+
+    rows = records.select("stream_id", "record").mapInArrow(read, schema)
+    return rows.select("stream_id", "quant_set", "table", F.posexplode("values").alias("i", "value"))
+
+
+def record_states(records: DataFrame) -> DataFrame:
+    """The initial states that the records bring along: stream_id, quant_set, context, place, state."""
+    schema = "stream_id long, quant_set int, context int, states array<int>"
+    arrow = _arrow(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            out = []
+            for r in rb.to_pylist():
+                try:
+                    c = read_record(r["record"])
+                except CodecError:
+                    continue
+                out += [(r["stream_id"], k, i, list(row)) for k, first in enumerate(c.initial) for i, row in enumerate(first or ())]
+            yield _batch(out, arrow)
+
+    rows = records.select("stream_id", "record").mapInArrow(read, schema)
+    return rows.select("stream_id", "quant_set", "context", F.posexplode("states").alias("place", "state"))
+
+
 def bootstrap_frames(packets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Legacy frames against the parameters of their stream's first keyframe: stream_id, frame_index, result (not_present,
-    configured, matches, differs) and status. sizes: stream_id, width, height."""
-    schema = f"stream_id long, frame_index long, result string, status {STATUS}"
+    """Legacy frames against the parameters of their stream's first frame that has some: stream_id, frame_index, result
+    (not_present, configured, matches, differs) and status. sizes: stream_id, width, height.
+
+    Each payload is read where it is; what goes on is a digest of its parameters, and the first of a stream is a minimum."""
+    schema = f"stream_id long, frame_index long, parameters string, status {STATUS}"
     arrow = _arrow(schema)
 
-    def run(t: pa.Table) -> pa.Table:
-        out, config = [], None
-        for r in sorted(t.to_pylist(), key=lambda r: r["frame_index"]):
-            try:
-                result, config = bootstrap_result(config, r["payload"], r["width"], r["height"])
-                out.append((r["stream_id"], r["frame_index"], result, ok_status()))
-            except CodecError as e:
-                out.append((r["stream_id"], r["frame_index"], None, e.at(frame_index=r["frame_index"]).status()))
-        return pa.Table.from_batches([_batch(out, arrow)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            out = []
+            for r in rb.to_pylist():
+                try:
+                    out.append((r["stream_id"], r["frame_index"], bootstrap_key(r["payload"], r["width"], r["height"]), ok_status()))
+                except CodecError as e:
+                    out.append((r["stream_id"], r["frame_index"], None, e.at(frame_index=r["frame_index"]).status()))
+            yield _batch(out, arrow)
 
-    return packets.select("stream_id", "frame_index", "payload").join(sizes, "stream_id").groupBy("stream_id").applyInArrow(run, schema)
+    rows = packets.select("stream_id", "frame_index", "payload").join(sizes.select("stream_id", "width", "height"), "stream_id").mapInArrow(run, schema)
+    some = F.col("parameters").isNotNull()
+    first = rows.where(some).groupBy("stream_id").agg(F.min(F.struct("frame_index", "parameters")).alias("first"))
+    result = F.when(F.col("status.code") != 0, None).when(~some, "not_present").when(F.col("frame_index") == F.col("first.frame_index"), "configured")
+    result = result.when(F.col("parameters") == F.col("first.parameters"), "matches").otherwise("differs")
+    return rows.join(first, "stream_id", "left").select("stream_id", "frame_index", result.alias("result"), "status")
 
 
 def unpacked(planes: DataFrame) -> DataFrame:
@@ -344,4 +397,4 @@ def unpacked(planes: DataFrame) -> DataFrame:
     return rows.select("stream_id", "frame_index", "plane", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), v.alias("v"))
 
 
-__all__ = ["Header", "bootstrap_frames", "check_planes", "configure", "decode", "encode", "inspect", "locate", "parse_records", "trace", "unpacked"]
+__all__ = ["Header", "bootstrap_frames", "check_planes", "configure", "decode", "encode", "inspect", "locate", "parse_records", "record_states", "record_tables", "trace", "unpacked"]

@@ -27,6 +27,18 @@ def plane_faults(samples: DataFrame, bits: int) -> DataFrame:
     return g.select("stream_id", "frame_index", "plane", "width", "height", "n", (F.col("width").cast("long") * F.col("height") - F.col("places")).alias("missing"), (F.col("n") - F.col("places")).alias("doubled"), "over")
 
 
+def view_faults(views: DataFrame) -> DataFrame:
+    """views with `fault`: why an output plane cannot take a stream's plane; null if it can. Columns: role, sample_format, width,
+    height, stride_bytes of the output; wanted_role, wanted_format, wanted_width, wanted_height of the stream's plane (null
+    role of the output: the plane is missing)."""
+    bytes_ = F.when(F.col("wanted_format") == "u8", 1).otherwise(2)
+    rules = [
+        (F.col("role").isNull(), "missing"), (F.col("role") != F.col("wanted_role"), "role"), (F.col("sample_format") != F.col("wanted_format"), "format"),
+        ((F.col("width") < F.col("wanted_width")) | (F.col("height") < F.col("wanted_height")), "size"), (F.col("stride_bytes") < F.col("wanted_width") * bytes_, "stride"),
+    ]
+    return views.withColumn("fault", F.coalesce(*(F.when(test, name) for test, name in rules)))
+
+
 def coverage(slices: DataFrame, streams: DataFrame) -> DataFrame:
     """stream_id, frame_index, cells, covered, overlapping and verdict (exact, open, overlap, too large) of each frame's slices
     (stream_id, frame_index, raster_x, raster_y, raster_w, raster_h). Each slice is opened into its cells, so the work follows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -32,8 +33,11 @@ class Bootstrap:
 
 def same_stream(a: StreamConfig, b: StreamConfig) -> bool:
     """Equal in all that the bitstream depends on; absent initial states are the default ones."""
-    plain = lambda c: replace(c, initial=tuple(x or None for x in (c.initial or (None,) * len(c.quant_sets))), micro=c.micro if c.version >= 3 else 0, intra=c.intra if c.version >= 3 else False)
-    return plain(a) == plain(b)
+    return _plain(a) == _plain(b)
+
+
+def _plain(c: StreamConfig) -> StreamConfig:
+    return replace(c, initial=tuple(x or None for x in (c.initial or (None,) * len(c.quant_sets))), micro=c.micro if c.version >= 3 else 0, intra=c.intra if c.version >= 3 else False)
 
 
 def bootstrap(payload: bytes, width: int, height: int) -> Bootstrap:
@@ -48,6 +52,16 @@ def bootstrap(payload: bytes, width: int, height: int) -> Bootstrap:
     return Bootstrap(True, c, r.at, first, r.state())
 
 
+def bootstrap_key(payload: bytes | None, width: int, height: int) -> str | None:
+    """A digest of the parameters that a legacy frame carries, equal for what same_stream() calls equal; None if it has none."""
+    b = bootstrap(payload or b"", width, height)
+    if b.config is None:
+        return None
+    if b.config.version > 1:
+        raise CodecError(UNSUPPORTED, "only versions 0 and 1 carry parameters in frames")
+    return hashlib.sha256(repr(_plain(b.config)).encode()).hexdigest()
+
+
 def bootstrap_result(config: StreamConfig | None, payload: bytes, width: int, height: int) -> tuple[str, StreamConfig | None]:
     """not_present, configured (config was None), matches or differs; and the configuration that holds afterwards."""
     b = bootstrap(payload, width, height)
@@ -82,7 +96,7 @@ def _legacy_slice(c: StreamConfig, payload: bytes) -> Frame:
             slices: list[Slice] = []
             while sum(s.header.w * s.header.h for s in slices) < c.num_h * c.num_v:
                 h = read_header(r, c)
-                slices.append(Slice(len(slices), payload, 0, r.at, len(payload), 0, h))
+                slices.append(Slice(len(slices), payload, 0, r.at, len(payload), 0, h, old=held is not None and c.version == 0))
             check_coverage(c, slices)
             return Frame(key, slices)
         at, arithmetic = (held.content, held.after_parameters) if held else (r.at, r.state())

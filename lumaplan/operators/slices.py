@@ -9,7 +9,7 @@ import numpy as np
 from lumaplan.operators.bits import BitWriter, WindowedBitReader, crc32_msb
 from lumaplan.operators.errors import CRC_MISMATCH, EXHAUSTED, INVALID_ARGUMENT, INVALID_STATE, SYNTAX, CodecError
 from lumaplan.operators.golomb import Adaptive, Runs
-from lumaplan.operators.range_coder import RangeDecoder, RangeEncoder, fresh_states
+from lumaplan.operators.range_coder import OldRangeDecoder, RangeDecoder, RangeEncoder, fresh_states
 from lumaplan.operators.stream import CIF, GOLOMB, RANGE, RGB, YCBCR, StreamConfig
 
 KEYFRAME_START = 128
@@ -44,6 +44,8 @@ class Slice:
     #: Range coder after header (and embedded parameters), for content that goes on with it.
     arithmetic: tuple | None = field(default=None, compare=False)
     content_bit: int = 0
+    #: The content, where it goes on with a coder's state, is in the arithmetic of the oldest streams.
+    old: bool = False
 
     @property
     def layout(self) -> tuple[int, int, int, int]:
@@ -400,9 +402,14 @@ def decode_slice(c: StreamConfig, s: Slice, state: Entropy | None, content: int
         raise CodecError(INVALID_STATE, "the state is of another layout")
     if c.entropy == RANGE:
         own = s.arithmetic is None
-        r = RangeDecoder(s.payload[s.content - s.offset if own else 0 : s.footer - s.offset], c.transitions)
+        old = s.old and not own
+        r = (OldRangeDecoder if old else RangeDecoder)(s.payload[s.content - s.offset if own else 0 : s.footer - s.offset], c.transitions)
         if not own:
             r.resume(s.arithmetic)
+        if old:
+            for b in state.banks:
+                for x in b:
+                    x[0] = 255
         r.zero_symbol_carry = c.version <= 1 and c.colorspace == YCBCR
         source = _Range(r)
     else:

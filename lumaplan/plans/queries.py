@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaplan.functions import columns as C
 from lumaplan.operators import codec
-from lumaplan.operators.coverage import coverage, plane_faults, profile_faults
+from lumaplan.operators.coverage import coverage, plane_faults, profile_faults, view_faults
+from lumaplan.operators.legacy import encode_legacy, encode_legacy_grid, legacy_streams
+from lumaplan.operators.options import decoder_option_code, encoder_option_code
+from lumaplan.operators.range_coder import DEFAULT_TRANSITIONS, adaptive_transitions
 from lumaplan.operators.residual import code_bits, entropy, histogram, residuals, slice_samples
-from lumaplan.operators.stream import GOLOMB, RANGE, RGB, StreamConfig, quant_set
+from lumaplan.operators.slices import Header
+from lumaplan.operators.stream import GOLOMB, RANGE, RGB, QuantSet, StreamConfig, quant_set
 from lumaplan.sources.planes import event_samples, packed, vector_samples, vector_samples_420, vector_samples_rgba
+from lumaplan.streaming.stateful import ROCKSDB, encode_stream, shared_folder
 
 #: Contexts of a small set, for queries that need more than one.
 SMALL_SET = quant_set([1, 2, 4, 121], [2, 6, 120], [3, 125], [128], [128])
@@ -376,3 +384,163 @@ def compressed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = packets.select(F.lit(mode).alias("entropy_mode"), "frame_index", "keyframe", F.length("payload").alias("bytes"))
         out = p if out is None else out.unionByName(p)
     return out
+
+
+@query(f"SELECT frame_index, y, x, pred, diff, v FROM ({_residual_sql(_vectors(8), 8)})")
+def reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction and difference give the sample back."""
+    return _res(spark, sf_dir).select("frame_index", "y", "x", "pred", "diff", C.reconstruct(F.col("pred"), F.col("diff"), 8).alias("v"))
+
+
+# Streams with quant tables, initial states and state transitions of their own.
+_FIRST = tuple(bytes(96 + (7 * i + 3 * j) % 64 for j in range(32)) for i in range(SMALL_SET.contexts))
+_OWN = StreamConfig(64, 20, num_h=2, num_v=2, ec=True, quant_sets=(SMALL_SET, QuantSet()), initial=(_FIRST, None), transitions=adaptive_transitions(0.04))
+_OWN_BOUNDS = [([1, 3, 7, 128], 1), ([2, 8, 128], 7), ([3, 128], 35), ([128], 105), ([128], 105)]
+
+
+@query(_DIGEST.format(_vectors(8)))
+def round_trip_own_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    streams = codec.configure(spark, {1: _OWN}, 5, public=False)
+    return _digest(codec.decode(codec.encode(packed(vector_samples(spark, sf_dir), 8), streams), streams))
+
+
+@query(_DIGEST.format(_vectors(8)))
+def round_trip_own_tables_golomb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    streams = codec.configure(spark, {1: replace(_OWN, entropy=GOLOMB, initial=(), transitions=DEFAULT_TRANSITIONS)}, 5, public=False)
+    return _digest(codec.decode(codec.encode(packed(vector_samples(spark, sf_dir), 8), streams), streams))
+
+
+@query(" UNION ALL ".join(f"SELECT CAST(1 AS BIGINT) AS stream_id, {k} AS quant_set, {t} AS \"table\", CAST(i AS INTEGER) AS i, CAST({_table_sql('i', b, s if k == 0 else 0)} AS INTEGER) AS value FROM generate_series(0, 255) AS g(i)" for k in range(2) for t, (b, s) in enumerate(_OWN_BOUNDS)))
+def record_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a record's run lengths expand to."""
+    return codec.record_tables(codec.configure(spark, {1: _OWN}, public=False))
+
+
+@query(f"SELECT CAST(1 AS BIGINT) AS stream_id, 0 AS quant_set, CAST(i AS INTEGER) AS context, CAST(j AS INTEGER) AS place, CAST(96 + (7 * i + 3 * j) % 64 AS INTEGER) AS state FROM generate_series(0, {SMALL_SET.contexts - 1}) AS a(i), generate_series(0, 31) AS b(j)")
+def record_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.record_states(codec.configure(spark, {1: _OWN}, public=False))
+
+
+# Frames of versions 0 and 1.
+def _legacy(version: int, entropy: str, colorspace: int = 0) -> StreamConfig:
+    return StreamConfig(16 if colorspace else 64, 20, 8, colorspace, colorspace == RGB, version=version, micro=0, entropy=entropy, intra=False)
+
+
+def _legacy_trip(spark: SparkSession, samples: DataFrame, c: StreamConfig, embed: bool) -> DataFrame:
+    streams = legacy_streams(spark, {1: c}, 5)
+    return _digest(codec.decode(encode_legacy(packed(samples, 8), streams, embed), streams))
+
+
+@query(_DIGEST.format(_RGBA(8, 3)))
+def legacy_range_0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _legacy_trip(spark, vector_samples_rgba(spark, sf_dir, 8, 3), _legacy(0, RANGE, RGB), True)
+
+
+@query(_DIGEST.format(_RGBA(8, 3)))
+def legacy_range_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _legacy_trip(spark, vector_samples_rgba(spark, sf_dir, 8, 3), _legacy(1, RANGE, RGB), False)
+
+
+@query(_DIGEST.format(_vectors(8)))
+def legacy_golomb_0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _legacy_trip(spark, vector_samples(spark, sf_dir), _legacy(0, GOLOMB), False)
+
+
+@query(_DIGEST.format(_vectors(8)))
+def legacy_golomb_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _legacy_trip(spark, vector_samples(spark, sf_dir), _legacy(1, GOLOMB), True)
+
+
+@query("""SELECT CAST(s AS BIGINT) AS stream_id, frame_index, CASE WHEN frame_index % 5 <> 0 THEN 'not_present' WHEN frame_index = 0 THEN 'configured' WHEN s = 2 AND frame_index % 10 = 5 THEN 'differs' ELSE 'matches' END AS result, 0 AS code
+ FROM (SELECT DISTINCT CAST(vec_id // 20 AS BIGINT) AS frame_index FROM embeddings), (VALUES (1), (2)) AS c(s)""")
+def legacy_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyframes carry parameters; every other keyframe of stream 2 those of another coder."""
+    planes, out = packed(vector_samples(spark, sf_dir), 8), None
+    for stream, other in ((1, 1), (2, 0)):
+        frames = encode_legacy(planes, legacy_streams(spark, {1: _legacy(1, GOLOMB)}, 5))
+        odd = encode_legacy(planes, legacy_streams(spark, {1: _legacy(other, GOLOMB)}, 5))
+        frames = frames.where(F.col("frame_index") % 10 != 5).unionByName(odd.where(F.col("frame_index") % 10 == 5)).withColumn("stream_id", F.lit(stream).cast("long"))
+        out = frames if out is None else out.unionByName(frames)
+    sizes = spark.createDataFrame([(1, 64, 20), (2, 64, 20)], "stream_id long, width long, height long")
+    # Frames that are no keyframes start with the range coder's keyframe bit 0, as a bootstrap reads it.
+    blank = F.when(F.col("frame_index") % 5 == 0, F.col("payload")).otherwise(F.lit(bytes(8)))
+    return codec.bootstrap_frames(out.withColumn("payload", blank), sizes).select("stream_id", "frame_index", "result", "status.code")
+
+
+@query("SELECT CAST(i AS BIGINT) AS frame_index, CAST(s AS INTEGER) AS slice_index, CAST(CASE WHEN s = 2 THEN 1 ELSE 0 END AS BIGINT) AS raster_x, CAST(CASE WHEN s = 0 THEN 0 ELSE 1 END AS BIGINT) AS raster_y, CAST(CASE WHEN s = 0 THEN 2 ELSE 1 END AS BIGINT) AS raster_w, CAST(1 AS BIGINT) AS raster_h, i % 2 = 0 AS keyframe FROM generate_series(0, 19) AS f(i), generate_series(0, 2) AS g(s)")
+def legacy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of legacy frames of several slices, read one after another until they cover the frame."""
+    c = replace(_legacy(1, RANGE), num_h=2, num_v=2)
+    headers = [Header(0, 0, 2, 1, (0, 0)), Header(0, 1, 1, 1, (0, 0)), Header(1, 1, 1, 1, (0, 0))]
+    frames = spark.createDataFrame([(1, i, bytearray(encode_legacy_grid(c, headers, i % 2 == 0) + bytes(8))) for i in range(20)], "stream_id long, frame_index long, payload binary")
+    p = codec.inspect(frames, legacy_streams(spark, {1: c}), grid=(2, 2)).select("frame_index", "keyframe", F.explode("slices").alias("s"))
+    return p.select("frame_index", "s.slice_index", "s.raster_x", "s.raster_y", "s.raster_w", "s.raster_h", "keyframe")
+
+
+@query("SELECT DISTINCT CAST(vec_id // 20 AS BIGINT) AS frame_index, CASE WHEN vec_id // 20 % 5 = 0 THEN 0 ELSE 3 END AS code FROM embeddings")
+def intra_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of groups of five read as a stream that promises keyframes only."""
+    packets, _ = _packets(spark, sf_dir)
+    return codec.inspect(packets, codec.configure(spark, {1: _GREY}, 1)).select("frame_index", "status.code")
+
+
+@query("SELECT DISTINCT CAST(vec_id // 20 AS BIGINT) AS frame_index, CAST([0, 0, 5, 2, 2][vec_id // 20 % 5 + 1] AS INTEGER) AS code FROM embeddings")
+def failed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third frame of each group is damaged: it fails as a whole, commits no state, and those that need it fail too."""
+    packets, streams = _packets(spark, sf_dir)
+    n = F.length("payload") - 12
+    byte = F.when(F.hex(F.substring("payload", n, F.lit(1))) == "00", F.lit(b"\x01")).otherwise(F.lit(b"\x00"))
+    broken = F.concat(F.substring("payload", F.lit(1), n - 1), byte, F.substring("payload", n + 1, F.lit(12)))
+    packets = packets.withColumn("payload", F.when(F.col("frame_index") % 5 == 2, broken).otherwise(F.col("payload")))
+    return codec.decode(packets, streams).select("frame_index", "status.code").distinct()
+
+
+@query("SELECT DISTINCT CAST(vec_id // 20 AS BIGINT) AS frame_index, 4 AS slices, true AS adds_up FROM embeddings")
+def total_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame's bytes are those of its slices and their footers."""
+    packets, streams = _packets(spark, sf_dir)
+    sizes = codec.inspect(packets, streams).select("frame_index", F.size("slices").alias("slices"), F.aggregate("slices", F.lit(0).cast("long"), lambda a, s: a + s["slice_size"] + 8).alias("bytes"))
+    return sizes.join(packets.select("frame_index", F.length("payload").alias("whole")), "frame_index").select("frame_index", "slices", (F.col("bytes") == F.col("whole")).alias("adds_up"))
+
+
+@query("""SELECT p_partkey AS stream_id, CASE WHEN p_partkey % 5 = 0 THEN 1 WHEN p_partkey % 7 = 0 THEN 4 WHEN (p_partkey % 3 = 0) <> (p_partkey % 4 = 0) THEN 1 ELSE 0 END AS decoder, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 6 = 0 THEN 1 ELSE 0 END AS encoder FROM part""")
+def option_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """threads below 0, relaxed parsing, one-sided sizes, no keyframe interval."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    threads, key = F.when(F.col("p_partkey") % 5 == 0, -1).otherwise(2), F.col("p_partkey")
+    size = lambda n: F.when(key % n == 0, 0).otherwise(64)
+    return p.select(key.alias("stream_id"), decoder_option_code(threads, key % 7 != 0, size(3), size(4)).alias("decoder"), encoder_option_code(threads, key % 6).alias("encoder"))
+
+
+@query(f"""SELECT stream_id, plane, CASE WHEN stream_id % 11 = 0 THEN 'missing' WHEN stream_id % 7 = 0 THEN 'role' WHEN bits > 8 AND stream_id % 5 = 0 THEN 'format' WHEN stream_id % 3 = 0 AND plane = 0 THEN 'size' WHEN stream_id % 2 = 0 AND bits > 8 THEN 'stride' END AS fault
+ FROM ({_PLANE_SQL}) WHERE plane < planes""")
+def output_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output planes that a stream's planes do not fit in."""
+    wanted = F.when(F.col("bits") <= 8, "u8").otherwise("u16")
+    p = _planes(spark, sf_dir).select("stream_id", "plane", F.lit("Y").alias("wanted_role"), wanted.alias("wanted_format"), F.col("plane_width").alias("wanted_width"), F.col("plane_height").alias("wanted_height"))
+    s = F.col("stream_id")
+    views = p.withColumns({
+        "role": F.when(s % 11 == 0, None).when(s % 7 == 0, "Cb").otherwise("Y"), "sample_format": F.when(s % 5 == 0, "u8").otherwise(F.col("wanted_format")), "height": F.col("wanted_height"),
+        "width": F.when((s % 3 == 0) & (F.col("plane") == 0), F.col("wanted_width") - 1).otherwise(F.col("wanted_width") + 3), "stride_bytes": F.when(s % 2 == 0, F.col("wanted_width")).otherwise(F.col("wanted_width") * 2),
+    })
+    return view_faults(views).select("stream_id", "plane", "fault")
+
+
+@query(_DIGEST.format(_vectors(8)))
+def streaming_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes as a stream through the stateful encoder, its slices joined to packets, and those decoded."""
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    streams = codec.configure(spark, {1: _GREY}, 5)
+    packed(vector_samples(spark, sf_dir), 8).write.parquet(f"{where}/planes")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        source = spark.readStream.schema(spark.read.parquet(f"{where}/planes").schema).parquet(f"{where}/planes")
+        q = encode_stream(source, streams).writeStream.format("parquet").option("path", f"{where}/slices").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    slices = spark.read.parquet(f"{where}/slices").groupBy("stream_id", "frame_index").agg(F.array_sort(F.collect_list(F.struct("slice_index", "data"))).alias("parts"))
+    packets = slices.select("stream_id", "frame_index", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["data"])).alias("payload"))
+    return _digest(codec.decode(packets, streams))

@@ -1,13 +1,14 @@
 """Encoding and decoding of streams with state from frame to frame, by transformWithStateInPandas.
 
 Frames of a stream come in order of frame_index. A key is a slice of a stream; its state is the entropy coder's state after
-the last frame and that frame's index. The state is replaced only when a frame has succeeded. The RocksDB state store is
-needed (spark.sql.streaming.stateStore.providerClass).
+the last frame and that frame's index. A slice that fails keeps its state as it was; its frame fails as a whole, and so do the
+frames that need it, up to the next keyframe. The RocksDB state store is needed (spark.sql.streaming.stateStore.providerClass).
 """
 
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,17 @@ def dump(state: Entropy) -> str:
     return json.dumps([[list(x) if isinstance(x, bytearray) else {"a": [x.drift, x.error_sum, x.bias, x.count]} for x in b] for b in state.banks])
 
 
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir, or on a local master a folder of our own where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='stream-work-')}"
+
+
 def load(text: str) -> Entropy:
     return Entropy([[Adaptive(*x["a"]) if isinstance(x, dict) else bytearray(x) for x in b] for b in json.loads(text)])
 
@@ -57,11 +69,8 @@ class _Encode(_Kept):
             c = config_of(bytes(head["record"]), int(head["width"]), int(head["height"]))
             h = raster_headers(c)[int(key[1])]
             kind = "u1" if c.sample_bytes == 1 else "<u2"
-            planes = []
-            for p, data in zip(parts["plane"], parts["data"], strict=True):
-                w, k = c.plane_size(int(p))
-                x, y, cw, ch = c.cell(int(p), h.x, h.y, h.w, h.h)
-                planes.append(np.frombuffer(data, kind).reshape(k, w)[y : y + ch, x : x + cw])
+            cells = [c.cell(int(p), h.x, h.y, h.w, h.h) for p in parts["plane"]]
+            planes = [np.frombuffer(data, kind).reshape(ch, cw) for data, (_, _, cw, ch) in zip(parts["data"], cells, strict=True)]
             is_key = frame % int(head["keyframe_interval"]) == 0
             try:
                 data, state = encode_slice(c, planes, h, is_key if key[1] == 0 else None, None if is_key else self.before(frame))
@@ -93,16 +102,25 @@ def encode_stream(planes: DataFrame, streams: DataFrame) -> DataFrame:
     planes of a frame in one batch. Slices of a frame joined in order of slice_index are its payload."""
     from pyspark.sql import functions as F
 
-    def cells(batches):
+    schema = "stream_id long, slice_index int, frame_index long, plane int, data binary, record binary, width long, height long, keyframe_interval long"
+
+    def cut(batches):
         import pyarrow as pa
 
         for rb in batches:
-            n = [len(raster_headers(config_of(r, w, h))) for r, w, h in zip(rb.column("record").to_pylist(), rb.column("width").to_pylist(), rb.column("height").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(n, pa.int32())], names=[*rb.schema.names, "cells"])
+            out = []
+            for r in rb.to_pylist():
+                c = config_of(r["record"], r["width"], r["height"])
+                w, k = c.plane_size(r["plane"])
+                a = np.frombuffer(r["data"], "u1" if c.sample_bytes == 1 else "<u2").reshape(k, w)
+                for i, h in enumerate(raster_headers(c)):
+                    x, y, cw, ch = c.cell(r["plane"], h.x, h.y, h.w, h.h)
+                    out.append((r["stream_id"], i, r["frame_index"], r["plane"], a[y : y + ch, x : x + cw].tobytes(), r["record"], r["width"], r["height"], r["keyframe_interval"]))
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[f.split(" ")[0] for f in schema.split(", ")])
 
-    rows = planes.select("stream_id", "frame_index", "plane", "data").join(streams, "stream_id")
-    rows = rows.mapInArrow(cells, "stream_id long, frame_index long, plane int, data binary, record binary, width long, height long, keyframe_interval long, cells int")
-    rows = rows.withColumn("slice_index", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    # Planes are cut before the shuffle: a slice's row carries its own samples only.
+    rows = planes.select("stream_id", "frame_index", "plane", "data").join(streams, "stream_id").mapInArrow(cut, schema)
     return rows.groupBy("stream_id", "slice_index").transformWithStateInPandas(_Encode(), "stream_id long, slice_index int, frame_index long, data binary, fault string", "append", "none")
 
 

@@ -319,3 +319,42 @@ def test_old_arithmetic_by_hand():
     d.range = 0xFF01
     # 0xff01 * 100 / 256 = 25500.39, rounded up 25501; the rest is 39780; both shares were rounded, so low gains 2.
     assert d.bit(bytearray([100]), 0) == 1 and d.range == 25501 and d.low == 0xFEFF - 39780 + 2
+
+
+def test_a_header_that_is_not_the_descriptors():
+    from lumaplan.operators.codec import _reparsed
+
+    c = StreamConfig(12, 8, num_h=2)
+    data, _ = encode_frame(c, [np.zeros((8, 12), np.uint8)])
+    first = parse_frame(c, data).slices[0]
+    row = {"payload": data[: first.footer + 3], "slice_index": 0, "raster_x": 0, "raster_y": 0, "raster_w": 1, "raster_h": 1}
+    assert _reparsed(c, row).header == first.header
+    fails(SYNTAX, _reparsed, c, row | {"raster_x": 1})
+
+
+def test_options():
+    from lumaplan.operators.options import DecoderOptions, EncoderOptions
+
+    assert DecoderOptions(2, False, True, 4, 5).checked().width == 4 and EncoderOptions(keyframe_interval=3).checked().version == 3
+    fails(INVALID_ARGUMENT, DecoderOptions(threads=-1).checked)
+    fails(UNSUPPORTED, DecoderOptions(strict=False).checked)
+    fails(INVALID_ARGUMENT, DecoderOptions(width=4).checked)
+    fails(INVALID_ARGUMENT, EncoderOptions(threads=-1).checked)
+    fails(INVALID_ARGUMENT, EncoderOptions(keyframe_interval=0).checked)
+
+
+def test_old_arithmetic_is_used_where_content_goes_on():
+    """The first symbol in the old arithmetic starts from state 255, so a zero is read nearly for free."""
+    from lumaplan.operators.slices import Slice, decode_slice
+
+    c = StreamConfig(3, 1, version=0, micro=0, intra=False)
+    data = bytes([0xFE, 0x80, 0, 0, 0, 0])
+    s = Slice(0, data, 0, 2, len(data), 0, Header(0, 0, 1, 1, (0, 0)), arithmetic=RangeDecoder(data).state(), old=True)
+    out, state = decode_slice(c, s, None)
+    r = OldRangeDecoder(data)
+    r.zero_symbol_carry = True
+    states = fresh_states(1)
+    states[0][0] = 255
+    diffs = [r.symbol(states[0], True) for _ in range(3)]
+    assert out[0].tolist() == [[sum(diffs[: i + 1]) & 255 for i in range(3)]] and state.banks[0] == states
+    assert (decode_slice(c, s.__class__(**{**s.__dict__, "old": False}), None)[1].banks[0] != states)
