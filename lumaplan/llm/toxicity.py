@@ -7,9 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from lumaplan.llm.common import chunks, mix, span_hashes, text_buffer, written
 
@@ -171,32 +170,30 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8000, bi
 SAID = "struct<grade:int,severity:double,p_toxic:double,toxic:boolean>"
 
 
-def judged(docs: DataFrame, model: OrdinalModel, reject: float = 0.2) -> DataFrame:
-    """row (a struct with all columns of docs) and said (SAID): most likely grade, expected grade, P(grade >= 1), and whether that
-    is at least `reject` and some word speaks for it. As the row is a struct, no name of docs can clash.
+def judgement(text: Column, model: OrdinalModel, reject: float = 0.2) -> Column:
+    """SAID of a text column: most likely grade, expected grade, P(grade >= 1), and whether that is at least `reject` and some word
+    speaks for it. Only the texts go to Python; it is a column, so no name of a table can clash.
 
-    Null or empty text, or one without words: score 0, which the fitted cuts grade. Null doc_id: kept as null. Repeated
-    rows: one result each. Empty table: no rows. Clean texts score near the share of toxic ones among texts without telling
-    words, far below reject.
+    Null or empty text, or one without words: score 0, which the fitted cuts grade. Clean texts score near the share of toxic
+    ones among texts without telling words, far below reject.
     """
-    nested = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    schema = StructType([nested.schema["row"], StructType.fromDDL(f"said {SAID}")[0]])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            scores = model.scores(*text_buffer(rb.column("text")))
+    @F.arrow_udf(SAID)
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            scores = model.scores(*text_buffer(texts))
             p = model.grade_probabilities(scores)
             p0 = 1 - p[:, 0]
             said = [pa.array(p.argmax(1).astype(np.int32)), pa.array((p * np.arange(p.shape[1])).sum(1)), pa.array(p0), pa.array((p0 >= reject) & (scores > 0))]
-            said = pa.StructArray.from_arrays(said, ["grade", "severity", "p_toxic", "toxic"])
-            yield pa.RecordBatch.from_arrays([rb.column("row"), said], names=["row", "said"])
+            yield pa.StructArray.from_arrays(said, ["grade", "severity", "p_toxic", "toxic"])
 
-    return nested.mapInArrow(judge, schema)
+    return judge(text.cast("string"))
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, reject: float = 0.2) -> DataFrame:
-    """doc_id, grade, severity, p_toxic and toxic of each row of docs; see judged(). Other columns are not read."""
-    return judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, reject).select("row.doc_id", "said.*")
+    """doc_id, grade, severity, p_toxic and toxic of each row of docs; see judgement(). Null doc_id: kept as null. Repeated rows: one
+    result each. Empty table: no rows. Other columns are not read."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), judgement(F.col("text"), model, reject).alias("said")).select("doc_id", "said.*")
 
 
 def op9_toxicity(spark, sf_dir):

@@ -17,7 +17,7 @@ from lumaplan.llm.language_id import held_out, identify_language, train_language
 from lumaplan.llm.minhash_dart import dart_minhash, near_duplicates, similarity
 from lumaplan.llm.mixing import fill_targets, mix_sources
 from lumaplan.llm.token_arrow import PieceEncoder, default_tokenizer, read_token_files, write_token_files
-from lumaplan.llm.toxicity import fit_ordinal, judged, lower_words, score_toxicity, stems, train_toxicity
+from lumaplan.llm.toxicity import fit_ordinal, judgement, lower_words, score_toxicity, stems, train_toxicity
 
 
 @pytest.fixture(scope="module")
@@ -341,11 +341,11 @@ def test_toxicity_on_held_out_texts(spark):
     d = spark.createDataFrame(made, "doc_id long, text string, grade int, toxic boolean, said double")
     y = spark.createDataFrame([x for x in labels if x[0] % 2 == 0], "doc_id long, quality int, toxic int")
     model = train_toxicity(d, y)
-    got = judged(d, model).select("row.*", F.col("said.toxic").alias("told")).where("doc_id % 2 = 1").collect()
+    got = d.withColumn("told", judgement(F.col("text"), model)["toxic"]).where("doc_id % 2 = 1").collect()
     assert got[0].asDict().keys() == {"doc_id", "text", "grade", "toxic", "said", "told"} and all(r["grade"] == 7 for r in got)
     hit = sum(r["told"] and r["toxic"] for r in got)
     assert hit >= 0.95 * sum(r["toxic"] for r in got) and hit >= 0.95 * sum(r["told"] for r in got)
-    by_text = {r["row"]["doc_id"]: r["said"] for r in judged(d, model).collect()}
+    by_text = {r["doc_id"]: r for r in score_toxicity(d, model).collect()}
     for i, t, *_ in made[:50]:  # the score from its definition, word by word
         x = np.frombuffer(t.encode(), np.uint8)
         f, _, n = stems(x, np.array([0, len(x)]), model.bits)
