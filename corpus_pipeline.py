@@ -14,7 +14,7 @@ from lumaplan.llm.decontaminate import decontaminate
 from lumaplan.llm.minhash_dart import near_duplicates
 from lumaplan.llm.mixing import mix_sources, queue_place
 from lumaplan.llm.token_arrow import op3_token_arrow
-from lumaplan.llm.toxicity import judged, train_toxicity
+from lumaplan.llm.toxicity import judgement, train_toxicity
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def _key_of(decisions: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model calls toxic go. Labels come from the table labels, texts for training from docs."""
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
-    return judged(docs, model).where("not said.toxic").select("row.*")
+    return docs.where(~judgement(F.col("text"), model)["toxic"])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
