@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lumaplan.llm.common import BYTE_NAMES, C2, keyed, mix, real_id, text_buffer
-from lumaplan.llm.runs import Units, covered, repeats, with_spans
+from lumaplan.llm.prefix_doubling import repeated_starts
+from lumaplan.llm.runs import SPAN, Units, covered, repeats, with_spans
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans array<struct<start:long,end:long>>, kept_bytes binary"
 
@@ -22,16 +23,27 @@ def byte_units(flat: np.ndarray, offsets: np.ndarray) -> Units:
     return Units(BYTE_NAMES[flat], _BYTE_TWINS[flat], offsets)
 
 
-def suffix_dedup(docs: DataFrame, min_bytes: int = 100, sample_bytes: int = 32, keep_bytes: bool = True) -> DataFrame:
+def as_spans(found: list[bytes] | list[int] | None) -> list[bytes] | None:
+    """Packed SPANs as they are; starts of windows as SPANs."""
+    if not found or isinstance(found[0], bytes):
+        return found
+    s = np.zeros(len(found), SPAN)
+    s["low"] = s["high"] = found
+    return [s.tobytes()]
+
+
+def suffix_dedup(docs: DataFrame, min_bytes: int = 100, sample_bytes: int | None = None, keep_bytes: bool = True) -> DataFrame:
     """Removes each byte covered by a string of min_bytes bytes that also starts earlier (smaller doc_id, or same text and
-    earlier start). Prefix doubling over names of 1, 2, 4 ... min_bytes bytes; see runs.py. Overlaps count; strings are
-    judged on the input.
+    earlier start). Prefix doubling: Spark sorts all places by ranks of growing length; see prefix_doubling.py. Overlaps
+    count; strings are judged on the input.
+
+    With sample_bytes the same result comes from winnowed names of that many bytes, which shuffle far less; see runs.py.
 
     Null text: as empty. Empty or short text: nothing removed. Null doc_id: before all other ids. Rows of one doc_id with
     different texts: neither is earlier; equal rows: both get the same result, nothing is removed between them. Empty
     table: no rows. Other columns are not read.
     """
-    if not 1 <= sample_bytes <= min_bytes:
+    if min_bytes < 1 or sample_bytes is not None and not 1 <= sample_bytes <= min_bytes:
         raise ValueError("1 <= sample_bytes <= min_bytes")
     rows = keyed(docs)
 
@@ -40,7 +52,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 100, sample_bytes: int = 32,
             flat, off = text_buffer(rb.column("text"))
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans", "kept_bytes")}
             for i, spans in enumerate(rb.column("spans").to_pylist()):
-                text, cut = flat[off[i] : off[i + 1]], covered(spans, min_bytes)
+                text, cut = flat[off[i] : off[i + 1]], covered(as_spans(spans), min_bytes)
                 left = np.ones(len(text), bool)
                 for a, b in cut.tolist():
                     left[a:b] = False
@@ -55,7 +67,10 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 100, sample_bytes: int = 32,
             types = [pa.int64()] * 3 + [pa.string(), span, pa.binary()]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], names=["doc_id", *out])
 
-    found = repeats(rows, byte_units, sample_bytes, min_bytes)
+    if sample_bytes is None:
+        found = repeated_starts(rows, min_bytes).withColumnRenamed("starts", "spans")
+    else:
+        found = repeats(rows, byte_units, sample_bytes, min_bytes)
     return with_spans(rows, found).select("doc_id", "text", "spans").mapInArrow(apply, RESULT).withColumn("doc_id", real_id())
 
 

@@ -33,7 +33,7 @@ def table():
     return [(-(2**63) if d is None else d, i, (t or "")) for i, (d, t, *_) in enumerate(rows())]
 
 
-@pytest.mark.parametrize("m,k", [(100, 32), (20, 20), (33, 5)])
+@pytest.mark.parametrize("m,k", [(100, None), (33, None), (7, None), (100, 32), (20, 20), (33, 5)])
 def test_suffix_dedup_is_the_rule(spark, m, k):
     docs = [(d, i, t.encode()) for d, i, t in table()]
     gone = brute(docs, None, m)
