@@ -144,7 +144,7 @@ def reranked(pairs: DataFrame, partitions: int) -> DataFrame:
 def repeated_starts(docs: DataFrame, m: int) -> DataFrame:
     """doc_id, th, starts: the places at which a string of m bytes starts that also starts earlier. docs: as keyed() gives it;
     rows of one doc_id and th count once."""
-    docs = docs.select("doc_id", "th", "text").where(F.octet_length("text") >= m).dropDuplicates(["doc_id", "th"])
+    docs = written(docs.select("doc_id", "th", "text").where(F.octet_length("text") >= m).dropDuplicates(["doc_id", "th"]), "texts")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(shuffle_partitions(docs.sparkSession), -(-size // ROWS_A_PARTITION))
     shared = reranked(places(docs, m), partitions)
