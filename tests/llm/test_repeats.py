@@ -6,6 +6,7 @@ from fixtures import SCHEMA, rows
 
 from lumaplan.llm.chunk_dedup import chunk_dedup, cut_points
 from lumaplan.llm.line_winnow import line_dedup
+from lumaplan.llm.prefix_doubling import PAIRS, POSITION, reranked
 from lumaplan.llm.suffix_dedup import suffix_dedup
 
 import numpy as np
@@ -91,3 +92,19 @@ def test_chunks_survive_insertions():
 @pytest.mark.parametrize("op", [suffix_dedup, line_dedup, chunk_dedup])
 def test_empty_table(spark, op):
     assert op(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_groups_over_the_edges_of_partitions(spark):
+    made = [(k % 3 if k % 50 else k, 7, k * 31 % 17, k % 5 << POSITION | k) for k in range(4000)]
+    got = {(r["doc"], r["place"]): (r["rank"], r["again"]) for r in reranked(spark.createDataFrame(made, PAIRS).repartition(3), 16).collect()}
+    groups = defaultdict(list)
+    for r1, _, doc, place in made:
+        groups[r1].append((doc, place))
+    want = {p for g in groups.values() if len(g) > 1 for p in g}
+    assert set(got) == want
+    for g in groups.values():
+        if len(g) > 1:
+            assert len({got[p][0] for p in g}) == 1
+            for doc, place in g:
+                assert got[doc, place][1] == any(d < doc or (d == doc and p >> POSITION == place >> POSITION and p < place) for d, p in g)
+    assert len({v[0] for v in got.values()}) == sum(len(g) > 1 for g in groups.values())
