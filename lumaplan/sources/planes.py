@@ -26,24 +26,38 @@ def vector_samples(spark: SparkSession, sf_dir: str, bits: int = 8) -> DataFrame
     return e.select(F.lit(1).cast("long").alias("stream_id"), F.floor(F.col("vec_id") / ROWS_A_FRAME).cast("long").alias("frame_index"), F.lit(0).alias("plane"), (F.col("vec_id") % ROWS_A_FRAME).cast("int").alias("y"), F.col("x").cast("int"), v.alias("v"))
 
 
+def edged(samples: DataFrame, last: dict[str, int], more: dict[str, int]) -> DataFrame:
+    """The samples with the edge repeated: `more` columns (x) or rows (y) behind the last one."""
+    for at, n in more.items():
+        places = F.when(F.col(at) == last[at], F.sequence(F.col(at), F.col(at) + n)).otherwise(F.array(at))
+        samples = samples.withColumn(at, F.explode(places))
+    return samples
+
+
 def vector_samples_rgba(spark: SparkSession, sf_dir: str, bits: int = 8, planes: int = 4) -> DataFrame:
-    """The columns of each vector in quarters: R, G, B and alpha, 16 wide."""
-    s = vector_samples(spark, sf_dir, bits)
-    return s.withColumns({"plane": F.floor(F.col("x") / 16).cast("int"), "x": (F.col("x") % 16).cast("int")}).where(F.col("plane") < planes)
+    """The columns of each vector in parts. Four planes: R, G, B and alpha, 16 wide; three: R, G and B, 22 wide, the last
+    column repeated twice to fill B."""
+    s, width = vector_samples(spark, sf_dir, bits), -(-64 // planes)
+    if width * planes > 64:
+        s = edged(s, {"x": 63}, {"x": width * planes - 64})
+    return s.withColumns({"plane": F.floor(F.col("x") / width).cast("int"), "x": (F.col("x") % width).cast("int")})
 
 
 def vector_samples_420(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """63 x 19 luma; both chroma planes pick the samples at even places, 32 x 10."""
-    s = vector_samples(spark, sf_dir).where("x < 63 and y < 19")
+    """65 x 21 luma, whose last column and row are repeated; both chroma planes pick the samples at even places, 33 x 11."""
+    s = edged(vector_samples(spark, sf_dir), {"x": 63, "y": ROWS_A_FRAME - 1}, {"x": 1, "y": 1})
     pick = s.where("x % 2 = 0 and y % 2 = 0").withColumns({"x": F.floor(F.col("x") / 2).cast("int"), "y": F.floor(F.col("y") / 2).cast("int")})
     chroma = pick.withColumn("plane", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("v", F.when(F.col("plane") == 1, F.col("v")).otherwise(255 - F.col("v")))
     return s.unionByName(chroma.select(s.columns))
 
 
-def event_samples(spark: SparkSession, sf_dir: str, width: int = 50, rows: int = 20) -> DataFrame:
-    """Event values in cents as 16-bit samples, 50 x 20 a frame."""
+def event_samples(spark: SparkSession, sf_dir: str, width: int = 50, rows: int = 20, filled: bool = False) -> DataFrame:
+    """Event values in cents as 16-bit samples, 50 x 20 a frame. filled: zeros make the last frame whole."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
     cell = width * rows
+    if filled:
+        last = e.agg(F.max("event_id").alias("m")).where((F.col("m") + 1) % cell > 0)
+        e = e.unionByName(last.select(F.explode(F.sequence(F.col("m") + 1, F.ceil((F.col("m") + 1) / cell) * cell - 1)).alias("event_id"), F.lit(0.0).alias("value")))
     at = F.col("event_id") % cell
     return e.select(F.lit(2).cast("long").alias("stream_id"), F.floor(F.col("event_id") / cell).cast("long").alias("frame_index"), F.lit(0).alias("plane"), F.floor(at / width).cast("int").alias("y"), (at % width).cast("int").alias("x"), F.round(F.col("value") * 100).cast("int").alias("v"))
 
