@@ -186,7 +186,8 @@ def to_buckets(parts: list[np.ndarray], buckets: int, spread: bool) -> pa.Record
     e = e[np.argsort(b, kind="stable")]
     b = np.sort(b, kind="stable")
     ids, heads = np.unique(b, return_index=True)
-    packed = [pack(e[x:y]) for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(e)], strict=True)]
+    edges = [*heads.tolist(), len(e)]
+    packed = [pack(e[x:y]) for x, y in zip(edges, edges[1:])]
     n, d = len(packed), len(done["doc_id"])
     dealt = (np.arange(d) % buckets).astype(np.int32) if d else np.zeros(0, np.int32)
     return pa.RecordBatch.from_arrays(
