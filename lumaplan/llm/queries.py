@@ -39,12 +39,13 @@ member AS (SELECT w.doc_id, class_id FROM w JOIN node USING (ws) JOIN class USIN
 SELECT doc_id, class_id, CAST(count(*) OVER (PARTITION BY class_id) AS BIGINT) AS class_size FROM member
 """
 
-#: Every window of three lines.
-_OP7 = """
-WITH l AS (SELECT doc_id, unnest(CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END) AS line, unnest(CASE WHEN coalesce(text, '') = '' THEN [] ELSE range(len(string_split(text, chr(10)))) END) AS i FROM documents),
+#: Every window of three lines, every line of 50 words, every text of one or two lines.
+_OP7 = f"""
+WITH l AS (SELECT doc_id, unnest(CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END) AS line, unnest(CASE WHEN coalesce(text, '') = '' THEN [] ELSE range(len(string_split(text, chr(10)))) END) AS i, CASE WHEN len(string_split(text, chr(10))) < 3 THEN text END AS whole FROM documents),
 t AS (SELECT *, lead(line, 1) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-f AS (SELECT *, c IS NOT NULL AND row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, i) > 1 AS again FROM t),
-g AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone FROM f),
+f AS (SELECT *, c IS NOT NULL AND row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, i) > 1 AS again,
+ len(regexp_extract_all(line, {_WORD})) >= 50 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 OR whole IS NOT NULL AND row_number() OVER (PARTITION BY whole, i ORDER BY doc_id) > 1 AS lone FROM t),
+g AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) OR lone AS gone FROM f),
 h AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM g),
 r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_runs, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM h GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256 FROM (SELECT doc_id FROM documents) LEFT JOIN r USING (doc_id)

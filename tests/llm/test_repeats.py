@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import defaultdict
 
 import pytest
@@ -26,6 +27,22 @@ def brute(docs, units, m):
     return gone
 
 
+def lone(docs, m, words):
+    """(key of row) -> lines that are runs by themselves, from the rule itself."""
+    whole, long, gone = defaultdict(list), defaultdict(list), defaultdict(set)
+    for doc, row, u in docs:
+        if 0 < len(u) < m:
+            whole[tuple(u)].append(doc)
+        for s, line in enumerate(u):
+            if len([w for w in re.split("[\x20\x09-\x0d]+", line) if w]) >= words:
+                long[line].append((doc, row, s))
+    for doc, row, u in docs:
+        if 0 < len(u) < m and min(whole[tuple(u)]) < doc:
+            gone[row].update(range(len(u)))
+        gone[row].update(s for s, line in enumerate(u) if any(d < doc or (d == doc and r == row and t < s) for d, r, t in long.get(line, [])))
+    return gone
+
+
 def runs(xs):
     return sum(x - 1 not in xs for x in xs)
 
@@ -48,11 +65,22 @@ def test_suffix_dedup_is_the_rule(spark, m, k):
 def test_line_dedup_is_the_rule(spark, m, k):
     docs = [(d, i, t.split("\n") if t else []) for d, i, t in table()]
     gone = brute(docs, None, m)
+    for i, lines in lone(docs, m, 50).items():
+        gone[i] |= lines
     want = sorted((d, len(u), len(gone[i]), runs(gone[i]), "\n".join(x for j, x in enumerate(u) if j not in gone[i])) for d, i, u in docs)
     got = line_dedup(spark.createDataFrame(rows(), SCHEMA).repartition(5), m, k).collect()
     assert want == sorted((-(2**63) if r["doc_id"] is None else r["doc_id"], r["n_lines"], r["n_removed"], r["n_runs"], r["kept_text"]) for r in got)
 
 
+def test_lines_that_are_runs_by_themselves(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    texts = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd\n{long}"), (3, long), (4, "one\ntwo"), (5, "one\ntwo"), (6, "one"), (7, "one"), (8, long[4:]), (9, f"e\n{long[4:]}\nf"), (10, "\n"), (11, "\n"), (12, "one\ntwo\nthree"), (None, "one")]
+    got = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    kept = {1: texts[0][1], 2: "c\nd", 3: "", 4: "one\ntwo", 5: "", 6: "", 7: "", 8: long[4:], 9: texts[8][1], 10: "\n", 11: "", 12: "one\ntwo\nthree", None: "one"}
+    assert {k: r["kept_text"] for k, r in got.items()} == kept
+    assert {k: r["n_removed"] for k, r in got.items() if r["n_removed"]} == {2: 2, 3: 1, 5: 2, 6: 1, 7: 1, 11: 2}
+
+
 def test_chunk_dedup_is_the_rule(spark):
     docs, pieces = [(d, i, t.encode()) for d, i, t in table()], {}
     seen = defaultdict(list)
@@ -94,6 +122,16 @@ def test_empty_table(spark, op):
     assert op(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("op", [suffix_dedup, lambda d: suffix_dedup(d, sample_bytes=32), line_dedup, chunk_dedup])
+def test_batches_without_a_place(spark, op):
+    """Partitions that hold nothing but null, empty and short texts, alone and beside one that holds a repeat."""
+    few = [(i, t) for i, t in enumerate([None, "", "x", "y\nz"])]
+    more = [(10 + i, "line of some words\n" * 40 + f"{i}") for i in range(2)]
+    for made in (few, few + more):
+        got = op(spark.createDataFrame(made, "doc_id long, text string").repartitionByRange(len(made), "doc_id")).collect()
+        assert len(got) == len(made) and all(r["n_removed"] == 0 for r in got if r["doc_id"] < 10)
+
+
 def test_groups_over_the_edges_of_partitions(spark):
     made = [(k % 3 if k % 50 else k, 7, k * 31 % 17, k % 5 << POSITION | k) for k in range(4000)]
     got = {(r["doc"], r["place"]): (r["rank"], r["again"]) for r in reranked(spark.createDataFrame(made, PAIRS).repartition(3), 16).collect()}
