@@ -141,10 +141,22 @@ def reranked(pairs: DataFrame, partitions: int) -> DataFrame:
     return ranked.join(fix, "rank", "left").where("not alone or new_rank is not null").select("doc", "place", F.coalesce("new_rank", "rank").alias("rank"), F.coalesce(again, "again").alias("again"))
 
 
+def first_copies(docs: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
+    """Of texts of m bytes or more: doc_id, th, text of the copy with the least doc_id of each; doc_id, th of all other copies,
+    of which every string starts earlier. Equal texts have equal SHA-256 digests; only ids and digests are shuffled to find them."""
+    long = docs.where(F.octet_length("text") >= m)
+    ids = long.select("doc_id", "th", F.sha2("text", 256).alias("digest"))
+    least = written(ids.groupBy("digest").agg(F.min("doc_id").alias("least")), "firsts")
+    sides = written(ids.join(least, "digest").select("doc_id", "th", (F.col("doc_id") > F.col("least")).alias("later")).distinct(), "copies")
+    first = long.select("doc_id", "th", "text").join(sides.where("not later").select("doc_id", "th"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    return first, sides.where("later").select("doc_id", "th")
+
+
 def repeated_starts(docs: DataFrame, m: int) -> DataFrame:
-    """doc_id, th, starts: the places at which a string of m bytes starts that also starts earlier. docs: as keyed() gives it;
-    rows of one doc_id and th count once."""
-    docs = written(docs.select("doc_id", "th", "text").where(F.octet_length("text") >= m).dropDuplicates(["doc_id", "th"]), "texts")
+    """doc_id, th, starts: the places at which a string of m bytes starts that also starts earlier; null: all of them do. docs:
+    as keyed() gives it; rows of one doc_id and th count once. Of equal texts only the first is sorted."""
+    first, later = first_copies(docs, m)
+    docs = written(first, "texts")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(shuffle_partitions(docs.sparkSession), -(-size // ROWS_A_PARTITION))
     shared = reranked(places(docs, m), partitions)
@@ -157,4 +169,5 @@ def repeated_starts(docs: DataFrame, m: int) -> DataFrame:
         h += step
     text = F.shiftright("place", POSITION)
     start = (F.col("place") - F.shiftleft(text, POSITION)).cast("int")
-    return shared.where("again").select(F.col("doc").alias("doc_id"), text.alias("th"), start.alias("start")).groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"))
+    found = shared.where("again").select(F.col("doc").alias("doc_id"), text.alias("th"), start.alias("start")).groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"))
+    return found.unionByName(later.withColumn("starts", F.lit(None).cast("array<int>")))
