@@ -42,3 +42,15 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["frame_index", "y", "x", "v", "pred", "diff"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("n", [1, 1234, 2000])
+def test_unfinished_last_frame_of_events(spark, tmp_path, n):
+    where = f"{tmp_path}/events.parquet"
+    duckdb.sql(f"copy (select i as event_id, cast(i * 7 % 601 as double) / 8 as value from generate_series(0, {n - 1}) as g(i)) to '{where}' (format parquet)")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{where}'")
+    want = c.execute(SQL["round_trip_events"])
+    columns = [d[0] for d in want.description]
+    got = QUERIES["round_trip_events"](spark, str(tmp_path)).select(*columns).collect()
+    assert plain(map(tuple, got)) == plain(want.fetchall()) and len(got) == -(-n // 1000) and all(r["n"] == 1000 for r in got)
