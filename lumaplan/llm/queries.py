@@ -1,5 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from lumaplan.llm.bpe import op11_bpe
 from lumaplan.llm.chunk_dedup import op10_chunk_dedup
 from lumaplan.llm.decontaminate import op5_decontaminate
 from lumaplan.llm.language_id import op8_language_id
@@ -11,7 +12,7 @@ from lumaplan.llm.suffix_dedup import op1_suffix_dedup
 from lumaplan.llm.token_arrow import op3_token_arrow
 from lumaplan.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_tiff_pages, op3_token_arrow, op4_minhash_dart, op5_decontaminate, op6_mixing, op7_line_winnow, op8_language_id, op9_toxicity, op10_chunk_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_tiff_pages, op3_token_arrow, op4_minhash_dart, op5_decontaminate, op6_mixing, op7_line_winnow, op8_language_id, op9_toxicity, op10_chunk_dedup, op11_bpe)}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 

@@ -29,6 +29,35 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_starts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces start: at each text's first byte, and at white space that a byte of the same text follows which is none."""
+    space = _SPACE[flat]
+    start = np.zeros(len(flat), bool)
+    start[:-1] = space[:-1] & ~space[1:]
+    # What follows a text's last byte is another text: it says nothing about this one.
+    full = np.diff(offsets) > 0
+    start[offsets[1:][full] - 1] = False
+    start[offsets[:-1][full]] = True
+    return np.flatnonzero(start)
+
+
+def rows_for_the_library(flat: np.ndarray, offsets: np.ndarray, special: list[str]) -> set[int]:
+    """Rows that can't be cut into pieces: they hold white space other than ASCII's, or a special token's string."""
+    suspect = (flat >= 0x1C) & (flat <= 0x1F)
+    lead = flat[:-1]
+    nxt = flat[1:]
+    suspect[:-1] |= (lead == 0xC2) & ((nxt == 0x85) | (nxt == 0xA0)) | (lead == 0xE1) & (nxt == 0x9A) | (lead == 0xE2) & ((nxt == 0x80) | (nxt == 0x81)) | (lead == 0xE3) & (nxt == 0x80)
+    hit = np.flatnonzero(suspect)
+    rows = set((np.searchsorted(offsets, hit, "right") - 1).tolist()) if len(hit) else set()
+    raw = flat.tobytes() if special else b""
+    for token in special:
+        where, at = token.encode(), 0
+        while (at := raw.find(where, at)) >= 0:
+            rows.add(int(np.searchsorted(offsets, at, "right") - 1))
+            at += 1
+    return rows
+
+
 class PieceEncoder:
     """Encodes with the tokenizers library, each distinct piece of text once.
 
@@ -82,13 +111,8 @@ class PieceEncoder:
         n = len(offsets) - 1
         if not len(flat):
             return np.zeros(0, self.kind), np.zeros(n + 1, np.int64)
-        odd = self._odd(flat, offsets) if self.by_piece else set(range(n))
-        space = _SPACE[flat]
-        start = np.zeros(len(flat), bool)
-        start[:-1] = space[:-1] & ~space[1:]
-        full = offsets[:-1][np.diff(offsets) > 0]
-        start[full] = True
-        starts = np.flatnonzero(start)
+        odd = rows_for_the_library(flat, offsets, self.special) if self.by_piece else set(range(n))
+        starts = piece_starts(flat, offsets)
         ends = np.append(starts[1:], len(flat))
         per = np.diff(np.searchsorted(starts, offsets))
         _, first, back = np.unique(span_hashes(flat, starts, ends), return_index=True, return_inverse=True)
@@ -129,22 +153,6 @@ class PieceEncoder:
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, total[np.concatenate([[0], np.cumsum(per)])]
 
-    def _odd(self, flat: np.ndarray, offsets: np.ndarray) -> set[int]:
-        """Rows that the library must get whole."""
-        suspect = (flat >= 0x1C) & (flat <= 0x1F)
-        lead = flat[:-1]
-        nxt = flat[1:]
-        suspect[:-1] |= (lead == 0xC2) & ((nxt == 0x85) | (nxt == 0xA0)) | (lead == 0xE1) & (nxt == 0x9A) | (lead == 0xE2) & ((nxt == 0x80) | (nxt == 0x81)) | (lead == 0xE3) & (nxt == 0x80)
-        hit = np.flatnonzero(suspect)
-        odd = set((np.searchsorted(offsets, hit, "right") - 1).tolist()) if len(hit) else set()
-        raw = flat.tobytes() if self.special else b""
-        for token in self.special:
-            where, at = token.encode(), 0
-            while (at := raw.find(where, at)) >= 0:
-                odd.add(int(np.searchsorted(offsets, at, "right") - 1))
-                at += 1
-        return odd
-
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
