@@ -8,11 +8,12 @@ from lumaplan.llm.line_winnow import op7_line_winnow
 from lumaplan.llm.media_tiff import op2_tiff_pages
 from lumaplan.llm.minhash_dart import op4_minhash_dart
 from lumaplan.llm.mixing import op6_mixing
+from lumaplan.llm.prefix_trie import op12_prefix_trie
 from lumaplan.llm.suffix_dedup import op1_suffix_dedup
 from lumaplan.llm.token_arrow import op3_token_arrow
 from lumaplan.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_tiff_pages, op3_token_arrow, op4_minhash_dart, op5_decontaminate, op6_mixing, op7_line_winnow, op8_language_id, op9_toxicity, op10_chunk_dedup, op11_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_tiff_pages, op3_token_arrow, op4_minhash_dart, op5_decontaminate, op6_mixing, op7_line_winnow, op8_language_id, op9_toxicity, op10_chunk_dedup, op11_bpe, op12_prefix_trie)}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -69,4 +70,19 @@ n AS (SELECT doc_id, count(*) FILTER (inside) AS copies FROM m GROUP BY doc_id)
 SELECT doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken FROM q LEFT JOIN n USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op6_mixing": _OP6, "op4_minhash_dart": _OP4, "op7_line_winnow": _OP7}
+#: Nodes are lists of turns; crc32 bit by bit; sums over all ancestors of each node.
+_OP12 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+seq AS (SELECT conv_id, list({{'r': r, 't': t}} ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || t)) AS turns FROM t GROUP BY conv_id),
+bits AS (SELECT conv_id, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda k: CAST(ascii(c) >> k & 1 AS BIGINT)))) AS bits FROM seq),
+h AS (SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bits), lambda a, b: xor(a >> 1, CASE WHEN xor(a & 1, b) = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END)), CAST(4294967295 AS BIGINT)) % 4 AS h FROM bits),
+r AS (SELECT conv_id, list_concat(coalesce(b.turns[1:h], []), own.turns[h + 1:]) AS path FROM h JOIN seq own USING (conv_id) LEFT JOIN seq b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, len(path) AS size, depth, path[1:depth] AS node FROM (SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM r)),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '') AS ends FROM p GROUP BY node, depth),
+c AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(node[depth].t, {_WORD})) END AS saved FROM n LEFT JOIN c USING (node)),
+s AS (SELECT node[1:k] AS node, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM v) GROUP BY 1)
+SELECT v.conv_id, v.depth, up.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256 FROM v JOIN s USING (node) LEFT JOIN n up ON v.depth > 0 AND up.depth = v.depth - 1 AND up.node = v.node[1:v.depth - 1]
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op6_mixing": _OP6, "op4_minhash_dart": _OP4, "op7_line_winnow": _OP7, "op12_prefix_trie": _OP12}
