@@ -108,7 +108,7 @@ class BytePairs:
                 if ids is None:
                     ids = self.merged(word.encode())
                     if len(word) < 64:
-                        if len(self.known) >= 1 << 19:
+                        if len(self.known) >= 1 << 16:
                             self.known.clear()
                         self.known[word] = ids
                 out += ids
@@ -127,7 +127,7 @@ class Pieces:
     """Encodes each distinct piece of text once; see piece_starts(). Equal pieces are found by hash and then compared byte for
     byte; known ones are kept by their bytes, at most `room` of them, then all are forgotten."""
 
-    def __init__(self, coder: BytePairs, room: int = 1_000_000):
+    def __init__(self, coder: BytePairs, room: int = 400_000):
         self.coder, self.room = coder, room
         self._clear()
 
@@ -198,6 +198,16 @@ def _pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
+def _coded(batches: Iterator[pa.Array], tokenizer: str) -> Iterator[tuple[pa.Array, tuple[np.ndarray, np.ndarray]]]:
+    """Ids of texts as lists, and flat with offsets; some 512 KB of text (or one long text) at a time, whatever a batch holds."""
+    coder = _pieces(tokenizer)
+    for texts in batches:
+        flat, off = text_buffer(texts)
+        for lo, hi in chunks(off, 1 << 19):
+            ids, at = coder.encode(flat[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), (ids, at)
+
+
 def bpe_ids(text: Column, tokenizer: str) -> Column:
     """array<int>: the ids of a text, without added special tokens, truncation or padding. tokenizer: a file that executors can read.
 
@@ -207,18 +217,11 @@ def bpe_ids(text: Column, tokenizer: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = _pieces(tokenizer)
-        for texts in batches:
-            flat, off = text_buffer(texts)
-            parts, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-            for lo, hi in chunks(off, 1 << 19):
-                ids, at = coder.encode(flat[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                parts.append(ids)
-                sizes.append(np.diff(at))
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+        for ids, _ in _coded(batches, tokenizer):
+            yield ids
 
     # Dear to compute: an expression that uses the ids twice must not compute them twice.
-    return encode.asNondeterministic()(F.coalesce(text.cast("string"), F.lit("")))
+    return encode.asNondeterministic()(text.cast("string"))
 
 
 def bpe_text(ids: Column, tokenizer: str) -> Column:
@@ -231,19 +234,29 @@ def bpe_text(ids: Column, tokenizer: str) -> Column:
         for rows in batches:
             offsets = rows.offsets.to_numpy()
             flat = rows.values.to_numpy()[offsets[0] : offsets[-1]]
-            offsets, out = (offsets - offsets[0]).astype(np.int64), []
+            offsets = (offsets - offsets[0]).astype(np.int64)
             for lo, hi in chunks(offsets, 1 << 18):
-                out += coder.strings_of(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield pa.array(out, pa.string())
+                yield pa.array(coder.strings_of(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), pa.string())
 
     return decode(F.coalesce(ids.cast("array<int>"), F.array().cast("array<int>")))
 
 
+def bpe_round_trip(text: Column, tokenizer: str) -> Column:
+    """struct<ids:array<int>,text:string>: bpe_ids() of a text and bpe_text() of these, in one visit to Python."""
+
+    @F.arrow_udf("struct<ids:array<int>,text:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = _pieces(tokenizer).coder
+        for ids, (flat, at) in _coded(batches, tokenizer):
+            yield pa.StructArray.from_arrays([ids, pa.array(coder.strings_of(flat, at), pa.string())], ["ids", "text"])
+
+    return both.asNondeterministic()(text.cast("string"))
+
+
 def op11_bpe(spark, sf_dir):
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document. Null text: as empty. Null or repeated doc_id: kept, a row each."""
     from lumaplan.llm.common import table
 
-    tokenizer = default_tokenizer()
-    coded = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), bpe_ids(F.col("text"), tokenizer).alias("ids"))
-    said = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), bpe_text(F.col("ids"), tokenizer).alias("said"))
-    return said.select("doc_id", "n_tokens", "ids_sha256", F.sha2("said", 256).alias("decoded_sha256"))
+    coded = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), bpe_round_trip(F.col("text"), default_tokenizer()).alias("said"))
+    ids = F.col("said.ids")
+    return coded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("said.text", 256).alias("decoded_sha256"))

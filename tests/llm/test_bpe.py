@@ -7,7 +7,7 @@ import pytest
 from fixtures import SCHEMA, rows
 from pyspark.sql import functions as F
 
-from lumaplan.llm.bpe import BytePairs, Pieces, bpe_ids, bpe_text, op11_bpe
+from lumaplan.llm.bpe import BytePairs, Pieces, bpe_ids, bpe_round_trip, bpe_text, op11_bpe
 from lumaplan.llm.token_arrow import PieceEncoder, default_tokenizer, read_token_files, write_token_files
 
 
@@ -80,6 +80,8 @@ def test_columns(spark, plain):
     for r in got:
         assert r["ids"] == plain.encode(r["text"] or "", add_special_tokens=False).ids and r["back"] == (r["text"] or "")
     assert said.limit(0).count() == 0
+    once = docs.select("text", bpe_round_trip(F.col("text"), default_tokenizer()).alias("said")).collect()
+    assert all(r["said"]["ids"] == plain.encode(r["text"] or "", add_special_tokens=False).ids and r["said"]["text"] == (r["text"] or "") for r in once)
     nothing = spark.createDataFrame([(None,), ([],), ([0, 1],)], "ids array<int>").select(bpe_text(F.col("ids"), default_tokenizer()).alias("t"))
     assert [r["t"] for r in nothing.collect()] == ["", "", plain.decode([0, 1])]
 
