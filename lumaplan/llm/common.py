@@ -167,12 +167,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes that are no ASCII space, none across rows, and how many each row has."""
+def word_spans(flat: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes of a kind (not ASCII space), none across rows, and how many each row has."""
     if not len(flat):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets) - 1, np.int64)
-    word = ~_SPACE[flat]
+    word = inside[flat]
     edge = np.zeros(len(flat) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(flat), bool)

@@ -1,5 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from lumaplan.llm.block_max import op13_block_max
 from lumaplan.llm.bpe import op11_bpe
 from lumaplan.llm.chunk_dedup import op10_chunk_dedup
 from lumaplan.llm.decontaminate import op5_decontaminate
@@ -13,7 +14,7 @@ from lumaplan.llm.suffix_dedup import op1_suffix_dedup
 from lumaplan.llm.token_arrow import op3_token_arrow
 from lumaplan.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_tiff_pages, op3_token_arrow, op4_minhash_dart, op5_decontaminate, op6_mixing, op7_line_winnow, op8_language_id, op9_toxicity, op10_chunk_dedup, op11_bpe, op12_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_tiff_pages, op3_token_arrow, op4_minhash_dart, op5_decontaminate, op6_mixing, op7_line_winnow, op8_language_id, op9_toxicity, op10_chunk_dedup, op11_bpe, op12_prefix_trie, op13_block_max)}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -85,4 +86,16 @@ s AS (SELECT node[1:k] AS node, CAST(count(*) FILTER (n_children = 0) AS BIGINT)
 SELECT v.conv_id, v.depth, up.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256 FROM v JOIN s USING (node) LEFT JOIN n up ON v.depth > 0 AND up.depth = v.depth - 1 AND up.node = v.node[1:v.depth - 1]
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op6_mixing": _OP6, "op4_minhash_dart": _OP4, "op7_line_winnow": _OP7, "op12_prefix_trie": _OP12}
+#: Every document that shares a term with an item, scored in full.
+_OP13 = r"""
+WITH a AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+d AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS t FROM a WHERE len(ts) > 0),
+z AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM a WHERE len(ts) > 0),
+p AS (SELECT doc_id, t, any_value(n) AS n, count(*) AS tf FROM d GROUP BY doc_id, t),
+q AS (SELECT item_id, t, count(*) AS k FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, z WHERE t IN (SELECT t FROM q) GROUP BY t, docs),
+s AS (SELECT item_id, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN p USING (t), z GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op6_mixing": _OP6, "op4_minhash_dart": _OP4, "op7_line_winnow": _OP7, "op12_prefix_trie": _OP12, "op13_block_max": _OP13}
