@@ -10,11 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaplan.llm.common import C3, chunks, keyed, mix, real_id, text_buffer, written
+from lumaplan.llm.common import C3, chunks, keyed, mix, ragged, real_id, text_buffer, written
 from lumaplan.llm.runs import name_of
 from lumaplan.llm.toxicity import lower_words
 
 BITS = 17
+#: Bits of the table that tells which runs of words are in an item, whatever the number of items.
+RUN_BITS = 27
+#: Words of a block; windows are whole blocks.
+STEP = 4
 #: Words of a run by which texts are seen to hold a part of an item.
 RUN = 3
 HITS = "doc_id long, th long, item_id long, cosine double, overlap double, answer double, start long, end long"
@@ -33,22 +37,40 @@ def word_runs(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(np.arange(len(words)) + RUN <= np.repeat(at[1:], np.diff(at)), name | np.uint64(1), np.uint64(0))
 
 
+def _bit(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = names >> np.uint64(64 - RUN_BITS)
+    return (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+
+def run_table(parts: Iterator[DataFrame]) -> np.ndarray:
+    """2**RUN_BITS bits, set for the runs of words of all items; parts: blocks of items. Another run has a set bit by chance with a
+    probability of runs / 2**RUN_BITS, and then counts a little less."""
+    table = np.zeros(1 << RUN_BITS - 3, np.uint8)
+    for part in parts:
+        names = word_runs(*lower_words(*text_buffer(part.select("text").toArrow().column("text"))))
+        byte, bit = _bit(names[names != 0])
+        np.bitwise_or.at(table, byte, bit)
+    return table
+
+
 def document_frequency(docs: DataFrame, runs: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many texts each hashed word is outside the given runs (sorted names, those of benchmark items), over all texts,
-    and the number of texts: an item that many texts hold does not make its own words common. 2**BITS counters, whatever
-    the input."""
+    """In how many texts each hashed word is outside the given runs (a run_table(), that of all benchmark items), over all texts,
+    and the number of texts: an item that many texts hold does not make its own words common. 2**BITS counters and
+    2**RUN_BITS bits, whatever the input."""
+    shared = docs.sparkSession.sparkContext.broadcast(runs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << BITS, np.int64), 0
+        total, n, table = np.zeros(1 << BITS, np.int64), 0, shared.value
         for rb in batches:
             flat, off = text_buffer(rb.column("text"))
             n += len(off) - 1
             for lo, hi in chunks(off, 1 << 20):
                 words, at = lower_words(flat[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 both = np.repeat(np.arange(hi - lo), np.diff(at)) << BITS | features(words)
-                if len(runs) and len(words):
+                if len(words):
                     name = word_runs(words, at)
-                    of_item = (name != 0) & (runs[np.minimum(np.searchsorted(runs, name), len(runs) - 1)] == name)
+                    byte, bit = _bit(name)
+                    of_item = (name != 0) & (table[byte] & bit != 0)
                     inside = of_item.copy()
                     for j in range(1, RUN):
                         inside[j:] |= of_item[:-j]
@@ -161,100 +183,118 @@ def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> in
     return size - v.bit_count()
 
 
+def window_classes(longest: int) -> list[int]:
+    """Widths of windows in blocks: each at most a quarter (or one block) wider than the one before, the last for `longest` words."""
+    out = [1]
+    while out[-1] * STEP < longest:
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+    return out
+
+
 class Matcher:
     """Finds items in texts, batch by batch."""
 
     def __init__(self, items: Items, least_cosine: float, least_overlap: float, least_answer: float):
         self.x, self.least_cosine, self.least_overlap, self.least_answer = items, least_cosine, least_overlap, least_answer
-        self.size = np.array([len(w) for w in items.words])
-        # Items without words, or that the basis does not hold at all, have no windows.
-        some = (self.size > 0) & (items.own > 1e-6)
-        self.window = np.where(some, np.maximum(16, 1 << np.ceil(np.log2(np.maximum(self.size, 1))).astype(int)), 0)
+        self.size = np.array([len(w) for w in items.words], np.int64)
+        classes = np.array(window_classes(int(self.size.max(initial=1))))
+        # Blocks of each item's window, the narrowest that holds it; items without words have none.
+        self.window = np.where(self.size > 0, classes[np.searchsorted(classes * STEP, np.maximum(self.size, 1))], 0)
+        # Every window is a candidate for an item that the basis does not hold at all.
+        self.need = np.where(items.own > 1e-6, least_cosine * items.own, -1.0)
         self.masks: dict[int, tuple[dict[int, int], set[int]]] = {}
+        self.answers = np.zeros(1 << BITS, bool)
+        for i in np.flatnonzero(self.size).tolist():
+            self.answers[features(np.array(list(self._answer(i)), np.uint64))] = True
+
+    def _answer(self, i: int) -> set[int]:
+        """The item's rarest quarter of distinct words."""
+        u = np.unique(self.x.words[i])
+        rare = np.lexsort((u, -self.x.idf[features(u)]))
+        return set(u[rare[: max(1, len(u) // 4)]].tolist())
 
     def _item(self, i: int) -> tuple[dict[int, int], set[int]]:
-        """Places of each word, and the answer: the item's rarest quarter of distinct words."""
+        """Places of each word, and the answer."""
         if i not in self.masks:
-            w = self.x.words[i]
             m: dict[int, int] = {}
-            for j, v in enumerate(w.tolist()):
+            for j, v in enumerate(self.x.words[i].tolist()):
                 m[v] = m.get(v, 0) | 1 << j
-            u = np.unique(w)
-            rare = np.lexsort((u, -self.x.idf[features(u)]))
-            self.masks[i] = m, set(u[rare[: max(1, len(u) // 4)]].tolist())
+            self.masks[i] = m, self._answer(i)
         return self.masks[i]
 
     def find(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float, float, float, int, int]]:
         """(text, item, cosine, overlap, answer, first word, end) of the best match of each text and item.
 
-        Each text is cut into blocks of STEP words, followed by empty ones, so that a window is four blocks next to each other
-        and blocks of twice the size are sums of two. A word's vector is read once for all windows.
+        Each text is cut into blocks of STEP words, followed by empty ones, so that no window leaves its text. A window's vector
+        is the difference of two running sums of blocks' vectors. Windows of a class, as wide as its items or up to a quarter
+        wider, begin at every quarter of their width. Those without a word of any answer in reach can't be accepted.
         """
         x, best = self.x, {}
-        widths = np.unique(self.window[self.window > 0]).tolist()
-        if not widths:
+        classes = np.unique(self.window[self.window > 0]).tolist()
+        if not classes or not len(words):
             return []
-        levels = int(np.log2(widths[-1] // widths[0])) + 1
-        step = widths[0] // 4
         f = features(words)
         place, g = x.at[f], x.idf[f]
         n = np.diff(at)
-        unit = 1 << levels - 1
-        blocks = (-(-n // step) + 3 * unit + unit - 1) // unit * unit
+        blocks = -(-n // STEP) + classes[-1]
         base = np.concatenate([[0], np.cumsum(blocks)])
         text = np.repeat(np.arange(len(n)), n)
-        block = base[:-1][text] + (np.arange(len(words)) - at[text]) // step
-        total = np.bincount(block, g * g, base[-1])
-        known = np.bincount(block, np.where(place >= 0, g * g, 0), base[-1])
-        four = lambda v: v[:-3] + v[1:-2] + v[2:-1] + v[3:]
-        half = lambda v: v[::2] + v[1::2]
-        # A window's cosine with an item's latent vector is at most the root of the share of its weight on words of items.
-        bound = {w: (self.least_cosine * self.x.own[self.window == w].min()) ** 2 for w in widths}
-        wanted, windows, e, k = np.zeros(base[-1], bool), {}, total, known
-        for level in range(levels):
-            width = widths[0] << level
-            if width in widths:
-                sums = four(e)
-                maybe = np.flatnonzero((four(k) >= bound[width] * sums) & (sums > 0))
-                windows[level] = maybe, sums[maybe]
-                for j in range(4):
-                    wanted[((maybe + j)[:, None] << level) + np.arange(1 << level)] = True
-            if level + 1 < levels:
-                e, k = half(e), half(k)
-        pick = np.flatnonzero((place >= 0) & wanted[block])
-        vec = np.zeros((base[-1], x.basis.shape[1]), np.float32)
-        nth = (pick - at[text[pick]]) % step
-        for i in range(step):  # words of one place in their blocks: no block twice
-            of = pick[nth == i]
-            vec[block[of]] += x.basis[place[of]]
-        for level in range(levels):
-            if level in windows:
-                self._windows(words, at, base >> level, step << level, vec, *windows[level], best)
-            if level + 1 < levels:
-                vec = half(vec)
+        within = np.arange(len(words)) - at[text]
+        block = base[:-1][text] + within // STEP
+        known = place >= 0
+        vec = np.zeros((base[-1] + 1, x.basis.shape[1]))
+        for i in range(STEP):  # words of one place in their blocks: no block twice
+            of = np.flatnonzero(known & (within % STEP == i))
+            vec[block[of] + 1] += x.basis[place[of]]
+        np.cumsum(vec, axis=0, out=vec)
+        energy = np.concatenate([[0], np.cumsum(np.bincount(block, np.where(known, g * g, 0), base[-1]))])
+        telling = np.concatenate([[0], np.cumsum(np.bincount(block, self.answers[f], base[-1]))])
+        owner = np.repeat(np.arange(len(n)), blocks)
+        filled = np.repeat(-(-n // STEP), blocks)
+        nth = np.arange(base[-1]) - base[owner]
+        for width in classes:
+            half = -(-width // 2)
+            start = np.flatnonzero((nth % max(1, width // 4) == 0) & (nth < filled))
+            near = telling[np.minimum(start + width + half, base[owner[start] + 1])] > telling[np.maximum(start - half, base[owner[start]])]
+            start = start[near]
+            self._windows(words, at, f, base, owner, width, start, vec, energy, best)
         return [(t, i, *v) for (t, i), v in best.items()]
 
-    def _windows(self, words, at, base, step, vec, starts, energy, best) -> None:
-        """Windows of four blocks of step words that begin with the given blocks."""
-        x, width = self.x, 4 * step
+    def _norms(self, words: np.ndarray, f: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Lengths of the TF-IDF vectors of the words [first, stop), over words that an item has."""
+        size = stop - first
+        word = ragged(first, size)
+        row = np.repeat(np.arange(len(first)), size)
+        some = self.x.at[f[word]] >= 0
+        both, times = np.unique(row[some] << BITS | f[word[some]], return_counts=True)
+        return np.sqrt(np.bincount(both >> BITS, (times * self.x.idf[both & (1 << BITS) - 1]) ** 2, len(first)))
+
+    def _windows(self, words, at, f, base, owner, width, starts, vec, energy, best) -> None:
+        """Windows of `width` blocks that begin with the given ones, against the items of this width."""
+        x, span = self.x, width * STEP
         mine = np.flatnonzero(self.window == width)
+        need = self.need[mine]
         # At most 2**22 cosines at a time.
-        size, need = max(64, (1 << 22) // len(mine)), (self.least_cosine * x.own[mine]).astype(np.float32)
+        size = max(64, (1 << 22) // len(mine))
         for s in range(0, len(starts), size):
             j = starts[s : s + size]
-            v = vec[j] + vec[j + 1]
-            v += vec[j + 2]
-            v += vec[j + 3]
-            v /= np.sqrt(energy[s : s + size]).astype(np.float32)[:, None]
-            cos = v @ x.latent[mine].T
-            row, col = np.nonzero(cos >= need)
-            texts = np.searchsorted(base, j[row], "right") - 1
-            first = at[texts] + (j[row] - base[texts]) * step
-            begins, ends = np.maximum(at[texts], first - width // 2), np.minimum(at[texts + 1], first + width + width // 2)
+            dot = (vec[j + width] - vec[j]).astype(np.float32) @ x.latent[mine].T
+            # Repeated words only lengthen a vector, so that this is a cosine or more.
+            row, col = np.nonzero(dot >= need * np.sqrt(np.maximum(energy[j + width] - energy[j], 0))[:, None] * 0.9999 - 1e-6)
+            if not len(row):
+                continue
+            texts = owner[j]
+            first = at[texts] + (j - base[texts]) * STEP
+            used, back = np.unique(row, return_inverse=True)
+            norm = self._norms(words, f, first[used], np.minimum(first[used] + span, at[texts[used] + 1]))[back]
+            cos = dot[row, col] / np.maximum(norm, 1e-12)
+            true = cos >= need[col]
+            row, col, cos = row[true], col[true], cos[true]
+            begins, ends = np.maximum(at[texts], first - span // 2), np.minimum(at[texts + 1], first + span + span // 2)
             last = -1
-            for r, c, t, i, a, b in zip(row.tolist(), col.tolist(), texts.tolist(), mine[col].tolist(), begins.tolist(), ends.tolist(), strict=True):
-                known = best.get((t, i))
-                if known and known[1] >= 0.999:
+            for r, t, i, c, a, b in zip(row.tolist(), texts[row].tolist(), mine[col].tolist(), cos.tolist(), begins[row].tolist(), ends[row].tolist(), strict=True):
+                held = best.get((t, i))
+                if held and held[1] >= 0.999:
                     continue
                 masks, answer = self._item(i)
                 if r != last:
@@ -263,12 +303,11 @@ class Matcher:
                 if got < self.least_answer:
                     continue
                 overlap = common_subsequence(masks, int(self.size[i]), said) / int(self.size[i])
-                if overlap >= self.least_overlap and (known is None or (overlap, got) > known[1:3]):
-                    best[(t, i)] = (float(cos[r, c]), overlap, got, a - int(at[t]), b - int(at[t]))
+                if overlap >= self.least_overlap and (held is None or (overlap, got) > held[1:3]):
+                    best[(t, i)] = (c, overlap, got, a - int(at[t]), b - int(at[t]))
 
 
-def _block(items: DataFrame, idf: np.ndarray, rank: int) -> Items:
-    used, basis = randomised_svd(items, idf, rank)
+def _block(items: DataFrame, idf: np.ndarray, used: np.ndarray, basis: np.ndarray) -> Items:
     got = items.select("item_id", "text").toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
     words, at = lower_words(*text_buffer(got.column("text")))
     where = np.full(1 << BITS, -1, np.int32)
@@ -284,12 +323,15 @@ def _block(items: DataFrame, idf: np.ndarray, rank: int) -> Items:
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.35, least_overlap: float = 0.6, least_answer: float = 0.34, rank: int = 96, block_items: int = 20000, block_bytes: int = 32 << 20) -> DataFrame:
     """Rows of HITS: each text and benchmark item it holds, verbatim or paraphrased, with the words [start, end) around it.
 
-    Document frequencies are over all docs, without the words that lie in runs of three words of an item. The items' TF-IDF
-    matrix is factorised; every window of every text is compared with every item by the cosine of its TF-IDF vector and the
-    item's latent vector. A window is a candidate if that reaches least_cosine of the item's cosine with itself, which tells
-    how much of the item the basis holds. Candidates stay if a common subsequence of words has least_overlap of the item and
-    least_answer of its rarest words are there. Items go in blocks of bounded number and bytes, each against all docs: a
-    stated set of queries, compared in slices of 2**22 cosines.
+    Document frequencies are over all docs, without the words that lie in runs of three words of an item. The TF-IDF matrix of
+    all items is factorised once. Texts and items are vectors over the words that some item has, so that strange words beside a
+    passage do not count. Windows of an item's length, or up to a quarter more, at every quarter of it, are compared with the
+    item's latent vector; where no word of any item's answer is in reach, no item can be there, and the window is passed over.
+    A window is a candidate if the cosine of its TF-IDF vector reaches least_cosine of the item's cosine with itself, which tells
+    how much of the item the basis holds. Candidates stay if a common subsequence of words (the window and half of it on both
+    sides) has least_overlap of the item and least_answer of its rarest words are there. Items go in blocks of bounded number
+    and bytes, each against all docs: a stated set of queries, compared in slices of 2**22 cosines. Frequencies and basis are
+    the same for all blocks, so the number of blocks changes no result.
 
     Null or empty texts and items: no hits. Null item_id: dropped. Repeated rows of docs: hits each. Empty tables: no rows.
     docs: as keyed() gives it.
@@ -300,12 +342,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, least_cosine: float =
     if not size["n"]:
         return spark.createDataFrame([], HITS)
     blocks = max(-(-size["n"] // block_items), -(-size["bytes"] // block_bytes))
+    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks)]
+    df, n = document_frequency(docs, run_table(iter(parts)))
+    idf = np.log((n + 1) / (df + 1)) + 0.05
+    used, basis = randomised_svd(items, idf, rank)
     out = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        runs = np.unique(word_runs(*lower_words(*text_buffer(part.select("text").toArrow().column("text")))))
-        df, n = document_frequency(docs, runs[runs != 0])
-        block = _block(part, np.log((n + 1) / (df + 1)) + 0.05, rank)
+    for part in parts:
+        block = _block(part, idf, used, basis)
 
         def match(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             m = Matcher(block, least_cosine, least_overlap, least_answer)
