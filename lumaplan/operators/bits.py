@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
+
 from lumaplan.operators.errors import SYNTAX, CodecError
 
 # Fixed value: the generator polynomial 0x04c11db7; no reflection, start 0, no final complement.
 POLYNOMIAL = 0x04C11DB7
 
 
-def _step(byte: int) -> int:
-    r = byte << 24
-    for _ in range(8):
-        r = (r << 1 ^ (POLYNOMIAL if r >> 31 else 0)) & 0xFFFFFFFF
-    return r
+_TURNED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
-_CRC = [_step(b) for b in range(256)]
+def _turn32(v: int) -> int:
+    return int.from_bytes(v.to_bytes(4, "little").translate(_TURNED), "big")
 
 
 def crc32_msb(data: bytes, crc: int = 0) -> int:
-    """Over data followed by its own big-endian CRC the result is 0."""
-    for b in data:
-        crc = (crc << 8 & 0xFFFFFFFF) ^ _CRC[crc >> 24 ^ b]
-    return crc
+    """Over data followed by its own big-endian CRC the result is 0. The same polynomial with all bits turned round is that of zlib,
+    which starts and ends with a complement."""
+    return _turn32(zlib.crc32(data.translate(_TURNED), _turn32(crc) ^ 0xFFFFFFFF) ^ 0xFFFFFFFF)
 
 
 class BitReader:

@@ -2,7 +2,8 @@
 
 streams is a table with a row a stream: stream_id, record (configuration record), width, height, keyframe_interval. Records
 are read once a worker process. A slice of a group of pictures is one group of rows: keyframes start every slice anew, so
-groups are independent; only frames of one group that follow a keyframe go through one task in order.
+groups are independent; only frames of one group that follow a keyframe go through one task in order. Groups that are alike in a
+task are coded in lockstep (lanes.py), the others one by one (slices.py); the result is the same.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from lumaplan.operators.errors import INVALID_ARGUMENT, STATUS, SYNTAX, CodecError, ok_status
 from lumaplan.operators.frames import bootstrap_key, check_planes, decode_one, encode_slice, frame_info, parse_frame, raster_headers
-from lumaplan.operators.slices import Header, locate
+from lumaplan.operators.lanes import FEWEST, decode_frames, encode_frames, lanes_at_once
+from lumaplan.operators.slices import Header, Slice, locate
 from lumaplan.operators.stream import StreamConfig, encoder_profile, read_record, write_record
 
 STREAMS = "stream_id long, record binary, width long, height long, keyframe_interval long"
@@ -64,6 +66,90 @@ _PIECE = "stream_id long, gop long, slice_index int, frame_index long, plane int
 _CODED = f"stream_id long, frame_index long, slice_index int, keyframe boolean, data binary, status {STATUS}"
 
 
+def _chains(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], most: int = 4096, room: int = 64 << 20) -> Iterator[list[list[dict]]]:
+    """Rows that are sorted by key, as lists of those of one key; so many lists at a time, or of so many bytes."""
+    chains: list[list[dict]] = []
+    last, size = None, 0
+    for rb in batches:
+        for r in rb.to_pylist():
+            now = tuple(r[k] for k in key)
+            if now != last:
+                if len(chains) >= most or size >= room:
+                    yield chains
+                    chains, size = [], 0
+                chains.append([])
+                last = now
+            chains[-1].append(r)
+            size += len(r.get("data") or r.get("payload") or b"")
+    if chains:
+        yield chains
+
+
+def _together(keys: list[tuple | None], sets_of) -> Iterator[list[int]]:
+    """Indices of chains that can go in lockstep: those of one key, if they are enough; keys of None can't."""
+    groups: dict[tuple, list[int]] = {}
+    for i, k in enumerate(keys):
+        if k is not None:
+            groups.setdefault(k, []).append(i)
+    for k, members in groups.items():
+        size = lanes_at_once(*sets_of(k))
+        for a in range(0, len(members), size):
+            if len(members[a : a + size]) >= FEWEST:
+                yield members[a : a + size]
+
+
+def _arrays(c: StreamConfig, header: Header, parts: list[dict]) -> list[np.ndarray]:
+    kind = "u1" if c.sample_bytes == 1 else "<u2"
+    cells = [c.cell(p, header.x, header.y, header.w, header.h) for p in range(c.planes)]
+    return [np.frombuffer(p["data"], kind).reshape(k, w) for p, (_, _, w, k) in zip(parts, cells, strict=True)]
+
+
+def _coded(chains: list[list[dict]]) -> Iterator[list[tuple]]:
+    """Rows of _CODED of each chain: pieces of one slice of one group of pictures, in order of frames and planes."""
+    configs = [config_of(r[0]["record"], r[0]["width"], r[0]["height"]) for r in chains]
+    headers = [raster_headers(c)[r[0]["slice_index"]] for c, r in zip(configs, chains, strict=True)]
+    keys: list[tuple | None] = []
+    for c, h, rows in zip(configs, headers, chains, strict=True):
+        start, n = rows[0]["gop"] * rows[0]["keyframe_interval"], c.planes
+        whole = len(rows) % n == 0 and all(r["fault"] is None and r["frame_index"] == start + i // n and r["plane"] == i % n for i, r in enumerate(rows))
+        keys.append((rows[0]["record"], rows[0]["width"], rows[0]["height"], *(c.cell(p, h.x, h.y, h.w, h.h)[2:] for p in range(n))) if whole else None)
+    done: list[list[bytes] | None] = [None] * len(chains)
+    for some in _together(keys, lambda k: (config_of(*k[:3]), (0,) * config_of(*k[:3]).slots)):
+        c = configs[some[0]]
+        frames = [[_arrays(c, headers[i], chains[i][a : a + c.planes]) for a in range(0, len(chains[i]), c.planes)] for i in some]
+        for i, data in zip(some, encode_frames(c, [headers[i] for i in some], [chains[i][0]["slice_index"] == 0 for i in some], frames), strict=True):
+            done[i] = data
+    for c, h, rows, data in zip(configs, headers, chains, done, strict=True):
+        if data is None:
+            yield _coded_alone(c, h, rows)
+        else:
+            yield [(rows[0]["stream_id"], rows[0]["gop"] * rows[0]["keyframe_interval"] + f, rows[0]["slice_index"], f == 0, d, ok_status()) for f, d in enumerate(data)]
+
+
+def _coded_alone(c: StreamConfig, header: Header, rows: list[dict]) -> list[tuple]:
+    head, state, out = rows[0], None, []
+    frames: dict[int, list[dict]] = {}
+    for r in rows:
+        frames.setdefault(r["frame_index"], []).append(r)
+    expected = head["gop"] * head["keyframe_interval"]
+    for f, parts in frames.items():
+        key = f % head["keyframe_interval"] == 0
+        data, status = None, ok_status()
+        try:
+            if f != expected:
+                raise CodecError(2, "a frame is missing before this one")
+            if fault := next((p["fault"] for p in parts if p["fault"]), None):
+                raise CodecError(INVALID_ARGUMENT, fault)
+            if [p["plane"] for p in parts] != list(range(c.planes)):
+                raise CodecError(INVALID_ARGUMENT, f"the stream has {c.planes} planes")
+            data, state = encode_slice(c, _arrays(c, header, parts), header, key if head["slice_index"] == 0 else None, None if key else state)
+            expected = f + 1
+        except CodecError as e:
+            status = e.at(frame_index=f, slice_index=head["slice_index"]).status()
+        out.append((head["stream_id"], f, head["slice_index"], key, data, status))
+    return out
+
+
 def encode(planes: DataFrame, streams: DataFrame) -> DataFrame:
     """stream_id, frame_index, keyframe, payload and status of each frame. planes: stream_id, frame_index, plane, data.
 
@@ -92,37 +178,12 @@ def encode(planes: DataFrame, streams: DataFrame) -> DataFrame:
                     out.append((r["stream_id"], gop, i, r["frame_index"], r["plane"], part, fault, r["record"], r["width"], r["height"], r["keyframe_interval"]))
                 yield _batch(out, piece)
 
-    def code(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: (r["frame_index"], r["plane"]))
-        head = rows[0]
-        c = config_of(head["record"], head["width"], head["height"])
-        header, state, out = raster_headers(c)[head["slice_index"]], None, []
-        frames: dict[int, list[dict]] = {}
-        for r in rows:
-            frames.setdefault(r["frame_index"], []).append(r)
-        expected = head["gop"] * head["keyframe_interval"]
-        for f, parts in frames.items():
-            key = f % head["keyframe_interval"] == 0
-            data, status = None, ok_status()
-            try:
-                if f != expected:
-                    raise CodecError(2, "a frame is missing before this one")
-                if fault := next((p["fault"] for p in parts if p["fault"]), None):
-                    raise CodecError(INVALID_ARGUMENT, fault)
-                if [p["plane"] for p in parts] != list(range(c.planes)):
-                    raise CodecError(INVALID_ARGUMENT, f"the stream has {c.planes} planes")
-                kind = "u1" if c.sample_bytes == 1 else "<u2"
-                cells = [c.cell(p, header.x, header.y, header.w, header.h) for p in range(c.planes)]
-                arrays = [np.frombuffer(p["data"], kind).reshape(k, w) for p, (_, _, w, k) in zip(parts, cells, strict=True)]
-                data, state = encode_slice(c, arrays, header, key if head["slice_index"] == 0 else None, None if key else state)
-                expected = f + 1
-            except CodecError as e:
-                status = e.at(frame_index=f, slice_index=head["slice_index"]).status()
-            out.append((head["stream_id"], f, head["slice_index"], key, data, status))
-        return pa.Table.from_batches([_batch(out, coded)])
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chains in _chains(batches, ("stream_id", "gop", "slice_index")):
+            yield _batch([r for rows in _coded(chains) for r in rows], coded)
 
     pieces = planes.select("stream_id", "frame_index", "plane", "data").join(streams, "stream_id").mapInArrow(cut, _PIECE)
-    slices = pieces.groupBy("stream_id", "gop", "slice_index").applyInArrow(code, _CODED)
+    slices = pieces.repartition("stream_id", "gop", "slice_index").sortWithinPartitions("stream_id", "gop", "slice_index", "frame_index", "plane").mapInArrow(code, _CODED)
     bad = F.col("status.code") != 0
     frames = slices.groupBy("stream_id", "frame_index").agg(F.first("keyframe").alias("keyframe"), F.array_sort(F.collect_list(F.struct("slice_index", "data"))).alias("parts"), F.min_by("status", F.when(bad, F.col("slice_index"))).alias("fault"), F.min_by("status", "slice_index").alias("fine"))
     payload = F.when(F.col("fault").isNull(), F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["data"])))
@@ -217,6 +278,37 @@ def _decoded(rows: list[dict], observe: list | None = None) -> Iterator[tuple]:
             yield r, c, None, e.at(frame_index=r["frame_index"], slice_index=r["slice_index"]).status()
 
 
+def _decoded_chains(chains: list[list[dict]]) -> Iterator[tuple]:
+    """_decoded() of many groups: those whose first frame is a keyframe and lacks no frame after it go in lockstep."""
+    keys: list[tuple | None] = []
+    slices: list[list[Slice]] = []
+    for rows in chains:
+        first, key, parsed = rows[0], None, []
+        if all(r["frame_index"] == first["frame_index"] + f and r["keyframe"] == (f == 0) for f, r in enumerate(rows)):
+            try:
+                c = config_of(first["record"], first["width"], first["height"])
+                if c.version >= 3:
+                    parsed = [_reparsed(c, r) for r in rows]
+                    shape = tuple(c.cell(p, *parsed[0].layout)[2:] for p in range(c.planes))
+                    same = all(s.header.sets == parsed[0].header.sets for s in parsed)
+                    key = (first["record"], first["width"], first["height"], parsed[0].header.sets, shape) if same else None
+            except CodecError:
+                key = None
+        keys.append(key)
+        slices.append(parsed)
+    done: list[list[list[np.ndarray]] | None] = [None] * len(chains)
+    for some in _together(keys, lambda k: (config_of(*k[:3]), k[3])):
+        c = config_of(*keys[some[0]][:3])  # type: ignore[index]
+        for i, planes in zip(some, decode_frames(c, [slices[i] for i in some]), strict=True):
+            done[i] = planes
+    for rows, key, planes in zip(chains, keys, done, strict=True):
+        if planes is None:
+            yield from _decoded(rows)
+        else:
+            c = config_of(*key[:3])  # type: ignore[index]
+            yield from ((r, c, parts, ok_status()) for r, parts in zip(rows, planes, strict=True))
+
+
 TRACE = "stream_id long, frame_index long, slice_index int, plane int, y int, x int, context int, diff int, place_before long, place_after long"
 
 
@@ -245,15 +337,16 @@ def decode(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, regu
     """
     part, whole = _arrow(_PART), _arrow(PLANES)
 
-    def decode_group(t: pa.Table) -> pa.Table:
-        out = []
-        for r, c, parts, status in _decoded(t.to_pylist()):
-            for p, a in enumerate(parts or []):
-                x, y, w, h = c.cell(p, r["raster_x"], r["raster_y"], r["raster_w"], r["raster_h"])
-                out.append((r["stream_id"], r["frame_index"], r["keyframe"], p, r["slice_index"], x, y, w, h, a.astype("u1" if c.sample_bytes == 1 else "<u2").tobytes(), status))
-            if parts is None:
-                out.append((r["stream_id"], r["frame_index"], r["keyframe"], None, r["slice_index"], None, None, None, None, None, status))
-        return pa.Table.from_batches([_batch(out, part)])
+    def decode_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chains in _chains(batches, _GROUP):
+            out = []
+            for r, c, parts, status in _decoded_chains(chains):
+                for p, a in enumerate(parts or []):
+                    x, y, w, h = c.cell(p, r["raster_x"], r["raster_y"], r["raster_w"], r["raster_h"])
+                    out.append((r["stream_id"], r["frame_index"], r["keyframe"], p, r["slice_index"], x, y, w, h, a.astype("u1" if c.sample_bytes == 1 else "<u2").tobytes(), status))
+                if parts is None:
+                    out.append((r["stream_id"], r["frame_index"], r["keyframe"], None, r["slice_index"], None, None, None, None, None, status))
+            yield _batch(out, part)
 
     def paste(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -274,7 +367,7 @@ def decode(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, regu
         return pa.Table.from_batches([_batch(out, whole)])
 
     slices = _found_slices(packets, streams, verify_crc, regular)
-    good = slices.where("status.code = 0").groupBy(*_GROUP).applyInArrow(decode_group, _PART)
+    good = slices.where("status.code = 0").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "frame_index").mapInArrow(decode_groups, _PART)
     none = [F.lit(None).cast("int").alias(k) for k in ("x", "y", "w", "h")]
     bad = slices.where("status.code <> 0").select("stream_id", "frame_index", "keyframe", F.lit(None).cast("int").alias("plane"), "slice_index", *none, F.lit(None).cast("binary").alias("data"), "status")
     parts = good.unionByName(bad).join(streams.select("stream_id", "record", "width", "height"), "stream_id")
@@ -284,7 +377,7 @@ def decode(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, regu
 def _reparsed(c: StreamConfig, r: dict):
     """The Slice of a row that holds one slice's bytes (the whole frame before version 3)."""
     from lumaplan.operators.range_coder import START, RangeDecoder
-    from lumaplan.operators.slices import Slice, read_header
+    from lumaplan.operators.slices import read_header
 
     data = r["payload"]
     if c.version < 3:
@@ -388,13 +481,21 @@ def bootstrap_frames(packets: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def unpacked(planes: DataFrame) -> DataFrame:
-    """Packed planes as samples: stream_id, frame_index, plane, y, x, v."""
-    n = F.col("bytes_per_sample")
-    at = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
-    byte = lambda i: F.conv(F.hex(F.substring(F.col("data"), i + 1, F.lit(1))), 16, 10).cast("int")
-    rows = planes.where("plane is not null").select("stream_id", "frame_index", "plane", "width", "data", n, F.explode(at).alias("i"))
-    v = F.when(n == 1, byte(F.col("i"))).otherwise(byte(F.col("i") * 2) + 256 * byte(F.col("i") * 2 + 1))
-    return rows.select("stream_id", "frame_index", "plane", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), v.alias("v"))
+    """Packed planes as samples: stream_id, frame_index, plane, y, x, v. Null planes: no rows."""
+    schema = "stream_id long, frame_index long, plane int, y int, x int, v int"
+    arrow = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            stream, frame, plane, width, size = (rb.column(x).to_numpy() for x in ("stream_id", "frame_index", "plane", "width", "bytes_per_sample"))
+            for i in range(len(rb)):
+                v = np.frombuffer(rb.column("data")[i].as_buffer(), "u1" if size[i] == 1 else "<u2")
+                y, x = np.divmod(np.arange(len(v), dtype=np.int32), width[i])
+                same = (pa.array(np.full(len(v), a[i]), f.type) for a, f in zip((stream, frame, plane), arrow, strict=False))
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array(a.astype(np.int32)) for a in (y, x, v))], schema=arrow)
+
+    rows = planes.where("plane is not null and data is not null").select("stream_id", "frame_index", F.col("plane").cast("int").alias("plane"), F.col("width").cast("int").alias("width"), F.col("bytes_per_sample").cast("int").alias("bytes_per_sample"), "data")
+    return rows.mapInArrow(run, schema)
 
 
 __all__ = ["Header", "bootstrap_frames", "check_planes", "configure", "decode", "encode", "inspect", "locate", "parse_records", "record_states", "record_tables", "trace", "unpacked"]

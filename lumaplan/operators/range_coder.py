@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from lumaplan.operators.errors import INTERNAL, INVALID_ARGUMENT, SYNTAX, CodecError
 
 START = 128
@@ -30,6 +32,7 @@ def adaptive_transitions(rate: float = 0.05, top: int = 248) -> bytes:
 DEFAULT_TRANSITIONS = adaptive_transitions()
 
 
+@lru_cache(maxsize=64)
 def zero_transitions(after_one: bytes) -> bytes:
     return bytes([0, *(256 - after_one[256 - s] & 255 for s in range(1, 256))])
 
@@ -183,8 +186,9 @@ class RangeEncoder:
 
     def closed(self) -> bytes:
         """A value inside the interval whose last byte is zero, near its middle; that byte is dropped."""
-        steps = range(-self.low & 255, self.range, 256)
-        half = self.range // 2
-        self._add(min(steps, key=lambda d: (abs(d - half), d)) if len(steps) else half)
+        least, half = -self.low & 255, self.range // 2
+        below = max(0, half - least >> 8)
+        near = [d for d in (least + 256 * below, least + 256 * below + 256) if d < self.range]
+        self._add(min(near, key=lambda d: (abs(d - half), d)) if near else half)
         data = self.lower_bound()
         return data[:-1] if len(data) > 2 and data[-1] == 0 else data

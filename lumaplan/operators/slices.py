@@ -196,18 +196,18 @@ def plain_planes(c: StreamConfig, coded: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def neighbours(s: np.ndarray) -> dict[str, np.ndarray]:
-    """The six causal neighbours of every sample; the border is 0, a row's left border is the sample above its first, and the
+    """The six causal neighbours of every sample of a plane, or of a stack of planes; the border is 0, a row's left border is the sample above its first, and the
     last column's top right is its top."""
-    h, w = s.shape
-    wide = np.zeros((h + 2, w + 3), s.dtype)
-    wide[2:, 2 : w + 2] = s
-    wide[:, w + 2] = wide[:, w + 1]
-    wide[1:, 1] = wide[:-1, 2]
-    row = wide[2:]
-    up, upper = wide[1:-1], wide[:-2]
-    far = row[:, :w].copy()
-    far[:, 0] = 0
-    return {"left": row[:, 1 : w + 1], "top": up[:, 2 : w + 2], "top_left": up[:, 1 : w + 1], "top_right": up[:, 3 : w + 3], "far_left": far, "top_top": upper[:, 2 : w + 2]}
+    h, w = s.shape[-2:]
+    wide = np.zeros((*s.shape[:-2], h + 2, w + 3), s.dtype)
+    wide[..., 2:, 2 : w + 2] = s
+    wide[..., w + 2] = wide[..., w + 1]
+    wide[..., 1:, 1] = wide[..., :-1, 2]
+    row = wide[..., 2:, :]
+    up, upper = wide[..., 1:-1, :], wide[..., :-2, :]
+    far = row[..., :w].copy()
+    far[..., 0] = 0
+    return {"left": row[..., 1 : w + 1], "top": up[..., 2 : w + 2], "top_left": up[..., 1 : w + 1], "top_right": up[..., 3 : w + 3], "far_left": far, "top_top": upper[..., 2 : w + 2]}
 
 
 def median(a, b, c):

@@ -44,6 +44,26 @@ def test_same_bytes_and_planes(spark, config, interval):
         assert back == {(r[1], r[2]): bytes(r[3]) for r in rows}
 
 
+@pytest.mark.parametrize("config,interval", [(StreamConfig(17, 9, 8, num_h=2, num_v=2, ec=True), 1), (StreamConfig(9, 8, 10, RGB, True, entropy=GOLOMB), 2)])
+def test_lockstep_is_serial(spark, config, interval):
+    """Enough groups in one task for lockstep; one frame has a plane of wrong size, so its group goes alone."""
+    c = encoder_profile(config, interval)
+    arrays, rows = planes_of(c, 300)
+    bad = 8 if interval == 1 else 9
+    given = [(s, f, p, bytearray(b"short") if f == bad and p == 0 else d) for s, f, p, d in rows]
+    streams = codec.configure(spark, {1: config}, interval)
+    packets = codec.encode(spark.createDataFrame(given, PLANES).coalesce(2), streams).persist()
+    got = {r["frame_index"]: r for r in packets.collect()}
+    states = None
+    for f, x in enumerate(arrays):
+        data, states = encode_frame(c, x, f % interval == 0, states)
+        assert (got[f]["payload"] is None and got[f]["status"]["code"] == 1) if f == bad else bytes(got[f]["payload"]) == data, f
+    broken = packets.select("stream_id", "frame_index", F.when(F.col("frame_index") == 20, F.expr("substring(payload, 1, length(payload) - 9)")).otherwise(F.col("payload")).alias("payload")).where("payload is not null")
+    back = codec.decode(broken, streams).collect()
+    assert {(r["frame_index"], r["plane"]): bytes(r["data"]) for r in back if r["plane"] is not None} == {(r[1], r[2]): bytes(r[3]) for r in rows if r[1] not in (bad, 20, 21 if interval == 2 else 20)}
+    assert {r["frame_index"] for r in back if r["status"]["code"]} == ({20} if interval == 1 else {20, 21})
+
+
 def test_two_streams_and_faults(spark):
     a, b = StreamConfig(8, 6), StreamConfig(5, 9, 10, num_h=2, entropy=GOLOMB, ec=True)
     _, x = planes_of(a, 4, 1)
