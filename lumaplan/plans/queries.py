@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaplan.functions import columns as C
@@ -19,6 +21,7 @@ from lumaplan.operators.slices import Header
 from lumaplan.operators.stream import GOLOMB, RANGE, RGB, QuantSet, StreamConfig, quant_set
 from lumaplan.sources.planes import event_samples, packed, vector_samples, vector_samples_420, vector_samples_rgba
 from lumaplan.streaming.stateful import ROCKSDB, encode_stream, shared_folder
+from lumaplan.streaming.transactions import decode_ordered
 
 #: Contexts of a small set, for queries that need more than one.
 SMALL_SET = quant_set([1, 2, 4, 121], [2, 6, 120], [3, 125], [128], [128])
@@ -494,15 +497,19 @@ def intra_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.inspect(packets, codec.configure(spark, {1: _GREY}, 1)).select("frame_index", "status.code")
 
 
+def _damaged(packets: DataFrame, which: Column) -> DataFrame:
+    """A byte of the last slice of some frames is another one."""
+    n = F.length("payload") - 12
+    byte = F.when(F.hex(F.substring("payload", n, F.lit(1))) == "00", F.lit(b"\x01")).otherwise(F.lit(b"\x00"))
+    broken = F.concat(F.substring("payload", F.lit(1), n - 1), byte, F.substring("payload", n + 1, F.lit(12)))
+    return packets.withColumn("payload", F.when(which, broken).otherwise(F.col("payload")))
+
+
 @query("SELECT DISTINCT CAST(vec_id // 20 AS BIGINT) AS frame_index, CAST([0, 0, 5, 2, 2][vec_id // 20 % 5 + 1] AS INTEGER) AS code FROM embeddings")
 def failed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third frame of each group is damaged: it fails as a whole, commits no state, and those that need it fail too."""
     packets, streams = _packets(spark, sf_dir)
-    n = F.length("payload") - 12
-    byte = F.when(F.hex(F.substring("payload", n, F.lit(1))) == "00", F.lit(b"\x01")).otherwise(F.lit(b"\x00"))
-    broken = F.concat(F.substring("payload", F.lit(1), n - 1), byte, F.substring("payload", n + 1, F.lit(12)))
-    packets = packets.withColumn("payload", F.when(F.col("frame_index") % 5 == 2, broken).otherwise(F.col("payload")))
-    return codec.decode(packets, streams).select("frame_index", "status.code").distinct()
+    return codec.decode(_damaged(packets, F.col("frame_index") % 5 == 2), streams).select("frame_index", "status.code").distinct()
 
 
 @query("SELECT DISTINCT CAST(vec_id // 20 AS BIGINT) AS frame_index, 4 AS slices, true AS adds_up FROM embeddings")
@@ -536,21 +543,50 @@ def output_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view_faults(views).select("stream_id", "plane", "fault")
 
 
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Stateful operators of streaming queries need the RocksDB state store."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+
+
 @query(_DIGEST.format(_vectors(8)))
 def streaming_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planes as a stream through the stateful encoder, its slices joined to packets, and those decoded."""
     where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     streams = codec.configure(spark, {1: _GREY}, 5)
     packed(vector_samples(spark, sf_dir), 8).write.parquet(f"{where}/planes")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, ROCKSDB)
-    try:
+    with _state_store(spark):
         source = spark.readStream.schema(spark.read.parquet(f"{where}/planes").schema).parquet(f"{where}/planes")
         q = encode_stream(source, streams).writeStream.format("parquet").option("path", f"{where}/slices").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
         q.awaitTermination()
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     slices = spark.read.parquet(f"{where}/slices").groupBy("stream_id", "frame_index").agg(F.array_sort(F.collect_list(F.struct("slice_index", "data"))).alias("parts"))
     packets = slices.select("stream_id", "frame_index", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["data"])).alias("payload"))
     return _digest(codec.decode(packets, streams))
+
+
+@query(f"""WITH f AS (SELECT DISTINCT CAST(vec_id // 20 AS BIGINT) AS frame_index, CAST([0, 0, 5, 2, 2][vec_id // 20 % 5 + 1] AS INTEGER) AS damaged FROM embeddings),
+c AS (SELECT frame_index, CASE WHEN frame_index // 5 % 2 = 1 THEN damaged ELSE 0 END AS code FROM f)
+SELECT frame_index, code, n, total, weighted FROM c LEFT JOIN ({_DIGEST.format(_vectors(8))}) USING (frame_index) WHERE code = 0 UNION ALL SELECT frame_index, code, NULL, NULL, NULL FROM c WHERE code <> 0""")
+def streaming_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that come out of order, every third one of all groups in a first batch, as a stream: what was decoded of each and its
+    status. In every second group one slice of the third frame is damaged; none of that frame's slices commits."""
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    packets, streams = _packets(spark, sf_dir)
+    packets = _damaged(packets.select("stream_id", "frame_index", "payload"), F.expr("frame_index % 5 = 2 and floor(frame_index / 5) % 2 = 1"))
+    packets.write.parquet(f"{where}/coded")
+    coded = spark.read.parquet(f"{where}/coded")
+    for late in (2, 1, 0):
+        coded.where(F.col("frame_index") % 3 == late).write.mode("append").parquet(f"{where}/packets")
+    with _state_store(spark):
+        source = spark.readStream.schema(coded.schema).option("maxFilesPerTrigger", 8).parquet(f"{where}/packets")
+        q = decode_ordered(source, streams).writeStream.format("parquet").option("path", f"{where}/planes").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    planes = spark.read.parquet(f"{where}/planes")
+    status = planes.select("frame_index", "status.code").distinct()
+    return status.join(_digest(planes.where("plane is not null")).drop("plane"), "frame_index", "left")

@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lumaplan.operators.codec import _reparsed, config_of
-from lumaplan.operators.errors import INVALID_STATE, CodecError
+from lumaplan.operators.codec import _plane, _reparsed, config_of
+from lumaplan.operators.errors import INVALID_ARGUMENT, INVALID_STATE, SYNTAX, CodecError
 from lumaplan.operators.frames import decode_one, encode_slice, parse_frame, raster_headers
 from lumaplan.operators.golomb import Adaptive
 from lumaplan.operators.slices import Entropy
@@ -66,13 +66,17 @@ class _Encode(_Kept):
         r = pd.concat(list(rows)).sort_values(["frame_index", "plane"])
         for frame, parts in r.groupby("frame_index", sort=True):
             head = parts.iloc[0]
-            c = config_of(bytes(head["record"]), int(head["width"]), int(head["height"]))
-            h = raster_headers(c)[int(key[1])]
-            kind = "u1" if c.sample_bytes == 1 else "<u2"
-            cells = [c.cell(int(p), h.x, h.y, h.w, h.h) for p in parts["plane"]]
-            planes = [np.frombuffer(data, kind).reshape(ch, cw) for data, (_, _, cw, ch) in zip(parts["data"], cells, strict=True)]
-            is_key = frame % int(head["keyframe_interval"]) == 0
             try:
+                if bad := next((x for x in parts["fault"] if isinstance(x, str)), None):
+                    raise CodecError(INVALID_ARGUMENT, bad)
+                c = config_of(bytes(head["record"]), int(head["width"]), int(head["height"]))
+                if parts["plane"].tolist() != list(range(c.planes)):
+                    raise CodecError(INVALID_ARGUMENT, f"the stream has {c.planes} planes")
+                h = raster_headers(c)[int(key[1])]
+                kind = "u1" if c.sample_bytes == 1 else "<u2"
+                cells = [c.cell(int(p), h.x, h.y, h.w, h.h) for p in parts["plane"]]
+                planes = [np.frombuffer(data, kind).reshape(ch, cw) for data, (_, _, cw, ch) in zip(parts["data"], cells, strict=True)]
+                is_key = frame % int(head["keyframe_interval"]) == 0
                 data, state = encode_slice(c, planes, h, is_key if key[1] == 0 else None, None if is_key else self.before(frame))
                 self.after(frame, state)
                 fault = None
@@ -87,22 +91,25 @@ class _Decode(_Kept):
             c = config_of(bytes(r["record"]), int(r["width"]), int(r["height"]))
             frame, out = int(r["frame_index"]), []
             try:
+                if isinstance(r["fault"], str):
+                    raise CodecError(SYNTAX, r["fault"])
                 parts, state = decode_one(c, _reparsed(c, r | {"payload": bytes(r["payload"])}), None if r["keyframe"] else self.before(frame))
                 self.after(frame, state)
                 for p, a in enumerate(parts):
                     x, y, w, h = c.cell(p, *(int(r[k]) for k in ("raster_x", "raster_y", "raster_w", "raster_h")))
                     out.append((key[0], int(r["slice_index"]), frame, p, x, y, w, h, a.astype("u1" if c.sample_bytes == 1 else "<u2").tobytes(), None))
             except CodecError as e:
-                out.append((key[0], int(r["slice_index"]), frame, None, None, None, None, None, None, e.message))
-            yield pd.DataFrame(out, columns=["stream_id", "slice_index", "frame_index", "plane", "x", "y", "w", "h", "data", "fault"]).astype({k: "Int32" for k in ("plane", "x", "y", "w", "h")})
+                out.append((key[0], None if pd.isna(r["slice_index"]) else int(r["slice_index"]), frame, None, None, None, None, None, None, e.message))
+            yield pd.DataFrame(out, columns=["stream_id", "slice_index", "frame_index", "plane", "x", "y", "w", "h", "data", "fault"]).astype({k: "Int32" for k in ("slice_index", "plane", "x", "y", "w", "h")})
 
 
 def encode_stream(planes: DataFrame, streams: DataFrame) -> DataFrame:
     """stream_id, slice_index, frame_index, data, fault of each slice. planes (streaming): stream_id, frame_index, plane, data, all
-    planes of a frame in one batch. Slices of a frame joined in order of slice_index are its payload."""
+    planes of a frame in one batch. Slices of a frame joined in order of slice_index are its payload. A plane of wrong size or
+    number, or a missing one: a fault in every slice of the frame."""
     from pyspark.sql import functions as F
 
-    schema = "stream_id long, slice_index int, frame_index long, plane int, data binary, record binary, width long, height long, keyframe_interval long"
+    schema = "stream_id long, slice_index int, frame_index long, plane int, data binary, fault string, record binary, width long, height long, keyframe_interval long"
 
     def cut(batches):
         import pyarrow as pa
@@ -110,13 +117,20 @@ def encode_stream(planes: DataFrame, streams: DataFrame) -> DataFrame:
         for rb in batches:
             out = []
             for r in rb.to_pylist():
-                c = config_of(r["record"], r["width"], r["height"])
-                w, k = c.plane_size(r["plane"])
-                a = np.frombuffer(r["data"], "u1" if c.sample_bytes == 1 else "<u2").reshape(k, w)
+                c, a, fault = config_of(r["record"], r["width"], r["height"]), None, None
+                try:
+                    if r["plane"] is None or not 0 <= r["plane"] < c.planes:
+                        raise CodecError(INVALID_ARGUMENT, f"the stream has {c.planes} planes")
+                    a = _plane(c, r["plane"], r["data"] or b"")
+                except CodecError as e:
+                    fault = e.message
                 for i, h in enumerate(raster_headers(c)):
-                    x, y, cw, ch = c.cell(r["plane"], h.x, h.y, h.w, h.h)
-                    out.append((r["stream_id"], i, r["frame_index"], r["plane"], a[y : y + ch, x : x + cw].tobytes(), r["record"], r["width"], r["height"], r["keyframe_interval"]))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                    part = None
+                    if a is not None:
+                        x, y, cw, ch = c.cell(r["plane"], h.x, h.y, h.w, h.h)
+                        part = a[y : y + ch, x : x + cw].tobytes()
+                    out.append((r["stream_id"], i, r["frame_index"], r["plane"], part, fault, r["record"], r["width"], r["height"], r["keyframe_interval"]))
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[f.split(" ")[0] for f in schema.split(", ")])
 
     # Planes are cut before the shuffle: a slice's row carries its own samples only.
@@ -126,8 +140,9 @@ def encode_stream(planes: DataFrame, streams: DataFrame) -> DataFrame:
 
 def decode_stream(packets: DataFrame, streams: DataFrame) -> DataFrame:
     """stream_id, slice_index, frame_index, plane, x, y, w, h, data, fault of each slice's planes. packets (streaming): stream_id,
-    frame_index, payload. A frame that does not parse gives no rows here; inspect() names its fault."""
-    schema = "stream_id long, frame_index long, keyframe boolean, slice_index int, raster_x long, raster_y long, raster_w long, raster_h long, payload binary, record binary, width long, height long"
+    frame_index, payload. A frame that does not parse gives a row with its fault and no slice. Frames come in order; decode_ordered()
+    takes them in any order, and whole frames commit."""
+    schema = "stream_id long, frame_index long, keyframe boolean, slice_index int, raster_x long, raster_y long, raster_w long, raster_h long, payload binary, record binary, width long, height long, fault string"
 
     def split(batches):
         import pyarrow as pa
@@ -138,11 +153,12 @@ def decode_stream(packets: DataFrame, streams: DataFrame) -> DataFrame:
                 try:
                     c = config_of(r["record"], r["width"], r["height"])
                     f = parse_frame(c, r["payload"])
-                except CodecError:
+                except CodecError as e:
+                    out.append((r["stream_id"], r["frame_index"], *[None] * 7, r["record"], r["width"], r["height"], e.message))
                     continue
                 tail = 8 if c.ec else 3
-                out += [(r["stream_id"], r["frame_index"], f.keyframe, s.index, *s.layout, r["payload"][s.offset : s.footer + tail] if c.version >= 3 else r["payload"], r["record"], r["width"], r["height"]) for s in f.slices]
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+                out += [(r["stream_id"], r["frame_index"], f.keyframe, s.index, *s.layout, r["payload"][s.offset : s.footer + tail] if c.version >= 3 else r["payload"], r["record"], r["width"], r["height"], None) for s in f.slices]
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[f.split(" ")[0] for f in schema.split(", ")])
 
     rows = packets.select("stream_id", "frame_index", "payload").join(streams, "stream_id").mapInArrow(split, schema)
