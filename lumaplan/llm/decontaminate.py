@@ -204,8 +204,12 @@ class Matcher:
         self.need = np.where(items.own > 1e-6, least_cosine * items.own, -1.0)
         self.masks: dict[int, tuple[dict[int, int], set[int]]] = {}
         self.answers = np.zeros(1 << BITS, bool)
+        #: For each width, the fewest words of an answer that some item of it asks for.
+        self.fewest: dict[int, int] = {}
         for i in np.flatnonzero(self.size).tolist():
-            self.answers[features(np.array(list(self._answer(i)), np.uint64))] = True
+            answer, width = self._answer(i), int(self.window[i])
+            self.answers[features(np.array(list(answer), np.uint64))] = True
+            self.fewest[width] = min(self.fewest.get(width, len(answer)), max(1, int(np.ceil(least_answer * len(answer) - 1e-9))))
 
     def _answer(self, i: int) -> set[int]:
         """The item's rarest quarter of distinct words."""
@@ -227,7 +231,7 @@ class Matcher:
 
         Each text is cut into blocks of STEP words, followed by empty ones, so that no window leaves its text. A window's vector
         is the difference of two running sums of blocks' vectors. Windows of a class, as wide as its items or up to a quarter
-        wider, begin at every quarter of their width. Those without a word of any answer in reach can't be accepted.
+        wider, begin at every quarter of their width. Those with fewer words of answers in reach than any item asks for can't be accepted.
         """
         x, best = self.x, {}
         classes = np.unique(self.window[self.window > 0]).tolist()
@@ -255,8 +259,8 @@ class Matcher:
         for width in classes:
             half = -(-width // 2)
             start = np.flatnonzero((nth % max(1, width // 4) == 0) & (nth < filled))
-            near = telling[np.minimum(start + width + half, base[owner[start] + 1])] > telling[np.maximum(start - half, base[owner[start]])]
-            start = start[near]
+            near = telling[np.minimum(start + width + half, base[owner[start] + 1])] - telling[np.maximum(start - half, base[owner[start]])]
+            start = start[near >= self.fewest[width]]
             self._windows(words, at, f, base, owner, width, start, vec, energy, best)
         return [(t, i, *v) for (t, i), v in best.items()]
 
@@ -326,7 +330,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, least_cosine: float =
     Document frequencies are over all docs, without the words that lie in runs of three words of an item. The TF-IDF matrix of
     all items is factorised once. Texts and items are vectors over the words that some item has, so that strange words beside a
     passage do not count. Windows of an item's length, or up to a quarter more, at every quarter of it, are compared with the
-    item's latent vector; where no word of any item's answer is in reach, no item can be there, and the window is passed over.
+    item's latent vector; where fewer words of answers are in reach than any item asks for, no item can be there, and the window is passed over.
     A window is a candidate if the cosine of its TF-IDF vector reaches least_cosine of the item's cosine with itself, which tells
     how much of the item the basis holds. Candidates stay if a common subsequence of words (the window and half of it on both
     sides) has least_overlap of the item and least_answer of its rarest words are there. Items go in blocks of bounded number
