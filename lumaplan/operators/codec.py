@@ -259,7 +259,7 @@ def _found_slices(packets: DataFrame, streams: DataFrame, verify_crc: bool, regu
     return slices.join(keys, ["stream_id", "frame_index"])
 
 
-def _decoded(rows: list[dict], observe: list | None = None) -> Iterator[tuple]:
+def _decoded(rows: list[dict], observe: list | None = None, old: bool = False) -> Iterator[tuple]:
     """row, configuration, planes (None: failed) and status of each slice of one group, in order of frames; observe holds the
     current slice's samples."""
     state, before = None, None
@@ -270,7 +270,9 @@ def _decoded(rows: list[dict], observe: list | None = None) -> Iterator[tuple]:
         try:
             if not r["keyframe"] and (state is None or before != r["frame_index"] - 1):
                 raise CodecError(2, "the frame before, which this one needs, is missing")
-            parts, state = decode_one(c, _reparsed(c, r), None if r["keyframe"] else state, observe)
+            s = _reparsed(c, r)
+            s = replace(s, old=True) if old and c.version == 0 else s
+            parts, state = decode_one(c, s, None if r["keyframe"] else state, observe)
             before = r["frame_index"]
             yield r, c, parts, ok_status()
         except CodecError as e:
@@ -278,7 +280,7 @@ def _decoded(rows: list[dict], observe: list | None = None) -> Iterator[tuple]:
             yield r, c, None, e.at(frame_index=r["frame_index"], slice_index=r["slice_index"]).status()
 
 
-def _decoded_chains(chains: list[list[dict]]) -> Iterator[tuple]:
+def _decoded_chains(chains: list[list[dict]], old: bool = False) -> Iterator[tuple]:
     """_decoded() of many groups: those whose first frame is a keyframe and lacks no frame after it go in lockstep."""
     keys: list[tuple | None] = []
     slices: list[list[Slice]] = []
@@ -303,7 +305,7 @@ def _decoded_chains(chains: list[list[dict]]) -> Iterator[tuple]:
             done[i] = planes
     for rows, key, planes in zip(chains, keys, done, strict=True):
         if planes is None:
-            yield from _decoded(rows)
+            yield from _decoded(rows, old=old)
         else:
             c = config_of(*key[:3])  # type: ignore[index]
             yield from ((r, c, parts, ok_status()) for r, parts in zip(rows, planes, strict=True))
@@ -328,19 +330,20 @@ def trace(packets: DataFrame, streams: DataFrame, regular: bool = True) -> DataF
     return _found_slices(packets, streams, True, regular).where("status.code = 0").groupBy(*_GROUP).applyInArrow(run, TRACE)
 
 
-def decode(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, regular: bool = True) -> DataFrame:
+def decode(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, regular: bool = True, old_arithmetic: bool = False) -> DataFrame:
     """Rows of PLANES: every plane of every frame. packets: stream_id, frame_index, payload.
 
     regular: keyframes come every keyframe_interval frames, as the encoder writes them. Otherwise groups start at each
     keyframe that the packets hold, found by a window over ids alone. A damaged frame gives one row with null plane and the
     status of its first fault; frames that need it fail too. Streams that streams does not name: no rows.
+    old_arithmetic: range coded content of version 0 is in the arithmetic of the oldest streams.
     """
     part, whole = _arrow(_PART), _arrow(PLANES)
 
     def decode_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chains in _chains(batches, _GROUP):
             out = []
-            for r, c, parts, status in _decoded_chains(chains):
+            for r, c, parts, status in _decoded_chains(chains, old_arithmetic):
                 for p, a in enumerate(parts or []):
                     x, y, w, h = c.cell(p, r["raster_x"], r["raster_y"], r["raster_w"], r["raster_h"])
                     out.append((r["stream_id"], r["frame_index"], r["keyframe"], p, r["slice_index"], x, y, w, h, a.astype("u1" if c.sample_bytes == 1 else "<u2").tobytes(), status))

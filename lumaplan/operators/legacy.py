@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lumaplan.operators.bits import BitWriter
 from lumaplan.operators.errors import UNSUPPORTED, CodecError
 from lumaplan.operators.golomb import Runs
-from lumaplan.operators.range_coder import START, RangeEncoder, fresh_states, zero_transitions
-from lumaplan.operators.slices import Entropy, Header, _golomb_row, banks_of, coded_planes, residuals, row_order, write_header
+from lumaplan.operators.range_coder import START, IntervalEncoder, RangeEncoder, fresh_states, zero_transitions
+from lumaplan.operators.slices import Entropy, Header, _golomb_row, banks_of, border, coded_planes, residuals, row_order, write_header
 from lumaplan.operators.stream import GOLOMB, RANGE, YCBCR, StreamConfig, write_parameters
 
 PACKETS = "stream_id long, frame_index long, keyframe boolean, payload binary"
@@ -30,23 +30,30 @@ def legacy_streams(spark, configs: dict[int, StreamConfig], keyframe_interval: i
     return spark.createDataFrame(rows, "stream_id long, record binary, width long, height long, keyframe_interval long")
 
 
-def encode_legacy_frame(c: StreamConfig, planes: list[np.ndarray], keyframe: bool = True, embed: bool = True, state: Entropy | None = None) -> tuple[bytes, Entropy]:
-    """One frame of one slice, and the state for the next. embed: keyframes carry the parameters. Range coded YCbCr is refused: its
-    readers add one to low after zero symbols, which no writer here undoes."""
-    if c.version > 1 or c.num_h != 1 or c.num_v != 1 or c.entropy == RANGE and c.colorspace == YCBCR:
-        raise CodecError(UNSUPPORTED, "only frames of one slice, RGB or Golomb-Rice, of versions 0 and 1 are written")
-    w, out, embed = RangeEncoder(), BitWriter(), embed and keyframe
+def encode_legacy_frame(c: StreamConfig, planes: list[np.ndarray], keyframe: bool = True, embed: bool = True, state: Entropy | None = None, old: bool = False, spelled: bool = False) -> tuple[bytes, Entropy]:
+    """One frame of one slice, and the state for the next. embed: keyframes carry the parameters (spelled: see
+    write_parameters()). old: the content is in the
+    arithmetic of the oldest streams (version 0, range coder). Samples that no stream of such an arithmetic says are an error."""
+    if c.version > 1 or c.num_h != 1 or c.num_v != 1 or old and (c.version or c.entropy != RANGE):
+        raise CodecError(UNSUPPORTED, "only frames of one slice of versions 0 and 1 are written")
+    plain = not old and (c.entropy == GOLOMB or c.colorspace != YCBCR)
+    w, out, embed = RangeEncoder() if plain else IntervalEncoder(), BitWriter(), embed and keyframe
     if c.entropy == RANGE or embed:
         w.bit(bytearray([START]), 0, int(keyframe))
         if embed:
-            write_parameters(c, w, fresh_states(32))
+            write_parameters(c, w, fresh_states(32), spelled)
         w.one, w.zero = c.transitions, zero_transitions(c.transitions)
     else:
         out.bits(int(keyframe), 1)
+    if isinstance(w, IntervalEncoder):
+        w.old, w.zero_symbol_carry = old, c.colorspace == YCBCR
     sets, bank, _ = banks_of(c, Header(0, 0, 1, 1, (0,) * c.slots))
     state = Entropy.fresh(c, sets) if keyframe or state is None else state.copy()
+    if old:
+        for x in (x for b in state.banks for x in b):
+            x[0] = 255
     coded = coded_planes(c, planes)
-    parts = [(*residuals(c, s, bits, c.quant_sets[0]), bits) for s, bits in coded]
+    parts = [(*residuals(c, s, bits, c.quant_sets[0], border(c, p)), bits) for p, (s, bits) in enumerate(coded)]
     runs = [Runs() for _ in coded]
     for p, y in row_order(c, [s.shape[0] for s, _ in coded]):
         contexts, diffs, states = parts[p][0][y].tolist(), parts[p][1][y].tolist(), state.banks[bank[p]]
@@ -69,9 +76,10 @@ def encode_legacy_grid(c: StreamConfig, headers: list[Header], keyframe: bool =
     return w.closed()
 
 
-def encode_legacy(planes: DataFrame, streams: DataFrame, embed: bool = True) -> DataFrame:
+def encode_legacy(planes: DataFrame, streams: DataFrame, embed: bool = True, old: bool = False) -> DataFrame:
     """Rows of PACKETS out of planes (stream_id, frame_index, plane, data, whole and of the right size). A group of pictures, of which
-    there is one for each keyframe_interval frames, is a task's unit."""
+    there is one for each keyframe_interval frames, is a task's unit. A frame that can't be said in its arithmetic is tried with or without parameters,
+    and as a keyframe; if none does, its payload is null."""
     from lumaplan.operators.codec import _arrow, _batch, _plane, config_of
 
     arrow = _arrow(PACKETS)
@@ -82,7 +90,17 @@ def encode_legacy(planes: DataFrame, streams: DataFrame, embed: bool = True) ->
         for i in range(0, len(rows), c.planes):
             part = rows[i : i + c.planes]
             key = part[0]["frame_index"] % part[0]["keyframe_interval"] == 0
-            data, state = encode_legacy_frame(c, [_plane(c, r["plane"], r["data"]) for r in part], key, embed, state)
+            arrays, held, data = [_plane(c, r["plane"], r["data"]) for r in part], state, None
+            # Where the arithmetic leaves no value for the samples, other bytes before them, or fresh states, may do so.
+            ways = [(key, embed, False), (key, not embed, False), (key, True, True), (True, embed, False), (True, not embed, False), (True, True, True)]
+            for as_key, bring, spelled in ways[: len(ways) if c.entropy == RANGE else 1]:
+                try:
+                    if as_key or held is not None:
+                        data, state = encode_legacy_frame(c, arrays, as_key, bring, held, old, spelled)
+                        key = as_key
+                        break
+                except CodecError:
+                    state = None
             out.append((part[0]["stream_id"], part[0]["frame_index"], key, data))
         return pa.Table.from_batches([_batch(out, arrow)])
 

@@ -100,20 +100,24 @@ class RangeDecoder:
         self.range, self.low, self.at, self.ended = state
 
 
+def old_split(span: int, state: int) -> tuple[int, int]:
+    """How the oldest streams split a range: the share of a one, which is state / 256 of it rounded up, and how many of both exact
+    shares (that of a one, that of a zero) were no whole numbers. The decoder adds that number to low after a one."""
+    ones, zeros = span * state, span * (256 - state)
+    return -(-ones // 256), (ones % 256 > 0) + (zeros % 256 > 0)
+
+
 class OldRangeDecoder(RangeDecoder):
-    """The arithmetic of the oldest streams: the share of a one is rounded up, and what both shares were rounded by is put back
-    into low after a one."""
+    """The arithmetic of the oldest streams; see old_split()."""
 
     def bit(self, states: bytearray, i: int) -> int:
         s = states[i]
-        product = self.range * s
-        up = product + 255 >> 8
-        carry = (product + 255 & 255 != 0) + (self.range * (256 - s) & 255 != 0)
-        rest = self.range - up
+        share, rounded = old_split(self.range, s)
+        rest = self.range - share
         b = int(self.low >= rest)
         if b:
             self.low -= rest
-        self.range = up if b else rest
+        self.range = share if b else rest
         states[i] = (self.one if b else self.zero)[s]
         if self.range < 256:
             self.range <<= 8
@@ -123,7 +127,8 @@ class OldRangeDecoder(RangeDecoder):
                     self.low += self.data[self.at]
                     self.at += 1
                 self.ended = self.at >= len(self.data)
-        self.low += carry if b else 0
+        if b:
+            self.low += rounded
         return b
 
 
@@ -192,3 +197,63 @@ class RangeEncoder:
         self._add(min(near, key=lambda d: (abs(d - half), d)) if near else half)
         data = self.lower_bound()
         return data[:-1] if len(data) > 2 and data[-1] == 0 else data
+
+
+class IntervalEncoder(RangeEncoder):
+    """For decoders that add to low on the way: after zero symbols (zero_symbol_carry), or by the oldest arithmetic (old).
+
+    What such a decoder has added is as if its lower bound lay so much lower, while the values that the decisions so far allow
+    stay where they are. So both are kept: the bound, and from it the least allowed value and the limit. A decision halves the
+    allowed values as the decoder will; if it leaves none, no stream says these symbols, and that is an error.
+    """
+
+    def __init__(self, transitions: bytes = DEFAULT_TRANSITIONS):
+        super().__init__(transitions)
+        self.least, self.limit = 0, self.range
+        self.old = self.zero_symbol_carry = False
+
+    def _lower(self, n: int) -> None:
+        """The bound sinks by n."""
+        self.least += n
+        self.limit += n
+        self.low -= n
+        if self.low < 0:
+            self.low += 0x10000
+            i = len(self.out) - 1
+            while i >= 0 and not self.out[i]:
+                self.out[i] = 255
+                i -= 1
+            if i < 0:
+                raise CodecError(INTERNAL, "the lower bound sank under zero")
+            self.out[i] -= 1
+
+    def bit(self, states: bytearray, i: int, b: int) -> None:
+        s = states[i]
+        share, rounded = old_split(self.range, s) if self.old else (self.range * s >> 8, 0)
+        rest = self.range - share
+        least, limit = (max(self.least, rest), self.limit) if b else (self.least, min(self.limit, rest))
+        if least >= limit or not (share if b else rest):
+            raise CodecError(INVALID_ARGUMENT, "no stream of this arithmetic says these samples")
+        self.least, self.limit = least, limit
+        if b:
+            self._add(rest)
+            self.least, self.limit = least - rest, limit - rest
+        self.range, states[i] = (share, self.one[s]) if b else (rest, self.zero[s])
+        if self.range < 256:
+            self.range, self.least, self.limit = self.range << 8, self.least << 8, self.limit << 8
+            self.out.append(self.low >> 8)
+            self.low = (self.low & 255) << 8
+        if b and rounded:
+            self._lower(rounded)
+
+    def symbol(self, states: bytearray, v: int, signed: bool) -> None:
+        super().symbol(states, v, signed)
+        if not v and self.zero_symbol_carry:
+            self._lower(1)
+
+    def closed(self) -> bytes:
+        """An allowed value, one whose last byte is zero if there is one; that byte is dropped."""
+        first = self.least + (-(self.low + self.least) & 255)
+        self._add(first if first < self.limit else self.least)
+        data = self.lower_bound()
+        return data[:-1] if len(data) > 2 and data[-1] == 0 else data

@@ -195,18 +195,18 @@ def plain_planes(c: StreamConfig, coded: list[np.ndarray]) -> list[np.ndarray]:
     return [r & mask, g & mask, b & mask, *(a & mask for a in coded[3:])]
 
 
-def neighbours(s: np.ndarray) -> dict[str, np.ndarray]:
-    """The six causal neighbours of every sample of a plane, or of a stack of planes; the border is 0, a row's left border is the sample above its first, and the
+def neighbours(s: np.ndarray, edge: int = 0) -> dict[str, np.ndarray]:
+    """The six causal neighbours of every sample of a plane, or of a stack of planes; the border is edge, a row's left border is the sample above its first, and the
     last column's top right is its top."""
     h, w = s.shape[-2:]
-    wide = np.zeros((*s.shape[:-2], h + 2, w + 3), s.dtype)
+    wide = np.full((*s.shape[:-2], h + 2, w + 3), edge, s.dtype)
     wide[..., 2:, 2 : w + 2] = s
     wide[..., w + 2] = wide[..., w + 1]
     wide[..., 1:, 1] = wide[..., :-1, 2]
     row = wide[..., 2:, :]
     up, upper = wide[..., 1:-1, :], wide[..., :-2, :]
     far = row[..., :w].copy()
-    far[..., 0] = 0
+    far[..., 0] = edge
     return {"left": row[..., 1 : w + 1], "top": up[..., 2 : w + 2], "top_left": up[..., 1 : w + 1], "top_right": up[..., 3 : w + 3], "far_left": far, "top_top": upper[..., 2 : w + 2]}
 
 
@@ -219,9 +219,9 @@ def wrap(d, bits: int):
     return (d + half & (1 << bits) - 1) - half
 
 
-def residuals(c: StreamConfig, s: np.ndarray, bits: int, q) -> tuple[np.ndarray, np.ndarray]:
+def residuals(c: StreamConfig, s: np.ndarray, bits: int, q, edge: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Context number and difference of every sample; a negative context number turns both round."""
-    n = neighbours(s)
+    n = neighbours(s, edge)
     left, top, corner = n["left"], n["top"], n["top_left"]
     if c.signed_prediction:
         a, b, d = (np.where(x >= 32768, x - 65536, x) for x in (left, top, corner))

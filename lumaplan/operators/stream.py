@@ -153,14 +153,15 @@ def _runs_of(table: tuple[int, ...]) -> list[int]:
     return runs
 
 
-def write_parameters(c: StreamConfig, w: RangeEncoder, states: list[bytearray]) -> None:
-    """All parameters of c; states: 32 contexts, of which all but initial states use the first."""
+def write_parameters(c: StreamConfig, w: RangeEncoder, states: list[bytearray], spelled: bool = False) -> None:
+    """All parameters of c; states: 32 contexts, of which all but initial states use the first. spelled: state transitions are given
+    even if they are the default ones."""
     s = states[0]
     u = lambda v: w.symbol(s, v, False)
     u(c.version)
     if c.version >= 3:
         u(c.micro)
-    custom = c.transitions != DEFAULT_TRANSITIONS
+    custom = spelled or c.transitions != DEFAULT_TRANSITIONS
     u(0 if c.entropy == GOLOMB else 2 if custom else 1)
     if c.entropy == RANGE and custom:
         for a, b in zip(c.transitions[1:], DEFAULT_TRANSITIONS[1:], strict=True):

@@ -454,6 +454,30 @@ def legacy_range_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _legacy_trip(spark, vector_samples_rgba(spark, sf_dir, 8, 3), _legacy(1, RANGE, RGB), False)
 
 
+def _low_byte(samples: str) -> str:
+    return f"SELECT stream_id, frame_index, plane, y, x, CAST(v % 256 AS INTEGER) AS v FROM ({samples})"
+
+
+@query(_DIGEST.format(_low_byte(_RGBA(16, 3))))
+def legacy_ycbcr_444(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 1, range coder: rows of the planes take turns, chroma has half the range as border, and zero symbols raise low by one.
+    The samples are low bytes: smooth ones have many zero symbols, and then some frames can't be said in this arithmetic at all."""
+    s = vector_samples_rgba(spark, sf_dir, 16, 3).withColumn("v", F.col("v") % 256)
+    return _legacy_trip(spark, s, replace(_legacy(1, RANGE), width=22, chroma=True), False)
+
+
+#: All samples as luma, those of even places as the first chroma plane, those of odd ones as the second.
+_HALVES = " UNION ALL ".join(f"SELECT stream_id, frame_index, {p} AS plane, CAST(y // {d} AS INTEGER) AS y, CAST(x // {d} AS INTEGER) AS x, v FROM ({_vectors(16)}) WHERE x % {d} = {o} AND y % {d} = {o}" for p, d, o in ((0, 1, 0), (1, 2, 0), (2, 2, 1)))
+
+
+@query(_DIGEST.format(_low_byte(_HALVES)))
+def legacy_ycbcr_420(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of version 0, with subsampled chroma: plane after plane."""
+    s = vector_samples(spark, sf_dir, 16).withColumn("v", F.col("v") % 256)
+    half = lambda p, odd: s.where((F.col("x") % 2 == odd) & (F.col("y") % 2 == odd)).withColumns({"plane": F.lit(p), "y": F.floor(F.col("y") / 2).cast("int"), "x": F.floor(F.col("x") / 2).cast("int")})
+    return _legacy_trip(spark, s.unionByName(half(1, 0)).unionByName(half(2, 1)), replace(_legacy(0, RANGE), chroma=True, log2_h=1, log2_v=1), True)
+
+
 @query(_DIGEST.format(_vectors(8)))
 def legacy_golomb_0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _legacy_trip(spark, vector_samples(spark, sf_dir), _legacy(0, GOLOMB), False)
