@@ -79,11 +79,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[off[0] : off[-1]], off - off[0]
 
 
-def chunks(offsets: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Ranges of whole rows of about size bytes: numpy temporaries stay in cache, and memory stays bounded by the longest text."""
+def chunks(offsets: np.ndarray, size: int = 1 << 18, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows of about size bytes, and of so many rows at most: numpy temporaries stay in cache, and memory stays bounded
+    by the longest text."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1))
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1), lo + (rows or n))
         yield lo, hi
         lo = hi
 

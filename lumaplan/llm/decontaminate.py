@@ -360,7 +360,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, least_cosine: float =
                 flat, off = text_buffer(rb.column("text"))
                 ids, th = rb.column("doc_id").to_pylist(), rb.column("th").to_pylist()
                 rows = []
-                for lo, hi in chunks(off, 1 << 19):
+                for lo, hi in chunks(off, 1 << 19, 1024):
                     words, at = lower_words(flat[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                     rows += [(ids[lo + t], th[lo + t], block.ids[i], *v) for t, i, *v in m.find(words, at)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_HITS)], schema=_HITS)

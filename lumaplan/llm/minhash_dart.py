@@ -192,12 +192,13 @@ def rest_links(node: np.ndarray, root: np.ndarray, sig: np.ndarray, own: np.ndar
 def similarity(texts_a: pa.Array, texts_b: pa.Array, words: int = 5) -> np.ndarray:
     """Exact weighted Jaccard similarity of the shingles of each pair of texts."""
     out = []
-    for i in range(0, len(texts_a), 256):
+    both = np.concatenate([[0], np.cumsum(sum(np.diff(text_buffer(t)[1]) for t in (texts_a, texts_b)))])
+    for i, j in chunks(both, 1 << 21, 256):
         sides = []
-        for t in (texts_a[i : i + 256], texts_b[i : i + 256]):
+        for t in (texts_a[i:j], texts_b[i:j]):
             flat, off = text_buffer(t)
             sides.append(counted(*shingles(flat, off, words)[:2]))
-        n = len(texts_a[i : i + 256])
+        n = j - i
         total = np.bincount(sides[0][0], sides[0][2], n) + np.bincount(sides[1][0], sides[1][2], n)
         owner, h, c = (np.concatenate([sides[0][j], sides[1][j]]) for j in range(3))
         order = np.lexsort((h, owner))

@@ -68,7 +68,7 @@ class PieceEncoder:
     byte-level, or has a normalizer or a prefix space.
     """
 
-    def __init__(self, path: str, cache_size: int = 1_200_000):
+    def __init__(self, path: str, cache_size: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
