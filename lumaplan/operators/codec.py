@@ -8,7 +8,7 @@ task are coded in lockstep (lanes.py), the others one by one (slices.py); the re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from functools import lru_cache
 
@@ -21,6 +21,7 @@ from lumaplan.operators.errors import INVALID_ARGUMENT, STATUS, SYNTAX, CodecErr
 from lumaplan.operators.frames import bootstrap_key, check_planes, decode_one, encode_slice, frame_info, parse_frame, raster_headers
 from lumaplan.operators.lanes import FEWEST, decode_frames, encode_frames, lanes_at_once
 from lumaplan.operators.slices import Header, Slice, locate
+from lumaplan.operators.options import DecoderOptions, EncoderOptions
 from lumaplan.operators.stream import StreamConfig, encoder_profile, read_record, write_record
 
 STREAMS = "stream_id long, record binary, width long, height long, keyframe_interval long"
@@ -30,13 +31,19 @@ _STATUS = pa.struct([("code", pa.int32()), ("message", pa.string()), ("byte_offs
 
 
 @lru_cache(maxsize=256)
-def config_of(record: bytes, width: int, height: int) -> StreamConfig:
+def config_of(record: bytes | None, width: int, height: int) -> StreamConfig:
+    if record is None:
+        raise CodecError(INVALID_ARGUMENT, "the stream has no configuration, or one of another size")
     return read_record(record, width, height)
 
 
-def configure(spark, configs: dict[int, StreamConfig], keyframe_interval: int = 1, public: bool = True) -> DataFrame:
+def configure(spark, configs: dict[int, StreamConfig], keyframe_interval: int = 1, public: bool = True, options: EncoderOptions | None = None) -> DataFrame:
     """The streams table of some configurations that the public encoder takes; raises CodecError on others. Not public: their own
-    quant tables, initial states and state transitions stay."""
+    quant tables, initial states and state transitions stay. options: theirs is the keyframe interval, and the entropy coder of
+    all configurations."""
+    if options:
+        keyframe_interval = options.checked().keyframe_interval
+        configs = {i: replace(c, version=options.version, entropy=options.entropy) for i, c in configs.items()}
     rows = []
     for i, c in configs.items():
         c = encoder_profile(c, keyframe_interval) if public else replace(c, intra=keyframe_interval == 1)
@@ -44,6 +51,29 @@ def configure(spark, configs: dict[int, StreamConfig], keyframe_interval: int =
     return spark.createDataFrame(rows, STREAMS)
 
 
+def configure_rows(rows: DataFrame, build: Callable[[dict], StreamConfig], public: bool = True) -> DataFrame:
+    """STREAMS and status of a table of settings: stream_id, keyframe_interval and what build() makes a configuration of. Records are
+    written by the tasks that read the rows. Settings that are refused: record null, and the status says why."""
+    schema = f"{STREAMS}, status {STATUS}"
+    arrow = _arrow(schema)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            out = []
+            for r in rb.to_pylist():
+                c = None
+                try:
+                    options = EncoderOptions(keyframe_interval=r["keyframe_interval"]).checked()
+                    c = build(r)
+                    c = encoder_profile(c, options.keyframe_interval) if public else replace(c, intra=options.keyframe_interval == 1)
+                    out.append((r["stream_id"], write_record(c), c.width, c.height, options.keyframe_interval, ok_status()))
+                except CodecError as e:
+                    out.append((r["stream_id"], None, c and c.width, c and c.height, r["keyframe_interval"], e.status()))
+            yield _batch(out, arrow)
+
+    return rows.mapInArrow(write, schema)
+
+
 def _arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -190,12 +220,27 @@ def encode(planes: DataFrame, streams: DataFrame) -> DataFrame:
     return frames.select("stream_id", "frame_index", "keyframe", payload.alias("payload"), F.coalesce("fault", "fine").alias("status"))
 
 
+def _opted(streams: DataFrame, verify_crc: bool, options: DecoderOptions | None) -> tuple[DataFrame, bool]:
+    """streams and CRC check as a decoder's options want them."""
+    if options is None:
+        return streams, verify_crc
+    options.checked()
+    if options.width:
+        size = {k: F.when(F.coalesce(F.col(k), F.lit(0)) == 0, F.lit(v).cast("long")).otherwise(F.col(k)) for k, v in (("width", options.width), ("height", options.height))}
+        streams = streams.withColumns(size)
+        fits = (F.col("width") == options.width) & (F.col("height") == options.height)
+        streams = streams.withColumn("record", F.when(fits, F.col("record")))
+    return streams, verify_crc and options.verify_crc
+
+
 SLICES = "slice_index int, raster_x long, raster_y long, raster_w long, raster_h long, x long, y long, w long, h long, payload_offset long, content_offset long, footer_offset long, slice_size long, error_status int, crc long"
 
 
-def inspect(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, grid: tuple[int, int] | None = None) -> DataFrame:
+def inspect(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, grid: tuple[int, int] | None = None, options: DecoderOptions | None = None) -> DataFrame:
     """stream_id, frame_index, the stream's and frame's facts, planes, slices (array of SLICES) and status; no sample is decoded.
-    Damaged frames: facts null but for the status. grid: the slice grid of legacy streams, whose records do not hold one."""
+    Damaged frames: facts null but for the status. grid: the slice grid of legacy streams, whose records do not hold one.
+    options: see decode()."""
+    streams, verify_crc = _opted(streams, verify_crc, options)
     info = [x.split(" ")[0] for x in INFO_FIELDS.split(", ")]
     fields = ",".join(":".join(x.split(" ")) for x in SLICES.split(", ")).replace("long", "bigint")
     schema = f"stream_id long, frame_index long, {INFO_FIELDS}, planes {PLANE_INFO}, slices array<struct<{fields}>>, status {STATUS}"
@@ -330,14 +375,17 @@ def trace(packets: DataFrame, streams: DataFrame, regular: bool = True) -> DataF
     return _found_slices(packets, streams, True, regular).where("status.code = 0").groupBy(*_GROUP).applyInArrow(run, TRACE)
 
 
-def decode(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, regular: bool = True, old_arithmetic: bool = False) -> DataFrame:
+def decode(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, regular: bool = True, old_arithmetic: bool = False, options: DecoderOptions | None = None) -> DataFrame:
     """Rows of PLANES: every plane of every frame. packets: stream_id, frame_index, payload.
 
     regular: keyframes come every keyframe_interval frames, as the encoder writes them. Otherwise groups start at each
     keyframe that the packets hold, found by a window over ids alone. A damaged frame gives one row with null plane and the
     status of its first fault; frames that need it fail too. Streams that streams does not name: no rows.
     old_arithmetic: range coded content of version 0 is in the arithmetic of the oldest streams.
+    options: refused ones raise CodecError; their frame size, if they have one, stands for that of streams without a size, and
+    those of another size are none of theirs: their frames fail.
     """
+    streams, verify_crc = _opted(streams, verify_crc, options)
     part, whole = _arrow(_PART), _arrow(PLANES)
 
     def decode_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,6 +39,23 @@ def view_faults(views: DataFrame) -> DataFrame:
     return views.withColumn("fault", F.coalesce(*(F.when(test, name) for test, name in rules)))
 
 
+def into_views(planes: DataFrame, views: DataFrame) -> DataFrame:
+    """Decoded planes (codec.PLANES) laid out in output planes: stream_id, frame_index, plane, data and fault. views: stream_id, plane,
+    role, sample_format, width, height, stride_bytes of each output plane. data has view rows of stride_bytes, zeros behind the
+    samples and below them. A plane without a view, or with one it does not fit in: data null, and why; see view_faults().
+    Frames that failed: no rows."""
+    view = ["role", "sample_format", "width", "height", "stride_bytes"]
+    wanted = planes.where("plane is not null").select(
+        "stream_id", "frame_index", "plane", F.col("data").alias("samples"), F.col("bytes_per_sample").alias("size"), F.col("role").alias("wanted_role"), F.when(F.col("bytes_per_sample") == 1, "u8").otherwise("u16").alias("wanted_format"),
+        F.col("width").alias("wanted_width"), F.col("height").alias("wanted_height"),
+    )
+    both = view_faults(wanted.join(views.select("stream_id", "plane", *view), ["stream_id", "plane"], "left"))
+    line = F.col("wanted_width") * F.col("size")
+    rows = F.transform(F.sequence(F.lit(0), F.col("wanted_height") - 1), lambda y: F.rpad(F.substring(F.col("samples"), (y * line + 1).cast("int"), line.cast("int")), F.col("stride_bytes").cast("int"), F.lit(b"\0")))
+    whole = F.rpad(F.aggregate(rows, F.lit(b""), lambda a, r: F.concat(a, r)), (F.col("stride_bytes") * F.col("height")).cast("int"), F.lit(b"\0"))
+    return both.select("stream_id", "frame_index", "plane", F.when(F.col("fault").isNull(), whole).alias("data"), "fault")
+
+
 def coverage(slices: DataFrame, streams: DataFrame) -> DataFrame:
     """stream_id, frame_index, cells, covered, overlapping and verdict (exact, open, overlap, too large) of each frame's slices
     (stream_id, frame_index, raster_x, raster_y, raster_w, raster_h). Each slice is opened into its cells, so the work follows

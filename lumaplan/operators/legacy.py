@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,3 +108,17 @@ def encode_legacy(planes: DataFrame, streams: DataFrame, embed: bool = True, old
 
     rows = planes.select("stream_id", "frame_index", "plane", "data").join(streams, "stream_id")
     return rows.withColumn("gop", F.floor(F.col("frame_index") / F.col("keyframe_interval"))).groupBy("stream_id", "gop").applyInArrow(code, PACKETS)
+
+
+def encode_grids(frames: DataFrame, c: StreamConfig, headers: Callable[[int], list[Header]]) -> DataFrame:
+    """Rows of PACKETS with the headers of frames of several slices: frames are stream_id, frame_index and keyframe, headers() the slices
+    of a frame."""
+    from lumaplan.operators.codec import _arrow, _batch
+
+    arrow = _arrow(PACKETS)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            yield _batch([(r["stream_id"], r["frame_index"], r["keyframe"], encode_legacy_grid(c, headers(r["frame_index"]), r["keyframe"]) + bytes(8)) for r in rb.to_pylist()], arrow)
+
+    return frames.select("stream_id", "frame_index", "keyframe").mapInArrow(write, PACKETS)

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from lumaplan.functions import columns as C
 from lumaplan.operators import codec
-from lumaplan.operators.coverage import coverage, plane_faults, profile_faults, view_faults
-from lumaplan.operators.legacy import encode_legacy, encode_legacy_grid, legacy_streams
-from lumaplan.operators.options import decoder_option_code, encoder_option_code
+from lumaplan.operators.coverage import coverage, into_views, plane_faults, profile_faults, view_faults
+from lumaplan.operators.joined import joined
+from lumaplan.operators.legacy import encode_grids, encode_legacy, legacy_streams
+from lumaplan.operators.options import DecoderOptions, decoder_option_code, encoder_option_code
 from lumaplan.operators.range_coder import DEFAULT_TRANSITIONS, adaptive_transitions
 from lumaplan.operators.residual import code_bits, entropy, histogram, residuals, slice_samples
 from lumaplan.operators.slices import Header
@@ -361,12 +362,19 @@ def decoder_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.trace(*_packets(spark, sf_dir)).select("frame_index", "slice_index", "y", "x", "context", "diff")
 
 
-_RECORDS = [(i, StreamConfig(64 + i, 20 + i, 1 + i % 16, i % 2, True, i % 3 == 0, 0, 0, 1 + i % 4, 1 + i % 3, (RANGE, GOLOMB)[i % 4 // 2], i % 5 == 0)) for i in range(48)]
+def _part_config(r: dict) -> StreamConfig:
+    i = r["stream_id"]
+    return StreamConfig(64 + i % 48, 20 + r["p_size"], 1 + i % 16, i % 2, True, i % 3 == 0, 0, 0, 1 + i % 4, 1 + i % 3, (RANGE, GOLOMB)[i % 4 // 2], i % 5 == 0)
 
 
-@query("SELECT CAST(i AS BIGINT) AS stream_id, 3 AS version, CASE WHEN i % 4 < 2 THEN 'range' ELSE 'golomb' END AS entropy_mode, CAST(1 + i % 16 AS INTEGER) AS bits, CAST(i % 2 AS INTEGER) AS colorspace, i % 3 = 0 AS extra, CAST(1 + i % 4 AS BIGINT) AS num_h, CAST(1 + i % 3 AS BIGINT) AS num_v, i % 5 = 0 AS ec FROM generate_series(0, 47) AS g(i)")
+@query("""SELECT CAST(i AS BIGINT) AS stream_id, CASE WHEN i % 7 = 0 THEN 1 ELSE 0 END AS code, v.* FROM (SELECT p_partkey AS i, p_size FROM part) LEFT JOIN LATERAL (SELECT 3 AS version, CASE WHEN i % 4 < 2 THEN 'range' ELSE 'golomb' END AS entropy_mode, CAST(1 + i % 16 AS INTEGER) AS bits, CAST(i % 2 AS INTEGER) AS colorspace,
+ i % 3 = 0 AS extra, CAST(1 + i % 4 AS BIGINT) AS num_h, CAST(1 + i % 3 AS BIGINT) AS num_v, i % 5 = 0 AS ec, CAST(64 + i % 48 AS BIGINT) AS width, CAST(20 + p_size AS BIGINT) AS height WHERE i % 7 <> 0) v ON true""")
 def configuration_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codec.parse_records(codec.configure(spark, dict(_RECORDS))).select("stream_id", "version", "entropy_mode", "bits", "colorspace", "extra", "num_h", "num_v", "ec")
+    """A stream for each part, its settings derived from the row; every seventh asks for no keyframe interval and is refused."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("stream_id"), "p_size", F.when(F.col("p_partkey") % 7 == 0, 0).otherwise(5).alias("keyframe_interval"))
+    streams = codec.configure_rows(parts, _part_config)
+    facts = codec.parse_records(streams.where("record is not null")).select("stream_id", "version", "entropy_mode", "bits", "colorspace", "extra", "num_h", "num_v", "ec", "width", "height")
+    return streams.select("stream_id", "status.code").join(facts, "stream_id", "left")
 
 
 @query("SELECT CAST(vec_id // 20 AS BIGINT) AS frame_index, CASE WHEN vec_id // 20 % 3 = 1 THEN 5 ELSE 0 END AS code, CASE WHEN vec_id // 20 % 3 = 1 THEN 3 END AS slice_index FROM embeddings GROUP BY ALL")
@@ -408,7 +416,6 @@ def reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams with quant tables, initial states and state transitions of their own.
 _FIRST = tuple(bytes(96 + (7 * i + 3 * j) % 64 for j in range(32)) for i in range(SMALL_SET.contexts))
 _OWN = StreamConfig(64, 20, num_h=2, num_v=2, ec=True, quant_sets=(SMALL_SET, QuantSet()), initial=(_FIRST, None), transitions=adaptive_transitions(0.04))
-_OWN_BOUNDS = [([1, 3, 7, 128], 1), ([2, 8, 128], 7), ([3, 128], 35), ([128], 105), ([128], 105)]
 
 
 @query(_DIGEST.format(_vectors(8)))
@@ -423,15 +430,31 @@ def round_trip_own_tables_golomb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(codec.decode(codec.encode(packed(vector_samples(spark, sf_dir), 8), streams), streams))
 
 
-@query(" UNION ALL ".join(f"SELECT CAST(1 AS BIGINT) AS stream_id, {k} AS quant_set, {t} AS \"table\", CAST(i AS INTEGER) AS i, CAST({_table_sql('i', b, s if k == 0 else 0)} AS INTEGER) AS value FROM generate_series(0, 255) AS g(i)" for k in range(2) for t, (b, s) in enumerate(_OWN_BOUNDS)))
+def _supplier_config(r: dict) -> StreamConfig:
+    """A stream with tables and first states of its own for each supplier."""
+    k = r["stream_id"] % 40
+    q = quant_set([1, 2 + k, 4 + k, 121 - 2 * k], [2, 6 + k, 120 - k], [3, 125], [128], [128])
+    return replace(_OWN, quant_sets=(q, QuantSet()), initial=(tuple(bytes(96 + (7 * i + 3 * j + k) % 64 for j in range(32)) for i in range(q.contexts)), None))
+
+
+def _supplier_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.configure_rows(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("stream_id"), F.lit(5).alias("keyframe_interval")), _supplier_config, public=False)
+
+
+#: Where each table's runs end, for k = s_suppkey % 40, and by how much a run is more than the one before.
+_SUPPLIER_BOUNDS = [(["1", "3 + k", "7 + 2 * k", "128"], 1), (["2", "8 + k", "128"], 7), (["3", "128"], 35), (["128"], 105), (["128"], 105)]
+
+
+@query(" UNION ALL ".join(f"SELECT s_suppkey AS stream_id, {q} AS quant_set, {t} AS \"table\", CAST(i AS INTEGER) AS i, CAST({_table_sql('i', b, s if q == 0 else 0)} AS INTEGER) AS value FROM (SELECT s_suppkey, s_suppkey % 40 AS k FROM supplier), generate_series(0, 255) AS g(i)" for q in range(2) for t, (b, s) in enumerate(_SUPPLIER_BOUNDS)))
 def record_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a record's run lengths expand to."""
-    return codec.record_tables(codec.configure(spark, {1: _OWN}, public=False))
+    """What the run lengths of each supplier's record expand to."""
+    return codec.record_tables(_supplier_streams(spark, sf_dir))
 
 
-@query(f"SELECT CAST(1 AS BIGINT) AS stream_id, 0 AS quant_set, CAST(i AS INTEGER) AS context, CAST(j AS INTEGER) AS place, CAST(96 + (7 * i + 3 * j) % 64 AS INTEGER) AS state FROM generate_series(0, {SMALL_SET.contexts - 1}) AS a(i), generate_series(0, 31) AS b(j)")
+@query(f"SELECT s_suppkey AS stream_id, 0 AS quant_set, CAST(i AS INTEGER) AS context, CAST(j AS INTEGER) AS place, CAST(96 + (7 * i + 3 * j + s_suppkey % 40) % 64 AS INTEGER) AS state FROM supplier, generate_series(0, {SMALL_SET.contexts - 1}) AS a(i), generate_series(0, 31) AS b(j)")
 def record_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codec.record_states(codec.configure(spark, {1: _OWN}, public=False))
+    """The first states that each supplier's record brings along."""
+    return codec.record_states(_supplier_streams(spark, sf_dir))
 
 
 # Frames of versions 0 and 1.
@@ -504,12 +527,16 @@ def legacy_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.bootstrap_frames(out.withColumn("payload", blank), sizes).select("stream_id", "frame_index", "result", "status.code")
 
 
-@query("SELECT CAST(i AS BIGINT) AS frame_index, CAST(s AS INTEGER) AS slice_index, CAST(CASE WHEN s = 2 THEN 1 ELSE 0 END AS BIGINT) AS raster_x, CAST(CASE WHEN s = 0 THEN 0 ELSE 1 END AS BIGINT) AS raster_y, CAST(CASE WHEN s = 0 THEN 2 ELSE 1 END AS BIGINT) AS raster_w, CAST(1 AS BIGINT) AS raster_h, i % 2 = 0 AS keyframe FROM generate_series(0, 19) AS f(i), generate_series(0, 2) AS g(s)")
+@query("""SELECT s_suppkey AS frame_index, CAST(s AS INTEGER) AS slice_index, CAST(CASE WHEN s_suppkey % 3 = 0 AND s = 2 OR s_suppkey % 3 = 1 AND s = 1 OR s_suppkey % 3 = 2 AND s % 2 = 1 THEN 1 ELSE 0 END AS BIGINT) AS raster_x,
+ CAST(CASE WHEN s_suppkey % 3 = 0 AND s > 0 OR s_suppkey % 3 = 2 AND s > 1 THEN 1 ELSE 0 END AS BIGINT) AS raster_y, CAST(CASE WHEN s_suppkey % 3 = 0 AND s = 0 THEN 2 ELSE 1 END AS BIGINT) AS raster_w, CAST(CASE WHEN s_suppkey % 3 = 1 THEN 2 ELSE 1 END AS BIGINT) AS raster_h, s_suppkey % 2 = 0 AS keyframe
+ FROM supplier, generate_series(0, 3) AS g(s) WHERE s < [3, 2, 4][s_suppkey % 3 + 1]""")
 def legacy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers of legacy frames of several slices, read one after another until they cover the frame."""
+    """Headers of legacy frames of several slices, a frame a supplier, in three ways to cut the grid; read one after another until they
+    cover the frame."""
     c = replace(_legacy(1, RANGE), num_h=2, num_v=2)
-    headers = [Header(0, 0, 2, 1, (0, 0)), Header(0, 1, 1, 1, (0, 0)), Header(1, 1, 1, 1, (0, 0))]
-    frames = spark.createDataFrame([(1, i, bytearray(encode_legacy_grid(c, headers, i % 2 == 0) + bytes(8))) for i in range(20)], "stream_id long, frame_index long, payload binary")
+    cuts = [[(0, 0, 2, 1), (0, 1, 1, 1), (1, 1, 1, 1)], [(0, 0, 1, 2), (1, 0, 1, 2)], [(0, 0, 1, 1), (1, 0, 1, 1), (0, 1, 1, 1), (1, 1, 1, 1)]]
+    frames = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lit(1).cast("long").alias("stream_id"), F.col("s_suppkey").alias("frame_index"), (F.col("s_suppkey") % 2 == 0).alias("keyframe"))
+    frames = encode_grids(frames, c, lambda i: [Header(*cut, (0, 0)) for cut in cuts[i % 3]])
     p = codec.inspect(frames, legacy_streams(spark, {1: c}), grid=(2, 2)).select("frame_index", "keyframe", F.explode("slices").alias("s"))
     return p.select("frame_index", "s.slice_index", "s.raster_x", "s.raster_y", "s.raster_w", "s.raster_h", "keyframe")
 
@@ -567,6 +594,39 @@ def output_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view_faults(views).select("stream_id", "plane", "fault")
 
 
+@query(_DIGEST.format(_vectors(10)))
+def shared_header_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each slice's content begins in its header's last byte."""
+    packets, streams = _ten_bits(spark, sf_dir)
+    return _digest(codec.decode(joined(packets, streams, False), streams))
+
+
+@query(_DIGEST.format(_vectors(10)))
+def second_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, and only the second start that a decoder tries is the right one, in every slice that can't be read in both ways."""
+    packets, streams = _ten_bits(spark, sf_dir, 1)
+    return _digest(codec.decode(joined(packets, streams, True), streams))
+
+
+def _ten_bits(spark: SparkSession, sf_dir: str, interval: int = 5):
+    streams = codec.configure(spark, {1: StreamConfig(64, 20, 10, num_h=2, num_v=2, entropy=GOLOMB)}, interval)
+    return codec.encode(packed(vector_samples(spark, sf_dir, 10), 10), streams), streams
+
+
+@query(f"""WITH p AS (SELECT frame_index % 7 AS s, * FROM ({_vectors(8)})),
+f AS (SELECT 1 + s AS stream_id, frame_index, CASE WHEN s = 1 THEN 'missing' WHEN s = 2 THEN 'role' WHEN s = 3 THEN 'format' WHEN s = 4 THEN 'size' WHEN s = 5 THEN 'stride' END AS fault, CAST(sum(v) AS BIGINT) AS total FROM p GROUP BY s, frame_index)
+SELECT stream_id, frame_index, fault, CASE WHEN fault IS NULL THEN CASE WHEN stream_id = 1 THEN CAST(64 * 20 AS BIGINT) ELSE 80 * 24 END END AS bytes, CASE WHEN fault IS NULL THEN total END AS total FROM f""")
+def decoded_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames dealt to seven streams whose output planes fit, are wider and higher, or do not fit."""
+    samples = vector_samples(spark, sf_dir).withColumn("stream_id", 1 + F.col("frame_index") % 7)
+    streams = codec.configure(spark, {i: _GREY for i in range(1, 8)}, 1)
+    views = spark.createDataFrame([(1, 0, "Y", "u8", 64, 20, 64), (3, 0, "Cb", "u8", 64, 20, 64), (4, 0, "Y", "u16", 64, 20, 128), (5, 0, "Y", "u8", 63, 20, 64), (6, 0, "Y", "u8", 64, 20, 63), (7, 0, "Y", "u8", 70, 24, 80)], "stream_id long, plane int, role string, sample_format string, width int, height int, stride_bytes int")
+    planes = codec.decode(codec.encode(packed(samples, 8), streams), streams, options=DecoderOptions(width=64, height=20))
+    out = into_views(planes, views)
+    sums = codec.unpacked(out.where("data is not null").select("stream_id", "frame_index", "plane", F.lit(1 << 20).alias("width"), F.lit(1).alias("bytes_per_sample"), "data")).groupBy("stream_id", "frame_index").agg(F.sum("v").cast("long").alias("total"))
+    return out.select("stream_id", "frame_index", "fault", F.length("data").cast("long").alias("bytes")).join(sums, ["stream_id", "frame_index"], "left")
+
+
 @contextmanager
 def _state_store(spark: SparkSession) -> Iterator[None]:
     """Stateful operators of streaming queries need the RocksDB state store."""
