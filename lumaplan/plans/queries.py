@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumaplan.functions import columns as C
 from lumaplan.operators import codec
 from lumaplan.operators.coverage import coverage, into_views, plane_faults, profile_faults, view_faults
+from lumaplan.operators.crc import combined_crc
 from lumaplan.operators.joined import joined
 from lumaplan.operators.legacy import encode_grids, encode_legacy, legacy_streams
 from lumaplan.operators.options import DecoderOptions, decoder_option_code, encoder_option_code
@@ -594,6 +595,20 @@ def output_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view_faults(views).select("stream_id", "plane", "fault")
 
 
+@query("SELECT DISTINCT CAST(vec_id // 20 AS BIGINT) AS frame_index, CAST(s AS INTEGER) AS slice_index, true AS same, CAST(0 AS BIGINT) AS frame_crc FROM embeddings, generate_series(0, 3) AS g(s)")
+def combined_crcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRCs put together from those of chunks of 48 bytes: of each slice before its own CRC, which they equal, and of the whole frame,
+    which is 0 as each slice ends in its CRC."""
+    packets, streams = _packets(spark, sf_dir)
+    chunk = lambda data: F.explode(F.transform(F.sequence(F.lit(0), F.length(data) - 1, F.lit(48)), lambda i: F.struct(i.alias("offset"), F.substring(data, i + 1, F.lit(48)).alias("data"))))
+    slices = codec.inspect(packets, streams).select("frame_index", F.explode("slices").alias("s")).join(packets.select("frame_index", "payload"), "frame_index")
+    own = F.substring("payload", (F.col("s.payload_offset") + 1).cast("int"), (F.col("s.footer_offset") + 4 - F.col("s.payload_offset")).cast("int"))
+    parts = slices.select("frame_index", "s.slice_index", "s.crc", own.alias("bytes")).select("frame_index", "slice_index", F.col("crc").alias("told"), chunk(F.col("bytes")).alias("c")).select("frame_index", "slice_index", "told", "c.*")
+    whole = combined_crc(packets.select("frame_index", chunk(F.col("payload")).alias("c")).select("frame_index", "c.*"), "frame_index")
+    got = combined_crc(parts, "frame_index", "slice_index", "told").select("frame_index", "slice_index", (F.col("crc") == F.col("told")).alias("same"))
+    return got.join(whole.select("frame_index", F.col("crc").alias("frame_crc")), "frame_index")
+
+
 @query(_DIGEST.format(_vectors(10)))
 def shared_header_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each slice's content begins in its header's last byte."""
