@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,14 +59,61 @@ def into_views(planes: DataFrame, views: DataFrame) -> DataFrame:
     return both.select("stream_id", "frame_index", "plane", F.when(F.col("fault").isNull(), whole).alias("data"), "fault")
 
 
+class _Active:
+    """Intervals that are open, over the distinct bounds of all: lengths that one, and that two or more of them hold. A tree whose nodes
+    count the intervals that hold them whole, so that a change visits two nodes a level."""
+
+    def __init__(self, bounds: np.ndarray):
+        self.at, self.leaves = bounds.tolist(), max(1, len(bounds) - 1)
+        self.count, self.once, self.twice = ([0] * (4 * self.leaves) for _ in range(3))
+
+    def change(self, low: int, high: int, by: int, node: int = 1, begin: int = 0, end: int | None = None) -> None:
+        end = self.leaves if end is None else end
+        if high <= begin or end <= low:
+            return
+        if low <= begin and end <= high:
+            self.count[node] += by
+        else:
+            middle = (begin + end) // 2
+            self.change(low, high, by, 2 * node, begin, middle)
+            self.change(low, high, by, 2 * node + 1, middle, end)
+        length, leaf, n = self.at[end] - self.at[begin], end - begin == 1, self.count[node]
+        below = (0, 0) if leaf else (self.once[2 * node] + self.once[2 * node + 1], self.twice[2 * node] + self.twice[2 * node + 1])
+        self.once[node] = length if n else below[0]
+        self.twice[node] = length if n > 1 else below[0] if n else below[1]
+
+
+def swept(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[int, int]:
+    """Cells that rectangles hold, and those that more than one of them holds: a sweep along x over the rectangles' edges, n log n in
+    their number, whatever their size is."""
+    some = (w > 0) & (h > 0)
+    x, y, w, h = x[some], y[some], w[some], h[some]
+    if not len(x):
+        return 0, 0
+    bounds = np.unique(np.concatenate([y, y + h]))
+    low, high, active = np.searchsorted(bounds, y).tolist(), np.searchsorted(bounds, y + h).tolist(), _Active(bounds)
+    edge, by = np.concatenate([x, x + w]), np.repeat([1, -1], len(x))
+    covered = overlapping = 0
+    last, order = int(edge.min()), np.argsort(edge, kind="stable")
+    for e, i, d in zip(edge[order].tolist(), (order % len(x)).tolist(), by[order].tolist(), strict=True):
+        covered, overlapping, last = covered + (e - last) * active.once[1], overlapping + (e - last) * active.twice[1], e
+        active.change(low[i], high[i], d)
+    return covered, overlapping
+
+
 def coverage(slices: DataFrame, streams: DataFrame) -> DataFrame:
     """stream_id, frame_index, cells, covered, overlapping and verdict (exact, open, overlap, too large) of each frame's slices
-    (stream_id, frame_index, raster_x, raster_y, raster_w, raster_h). Each slice is opened into its cells, so the work follows
-    the grid and not the pairs of slices."""
-    cells = slices.join(streams.select("stream_id", "width", "height", "num_h", "num_v"), "stream_id")
+    (stream_id, frame_index, raster_x, raster_y, raster_w, raster_h). A frame's slices are swept in one task: the work follows
+    their number, not the grid's cells. Slices without cells count for nothing."""
+    rows = slices.join(streams.select("stream_id", "width", "height", "num_h", "num_v"), "stream_id")
     large = C.over_cif(F.col("width"), F.col("height")) & (F.col("raster_w") * F.col("raster_h") > F.floor(F.col("num_h") * F.col("num_v") / 4))
-    cells = cells.withColumn("large", large).withColumn("cx", F.explode(F.sequence(F.col("raster_x"), F.col("raster_x") + F.col("raster_w") - 1))).withColumn("cy", F.explode(F.sequence(F.col("raster_y"), F.col("raster_y") + F.col("raster_h") - 1)))
-    per = cells.groupBy("stream_id", "frame_index", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.max("large").alias("large"), F.first(F.col("num_h") * F.col("num_v")).alias("cells"))
-    out = per.groupBy("stream_id", "frame_index").agg(F.first("cells").cast("long").alias("cells"), F.count(F.lit(1)).alias("covered"), F.sum((F.col("n") > 1).cast("long")).alias("overlapping"), F.max("large").alias("large"))
+    rows = rows.select("stream_id", "frame_index", *(F.col(f"raster_{k}").cast("long").alias(k) for k in "xywh"), large.alias("large"), (F.col("num_h") * F.col("num_v")).cast("long").alias("cells"))
+
+    def sweep(t: pa.Table) -> pa.Table:
+        covered, overlapping = swept(*(t.column(k).to_numpy() for k in "xywh"))
+        head = [t.column(k)[:1] for k in ("stream_id", "frame_index", "cells")]
+        return pa.table([*head, pa.array([covered]), pa.array([overlapping]), pa.array([pc.any(t.column("large")).as_py()])], names=["stream_id", "frame_index", "cells", "covered", "overlapping", "large"])
+
+    out = rows.groupBy("stream_id", "frame_index").applyInArrow(sweep, "stream_id long, frame_index long, cells long, covered long, overlapping long, large boolean")
     verdict = F.when(F.col("large"), "too large").when(F.col("covered") < F.col("cells"), "open").when(F.col("overlapping") > 0, "overlap").otherwise("exact")
     return out.select("stream_id", "frame_index", "cells", "covered", "overlapping", verdict.alias("verdict"))
