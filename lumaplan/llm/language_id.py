@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumaplan.llm.common import written
+
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -120,29 +122,39 @@ class BackoffModel:
         return [self.langs[b] if n else "und" for b, n in zip(best.tolist(), count.tolist(), strict=True)], np.where(count > 0, score, 0.0)
 
 
-def _rows(counts: dict[str, np.ndarray], smooth: float) -> tuple[dict[str, int], np.ndarray]:
-    keys = sorted(counts)
+def _rows(keys: dict[str, int], counts: np.ndarray, smooth: float) -> tuple[dict[str, int], np.ndarray]:
+    """Log frequencies of each key, less their mean over the languages."""
     if not keys:
-        return {}, np.zeros((0, 0))
-    c = np.array([counts[k] for k in keys])
-    lp = np.log((c + smooth) / (c.sum(0) + smooth * len(keys)))
-    return {k: i for i, k in enumerate(keys)}, lp - lp.mean(1, keepdims=True)
-
-
-def train_language_id(docs: DataFrame, max_docs: int = 12000, max_words: int = 50_000) -> BackoffModel:
-    """From text and lang of rows with neither null. At most about max_docs labelled rows are read, shared evenly among the
-    languages and chosen by a hash of id and text; of these the driver gets the max_words commonest words of each language."""
-    docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null")
-    per = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    langs = sorted(per)
-    if not langs:
-        return BackoffModel([], {}, [{}] * len(GRAMS), np.zeros((0, 0)), [np.zeros((0, 0))] * len(GRAMS))
-    share = max_docs / len(langs)
+        return {}, np.zeros((0, counts.shape[1]))
+    lp = np.log((counts + smooth) / (counts.sum(0) + smooth * len(keys)))
+    return keys, lp - lp.mean(1, keepdims=True)
+
+
+def _labelled(docs: DataFrame, max_docs: int) -> DataFrame:
+    """lang and text of about max_docs rows with neither null, shared evenly among the languages and chosen by a hash of id and text.
+    A language with fewer rows than its share gives all. The counts of languages are broadcast if there are few of them."""
+    docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    per = written(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("of")), "languages")
+    n = max(1, per.count())
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("langid")), F.lit(1_000_000)) / F.lit(1e6)
-    keep = F.lit(False)
-    for lang in langs:
-        keep = keep | ((F.col("lang") == lang) & (draw < F.lit(min(1.0, share / per[lang]))))
+    return docs.join(F.broadcast(per) if n <= 10_000 else per, "lang").where(draw * F.col("of") < max_docs / n).select("lang", "text")
 
+
+def _counts(rows: DataFrame, key: str, langs: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
+    """Keys in order, and how often each is in each language. rows: a key, lang, n; each key and language once."""
+    got = rows.select(key, "lang", "n").toArrow()
+    keys = {k: i for i, k in enumerate(sorted(set(got.column(key).to_pylist())))}
+    out = np.zeros((len(keys), len(langs)))
+    at, lang = ([of[x] for x in got.column(c).to_pylist()] for of, c in ((keys, key), (langs, "lang")))
+    out[at, lang] = got.column("n").to_numpy()
+    return keys, out
+
+
+def train_language_id(docs: DataFrame, max_docs: int = 12000, max_words: int | None = None) -> BackoffModel:
+    """From text and lang of about max_docs labelled rows; see _labelled(). Words and n-grams are counted by Spark over the whole texts
+    of these rows; the driver gets the table of words that occur twice or more, the table of n-grams of all words, and the
+    rows' languages: all of it is bounded by those rows. max_words: only so many of the commonest words of each language, for a
+    smaller model; by default all."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
 
@@ -159,21 +171,22 @@ def train_language_id(docs: DataFrame, max_docs: int = 12000, max_words: int = 5
                         yield flush()
         yield flush()
 
-    counted = docs.where(keep & F.col("text").isNotNull()).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("nth", nth).where(F.col("nth") <= max_words).collect()
-    by = {lang: i for i, lang in enumerate(langs)}
-    words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
-    pieces: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(langs))) for _ in GRAMS]
-    for r in top:
-        words[r["word"]][by[r["lang"]]] += r["n"]
-    for w, c in words.items():
-        for of, into in zip(GRAMS, pieces, strict=True):
-            for g in grams(w, of):
-                into[g] += c
-    word_ids, word_rows = _rows({w: c for w, c in words.items() if c.sum() >= 2}, 0.5)
-    made = [_rows(x, 0.5) for x in pieces]
-    return BackoffModel(langs, word_ids, [m[0] for m in made], word_rows, [m[1] for m in made])
+    counted = _labelled(docs, max_docs).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    if max_words is not None:
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+        counted = counted.withColumn("nth", nth).where(F.col("nth") <= max_words).drop("nth")
+    counted = written(counted, "words")
+    langs = {r["lang"]: i for i, r in enumerate(counted.select("lang").distinct().orderBy(F.col("lang").cast("binary")).collect())}
+    if not langs:
+        return BackoffModel([], {}, [{}] * len(GRAMS), np.zeros((0, 0)), [np.zeros((0, 0))] * len(GRAMS))
+    often = counted.groupBy("word").agg(F.sum("n").alias("all")).where("all >= 2").select("word")
+    words, word_rows = _rows(*_counts(counted.join(often, "word"), "word", langs), 0.5)
+    made = []
+    for of in GRAMS:
+        marked = F.concat(F.lit("<"), "word", F.lit(">")) if of > 1 else F.col("word")
+        cut = F.explode(F.when(F.length(marked) >= of, F.transform(F.sequence(F.lit(1), F.length(marked) - (of - 1)), lambda i: F.substring(marked, i, F.lit(of)))))  # noqa: B023
+        made.append(_rows(*_counts(counted.select("lang", "n", cut.alias("gram")).groupBy("gram", "lang").agg(F.sum("n").alias("n")), "gram", langs), 0.5))
+    return BackoffModel(list(langs), words, [m[0] for m in made], word_rows, [m[1] for m in made])
 
 
 def held_out():

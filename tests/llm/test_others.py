@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumaplan.llm.components import components
 from lumaplan.llm.common import keyed
 from lumaplan.llm.decontaminate import _weights, benchmark_hits, common_subsequence, decontaminate, randomised_svd
-from lumaplan.llm.language_id import held_out, identify_language, train_language_id
+from lumaplan.llm.language_id import _labelled, held_out, identify_language, train_language_id
 from lumaplan.llm.minhash_dart import dart_minhash, near_duplicates, similarity
 from lumaplan.llm.mixing import fill_targets, mix_sources
 from lumaplan.llm.token_arrow import PieceEncoder, default_tokenizer, read_token_files, write_token_files
@@ -304,6 +304,20 @@ def test_small_languages_keep_their_words(spark):
     assert {"zu", "zi"} <= set(model.words)
 
 
+def test_language_training_caps_no_words_and_shares_rows(spark):
+    """Every word that occurs twice is known, n-grams are those of all words, and languages share the rows evenly."""
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    made = [(i, " ".join(name() for _ in range(30)), ["big", "small"][i % 10 == 0]) for i in range(2000)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    whole = train_language_id(docs, max_docs=10**6)
+    counts = Counter(w for _, t, _ in made for w in t.split())
+    assert set(whole.words) == {w for w, n in counts.items() if n >= 2}
+    assert set(whole.grams[0]) == {f"<{w}>"[i : i + 4] for w in counts for i in range(4)} and set(whole.grams[3]) == set("abcdefghij")
+    per = {r["lang"]: r["count"] for r in _labelled(docs, 300).groupBy("lang").count().collect()}
+    assert 110 <= per["big"] <= 190 and 110 <= per["small"] <= 190
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     made, labels = [], []
