@@ -22,7 +22,7 @@ from lumaplan.operators.frames import bootstrap_key, check_planes, decode_one, e
 from lumaplan.operators.lanes import FEWEST, decode_frames, encode_frames, lanes_at_once
 from lumaplan.operators.slices import Header, Slice, locate
 from lumaplan.operators.options import DecoderOptions, EncoderOptions
-from lumaplan.operators.stream import StreamConfig, encoder_profile, read_record, write_record
+from lumaplan.operators.stream import YCBCR, StreamConfig, encoder_profile, read_record, write_record
 
 STREAMS = "stream_id long, record binary, width long, height long, keyframe_interval long"
 PLANE_INFO = "array<struct<role:string,sample_format:string,width:bigint,height:bigint,stride_bytes:bigint>>"
@@ -356,20 +356,27 @@ def _decoded_chains(chains: list[list[dict]], old: bool = False) -> Iterator[tup
             yield from ((r, c, parts, ok_status()) for r, parts in zip(rows, planes, strict=True))
 
 
-TRACE = "stream_id long, frame_index long, slice_index int, plane int, y int, x int, context int, diff int, place_before long, place_after long"
+_SEEN = ("drift", "error_sum", "bias", "count", "run_index", "run_pending")
+TRACE = "stream_id long, frame_index long, slice_index int, plane int, y int, x int, context int, diff int, place_before long, place_after long, bank int, k int, " + ", ".join(f"{f} int" for f in (*_SEEN, *(f"{f}_after" for f in _SEEN), "sample"))
 
 
 def trace(packets: DataFrame, streams: DataFrame, regular: bool = True) -> DataFrame:
     """Rows of TRACE: what the decoder reads for each sample, y and x inside the slice; places are bits (Golomb-Rice) or bytes
-    (range coder) into the slice's content or slice. Slices that fail give no rows."""
+    (range coder) into the slice's content or slice. Golomb-Rice: the context's parameter k, and what it has seen, before and after;
+    others: null. sample: null for RGB, where the decoder's own are those before the inverse transform. Slices that fail give no rows."""
     arrow = _arrow(TRACE)
 
     def run(t: pa.Table) -> pa.Table:
         seen: list = []
         batches = [_batch([], arrow)]
-        for r, _, parts, _ in _decoded(t.to_pylist(), seen):
+        for r, c, parts, _ in _decoded(t.to_pylist(), seen):
             if parts is not None:
-                batches.append(_batch([(r["stream_id"], r["frame_index"], r["slice_index"], *s) for s in seen], arrow))
+                rows = []
+                for s in seen:
+                    plane, y, x, context, diff = s[:5]
+                    v = int(parts[plane][y, x]) if c.colorspace == YCBCR else None
+                    rows.append((r["stream_id"], r["frame_index"], r["slice_index"], *s, v))
+                batches.append(_batch(rows, arrow))
         return pa.Table.from_batches(batches)
 
     return _found_slices(packets, streams, True, regular).where("status.code = 0").groupBy(*_GROUP).applyInArrow(run, TRACE)

@@ -380,13 +380,18 @@ class _Golomb:
         return read
 
 
-def _observed(read, source, plane: int, y: int, observe: list):
-    place = (lambda: source.r.at) if isinstance(source, _Range) else (lambda: source.b.at)
+def _observed(read, source, plane: int, y: int, bank: int, states: list, runs: Runs, observe: list):
+    """read() that writes down each sample: plane, y, x, context, difference, the coder's place before and after, bank, and for
+    Golomb-Rice the parameter, what the context has seen before and after, and the run's index and rest before and after."""
+    rice = isinstance(source, _Golomb)
+    place = (lambda: source.b.at) if rice else (lambda: source.r.at)
+    seen = lambda k: (states[k].drift, states[k].error_sum, states[k].bias, states[k].count)
 
     def reader(x: int, width: int, k: int) -> int:
-        before = place()
+        before, known = place(), rice and k < len(states)
+        held = (states[k].k(), *seen(k), runs.index, runs.pending) if known else (None,) * 7
         d = read(x, width, k)
-        observe.append((plane, y, x, k, d, before, place()))
+        observe.append((plane, y, x, k, d, before, place(), bank, *held, *((*seen(k), runs.index, runs.pending) if known else (None,) * 6)))
         return d
 
     return reader
@@ -394,8 +399,8 @@ def _observed(read, source, plane: int, y: int, observe: list):
 
 def decode_slice(c: StreamConfig, s: Slice, state: Entropy | None, content: int | None = None, trailing: bool = False, observe: list | None = None) -> tuple[list[np.ndarray], Entropy]:
     """The slice's planes and the state for the next frame. content: another start of Golomb-Rice content than s has. trailing:
-    bytes may follow the content. observe: gets plane, y, x, context, difference and the coder's place before and after (bits for
-    Golomb-Rice, bytes for range coding) of each sample."""
+    bytes may follow the content. observe: gets what _observed() writes down of each sample; places are bits for Golomb-Rice, bytes
+    for range coding."""
     sets, bank, qset = banks_of(c, s.header)
     state = Entropy.fresh(c, sets) if state is None else state.copy()
     if not state.fits(c, sets):
@@ -433,9 +438,10 @@ def decode_slice(c: StreamConfig, s: Slice, state: Entropy | None, content: int
         up, upper = lines[p]
         row = [0] * widths[p]
         edge = border(c, p)
-        read = source.row(state.banks[bank[p]], bits[p], runs[0 if c.colorspace == RGB else p])
+        run = runs[0 if c.colorspace == RGB else p]
+        read = source.row(state.banks[bank[p]], bits[p], run)
         if observe is not None:
-            read = _observed(read, source, p, y, observe)
+            read = _observed(read, source, p, y, bank[p], state.banks[bank[p]], run, observe)
         _decode_row(read, c.quant_sets[qset[p]], row, up if y else [edge] * widths[p], upper, edge, bits[p], c.signed_prediction)
         done[p][y] = row
         lines[p] = row, up

@@ -363,6 +363,23 @@ def decoder_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.trace(*_packets(spark, sf_dir)).select("frame_index", "slice_index", "y", "x", "context", "diff")
 
 
+_HALF_SLICES = _residual_sql(_SLICED.replace("sy * 4", "sy * 2").replace("x // 16", "x // 32").replace("sx * 16", "sx * 32"), 8, "stream_id, frame_index, plane, slice_index", "32")
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT frame_index, slice_index, y, x, v, CAST(diff AS BIGINT) AS diff, row_number() OVER (PARTITION BY frame_index, slice_index ORDER BY y, x) AS n FROM ({_HALF_SLICES}) WHERE diff <> 0),
+s AS (SELECT frame_index, slice_index, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS drift, CAST(4 AS BIGINT) AS error_sum, CAST(0 AS BIGINT) AS bias, CAST(1 AS BIGINT) AS seen FROM (SELECT DISTINCT frame_index, slice_index FROM d)
+ UNION ALL
+ SELECT frame_index, slice_index, n + 1, CASE WHEN dr <= -c THEN greatest(dr + c, 1 - c) WHEN dr > 0 THEN least(dr - c, 0) ELSE dr END, er, CASE WHEN dr <= -c THEN greatest(bias - 1, -128) WHEN dr > 0 THEN least(bias + 1, 127) ELSE bias END, c
+ FROM (SELECT *, CASE WHEN seen = 128 THEN 65 ELSE seen + 1 END AS c, CAST(CASE WHEN seen = 128 THEN floor((drift + e) / 2.0) ELSE drift + e END AS BIGINT) AS dr, CASE WHEN seen = 128 THEN (error_sum + abs(e)) // 2 ELSE error_sum + abs(e) END AS er
+  FROM (SELECT s.*, ((diff - CASE WHEN diff > 0 THEN 1 ELSE 0 END - bias + 384) % 256) - 128 AS e FROM s JOIN d USING (frame_index, slice_index, n))))
+SELECT frame_index, slice_index, y, x, CAST(v AS INTEGER) AS sample, CAST(diff AS INTEGER) AS diff, CAST(drift AS INTEGER) AS drift, CAST(error_sum AS INTEGER) AS error_sum, CAST(bias AS INTEGER) AS bias, CAST(seen AS INTEGER) AS count,
+ CAST(CASE WHEN error_sum <= seen THEN 0 ELSE length(bin((error_sum + seen - 1) // seen - 1)) END AS INTEGER) AS k FROM s JOIN d USING (frame_index, slice_index, n)""")
+def golomb_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the one context of a slice has seen before each sample that is coded by itself, and the parameter that follows from it."""
+    t = codec.trace(*_packets(spark, sf_dir, replace(_GREY, entropy=GOLOMB), 1))
+    return t.where("diff <> 0").select("frame_index", "slice_index", "y", "x", "sample", "diff", "drift", "error_sum", "bias", "count", "k")
+
+
 def _part_config(r: dict) -> StreamConfig:
     i = r["stream_id"]
     return StreamConfig(64 + i % 48, 20 + r["p_size"], 1 + i % 16, i % 2, True, i % 3 == 0, 0, 0, 1 + i % 4, 1 + i % 3, (RANGE, GOLOMB)[i % 4 // 2], i % 5 == 0)
