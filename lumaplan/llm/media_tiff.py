@@ -333,7 +333,8 @@ def tiff_pages(media: DataFrame, column: str, batch_bytes: int = 1 << 25) -> Dat
 
     Strips and tiles, classic and big files, both byte and fill orders; no compression, PackBits, LZW, deflate; predictors 1 to
     3; 1 to 64 bits, the same for all samples. Anything else, and null, empty or damaged bytes: the pages read before the
-    fault, then one row with null page and the reason in tiff_error. Pages go on as they are read; a task holds one page over
+    fault, then one row with null page and the reason in tiff_error; so too for a page over 256 MB, which iter_tiff() takes
+    with a larger max_page_bytes. Pages go on as they are read; a task holds one page over
     batch_bytes. Columns of media that have the name of an output column are dropped. Repeated rows: pages each. Empty table: no
     rows.
     """
