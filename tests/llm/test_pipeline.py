@@ -139,7 +139,8 @@ def test_sql_of_the_operators(spark):
         want = con.execute(sql)
         columns = [d[0] for d in want.description]
         got = [tuple(r[c] for c in columns) for r in QUERIES[name](spark, where).collect()]
-        assert len(got) > 100 and sorted(got) == sorted(want.fetchall()), name
+        # The smallest tables have 20 conversations, which make 59 nodes.
+        assert len(got) > (50 if name == "op12_prefix_trie" else 100) and sorted(got) == sorted(want.fetchall()), name
 
 
 def test_pipeline_on_empty_documents(spark, folder, tmp_path):
