@@ -539,20 +539,25 @@ def bootstrap_frames(packets: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def unpacked(planes: DataFrame) -> DataFrame:
-    """Packed planes as samples: stream_id, frame_index, plane, y, x, v. Null planes: no rows."""
+    """Packed planes as samples: stream_id, frame_index, plane, y, x, v. Null planes: no rows. Planes may have given, the places of
+    the samples to return (null: all)."""
     schema = "stream_id long, frame_index long, plane int, y int, x int, v int"
-    arrow = _arrow(schema)
+    arrow, masked = _arrow(schema), "given" in planes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             stream, frame, plane, width, size = (rb.column(x).to_numpy() for x in ("stream_id", "frame_index", "plane", "width", "bytes_per_sample"))
             for i in range(len(rb)):
                 v = np.frombuffer(rb.column("data")[i].as_buffer(), "u1" if size[i] == 1 else "<u2")
-                y, x = np.divmod(np.arange(len(v), dtype=np.int32), width[i])
+                at = np.arange(len(v), dtype=np.int32)
+                if masked and rb.column("given")[i].is_valid:
+                    at = rb.column("given")[i].values.to_numpy()
+                    v = v[at]
+                y, x = np.divmod(at, width[i])
                 same = (pa.array(np.full(len(v), a[i]), f.type) for a, f in zip((stream, frame, plane), arrow, strict=False))
                 yield pa.RecordBatch.from_arrays([*same, *(pa.array(a.astype(np.int32)) for a in (y, x, v))], schema=arrow)
 
-    rows = planes.where("plane is not null and data is not null").select("stream_id", "frame_index", F.col("plane").cast("int").alias("plane"), F.col("width").cast("int").alias("width"), F.col("bytes_per_sample").cast("int").alias("bytes_per_sample"), "data")
+    rows = planes.where("plane is not null and data is not null").select("stream_id", "frame_index", F.col("plane").cast("int").alias("plane"), F.col("width").cast("int").alias("width"), F.col("bytes_per_sample").cast("int").alias("bytes_per_sample"), "data", *(["given"] if masked else []))
     return rows.mapInArrow(run, schema)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaplan.operators.bits import BitWriter
-from lumaplan.operators.errors import UNSUPPORTED, CodecError
+from lumaplan.operators.errors import INVALID_ARGUMENT, UNSUPPORTED, CodecError
 from lumaplan.operators.golomb import Runs
 from lumaplan.operators.range_coder import START, IntervalEncoder, RangeEncoder, fresh_states, zero_transitions
 from lumaplan.operators.slices import Entropy, Header, _golomb_row, banks_of, border, coded_planes, residuals, row_order, write_header
@@ -79,7 +79,7 @@ def encode_legacy_grid(c: StreamConfig, headers: list[Header], keyframe: bool =
 
 
 def encode_legacy(planes: DataFrame, streams: DataFrame, embed: bool = True, old: bool = False) -> DataFrame:
-    """Rows of PACKETS out of planes (stream_id, frame_index, plane, data, whole and of the right size). A group of pictures, of which
+    """Rows of PACKETS out of planes (stream_id, frame_index, plane, data). A frame that lacks a plane, or has one of wrong size: payload null. A group of pictures, of which
     there is one for each keyframe_interval frames, is a task's unit. A frame that can't be said in its arithmetic is tried with or without parameters,
     and as a keyframe; if none does, its payload is null."""
     from lumaplan.operators.codec import _arrow, _batch, _plane, config_of
@@ -89,10 +89,20 @@ def encode_legacy(planes: DataFrame, streams: DataFrame, embed: bool = True, old
     def code(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: (r["frame_index"], r["plane"]))
         c, out, state = config_of(rows[0]["record"], rows[0]["width"], rows[0]["height"]), [], None
-        for i in range(0, len(rows), c.planes):
-            part = rows[i : i + c.planes]
+        frames: dict[int, list[dict]] = {}
+        for r in rows:
+            frames.setdefault(r["frame_index"], []).append(r)
+        for part in frames.values():
             key = part[0]["frame_index"] % part[0]["keyframe_interval"] == 0
-            arrays, held, data = [_plane(c, r["plane"], r["data"]) for r in part], state, None
+            held, data = state, None
+            try:
+                if [r["plane"] for r in part] != list(range(c.planes)):
+                    raise CodecError(INVALID_ARGUMENT, f"the stream has {c.planes} planes")
+                arrays = [_plane(c, r["plane"], r["data"] or b"") for r in part]
+            except CodecError:
+                state = None
+                out.append((part[0]["stream_id"], part[0]["frame_index"], key, None))
+                continue
             # Where the arithmetic leaves no value for the samples, other bytes before them, or fresh states, may do so.
             ways = [(key, embed, False), (key, not embed, False), (key, True, True), (True, embed, False), (True, not embed, False), (True, True, True)]
             for as_key, bring, spelled in ways[: len(ways) if c.entropy == RANGE else 1]:

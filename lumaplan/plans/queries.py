@@ -21,7 +21,7 @@ from lumaplan.operators.range_coder import DEFAULT_TRANSITIONS, adaptive_transit
 from lumaplan.operators.residual import code_bits, entropy, histogram, residuals, slice_samples
 from lumaplan.operators.slices import Header
 from lumaplan.operators.stream import GOLOMB, RANGE, RGB, QuantSet, StreamConfig, quant_set
-from lumaplan.sources.planes import event_samples, packed, vector_samples, vector_samples_420, vector_samples_rgba
+from lumaplan.sources.planes import event_samples, framed, vector_samples, vector_samples_420, vector_samples_rgba, with_given
 from lumaplan.streaming.stateful import ROCKSDB, encode_stream, shared_folder
 from lumaplan.streaming.transactions import decode_ordered
 
@@ -278,16 +278,17 @@ def slice_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIGEST = "SELECT frame_index, plane, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(sum(CAST(v AS BIGINT) * (y * 1000 + x + 1)) AS BIGINT) AS weighted FROM ({}) GROUP BY frame_index, plane"
 
 
-def _digest(planes: DataFrame) -> DataFrame:
-    s = codec.unpacked(planes)
+def _digest(planes: DataFrame, source: DataFrame) -> DataFrame:
+    """Of the samples that are in the source (see framed()): what makes its last frame whole does not count."""
+    s = codec.unpacked(with_given(planes, source))
     return s.groupBy("frame_index", "plane").agg(F.count(F.lit(1)).alias("n"), F.sum("v").cast("long").alias("total"), F.sum(F.col("v").cast("long") * (F.col("y") * 1000 + F.col("x") + 1)).alias("weighted"))
 
 
 def _there_and_back(spark: SparkSession, samples: DataFrame, config: StreamConfig, interval: int = 1, regular: bool = True) -> DataFrame:
     (stream,) = (2,) if config.width == 50 else (1,)
     streams = codec.configure(spark, {stream: config}, interval)
-    packets = codec.encode(packed(samples, config.bits), streams)
-    return _digest(codec.decode(packets, streams, regular=regular))
+    planes = framed(samples, config)
+    return _digest(codec.decode(codec.encode(planes, streams), streams, regular=regular), planes)
 
 
 _GREY = StreamConfig(64, 20, num_h=2, num_v=2, ec=True)
@@ -338,9 +339,20 @@ def round_trip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _there_and_back(spark, event_samples(spark, sf_dir, filled=True), StreamConfig(50, 20, 16, num_h=2, num_v=2))
 
 
+def _planes_of(spark: SparkSession, sf_dir: str, config: StreamConfig = _GREY) -> DataFrame:
+    return framed(vector_samples(spark, sf_dir, config.bits), config)
+
+
+def _in_source(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """Rows of a trace of four slices whose samples are in the source."""
+    s = F.col("slice_index")
+    place = (F.col("y") + F.floor(s / 2).cast("int") * 10) * 64 + F.col("x") + s % 2 * 32
+    return with_given(rows, source).where(F.col("given").isNull() | F.array_contains("given", place))
+
+
 def _packets(spark: SparkSession, sf_dir: str, config: StreamConfig = _GREY, interval: int = 5):
     streams = codec.configure(spark, {1: config}, interval)
-    return codec.encode(packed(vector_samples(spark, sf_dir), config.bits), streams), streams
+    return codec.encode(_planes_of(spark, sf_dir, config), streams), streams
 
 
 @query("SELECT CAST(vec_id // 20 AS BIGINT) AS frame_index, vec_id // 20 % 5 = 0 AS keyframe, 4 AS slice_count, 1 AS plane_count, 'Y' AS role, 'u8' AS sample_format, CAST(64 AS BIGINT) AS width, CAST(20 AS BIGINT) AS height, 3 AS version, 4 AS micro_version FROM embeddings GROUP BY ALL")
@@ -360,7 +372,7 @@ def located_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT frame_index, slice_index, y, x, 0 AS context, diff FROM ({_residual_sql(_SLICED.replace('sy * 4', 'sy * 2').replace('x // 16', 'x // 32').replace('sx * 16', 'sx * 32'), 8, 'stream_id, frame_index, plane, slice_index', '32')})")
 def decoder_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the decoder reads is what the window expressions say the encoder wrote."""
-    return codec.trace(*_packets(spark, sf_dir)).select("frame_index", "slice_index", "y", "x", "context", "diff")
+    return _in_source(codec.trace(*_packets(spark, sf_dir)), _planes_of(spark, sf_dir)).select("frame_index", "slice_index", "y", "x", "context", "diff")
 
 
 _HALF_SLICES = _residual_sql(_SLICED.replace("sy * 4", "sy * 2").replace("x // 16", "x // 32").replace("sx * 16", "sx * 32"), 8, "stream_id, frame_index, plane, slice_index", "32")
@@ -376,7 +388,7 @@ SELECT frame_index, slice_index, y, x, CAST(v AS INTEGER) AS sample, CAST(diff A
  CAST(CASE WHEN error_sum <= seen THEN 0 ELSE length(bin((error_sum + seen - 1) // seen - 1)) END AS INTEGER) AS k FROM s JOIN d USING (frame_index, slice_index, n)""")
 def golomb_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the one context of a slice has seen before each sample that is coded by itself, and the parameter that follows from it."""
-    t = codec.trace(*_packets(spark, sf_dir, replace(_GREY, entropy=GOLOMB), 1))
+    t = _in_source(codec.trace(*_packets(spark, sf_dir, replace(_GREY, entropy=GOLOMB), 1)), _planes_of(spark, sf_dir))
     return t.where("diff <> 0").select("frame_index", "slice_index", "y", "x", "sample", "diff", "drift", "error_sum", "bias", "count", "k")
 
 
@@ -410,8 +422,9 @@ def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_over_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample over the bit depth fails its frame alone."""
     s = vector_samples(spark, sf_dir, 10).withColumn("v", F.when((F.col("frame_index") == 2) & (F.col("y") == 3) & (F.col("x") == 5), 1024).otherwise(F.col("v")))
-    streams = codec.configure(spark, {1: StreamConfig(64, 20, 10, num_h=2, num_v=2)})
-    return codec.encode(packed(s, 10), streams).select("frame_index", "status.code")
+    c = StreamConfig(64, 20, 10, num_h=2, num_v=2)
+    streams = codec.configure(spark, {1: c})
+    return codec.encode(framed(s, c), streams).select("frame_index", "status.code")
 
 
 @query()
@@ -439,13 +452,15 @@ _OWN = StreamConfig(64, 20, num_h=2, num_v=2, ec=True, quant_sets=(SMALL_SET, Qu
 @query(_DIGEST.format(_vectors(8)))
 def round_trip_own_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = codec.configure(spark, {1: _OWN}, 5, public=False)
-    return _digest(codec.decode(codec.encode(packed(vector_samples(spark, sf_dir), 8), streams), streams))
+    planes = _planes_of(spark, sf_dir)
+    return _digest(codec.decode(codec.encode(planes, streams), streams), planes)
 
 
 @query(_DIGEST.format(_vectors(8)))
 def round_trip_own_tables_golomb(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = codec.configure(spark, {1: replace(_OWN, entropy=GOLOMB, initial=(), transitions=DEFAULT_TRANSITIONS)}, 5, public=False)
-    return _digest(codec.decode(codec.encode(packed(vector_samples(spark, sf_dir), 8), streams), streams))
+    planes = _planes_of(spark, sf_dir)
+    return _digest(codec.decode(codec.encode(planes, streams), streams), planes)
 
 
 def _supplier_config(r: dict) -> StreamConfig:
@@ -481,8 +496,10 @@ def _legacy(version: int, entropy: str, colorspace: int = 0) -> StreamConfig:
 
 
 def _legacy_trip(spark: SparkSession, samples: DataFrame, c: StreamConfig, embed: bool) -> DataFrame:
+    """Noise makes the last frame whole: of zeros the arithmetic of range coded YCbCr could say few."""
     streams = legacy_streams(spark, {1: c}, 5)
-    return _digest(codec.decode(encode_legacy(packed(samples, 8), streams, embed), streams))
+    planes = framed(samples, c, lambda y, x: (x * 151 + y * 59 + x * y * 7) % 256)
+    return _digest(codec.decode(encode_legacy(planes, streams, embed), streams), planes)
 
 
 @query(_DIGEST.format(_RGBA(8, 3)))
@@ -533,7 +550,7 @@ def legacy_golomb_1(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM (SELECT DISTINCT CAST(vec_id // 20 AS BIGINT) AS frame_index FROM embeddings), (VALUES (1), (2)) AS c(s)""")
 def legacy_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyframes carry parameters; every other keyframe of stream 2 those of another coder."""
-    planes, out = packed(vector_samples(spark, sf_dir), 8), None
+    planes, out = _planes_of(spark, sf_dir), None
     for stream, other in ((1, 1), (2, 0)):
         frames = encode_legacy(planes, legacy_streams(spark, {1: _legacy(1, GOLOMB)}, 5))
         odd = encode_legacy(planes, legacy_streams(spark, {1: _legacy(other, GOLOMB)}, 5))
@@ -629,20 +646,21 @@ def combined_crcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_DIGEST.format(_vectors(10)))
 def shared_header_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each slice's content begins in its header's last byte."""
-    packets, streams = _ten_bits(spark, sf_dir)
-    return _digest(codec.decode(joined(packets, streams, False), streams))
+    planes, packets, streams = _ten_bits(spark, sf_dir)
+    return _digest(codec.decode(joined(packets, streams, False), streams), planes)
 
 
 @query(_DIGEST.format(_vectors(10)))
 def second_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, and only the second start that a decoder tries is the right one, in every slice that can't be read in both ways."""
-    packets, streams = _ten_bits(spark, sf_dir, 1)
-    return _digest(codec.decode(joined(packets, streams, True), streams))
+    planes, packets, streams = _ten_bits(spark, sf_dir, 1)
+    return _digest(codec.decode(joined(packets, streams, True), streams), planes)
 
 
 def _ten_bits(spark: SparkSession, sf_dir: str, interval: int = 5):
-    streams = codec.configure(spark, {1: StreamConfig(64, 20, 10, num_h=2, num_v=2, entropy=GOLOMB)}, interval)
-    return codec.encode(packed(vector_samples(spark, sf_dir, 10), 10), streams), streams
+    c = StreamConfig(64, 20, 10, num_h=2, num_v=2, entropy=GOLOMB)
+    streams, planes = codec.configure(spark, {1: c}, interval), _planes_of(spark, sf_dir, c)
+    return planes, codec.encode(planes, streams), streams
 
 
 @query(f"""WITH p AS (SELECT frame_index % 7 AS s, * FROM ({_vectors(8)})),
@@ -653,7 +671,7 @@ def decoded_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = vector_samples(spark, sf_dir).withColumn("stream_id", 1 + F.col("frame_index") % 7)
     streams = codec.configure(spark, {i: _GREY for i in range(1, 8)}, 1)
     views = spark.createDataFrame([(1, 0, "Y", "u8", 64, 20, 64), (3, 0, "Cb", "u8", 64, 20, 64), (4, 0, "Y", "u16", 64, 20, 128), (5, 0, "Y", "u8", 63, 20, 64), (6, 0, "Y", "u8", 64, 20, 63), (7, 0, "Y", "u8", 70, 24, 80)], "stream_id long, plane int, role string, sample_format string, width int, height int, stride_bytes int")
-    planes = codec.decode(codec.encode(packed(samples, 8), streams), streams, options=DecoderOptions(width=64, height=20))
+    planes = codec.decode(codec.encode(framed(samples, _GREY), streams), streams, options=DecoderOptions(width=64, height=20))
     out = into_views(planes, views)
     sums = codec.unpacked(out.where("data is not null").select("stream_id", "frame_index", "plane", F.lit(1 << 20).alias("width"), F.lit(1).alias("bytes_per_sample"), "data")).groupBy("stream_id", "frame_index").agg(F.sum("v").cast("long").alias("total"))
     return out.select("stream_id", "frame_index", "fault", F.length("data").cast("long").alias("bytes")).join(sums, ["stream_id", "frame_index"], "left")
@@ -676,14 +694,15 @@ def streaming_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planes as a stream through the stateful encoder, its slices joined to packets, and those decoded."""
     where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     streams = codec.configure(spark, {1: _GREY}, 5)
-    packed(vector_samples(spark, sf_dir), 8).write.parquet(f"{where}/planes")
+    _planes_of(spark, sf_dir).write.parquet(f"{where}/planes")
+    planes = spark.read.parquet(f"{where}/planes")
     with _state_store(spark):
-        source = spark.readStream.schema(spark.read.parquet(f"{where}/planes").schema).parquet(f"{where}/planes")
+        source = spark.readStream.schema(planes.schema).parquet(f"{where}/planes")
         q = encode_stream(source, streams).writeStream.format("parquet").option("path", f"{where}/slices").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     slices = spark.read.parquet(f"{where}/slices").groupBy("stream_id", "frame_index").agg(F.array_sort(F.collect_list(F.struct("slice_index", "data"))).alias("parts"))
     packets = slices.select("stream_id", "frame_index", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["data"])).alias("payload"))
-    return _digest(codec.decode(packets, streams))
+    return _digest(codec.decode(packets, streams), planes)
 
 
 @query(f"""WITH f AS (SELECT DISTINCT CAST(vec_id // 20 AS BIGINT) AS frame_index, CAST([0, 0, 5, 2, 2][vec_id // 20 % 5 + 1] AS INTEGER) AS damaged FROM embeddings),
@@ -705,4 +724,4 @@ def streaming_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         q.awaitTermination()
     planes = spark.read.parquet(f"{where}/planes")
     status = planes.select("frame_index", "status.code").distinct()
-    return status.join(_digest(planes.where("plane is not null")).drop("plane"), "frame_index", "left")
+    return status.join(_digest(planes.where("plane is not null"), _planes_of(spark, sf_dir)).drop("plane"), "frame_index", "left")
