@@ -21,7 +21,7 @@ from lumaplan.operators.range_coder import DEFAULT_TRANSITIONS, adaptive_transit
 from lumaplan.operators.residual import code_bits, entropy, histogram, residuals, slice_samples
 from lumaplan.operators.slices import Header
 from lumaplan.operators.stream import GOLOMB, RANGE, RGB, QuantSet, StreamConfig, quant_set
-from lumaplan.sources.planes import event_samples, framed, vector_samples, vector_samples_420, vector_samples_rgba, with_given
+from lumaplan.sources.planes import event_samples, framed, halves, vector_samples, vector_samples_420, vector_samples_rgba, with_given
 from lumaplan.streaming.stateful import ROCKSDB, encode_stream, shared_folder
 from lumaplan.streaming.transactions import decode_ordered
 
@@ -285,8 +285,7 @@ def _digest(planes: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def _there_and_back(spark: SparkSession, samples: DataFrame, config: StreamConfig, interval: int = 1, regular: bool = True) -> DataFrame:
-    (stream,) = (2,) if config.width == 50 else (1,)
-    streams = codec.configure(spark, {stream: config}, interval)
+    streams = codec.configure(spark, {1: config}, interval)
     planes = framed(samples, config)
     return _digest(codec.decode(codec.encode(planes, streams), streams, regular=regular), planes)
 
@@ -336,7 +335,13 @@ def round_trip_found_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_DIGEST.format(_FILLED_EVENTS))
 def round_trip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _there_and_back(spark, event_samples(spark, sf_dir, filled=True), StreamConfig(50, 20, 16, num_h=2, num_v=2))
+    """Values may need more than 16 bits: their high half is an extra plane, and both are summed as one."""
+    c = StreamConfig(50, 20, 16, extra=True, num_h=2, num_v=2)
+    streams, planes = codec.configure(spark, {2: c}), framed(halves(event_samples(spark, sf_dir, filled=True)), c)
+    high, v = F.col("plane") == 1, F.col("v").cast("long")
+    s = codec.unpacked(with_given(codec.decode(codec.encode(planes, streams), streams), planes))
+    s = s.withColumn("v", F.when(high, (v - F.when(v > 32767, 65536).otherwise(0)) * 65536).otherwise(v))
+    return s.groupBy("frame_index").agg(F.lit(0).alias("plane"), F.count(F.when(~high, 1)).alias("n"), F.sum("v").cast("long").alias("total"), F.sum(F.col("v") * (F.col("y") * 1000 + F.col("x") + 1)).alias("weighted"))
 
 
 def _planes_of(spark: SparkSession, sf_dir: str, config: StreamConfig = _GREY) -> DataFrame:

@@ -66,6 +66,12 @@ def event_samples(spark: SparkSession, sf_dir: str, width: int = 50, rows: int =
     return e.select(F.lit(2).cast("long").alias("stream_id"), F.floor(F.col("event_id") / cell).cast("long").alias("frame_index"), F.lit(0).alias("plane"), F.floor(at / width).cast("int").alias("y"), (at % width).cast("int").alias("x"), F.round(F.col("value") * 100).cast("int").alias("v"))
 
 
+def halves(samples: DataFrame) -> DataFrame:
+    """Grey samples of 32 bits as two planes of 16: the low half, and behind it the high one."""
+    s = samples.withColumn("plane", F.explode(F.array(F.lit(0), F.lit(1))))
+    return s.withColumn("v", F.when(F.col("plane") == 1, F.shiftright("v", 16)).otherwise(F.col("v")).bitwiseAND(65535))
+
+
 def _digits(v: Column, bits: int) -> Column:
     """Hex of a sample as it is stored; null if it has no room there, so that its plane has a byte too few and fails."""
     digits = F.lpad(F.hex(v), 2 if bits <= 8 else 4, "0")

@@ -43,3 +43,8 @@ def test_legacy_frame_of_wrong_size_fails_alone(spark):
     planes = spark.createDataFrame([(1, 0, 0, bytearray(8)), (1, 1, 0, bytearray(7)), (1, 2, 1, bytearray(8))], "stream_id long, frame_index long, plane int, data binary")
     got = encode_legacy(planes, legacy_streams(spark, {1: c}, 1)).orderBy("frame_index").collect()
     assert [r.payload is None for r in got] == [False, True, True]
+
+
+def test_events_of_more_than_16_bits(spark, tmp_path):
+    duckdb.sql(f"copy (select i as event_id, case i when 7 then 655.36 when 8 then -3.5 when 9 then 21474836.47 else cast(i * 7 % 601 as double) / 8 end as value from generate_series(0, 1499) as g(i) where i not between 300 and 420) to '{tmp_path}/events.parquet' (format parquet)")
+    same(spark, tmp_path, "events", "round_trip_events")
