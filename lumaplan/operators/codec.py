@@ -34,7 +34,19 @@ _STATUS = pa.struct([("code", pa.int32()), ("message", pa.string()), ("byte_offs
 def config_of(record: bytes | None, width: int, height: int) -> StreamConfig:
     if record is None:
         raise CodecError(INVALID_ARGUMENT, "the stream has no configuration, or one of another size")
-    return read_record(record, width, height)
+    return replace(_read_once(record), width=width, height=height)
+
+
+@lru_cache(maxsize=256)
+def _read_once(record: bytes | None) -> StreamConfig:
+    """Many streams have equal records: each is read once a worker process, as long as it is among the last that were read."""
+    return read_record(record)
+
+
+@lru_cache(maxsize=256)
+def _written_once(c: StreamConfig) -> bytes:
+    """The record of a configuration without extents, which are not in it."""
+    return write_record(c)
 
 
 def configure(spark, configs: dict[int, StreamConfig], keyframe_interval: int = 1, public: bool = True, options: EncoderOptions | None = None) -> DataFrame:
@@ -53,7 +65,7 @@ def configure(spark, configs: dict[int, StreamConfig], keyframe_interval: int =
 
 def configure_rows(rows: DataFrame, build: Callable[[dict], StreamConfig], public: bool = True) -> DataFrame:
     """STREAMS and status of a table of settings: stream_id, keyframe_interval and what build() makes a configuration of. Records are
-    written by the tasks that read the rows. Settings that are refused: record null, and the status says why."""
+    written by as many tasks as a shuffle has, equal ones once a worker. Settings that are refused: record null, and the status says why."""
     schema = f"{STREAMS}, status {STATUS}"
     arrow = _arrow(schema)
 
@@ -66,12 +78,14 @@ def configure_rows(rows: DataFrame, build: Callable[[dict], StreamConfig], publi
                     options = EncoderOptions(keyframe_interval=r["keyframe_interval"]).checked()
                     c = build(r)
                     c = encoder_profile(c, options.keyframe_interval) if public else replace(c, intra=options.keyframe_interval == 1)
-                    out.append((r["stream_id"], write_record(c), c.width, c.height, options.keyframe_interval, ok_status()))
+                    out.append((r["stream_id"], _written_once(replace(c, width=0, height=0)), c.width, c.height, options.keyframe_interval, ok_status()))
                 except CodecError as e:
                     out.append((r["stream_id"], None, c and c.width, c and c.height, r["keyframe_interval"], e.status()))
             yield _batch(out, arrow)
 
-    return rows.mapInArrow(write, schema)
+    # A number that is given is kept: by its few bytes a table of settings would go to one task.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "stream_id").mapInArrow(write, schema)
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -462,7 +476,7 @@ def parse_records(records: DataFrame) -> DataFrame:
             out = []
             for r in rb.to_pylist():
                 try:
-                    c = read_record(r["record"], r["width"] or 0, r["height"] or 0)
+                    c = replace(_read_once(r["record"]), width=r["width"] or 0, height=r["height"] or 0)
                     facts = frame_info(c, False, 0)
                     out.append((r["stream_id"], *(facts[k] for k in names), facts["planes"], [q.contexts for q in c.quant_sets], c.ec, c.intra, ok_status()))
                 except CodecError as e:
@@ -472,17 +486,24 @@ def parse_records(records: DataFrame) -> DataFrame:
     return records.select("stream_id", "record", "width", "height").mapInArrow(read, schema)
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, for tasks that make much of each."""
+    for rb in batches:
+        for a in range(0, len(rb), rows):
+            yield rb.slice(a, rows)
+
+
 def record_tables(records: DataFrame) -> DataFrame:
     """Every entry of every quant table of the records (stream_id, record) that parse: stream_id, quant_set, table, i, value."""
     schema = "stream_id long, quant_set int, table int, values array<int>"
     arrow = _arrow(schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
+        for rb in _few(batches):
             out = []
             for r in rb.to_pylist():
                 try:
-                    c = read_record(r["record"])
+                    c = _read_once(r["record"])
                 except CodecError:
                     continue
                 out += [(r["stream_id"], k, t, list(v)) for k, q in enumerate(c.quant_sets) for t, v in enumerate(q.tables)]
@@ -498,11 +519,11 @@ def record_states(records: DataFrame) -> DataFrame:
     arrow = _arrow(schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
+        for rb in _few(batches):
             out = []
             for r in rb.to_pylist():
                 try:
-                    c = read_record(r["record"])
+                    c = _read_once(r["record"])
                 except CodecError:
                     continue
                 out += [(r["stream_id"], k, i, list(row)) for k, first in enumerate(c.initial) for i, row in enumerate(first or ())]

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import replace
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -470,7 +471,11 @@ def round_trip_own_tables_golomb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _supplier_config(r: dict) -> StreamConfig:
     """A stream with tables and first states of its own for each supplier."""
-    k = r["stream_id"] % 40
+    return _own_tables(r["stream_id"] % 40)
+
+
+@lru_cache(maxsize=40)
+def _own_tables(k: int) -> StreamConfig:
     q = quant_set([1, 2 + k, 4 + k, 121 - 2 * k], [2, 6 + k, 120 - k], [3, 125], [128], [128])
     return replace(_OWN, quant_sets=(q, QuantSet()), initial=(tuple(bytes(96 + (7 * i + 3 * j + k) % 64 for j in range(32)) for i in range(q.contexts)), None))
 

@@ -132,3 +132,16 @@ def test_streaming_is_batch(spark, tmp_path):
             assert r["fault"] is None and bytes(r["data"]) == a.astype("u1").tobytes()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_table_of_settings_is_spread_and_equal_records_are_made_once(spark):
+    rows = spark.range(400).select(F.col("id").alias("stream_id"), F.lit(5).alias("keyframe_interval")).coalesce(1)
+    streams = codec.configure_rows(rows, lambda r: StreamConfig(8 + r["stream_id"] % 3, 8, 8 + r["stream_id"] % 2))
+    assert streams.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert streams.select("record").distinct().count() == 2
+    got = {(r.stream_id, r.width, r.bits) for r in codec.parse_records(streams).select("stream_id", "width", "bits").collect()}
+    assert got == {(i, 8 + i % 3, 8 + i % 2) for i in range(400)}
+    before = codec._read_once.cache_info().misses
+    record = bytes(streams.first().record)
+    assert codec.config_of(record, 8, 8).width == 8 and codec.config_of(record, 9, 8).width == 9
+    assert codec._read_once.cache_info().misses <= before + 1
