@@ -130,13 +130,14 @@ def _chains(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], most: int =
 
 
 def _together(keys: list[tuple | None], sets_of) -> Iterator[list[int]]:
-    """Indices of chains that can go in lockstep: those of one key, if they are enough; keys of None can't."""
+    """Indices of chains that can go in lockstep: those of one key, if they are enough, in even parts; keys of None can't."""
     groups: dict[tuple, list[int]] = {}
     for i, k in enumerate(keys):
         if k is not None:
             groups.setdefault(k, []).append(i)
     for k, members in groups.items():
         size = lanes_at_once(*sets_of(k))
+        size = -(-len(members) // -(-len(members) // size))
         for a in range(0, len(members), size):
             if len(members[a : a + size]) >= FEWEST:
                 yield members[a : a + size]
@@ -158,7 +159,7 @@ def _coded(chains: list[list[dict]]) -> Iterator[list[tuple]]:
         whole = len(rows) % n == 0 and all(r["fault"] is None and r["frame_index"] == start + i // n and r["plane"] == i % n for i, r in enumerate(rows))
         keys.append((rows[0]["record"], rows[0]["width"], rows[0]["height"], *(c.cell(p, h.x, h.y, h.w, h.h)[2:] for p in range(n))) if whole else None)
     done: list[list[bytes] | None] = [None] * len(chains)
-    for some in _together(keys, lambda k: (config_of(*k[:3]), (0,) * config_of(*k[:3]).slots)):
+    for some in _together(keys, lambda k: (config_of(*k[:3]), (0,) * config_of(*k[:3]).slots, sum(w * h for w, h in k[3:]))):
         c = configs[some[0]]
         frames = [[_arrays(c, headers[i], chains[i][a : a + c.planes]) for a in range(0, len(chains[i]), c.planes)] for i in some]
         for i, data in zip(some, encode_frames(c, [headers[i] for i in some], [chains[i][0]["slice_index"] == 0 for i in some], frames), strict=True):
@@ -358,7 +359,7 @@ def _decoded_chains(chains: list[list[dict]], old: bool = False) -> Iterator[tup
         keys.append(key)
         slices.append(parsed)
     done: list[list[list[np.ndarray]] | None] = [None] * len(chains)
-    for some in _together(keys, lambda k: (config_of(*k[:3]), k[3])):
+    for some in _together(keys, lambda k: (config_of(*k[:3]), k[3], sum(w * h for w, h in k[4]))):
         c = config_of(*keys[some[0]][:3])  # type: ignore[index]
         for i, planes in zip(some, decode_frames(c, [slices[i] for i in some]), strict=True):
             done[i] = planes

@@ -122,3 +122,14 @@ def test_crc_by_the_polynomial():
 def test_bit_length():
     v = np.array([0, 1, 2, 3, 255, 256, 2**31, 2**40 - 1])
     assert bit_length(v).tolist() == [int(x).bit_length() for x in v]
+
+
+def test_lanes_at_once_are_bounded_by_their_samples():
+    from lumaplan.operators.codec import _together
+    from lumaplan.operators.lanes import FEWEST, lanes_at_once
+
+    c = StreamConfig(64, 20)
+    assert lanes_at_once(c, (0,), 1280) * 1280 <= 1 << 19
+    assert lanes_at_once(c, (0,), 352 * 288) < FEWEST
+    parts = list(_together([("k",)] * 4096, lambda k: (c, (0,), 1280)))
+    assert sorted(i for p in parts for i in p) == list(range(4096)) and max(map(len, parts)) * 1280 <= 1 << 19
