@@ -19,6 +19,8 @@ from lumaplan.llm.common import chunks, fresh_dir, ragged, real_id, shuffle_part
 
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
+#: Bytes of new pieces that are given to the library as one text, about.
+JOINED = 1 << 13
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -78,6 +80,11 @@ class PieceEncoder:
         self.by_piece = spec.get("normalizer") is None and spec["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.kind = np.uint32 if self.wide else np.uint16
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        # A byte-level token has a character for each of its bytes.
+        self.bytes_of = np.zeros(max(self.tokenizer.get_vocab_size(), *vocab.values()) + 1, np.int64)
+        self.bytes_of[list(vocab.values())] = [len(x) for x in vocab]
+        self.joins = self.by_piece and not any(set(s) & set(" \t\n\v\f\r") for s in self.special)
         self.cache_size = cache_size
         self._clear()
 
@@ -91,11 +98,35 @@ class PieceEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
+    def _split(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces that start with white space before a word, and how many each has: they are encoded joined, as the
+        pre-tokenizer splits at their starts, and told apart by their tokens' bytes. None: some token goes over a piece's end."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        raw, cuts = b"".join(pieces), np.unique(np.searchsorted(ends, np.arange(JOINED, int(ends[-1]) + JOINED, JOINED)).clip(max=len(ends) - 1))
+        bounds = [0, *ends[cuts].tolist()]
+        texts = [raw[a:b].decode() for a, b in zip(bounds, bounds[1:]) if b > a]
+        ids = np.concatenate([np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        after = np.cumsum(self.bytes_of[ids])
+        last = np.searchsorted(after, ends)
+        if not len(after) or after[-1] != ends[-1] or (after[last] != ends).any():
+            return None
+        return ids.astype(self.kind), np.diff(last + 1, prepend=0)
+
     def _learn(self, pieces: list[bytes]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for x in got for i in x), self.kind, int(sizes.sum()))
-        n, m = len(self.known), len(got)
+        word = [len(p) > 1 and _SPACE[p[0]] and not _SPACE[p[1]] for p in pieces] if self.joins else [False] * len(pieces)
+        joined = [p for p, w in zip(pieces, word, strict=True) if w]
+        split = self._split(joined) if joined else None
+        if split is not None:
+            self._keep(joined, *split)
+            pieces = [p for p, w in zip(pieces, word, strict=True) if not w]
+        if pieces:
+            got = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            self._keep(pieces, np.fromiter((i for x in got for i in x), self.kind, int(sizes.sum())), sizes)
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), len(pieces)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + m > len(self.starts):

@@ -483,3 +483,25 @@ def test_decontamination_of_a_passage_in_a_third_of_the_texts(spark):
     docs, bench = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: r["item_id"] for r in decontaminate(docs, bench).collect() if r["contaminated"]}
     assert got == {**{i: 0 for i in range(0, 300, 3)}, 1000: 3}
+
+
+def test_new_pieces_go_to_the_library_joined_and_keep_their_ids():
+    import pyarrow as pa
+
+    from lumaplan.llm.common import text_buffer
+    from lumaplan.llm.token_arrow import PieceEncoder, default_tokenizer
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice([" ", "  ", "\n", "\t\n", " \r", ".", "'s", "é", "日本", "x1", "abc", "Zürich", "🙂", "\x00"]) for _ in range(rng.randrange(40))) for _ in range(3000)] + [" ", "\n a", "a", ""]
+    e, given = PieceEncoder(default_tokenizer()), []
+
+    class Counted:
+        def encode_batch_fast(self, batch, **more):
+            given.append(len(batch))
+            return library.encode_batch_fast(batch, **more)
+
+    library, e.tokenizer = e.tokenizer, Counted()
+    ids, at = e.encode(*text_buffer(pa.array(texts)))
+    want = [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+    assert sum(given) < len(e.known) / 2
