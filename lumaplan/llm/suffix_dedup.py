@@ -8,10 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lumaplan.llm.common import BYTE_NAMES, C2, keyed, mix, real_id, text_buffer
-from lumaplan.llm.prefix_doubling import repeated_starts
+from lumaplan.llm.prefix_doubling import REACH, repeated_starts
 from lumaplan.llm.runs import SPAN, Units, covered, repeats, with_spans
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans array<struct<start:long,end:long>>, kept_bytes binary"
@@ -24,23 +23,20 @@ def byte_units(flat: np.ndarray, offsets: np.ndarray) -> Units:
     return Units(BYTE_NAMES[flat], _BYTE_TWINS[flat], offsets)
 
 
-def as_spans(found: list[bytes] | list[int] | None, last: int | None = None) -> list[bytes] | None:
-    """Packed SPANs as they are; starts of windows as SPANs; with last, all windows up to it."""
-    if last is not None:
-        return [np.array([(0, 0, last)], SPAN).tobytes()]
-    if not found or isinstance(found[0], bytes):
-        return found
-    s = np.zeros(len(found), SPAN)
-    s["low"] = s["high"] = found
+def as_spans(runs: np.ndarray) -> list[bytes]:
+    """Runs of windows, as prefix_doubling packs them, as packed SPANs."""
+    s = np.zeros(len(runs), SPAN)
+    s["low"] = runs >> REACH
+    s["high"] = s["low"] + (runs & (1 << REACH) - 1)
     return [s.tobytes()]
 
 
 def suffix_dedup(docs: DataFrame, min_bytes: int = 100, sample_bytes: int | None = None, keep_bytes: bool = True) -> DataFrame:
     """Removes each byte covered by a string of min_bytes bytes that also starts earlier (smaller doc_id, or same text and
-    earlier start). Prefix doubling: Spark sorts all places of distinct texts by ranks of growing length; see
-    prefix_doubling.py. Of equal texts all but the first are earlier in whole. Overlaps count; strings are judged on the input.
+    earlier start). Prefix doubling: Spark sorts chosen places of all texts by ranks of growing length; see prefix_doubling.py.
+    Overlaps count; strings are judged on the input.
 
-    With sample_bytes the same result comes from winnowed names of that many bytes, which shuffle far less; see runs.py.
+    With sample_bytes the same result comes from winnowed names of that many bytes, grouped in buckets; see runs.py.
 
     Null text: as empty. Empty or short text: nothing removed. Null doc_id: before all other ids. Rows of one doc_id with
     different texts: neither is earlier; equal rows: both get the same result, nothing is removed between them. Empty
@@ -54,9 +50,10 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 100, sample_bytes: int | None
         for rb in batches:
             flat, off = text_buffer(rb.column("text"))
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans", "kept_bytes")}
-            for i, (spans, whole) in enumerate(zip(rb.column("spans").to_pylist(), rb.column("whole").to_pylist(), strict=True)):
+            for i, spans in enumerate(rb.column("spans")):
                 text = flat[off[i] : off[i + 1]]
-                cut = covered(as_spans(spans, len(text) - min_bytes if whole else None), min_bytes)
+                found = None if spans.values is None else as_spans(spans.values.to_numpy()) if sample_bytes is None else spans.as_py()
+                cut = covered(found, min_bytes)
                 left = np.ones(len(text), bool)
                 for a, b in cut.tolist():
                     left[a:b] = False
@@ -72,10 +69,10 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 100, sample_bytes: int | None
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], names=["doc_id", *out])
 
     if sample_bytes is None:
-        found = repeated_starts(rows, min_bytes).select("doc_id", "th", F.col("starts").alias("spans"), F.col("starts").isNull().alias("whole"))
+        found = repeated_starts(rows, min_bytes).withColumnRenamed("starts", "spans")
     else:
-        found = repeats(rows, byte_units, sample_bytes, min_bytes).withColumn("whole", F.lit(False))
-    return with_spans(rows, found).select("doc_id", "text", "spans", "whole").mapInArrow(apply, RESULT).withColumn("doc_id", real_id())
+        found = repeats(rows, byte_units, sample_bytes, min_bytes)
+    return with_spans(rows, found).select("doc_id", "text", "spans").mapInArrow(apply, RESULT).withColumn("doc_id", real_id())
 
 
 def op1_suffix_dedup(spark, sf_dir):
