@@ -403,7 +403,8 @@ def decode(packets: DataFrame, streams: DataFrame, verify_crc: bool = True, regu
     regular: keyframes come every keyframe_interval frames, as the encoder writes them. Otherwise groups start at each
     keyframe that the packets hold, found by a window over ids alone. A damaged frame gives one row with null plane and the
     status of its first fault; frames that need it fail too. Streams that streams does not name: no rows.
-    old_arithmetic: range coded content of version 0 is in the arithmetic of the oldest streams.
+    old_arithmetic: range coded content of version 0 is in the arithmetic of the oldest streams. State transitions that a range
+    coded keyframe of versions 0 and 1 brings along hold up to the next keyframe.
     options: refused ones raise CodecError; their frame size, if they have one, stands for that of streams without a size, and
     those of another size are none of theirs: their frames fail.
     """

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from lumaplan.operators.bits import BitWriter
 from lumaplan.operators.errors import INVALID_ARGUMENT, UNSUPPORTED, CodecError
 from lumaplan.operators.golomb import Runs
-from lumaplan.operators.range_coder import START, IntervalEncoder, RangeEncoder, fresh_states, zero_transitions
+from lumaplan.operators.range_coder import START, IntervalEncoder, RangeEncoder, adaptive_transitions, fresh_states, zero_transitions
 from lumaplan.operators.slices import Entropy, Header, _golomb_row, banks_of, border, coded_planes, residuals, row_order, write_header
 from lumaplan.operators.stream import GOLOMB, RANGE, YCBCR, StreamConfig, write_parameters
 
@@ -32,12 +34,26 @@ def legacy_streams(spark, configs: dict[int, StreamConfig], keyframe_interval: i
     return spark.createDataFrame(rows, "stream_id long, record binary, width long, height long, keyframe_interval long")
 
 
-def encode_legacy_frame(c: StreamConfig, planes: list[np.ndarray], keyframe: bool = True, embed: bool = True, state: Entropy | None = None, old: bool = False, spelled: bool = False) -> tuple[bytes, Entropy]:
+@lru_cache(maxsize=1)
+def other_transitions() -> tuple[bytes, ...]:
+    """State transitions for samples that the stream's own leave no value for: slower, faster and less sure ones, and last those
+    that keep a state at one half."""
+    return (*(adaptive_transitions(rate, top) for top in (192, 224, 248, 160) for rate in (0.02, 0.04, 0.08, 0.15, 0.06, 0.1, 0.03, 0.2)), bytes([0, *[START] * 255]))
+
+
+def encode_legacy_frame(c: StreamConfig, planes: list[np.ndarray], keyframe: bool = True, embed: bool = True, state: Entropy | None = None, old: bool = False, spelled: bool = False, transitions: bytes | None = None) -> tuple[bytes, Entropy]:
     """One frame of one slice, and the state for the next. embed: keyframes carry the parameters (spelled: see
     write_parameters()). old: the content is in the
-    arithmetic of the oldest streams (version 0, range coder). Samples that no stream of such an arithmetic says are an error."""
+    arithmetic of the oldest streams (version 0, range coder). Samples that no stream of such an arithmetic says are an error.
+    transitions: others than the stream's, for a keyframe that carries its parameters and for the frames up to the next one."""
     if c.version > 1 or c.num_h != 1 or c.num_v != 1 or old and (c.version or c.entropy != RANGE):
         raise CodecError(UNSUPPORTED, "only frames of one slice of versions 0 and 1 are written")
+    if transitions is not None and not (keyframe and embed and c.entropy == RANGE):
+        raise CodecError(INVALID_ARGUMENT, "only range coded keyframes with parameters bring state transitions along")
+    sets, bank, _ = banks_of(c, Header(0, 0, 1, 1, (0,) * c.slots))
+    state = Entropy.fresh(c, sets) if keyframe or state is None else state.copy()
+    state.transitions = transitions or state.transitions
+    c = replace(c, transitions=state.transitions or c.transitions)
     plain = not old and (c.entropy == GOLOMB or c.colorspace != YCBCR)
     w, out, embed = RangeEncoder() if plain else IntervalEncoder(), BitWriter(), embed and keyframe
     if c.entropy == RANGE or embed:
@@ -49,8 +65,6 @@ def encode_legacy_frame(c: StreamConfig, planes: list[np.ndarray], keyframe: boo
         out.bits(int(keyframe), 1)
     if isinstance(w, IntervalEncoder):
         w.old, w.zero_symbol_carry = old, c.colorspace == YCBCR
-    sets, bank, _ = banks_of(c, Header(0, 0, 1, 1, (0,) * c.slots))
-    state = Entropy.fresh(c, sets) if keyframe or state is None else state.copy()
     if old:
         for x in (x for b in state.banks for x in b):
             x[0] = 255
@@ -81,7 +95,7 @@ def encode_legacy_grid(c: StreamConfig, headers: list[Header], keyframe: bool =
 def encode_legacy(planes: DataFrame, streams: DataFrame, embed: bool = True, old: bool = False) -> DataFrame:
     """Rows of PACKETS out of planes (stream_id, frame_index, plane, data). A frame that lacks a plane, or has one of wrong size: payload null. A group of pictures, of which
     there is one for each keyframe_interval frames, is a task's unit. A frame that can't be said in its arithmetic is tried with or without parameters,
-    and as a keyframe; if none does, its payload is null."""
+    as a keyframe, and as one with other_transitions(); if none does, its payload is null."""
     from lumaplan.operators.codec import _arrow, _batch, _plane, config_of
 
     arrow = _arrow(PACKETS)
@@ -103,12 +117,13 @@ def encode_legacy(planes: DataFrame, streams: DataFrame, embed: bool = True, old
                 state = None
                 out.append((part[0]["stream_id"], part[0]["frame_index"], key, None))
                 continue
-            # Where the arithmetic leaves no value for the samples, other bytes before them, or fresh states, may do so.
-            ways = [(key, embed, False), (key, not embed, False), (key, True, True), (True, embed, False), (True, not embed, False), (True, True, True)]
-            for as_key, bring, spelled in ways[: len(ways) if c.entropy == RANGE else 1]:
+            # Where the arithmetic leaves no value for the samples, other bytes before them, fresh states or other transitions may do so.
+            ways = [(key, embed, False, None), (key, not embed, False, None), (key, True, True, None), (True, embed, False, None), (True, not embed, False, None), (True, True, True, None)]
+            ways += [(True, True, False, t) for t in other_transitions() if t != c.transitions]
+            for as_key, bring, spelled, transitions in ways[: len(ways) if c.entropy == RANGE else 1]:
                 try:
                     if as_key or held is not None:
-                        data, state = encode_legacy_frame(c, arrays, as_key, bring, held, old, spelled)
+                        data, state = encode_legacy_frame(c, arrays, as_key, bring, held, old, spelled, transitions)
                         key = as_key
                         break
                 except CodecError:

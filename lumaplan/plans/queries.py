@@ -529,7 +529,7 @@ def _low_byte(samples: str) -> str:
 @query(_DIGEST.format(_low_byte(_RGBA(16, 3))))
 def legacy_ycbcr_444(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version 1, range coder: rows of the planes take turns, chroma has half the range as border, and zero symbols raise low by one.
-    The samples are low bytes: smooth ones have many zero symbols, and then some frames can't be said in this arithmetic at all."""
+    The samples are low bytes: smooth ones have many zero symbols, and then more frames need other state transitions (see encode_legacy())."""
     s = vector_samples_rgba(spark, sf_dir, 16, 3).withColumn("v", F.col("v") % 256)
     return _legacy_trip(spark, s, replace(_legacy(1, RANGE), width=22, chroma=True), False)
 

@@ -26,7 +26,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def dump(state: Entropy) -> str:
-    return json.dumps([[list(x) if isinstance(x, bytearray) else {"a": [x.drift, x.error_sum, x.bias, x.count]} for x in b] for b in state.banks])
+    banks = [[list(x) if isinstance(x, bytearray) else {"a": [x.drift, x.error_sum, x.bias, x.count]} for x in b] for b in state.banks]
+    return json.dumps({"banks": banks, "transitions": list(state.transitions)} if state.transitions else banks)
 
 
 def shared_folder(spark) -> str:
@@ -41,7 +42,9 @@ def shared_folder(spark) -> str:
 
 
 def load(text: str) -> Entropy:
-    return Entropy([[Adaptive(*x["a"]) if isinstance(x, dict) else bytearray(x) for x in b] for b in json.loads(text)])
+    held = json.loads(text)
+    banks, transitions = (held["banks"], bytes(held["transitions"])) if isinstance(held, dict) else (held, None)
+    return Entropy([[Adaptive(*x["a"]) if isinstance(x, dict) else bytearray(x) for x in b] for b in banks], transitions)
 
 
 class _Kept(StatefulProcessor):

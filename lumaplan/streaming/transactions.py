@@ -29,10 +29,10 @@ _INTS = {k: "Int64" for k in ("stream_id", "frame_index", "byte_offset")} | {k:
 
 
 def dump_state(c: StreamConfig, state: Entropy) -> bytes:
-    """A slice's state, bank after bank."""
+    """A slice's state, bank after bank, and behind them state transitions that are not the stream's."""
     if c.entropy == GOLOMB:
         return np.array([(x.drift, x.error_sum, x.bias, x.count) for b in state.banks for x in b], "<i8").tobytes()
-    return b"".join(bytes(x) for b in state.banks for x in b)
+    return b"".join(bytes(x) for b in state.banks for x in b) + (state.transitions or b"")
 
 
 def load_state(c: StreamConfig, sets: tuple[int, ...], data: bytes) -> Entropy:
@@ -47,7 +47,7 @@ def load_state(c: StreamConfig, sets: tuple[int, ...], data: bytes) -> Entropy:
     for n in sizes:
         banks.append([bytearray(data[32 * i : 32 * i + 32]) for i in range(at, at + n)])
         at += n
-    return Entropy(banks)
+    return Entropy(banks, bytes(data[32 * at :]) or None)
 
 
 class FrameDecoder(StatefulProcessor):

@@ -389,3 +389,43 @@ def test_arithmetics_that_add_to_low(kind):
             assert all((a == b).all() for a, b in zip(planes, got, strict=True))
             done[n] += 1
     assert done[0] >= 20 and done[1] >= 20 and done[2] >= 5
+
+
+@pytest.mark.parametrize("c", [StreamConfig(22, 20, chroma=True, version=1, micro=0, intra=False), StreamConfig(64, 20, chroma=True, log2_h=1, log2_v=1, version=0, micro=0, intra=False)])
+def test_keyframes_with_other_transitions(c):
+    """Samples that the stream's own state transitions leave no value for; frames up to the next keyframe go on with the others, also
+    from states that a streaming query has stored, and that keyframe with the stream's own."""
+    from lumaplan.operators.legacy import other_transitions
+    from lumaplan.streaming.stateful import dump, load
+    from lumaplan.streaming.transactions import dump_state, load_state
+
+    rng, hard = np.random.default_rng(5), 0
+    walk = lambda step: [np.cumsum(rng.integers(-step, step + 1, c.plane_size(p)[::-1]), 1) + 100 & 255 for p in range(c.planes)]
+
+    def written(planes, *args):
+        try:
+            return encode_legacy_frame(c, planes, *args)
+        except CodecError as e:
+            assert e.code == INVALID_ARGUMENT
+
+    for _ in range(40):
+        first, then, last = walk(1), walk(9), walk(90)
+        if any(written(first, True, *way) for way in ((False,), (True,), (True, None, False, True))):
+            continue
+        found = next((f for t in other_transitions() if (f := written(first, True, True, None, False, False, t))), None)
+        after = found and written(then, False, False, found[1])
+        end = written(last, True, False)
+        if not after or not end:
+            continue
+        assert bootstrap_result(c, found[0], c.width, c.height)[0] == "differs"
+        state = None
+        for data, planes, key in ((found[0], first, True), (after[0], then, False), (end[0], last, True)):
+            states = [None] if key else [state, load(dump(state)), load_state(c, (0,) * c.planes, dump_state(c, state))]
+            for s in states:
+                out, is_key, kept = decode_frame(c, data, s and {(0, 0, 1, 1): s})
+                assert is_key == key and all((a == b).all() for a, b in zip(planes, out, strict=True))
+            (state,) = kept.values()
+            assert (state.transitions is None) == (planes is last)
+        hard += 1
+    assert hard >= 3
+    fails(INVALID_ARGUMENT, encode_legacy_frame, c, first, True, False, None, False, False, other_transitions()[0])

@@ -38,6 +38,12 @@ def test_rows_missing_inside(spark, tmp_path, name):
     same(spark, tmp_path, "embeddings", name)
 
 
+def test_keyframe_that_needs_other_transitions(spark, tmp_path):
+    """Of its first frame the stream's own state transitions leave no value, with or without parameters."""
+    duckdb.sql(f"copy (select i as vec_id, embedding from generate_series(0, 59) as g(i) join '/root/testdata/sf0.001/embeddings.parquet' as e on e.vec_id = (433 * i + 100) % 500) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    same(spark, tmp_path, "embeddings", "legacy_ycbcr_444")
+
+
 def test_legacy_frame_of_wrong_size_fails_alone(spark):
     c = StreamConfig(4, 2, 8, version=1, micro=0, entropy="golomb", intra=False)
     planes = spark.createDataFrame([(1, 0, 0, bytearray(8)), (1, 1, 0, bytearray(7)), (1, 2, 1, bytearray(8))], "stream_id long, frame_index long, plane int, data binary")
